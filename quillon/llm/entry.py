@@ -32,9 +32,76 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bi AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM bi),
+lens AS (SELECT DISTINCT n FROM bw),
+di AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM di, lens WHERE i + n - 1 <= len(w)),
+hit AS (SELECT doc_id, i, bw.n, item_id FROM dw JOIN bw ON dw.s = bw.s AND dw.n = bw.n),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(0, 10) r(k) WHERE k < n GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality_rules import quality_rules
+
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.store import read_store, write_store
+
+    path = write_store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), spaces=False, end_id=2)
+    return read_store(spark, path).withColumnRenamed("id", "doc_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), spaces=True, end_id=1, with_ids=False)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), spaces=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op3_token_store": op3_token_store,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_packing": op7_packing,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_decontamination": OP2_SQL,
 }

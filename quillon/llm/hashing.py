@@ -79,15 +79,23 @@ def segment_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which
         return np.zeros(0, U64)
     first = np.zeros(n, np.int32)
     first[start] = start
-    at = np.arange(n, dtype=np.int32) - np.maximum.accumulate(first)
-    inside = np.zeros(n + 1, np.int8)
-    inside[start] += 1
-    inside[end] -= 1
-    keep = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    at[~keep] = 0
-    terms = _TABLES[which][values] * powers(_BASES[which], int((end - start).max()))[at]
-    terms[~keep] = 0
-    return mix(np.add.reduceat(terms, start) + (end - start).astype(U64) * _BASES[3])
+    at = np.arange(n, dtype=np.int32)
+    at -= np.maximum.accumulate(first, out=first)
+    length = (end - start).astype(np.int32)
+    gap = np.empty(len(start), np.int32)  # from an end to the next start
+    gap[:-1] = start[1:] - end[:-1]
+    gap[-1] = n - end[-1]
+    scale = powers(_BASES[which], int(length.max()) + 1)
+    if gap.any():
+        # places past a segment's end count nothing
+        most = int(length.max())
+        limit = np.repeat(length, length + gap)
+        lead = n - len(limit)
+        at[lead:][at[lead:] >= limit] = most
+        scale[most] = 0
+    terms = _TABLES[which][values]
+    terms *= scale[np.minimum(at, len(scale) - 1)] if start[0] else scale[at]
+    return mix(np.add.reduceat(terms, start) + length.astype(U64) * _BASES[3])
 
 
 def words(col: pa.Array, separators: np.ndarray = SPACES):
