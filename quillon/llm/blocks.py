@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def pack_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
             return out
 
         for b in batches:
-            lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0), np.int64) + 16
+            lens = np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0), np.int64) + 16
             ends, i = np.cumsum(lens), 0
             while i < len(lens):
                 room = block_bytes - size + (ends[i - 1] if i else 0)

@@ -51,7 +51,7 @@ def _all():
     return Window.partitionBy(F.lit(0))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 4096, edge: int = 2, least_words: int = 50, repeat_percent: int = 50, threshold: float = -0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 4096, edge: int = 2, least_words: int = 50, repeat_percent: int = 50, threshold: float = -0.25) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ratio) of every row.
 
     base_failed: fewer than least_words words, or more than repeat_percent % of them in a 3-word
