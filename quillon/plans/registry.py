@@ -1,4 +1,8 @@
 """Every registered query and its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from quillon.plans import table_queries, text_queries
+
+QUERIES: dict = {**text_queries.Q, **table_queries.Q}
+ORACLE_SQL: dict = {**text_queries.S, **table_queries.S}

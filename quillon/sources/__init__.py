@@ -1,0 +1 @@
+"""Readers of tables and of semi-structured text."""
