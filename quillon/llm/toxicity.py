@@ -130,7 +130,7 @@ def learn(rows, chance: float = 1e-5, purity: float = 0.01, times: int = 3) -> t
             for i in where[t, stem]:
                 have[i] += 1
     for t in SEED_LEXICON:
-        if t not in terms and sum(t in x.lower() for x in clean_texts[:1000]) <= purity * 1000:
+        if t not in terms and sum(t in (x or "").lower() for x in clean_texts) <= purity * len(clean_texts):
             terms[t] = (SEED_WEIGHT, False)
     trie = Trie(terms, frozenset())
     return terms, frozenset(w for w in words_seen if trie.find(w)[0])
