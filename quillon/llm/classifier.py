@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import by_bytes, map_arrow
 from quillon.llm.hashing import doc_bounds, runs, segment_hashes, text_bytes, words
 from quillon.llm.labelled import remainder, sample
 
@@ -175,12 +176,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     k = len(FEATURES)
     vector = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
-    def parts(batches):
-        for b in batches:
-            yield from (b.slice(i, 2048) for i in range(0, b.num_rows, 2048))
-
     def measure(batches):
-        for b in parts(batches):
+        for b in by_bytes(batches, 0):
             x = features(b.column(0))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(x.ravel()))], ["label", "x"])
 
@@ -190,8 +187,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
 
     def score(batches):
-        for b in parts(batches):
+        for b in by_bytes(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.predict(features(b.column(1))))], schema.names)
 
-    out = docs.select(id_col, text_col).mapInArrow(score, schema)
+    out = map_arrow(docs.select(id_col, text_col), score, schema)
     return out.select(id_col, (remainder(id_col, modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +31,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, of about ``size`` bytes in column ``text`` (a longer text stands alone): work on them takes
+    memory in proportion, whatever the rows' lengths."""
+    for b in batches:
+        ends, i = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0), np.int64) + 16), 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, size + (ends[i - 1] if i else 0), "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def map_arrow(df: DataFrame, work: Callable, schema, forget: Callable[[], None] | None = None) -> DataFrame:
+    """``df.mapInArrow``, after which a task gives its worker's freed memory back: workers live on and share the executor with later stages."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only in GNU's C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.encoder import encoder
+from quillon.llm.common import by_bytes, map_arrow
+from quillon.llm.encoder import ENCODE_BYTES, encoder, forget
 
 
 def token_counts(docs: DataFrame, tokenizer: str, spaces: bool, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -20,9 +21,9 @@ def token_counts(docs: DataFrame, tokenizer: str, spaces: bool, id_col: str = "d
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def count(batches):
-        for b in batches:
+        for b in by_bytes(batches, 1, ENCODE_BYTES):
             n = pa.array(encoder(tokenizer, spaces).count(b.column(1)), pa.int64())
             size = pc.cast(pc.fill_null(pc.binary_length(b.column(1)), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_col, text_col).mapInArrow(count, schema)
+    return map_arrow(docs.select(id_col, text_col), count, schema, forget)

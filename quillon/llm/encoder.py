@@ -22,7 +22,9 @@ LIMIT = 0x250
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Contractions after an apostrophe, longest first.
 TAILS = ("re", "ve", "ll", "s", "t", "m", "d")
-CACHE = 1_500_000
+CACHE = 500_000
+#: Text that goes through an encoder at once.
+ENCODE_BYTES = 4 << 20
 
 
 def _classes() -> np.ndarray:
@@ -265,3 +267,9 @@ def encoder(path: str, spaces: bool) -> Encoder:
         held.clear()
         held[path, spaces] = Encoder(path, spaces)
     return held[path, spaces]
+
+
+def forget() -> None:
+    """Drop the worker's table of known pre-tokens; the library stays loaded."""
+    for e in sys.modules[__name__].__dict__.get("_HELD", {}).values():
+        e._forget()

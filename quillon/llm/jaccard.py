@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type as to_arrow
 
-from quillon.llm.common import broadcast_if_small, materialize
+from quillon.llm.common import broadcast_if_small, by_bytes, map_arrow, materialize
 from quillon.llm.graph import components
 from quillon.llm.hashing import U64, doc_bounds, mix, segment_hashes, window_hashes, words
 
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
 
     def sign(batches):
         seen: set[bytes | None] = {None}
-        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        for b in by_bytes(batches, 1):
             bounds, v = shingles(b.column(1), size)
             k = set_keys(bounds, v)
             first = []
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
                     seen.add(x)
                     first.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.binary()), *(pa.nulls(len(k), to_arrow(f.dataType)) for f in schema.fields[2:])], schema.names)
-            if len(seen) > 2_000_000:
+            if len(seen) > 500_000:
                 seen = {None}
             if not first:
                 continue
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
                 schema.names,
             )
 
-    return docs.select(id_col, text_col).mapInArrow(sign, schema)
+    return map_arrow(docs.select(id_col, text_col), sign, schema)
 
 
 def by_group(df: DataFrame, keys: list[str], work, schema, rows: int = 4096) -> DataFrame:
@@ -187,7 +187,7 @@ def by_group(df: DataFrame, keys: list[str], work, schema, rows: int = 4096) ->
         if held and (t := pa.concat_tables(held).combine_chunks()).num_rows:
             yield from work(t, cut(t)).to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def _blocks(df: DataFrame, group: str, count: str, block: int) -> DataFrame:
@@ -338,13 +338,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = broadcast_if_small(group.select(F.col("doc").alias("_doc"), "k"), BROADCAST_KEYS)
 
     def tokens(batches):
-        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        for b in by_bytes(batches, 0):
             bounds, v = shingles(b.column(0), size)
             keep = [i for i, (k, w) in enumerate(zip(set_keys(bounds, v), b.column(1).to_pylist(), strict=True)) if k == w]
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array([v[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], ["k", "tokens"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_doc"))).select("_text", "k")
-    sets = texts.mapInArrow(tokens, "k binary, tokens binary")
+    sets = map_arrow(texts, tokens, "k binary, tokens binary")
     full = _blocks(group, "root", "members", BLOCK // 2).join(sets, "k").select("root", "x", "y", "own", "k", "copies", "tokens")
     found = materialize(by_group(full, ["root", "x", "y"], _exact(threshold), "a binary, b binary, links long", rows=BLOCK), "links")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))

@@ -10,7 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.encoder import encoder
+from quillon.llm.common import by_bytes, map_arrow
+from quillon.llm.encoder import ENCODE_BYTES, encoder, forget
 
 
 def dot_product_pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
@@ -69,17 +70,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, i
 
     def groups(batches):
         held, size = [], 0
-        for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                ids, off = encoder(tokenizer, spaces).encode(part.column(1))
-                n = len(off) - 1
-                full = np.insert(ids, off[1:], end_id)
-                held.append((part.column(0), full, off + np.arange(n + 1)))
-                size += len(full)
-                if size >= group_tokens:
-                    yield held
-                    held, size = [], 0
+        for part in by_bytes(batches, 1, ENCODE_BYTES):
+            ids, off = encoder(tokenizer, spaces).encode(part.column(1))
+            n = len(off) - 1
+            full = np.insert(ids, off[1:], end_id)
+            held.append((part.column(0), full, off + np.arange(n + 1)))
+            size += len(full)
+            if size >= group_tokens:
+                yield held
+                held, size = [], 0
         if held:
             yield held
 
@@ -99,7 +98,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, i
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
             base += count
 
-    return docs.select(id_col, text_col).mapInArrow(place, schema)
+    return map_arrow(docs.select(id_col, text_col), place, schema, forget)
 
 
 def plan(sizes: np.ndarray, limits: tuple[int, int, int]):

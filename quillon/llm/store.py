@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import scratch_dir, shuffle_partitions
-from quillon.llm.encoder import encoder
+from quillon.llm.common import by_bytes, map_arrow, scratch_dir, shuffle_partitions
+from quillon.llm.encoder import ENCODE_BYTES, encoder, forget
 from quillon.llm.hashing import U64, mix, window_hashes
 
 WINDOW = 16
@@ -69,7 +69,7 @@ def write_store(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_c
     def encode(batches):
         task, row, seen = TaskContext.get().partitionId(), 0, set()
         arrow_id = None
-        for b in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+        for b in by_bytes(batches, 1, ENCODE_BYTES):
             arrow_id = b.column(0).type
             ids, off = encoder(tokenizer, spaces).encode(b.column(1))
             docs_n = len(off) - 1
@@ -105,7 +105,7 @@ def write_store(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_c
                     seen.add(key)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    entries = docs.select(id_col, text_col).mapInArrow(encode, schema).repartition(shuffle_partitions(spark), "key").mapInArrow(once, schema)
+    entries = map_arrow(docs.select(id_col, text_col), encode, schema, forget).repartition(shuffle_partitions(spark), "key").mapInArrow(once, schema)
     entries.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/entries")
     stored = spark.read.schema(schema).parquet(f"{path}/entries").where("kind = 1").select("key", "doc", "n", "data")
     # the order column of a part: by id, then recipe, for rows of equal id

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import by_bytes, map_arrow
 from quillon.llm.hashing import doc_bounds, segment_hashes, words
 from quillon.llm.labelled import remainder, sample
 
@@ -34,7 +36,8 @@ SEED_LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "
 SEED_WEIGHT = 2.0
 FUZZY_LENGTH = 5
 STEMS = range(4, 8)
-CACHE = 400_000
+CACHE = 300_000
+KEPT = 50_000
 
 
 class Trie:
@@ -180,6 +183,12 @@ def score_texts(col: pa.Array, trie: Trie, memory: dict) -> np.ndarray:
 _MEMORY: dict = {}
 
 
+def _thin() -> None:
+    """Between tasks a worker keeps the words that it met first, by far the commonest among them."""
+    memory = _MEMORY.get("memory", {})
+    _MEMORY["memory"] = dict(islice(memory.items(), KEPT))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = 8000, threshold: float = 0.7, modulus: int = 3, held_out: int = 1) -> DataFrame:
     """(id, held_out, score, predicted) of every whole text.
 
@@ -197,9 +206,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def score(batches):
         if _MEMORY.get("name") != name:
             _MEMORY.update(name=name, trie=Trie(*shared.value), memory={})
-        for b in batches:
-            for part in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(part.column(1), _MEMORY["trie"], _MEMORY["memory"]))], schema.names)
+        for part in by_bytes(batches, 1, 4 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(part.column(1), _MEMORY["trie"], _MEMORY["memory"]))], schema.names)
 
-    out = docs.select(id_col, text_col).mapInArrow(score, schema)
+    out = map_arrow(docs.select(id_col, text_col), score, schema, _thin)
     return out.select(id_col, (remainder(id_col, modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
