@@ -162,7 +162,7 @@ def _links(recipes: DataFrame) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/entries").where("kind = 0")
+    return spark.read.schema("key binary, n long, data binary, kind int").parquet(f"{path}/entries").where("kind = 0")  # an empty store has no file to infer from
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
