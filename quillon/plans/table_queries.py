@@ -282,7 +282,7 @@ def _(s, d):
     return a.join(b, "i", "full_outer").select("i", "c_custkey", "s_suppkey")
 
 
-@query("dense_matrix", "SELECT r_name, seg, coalesce(n, 0) AS n FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) LEFT JOIN (SELECT n_regionkey AS rk, c_mktsegment AS seg, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 5000 GROUP BY 1, 2) USING (seg) WHERE rk = r_regionkey OR rk IS NULL")
+@query("dense_matrix", "SELECT r_name, seg, coalesce(n, 0) AS n FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) LEFT JOIN (SELECT n_regionkey AS rk, c_mktsegment AS sg, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 5000 GROUP BY 1, 2) ON sg = seg AND rk = r_regionkey")
 def _(s, d):
     n, r, c = table(s, d, "nation"), table(s, d, "region"), table(s, d, "customer")
     facts = c.where("c_acctbal > 5000").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
