@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators after lower-casing A-Z; in a text as it is, A-Z are word characters too.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,7 +43,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     No documents or no items: no hits. Other columns of either table are ignored. A benchmark of
     more than BROADCAST_WINDOWS windows is joined by shuffling instead of broadcast.
     """
-    iw = item_windows(items, item_col, item_text_col, window).persist()
+    iw = materialize(item_windows(items, item_col, item_text_col, window), "windows")
     small = iw.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     near = F.broadcast if small else (lambda df: df)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -54,7 +56,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     placed = iw.select("win", "ws").distinct().select("win", "ws", F.posexplode("ws").alias("at", "word"))
     # an inner join: a window with a word that no document has can't occur
     complete = placed.join(seen, "word", "left").groupBy("win").agg(F.first("ws").alias("ws"), F.min(F.struct("seen", "word", "at")).alias("rarest"), F.bool_and(F.col("seen").isNotNull()).alias("all_seen"))
-    probe = complete.where("all_seen").select("win", "ws", F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at"), F.size("ws").alias("len"))
+    # written, for plans below read it more than once and it stands for a pass over all documents
+    probe = materialize(complete.where("all_seen").select("win", "ws", F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at"), F.size("ws").alias("len")), "probe")
 
     met = bag.select("k1", "k2", "w", F.posexplode("w").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
@@ -63,7 +66,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"), F.collect_set("win").alias("wins"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, x: F.struct((a.n + F.greatest(x.e - F.greatest(x.s, a.to), F.lit(0))).alias("n"), F.greatest(a.to, x.e).alias("to")), lambda a: a.n)
-    covered = spans.select("k1", "k2", covered.alias("n_hit"), "wins")
+    covered = materialize(spans.select("k1", "k2", covered.alias("n_hit"), "wins"), "hits")
     found = covered.select("k1", "k2", F.explode("wins").alias("win")).join(near(iw.select("win", "item")), "win").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     per = covered.select("k1", "k2", "n_hit").join(found, ["k1", "k2"])
     counted = keyed.select(id_col, "k1", "k2", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
