@@ -46,3 +46,23 @@ def cues(words: DataFrame, most: int = 6, pause: float = 0.6) -> DataFrame:
         return pd.DataFrame(rows, columns=["scene", "cue", "start", "end", "text"])
 
     return words.groupBy("scene").applyInPandas(one, "scene long, cue long, start double, end double, text string")
+
+
+def layout(rows: DataFrame, group: str, start: str, end: str, fill: float = 0.6, lead_frames: int = 2, fps: int = 30) -> DataFrame:
+    """``shown_end``: an end beyond the next start is cut to it; one shortly before it is drawn out to some frames before it."""
+    nxt = F.lead(start).over(Window.partitionBy(group).orderBy(start, end))
+    gap = nxt - F.col(end)
+    return rows.withColumn("shown_end", F.when(gap < 0, nxt).when((gap > 0) & (gap < fill), F.greatest(F.col(end), nxt - lead_frames / fps)).otherwise(F.col(end)))
+
+
+def gaps_at(gap_rows: DataFrame, boundaries: DataFrame, group: str, start: str, end: str, at: str, slack: float) -> DataFrame:
+    """The gaps (group, start, end) that hold a boundary (group, at) within the slack; groups meet by key before the interval is tested."""
+    g, b = gap_rows.alias("g"), boundaries.alias("b")
+    near = (F.col(f"g.{group}") == F.col(f"b.{group}")) & F.col(f"b.{at}").between(F.col(f"g.{start}") - slack, F.col(f"g.{end}") + slack)
+    return g.join(b, near, "left_semi")
+
+
+def contiguous(rows: DataFrame, group: str, position: str, first: int = 0) -> DataFrame:
+    """(group, contiguous): whether the positions are first, first + 1 and so on, each once."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(group).agg(((F.min(position) == first) & (F.max(position) == first + n - 1) & (F.countDistinct(position) == n)).alias("contiguous"))

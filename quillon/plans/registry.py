@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import table_queries, text_queries
+from quillon.plans import media_queries, table_queries, text_queries
 
-QUERIES: dict = {**text_queries.Q, **table_queries.Q}
-ORACLE_SQL: dict = {**text_queries.S, **table_queries.S}
+QUERIES: dict = {**text_queries.Q, **table_queries.Q, **media_queries.Q}
+ORACLE_SQL: dict = {**text_queries.S, **table_queries.S, **media_queries.S}
