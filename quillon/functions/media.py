@@ -45,7 +45,7 @@ def since_seconds(text: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over the code points of a text (its bytes, for ASCII)."""
-    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(points, F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c) * F.lit(16777619).cast("long") % F.lit(1 << 32))
 
 
