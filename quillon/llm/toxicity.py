@@ -132,6 +132,12 @@ def learn(rows, chance: float = 1e-5, purity: float = 0.01, times: int = 3) -> t
             terms[t] = (min(3.0, math.log(odds)), stem)
             for i in where[t, stem]:
                 have[i] += 1
+    # Stems match exactly, since a prefix one edit away is that of too many clean words; so that an edit among
+    # a stem's letters is caught too, the whole words of toxic rows that begin with it are terms, with its weight.
+    stems = {t: w for t, (w, stem) in terms.items() if stem}
+    for t in {t for own in toxic for t, stem in own if not stem}:
+        if t not in terms and (begun := [stems[t[:k]] for k in STEMS if t[:k] in stems]):
+            terms[t] = (max(begun), False)
     for t in SEED_LEXICON:
         if t not in terms and sum(t in (x or "").lower() for x in clean_texts) <= purity * len(clean_texts):
             terms[t] = (SEED_WEIGHT, False)

@@ -24,7 +24,7 @@ from quillon.llm.packing import dot_product_pack, pack_documents
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.store import read_ids, read_store, write_store
 from quillon.llm.substring import substring_dedup
-from quillon.llm.toxicity import Trie, toxicity
+from quillon.llm.toxicity import Trie, learn, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, n_words long, block long, keys string, score double"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -284,3 +284,16 @@ def test_quotation_weighs_less(spark, labels):
     rows = [(1, "you are scum you moron"), (2, 'the report said "scum" is a slur term')]
     got = {r.doc_id: r.score for r in toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels.limit(0)).collect()}
     assert got[1] > 0.7 > got[2]
+
+
+def test_edits_inside_a_learned_stem_are_caught():
+    endings = ["ian", "heit", "es", "los"]
+    rows = [(f"so ein grob{endings[i % 4]} hier", 1) for i in range(40)] + [("ruhig wie immer hier", 0)] * 60
+    terms, known = learn(rows)
+    assert terms["grob"][1]
+    t = Trie(terms, known)
+    for w in ["grobian", "grobneu"]:
+        assert t.find(w) == (terms["grob"][0], False), w
+    for w in ["grubian", "gobheit", "grroblos", "trobian"]:
+        assert t.find(w) == (terms["grob"][0], True), w
+    assert t.find("ruhig") == (0.0, True)
