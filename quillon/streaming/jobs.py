@@ -23,9 +23,14 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """New files of a table as a stream, with the schema that the table has now; times get the session's zone, as watermarks need."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """New files of a table, a folder of part files or a single one, as a stream with the schema that the table has now;
+    times get the session's zone, as watermarks need."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    source = spark.readStream.schema(schema)
+    rows = source.parquet(path) if whole else source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 

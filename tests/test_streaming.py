@@ -53,3 +53,13 @@ def test_empty_stream(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "none"))
     assert jobs.upsert_stream(stream, ["k"], [F.desc("ts")], "latest").count() == 0
     assert jobs.run(jobs.count_and_last(stream, "k", "ts", F.col("v")), "last").count() == 0
+
+
+@pytest.mark.parametrize("name", ["stream_latest", "stream_window_counts", "stream_first_within", "stream_count_and_last"])
+def test_table_of_part_files_gives_what_one_file_gives(spark, tmp_path, name):
+    from quillon.plans.registry import QUERIES
+
+    one = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{one}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want = sorted(map(str, QUERIES[name](spark, one).collect()))
+    assert want and sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == want
