@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.text import parse_number
+from quillon.functions.text import parse_number, token_estimate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,14 +64,36 @@ def front_matter(text: Column, key: str) -> Column:
     return F.nullif(F.btrim(F.regexp_extract(block, rf"(?m)^{re.escape(key)}:[ \t]*(.*)$", 1), F.lit(" \t\r\"'")), F.lit(""))
 
 
+MAX_TOKENS = 8192
+
+
+def _packed(section: Column) -> Column:
+    """A section's paragraphs, joined in order as long as they stay within MAX_TOKENS; a longer paragraph is a chunk of its own."""
+    paragraphs = F.filter(F.split(F.btrim(section, F.lit(" \t\n\x0b\f\r")), "\n\n+"), lambda p: p.rlike(r"\S"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
+
+    def step(s: Column, p: Column) -> Column:
+        more = F.concat_ws("\n\n", s["held"], p)
+        full = s["held"].isNotNull() & (token_estimate(more) > MAX_TOKENS)
+        return F.struct(F.when(full, F.array_append(s["done"], s["held"])).otherwise(s["done"]).alias("done"), F.when(full, p).otherwise(more).alias("held"))
+
+    return F.aggregate(paragraphs, start, step, lambda s: F.array_append(s["done"], s["held"]))
+
+
 def chunk_markdown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, chunk_index, title, chunk): sections at level-two headings; what stands before the first goes; a document
-    without headings is one chunk without title."""
+    """(id, chunk_index, title, chunk): sections at level-two headings, those over MAX_TOKENS cut between paragraphs; what
+    stands before the first goes; a document without headings is one chunk without title."""
     parts = F.split(F.col(text_col), r"(?m)^(?=## )")
     headed = F.filter(parts, lambda p: p.startswith("## "))
-    chunks = F.when(F.size(headed) > 0, headed).when(F.btrim(F.col(text_col)) != "", F.array(F.col(text_col))).otherwise(F.array().cast("array<string>"))
-    out = docs.select(id_col, F.posexplode(chunks).alias("chunk_index", "chunk"))
-    return out.select(id_col, "chunk_index", F.nullif(F.regexp_extract("chunk", r"\A## +([^\n]*)", 1), F.lit("")).alias("title"), "chunk")
+    sections = F.when(F.size(headed) > 0, headed).when(F.btrim(F.col(text_col)) != "", F.array(F.col(text_col))).otherwise(F.array().cast("array<string>"))
+
+    def chunks(p: Column) -> Column:
+        title = F.nullif(F.regexp_extract(p, r"\A## +([^\n]*)", 1), F.lit(""))
+        long = p.startswith("## ") & (token_estimate(F.btrim(p, F.lit(" \t\n\x0b\f\r"))) > MAX_TOKENS)
+        return F.transform(F.when(long, _packed(p)).otherwise(F.array(p)), lambda c: F.struct(title.alias("title"), c.alias("chunk")))
+
+    out = docs.select(id_col, F.posexplode(F.flatten(F.transform(sections, chunks))).alias("chunk_index", "_c"))
+    return out.select(id_col, "chunk_index", "_c.title", "_c.chunk")
 
 
 FEED_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "description", "pubDate")])

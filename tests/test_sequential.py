@@ -29,3 +29,13 @@ def test_top_k_is_a_prefix_of_the_whole_order(spark):
     sf = "/root/testdata/sf0.001"
     top = [(r.vec_id) for r in QUERIES["vector_topk"](spark, sf).collect()]
     assert len(top) == len(set(top)) == 10
+
+
+def test_long_sections_are_packed_by_paragraph(spark):
+    from quillon.sources.readers import chunk_markdown
+
+    big, huge = "x" * 16_000, "y" * 40_000
+    text = f"gone\n## A\n\n{big}\n\n\n{big}\n\n{huge}\n\n \n\nend\n## B\nshort\n"
+    rows = [(1, text), (2, huge + "\n\n" + huge), (3, " ")]
+    got = sorted(tuple(r) for r in chunk_markdown(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect())
+    assert got == [(1, 0, "A", f"## A\n\n{big}\n\n{big}"), (1, 1, "A", huge), (1, 2, "A", "end"), (1, 3, "B", "## B\nshort\n"), (2, 0, None, huge + "\n\n" + huge)]
