@@ -77,3 +77,84 @@ def merge_topics(articles: DataFrame) -> DataFrame:
     """articles: block, ordinal, title, source, url, category. Exact greedy merging within each block; blocks are
     the caller's (a day, a feed), so that a group stays small."""
     return articles.groupBy("block").applyInPandas(lambda pdf: greedy_merge(pdf), "block string, title string, sources array<string>, urls array<string>, category string")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(k, root) for every end of a pair (a, b): the least of its connected component, by least labels and pointer jumping."""
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().localCheckpoint()
+    label = both.groupBy(F.col("a").alias("k")).agg(F.min(F.least("a", "b")).alias("root")).localCheckpoint()
+    while True:
+        least = both.join(label.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("root").alias("m"))
+        lower = label.join(least, "k").select("k", F.col("root").alias("was"), F.least("root", "m").alias("root"))
+        jumped = lower.join(label.select(F.col("k").alias("root"), F.col("root").alias("far")), "root", "left")
+        changed = jumped.select("k", "was", F.least("root", F.coalesce("far", "root")).alias("root")).localCheckpoint()
+        label = changed.select("k", "root")
+        if not changed.where("root <> was").limit(1).count():
+            return label
+
+
+def ordered_merge(pdf: pd.DataFrame, jaccard: float = 0.8, containment: float = 0.9) -> pd.DataFrame:
+    """(ordinal, topic, title) of the articles of one component of similar titles, a row of pdf for each distinct title
+    (title, t, ordinals): greedy_merge's rule, where topic is a group's first ordinal, whose row has the title that stays.
+
+    A title that comes again goes where it went as long as no group is new or has another title since.
+    """
+    titles, tokens = pdf["title"].tolist(), [frozenset(t) if t is not None else frozenset() for t in pdf["t"]]
+    events = sorted((int(o), k) for k, own in enumerate(pdf["ordinals"]) for o in own)
+    first, shown, holders, fate, version, out = [], [], {}, {}, 0, []
+
+    def show(g: int, k: int) -> None:
+        if g == len(shown):
+            shown.append(k)
+        else:
+            for t in tokens[shown[g]]:
+                holders[t].discard(g)
+            shown[g] = k
+        for t in tokens[k]:
+            holders.setdefault(t, set()).add(g)
+
+    for o, k in events:
+        if fate.get(k, (-1,))[0] != version:
+            both: dict[int, int] = {}
+            for t in tokens[k]:
+                for g in holders.get(t, ()):
+                    both[g] = both.get(g, 0) + 1
+            n = len(tokens[k])
+            like = [g for g, x in both.items() if x / (n + len(tokens[shown[g]]) - x) >= jaccard or x / min(n, len(tokens[shown[g]])) >= containment]
+            g = min(like, default=len(shown))
+            if g == len(shown):
+                first.append(o)
+            if g == len(shown) or len(titles[k]) > len(titles[shown[g]]):
+                show(g, k)
+                version += 1
+            if n:
+                fate[k] = (version, g)
+        else:
+            g = fate[k][1]
+        out.append((o, g))
+    rows = [(o, first[g], titles[shown[g]] if o == first[g] else None) for o, g in out]
+    return pd.DataFrame(rows, columns=["ordinal", "topic", "title"])
+
+
+def merge_all_topics(articles: DataFrame) -> DataFrame:
+    """(title, sources, urls, category): greedy_merge over all articles (ordinal, unique; title, source, url, category) in order.
+
+    Articles merge only with a title that is similar to theirs, so the order matters within the connected components of
+    similar titles alone. A component is one task's, as its distinct titles with the ordinals of each.
+    """
+    titles = articles.groupBy("title").agg(F.collect_list(F.col("ordinal").cast("long")).alias("ordinals")).withColumn("t", F.array_sort(title_tokens(F.col("title"))))
+    titles = titles.withColumn("own", F.array_min("ordinals"))
+    sets = titles.where(F.size("t") > 0).groupBy("t").agg(F.min("own").alias("k"))
+    roots = components(similar_titles(titles, "own", "title"))
+    named = sets.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("root"))
+    keyed = titles.join(named, "t", "left").select("title", "t", "ordinals", F.coalesce("root", "own").alias("root"))
+    placed = keyed.groupBy("root").applyInPandas(lambda pdf: ordered_merge(pdf), "ordinal long, topic long, title string")
+    rows = articles.drop("title").join(placed, "ordinal").localCheckpoint()
+
+    def seen(col: str) -> DataFrame:
+        """The values of each topic in the order of their first articles."""
+        each = rows.groupBy("topic", col).agg(F.min("ordinal").alias("o"))
+        return each.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", col))), lambda x: x[col]).alias(f"{col}s"))
+
+    heads = rows.where("ordinal = topic").select("topic", "title", "category")
+    return heads.join(seen("source"), "topic").join(seen("url"), "topic").select("title", "sources", "urls", "category")

@@ -149,8 +149,8 @@ def _(s, d):
 
 @query("near_dup_greedy")
 def _(s, d):
-    p = table(s, d, "pages").select(url_host(F.col("url")).alias("block"), F.col("page_id").alias("ordinal"), X.html_title(F.col("html")).alias("title"), F.lit("pages").alias("source"), "url", F.lit("fermenting").alias("category"))
-    return trends.merge_topics(p)
+    p = table(s, d, "pages").select(F.col("page_id").alias("ordinal"), X.html_title(F.col("html")).alias("title"), url_host(F.col("url")).alias("source"), "url", F.lit("fermenting").alias("category"))
+    return trends.merge_all_topics(p)
 
 
 @query("sentence_split", r"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS BIGINT) AS sentences FROM documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
 from quillon.operators import assets, timeline, trends
 
 
@@ -39,3 +41,26 @@ def test_long_sections_are_packed_by_paragraph(spark):
     rows = [(1, text), (2, huge + "\n\n" + huge), (3, " ")]
     got = sorted(tuple(r) for r in chunk_markdown(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect())
     assert got == [(1, 0, "A", f"## A\n\n{big}\n\n{big}"), (1, 1, "A", huge), (1, 2, "A", "end"), (1, 3, "B", "## B\nshort\n"), (2, 0, None, huge + "\n\n" + huge)]
+
+
+def test_topics_merge_across_sources_as_one_ordered_list_would(spark):
+    import random
+
+    rng, words = random.Random(4), [f"w{c}" for c in "abcdefghijkl"]
+    titles = [" ".join(rng.sample(words, rng.choice([1, 3, 5, 6, 9]))) + rng.choice(["", " now"]) for _ in range(60)] + ["", "!!"]
+    rows = [(i, rng.choice(titles), f"s{i % 5}", f"u{i % 90}", "data") for i in range(400)]
+    whole = trends.greedy_merge(pd.DataFrame([("all", *r) for r in rows], columns=["block", "ordinal", "title", "source", "url", "category"]))
+    want = sorted((r.title, r.sources, r.urls, r.category) for r in whole.itertuples())
+    got = trends.merge_all_topics(spark.createDataFrame(rows, "ordinal long, title string, source string, url string, category string"))
+    assert sorted((r.title, r.sources, r.urls, r.category) for r in got.collect()) == want
+
+
+def test_near_dup_greedy_merges_equal_titles_of_all_hosts(spark):
+    from quillon.plans.registry import QUERIES
+    from quillon.plans.text_queries import X, url_host
+
+    sf = "/root/testdata/sf0.01"
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    p = p.selectExpr("'all' AS block", "page_id AS ordinal", "html", "url", "'fermenting' AS category").withColumn("title", X.html_title(p["html"])).withColumn("source", url_host(p["url"])).drop("html")
+    want = sorted((r.title, r.sources, r.urls) for r in trends.greedy_merge(p.toPandas()).itertuples())
+    assert sorted((r.title, r.sources, r.urls) for r in QUERIES["near_dup_greedy"](spark, sf).collect()) == want
