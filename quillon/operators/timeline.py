@@ -45,7 +45,7 @@ def cues(words: DataFrame, most: int = 6, pause: float = 0.6) -> DataFrame:
         rows = [(g[0].scene, i, g[0].start, max(w.end for w in g), " ".join(w.text for w in g)) for i, g in enumerate(out + [held] * bool(held))]
         return pd.DataFrame(rows, columns=["scene", "cue", "start", "end", "text"])
 
-    return words.groupBy("scene").applyInPandas(one, "scene long, cue long, start double, end double, text string")
+    return words.groupBy("scene").applyInPandas(one, f"scene {words.schema['scene'].dataType.simpleString()}, cue long, start double, end double, text string")
 
 
 def layout(rows: DataFrame, group: str, start: str, end: str, fill: float = 0.6, lead_frames: int = 2, fps: int = 30) -> DataFrame:

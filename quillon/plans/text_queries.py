@@ -234,5 +234,5 @@ def _(s, d):
 
 @query("cue_grouping")
 def _(s, d):
-    w = table(s, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("scene"), F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
+    w = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("scene"), F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
     return timeline.cues(w.select("scene", (F.col("i") * 0.4).alias("start"), (F.col("i") * 0.4 + 0.35).alias("end"), "text"))

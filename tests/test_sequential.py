@@ -64,3 +64,15 @@ def test_near_dup_greedy_merges_equal_titles_of_all_hosts(spark):
     p = p.selectExpr("'all' AS block", "page_id AS ordinal", "html", "url", "'fermenting' AS category").withColumn("title", X.html_title(p["html"])).withColumn("source", url_host(p["url"])).drop("html")
     want = sorted((r.title, r.sources, r.urls) for r in trends.greedy_merge(p.toPandas()).itertuples())
     assert sorted((r.title, r.sources, r.urls) for r in QUERIES["near_dup_greedy"](spark, sf).collect()) == want
+
+
+def test_cue_grouping_covers_every_turn(spark):
+    from quillon.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    said: dict = {}
+    for r in sorted(QUERIES["cue_grouping"](spark, sf).collect(), key=lambda r: r.cue):
+        said.setdefault(r.scene, []).append(r.text)
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    assert len({(r.conv_id, r.turn) for r in turns}) == len(turns) == len(said)
+    assert all(" ".join(said[f"{r.conv_id}-{r.turn}"]).split() == r.text.split() for r in turns)
