@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset on one machine (tests), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillon-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,11 +33,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def text_sizes(col: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
+
+
+def by_bytes(batches: Iterable[pa.RecordBatch], text: int, size: int = 1 << 20, length: Callable[[pa.Array], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, of about ``size`` bytes in column ``text`` (a longer text stands alone): work on them takes
-    memory in proportion, whatever the rows' lengths."""
+    memory in proportion, whatever the rows' lengths. length: bytes of each value, where it isn't a text."""
     for b in batches:
-        ends, i = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0), np.int64) + 16), 0
+        ends, i = np.cumsum((length or text_sizes)(b.column(text)) + 16), 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(ends, size + (ends[i - 1] if i else 0), "right")))
             yield b.slice(i, j - i)

@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import by_bytes, map_arrow
@@ -48,34 +50,149 @@ def dot_product_pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, in
     return out
 
 
-def _powers_of_two(n: int) -> list[int]:
-    return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
+def cut(off: np.ndarray, cum: np.ndarray, limits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start in all ids, length) of pieces, each the longest that keeps the limits on tokens and on loss tokens.
 
+    off: bounds of the documents; cum[i]: loss-bearing ids before i. A piece's first id bears none, since nothing precedes it.
+    """
+    doc, s, out = np.flatnonzero(np.diff(off) > 0), off[:-1][np.diff(off) > 0], []
+    while len(doc):
+        e = np.searchsorted(cum, cum[s + 1] + limits[2], "right") - 1
+        e = np.minimum(np.minimum(e, s + limits[0]), off[doc + 1])
+        out.append((doc, s, e - s))
+        more = e < off[doc + 1]
+        doc, s = doc[more], e[more]
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+
+
+def plan(off: np.ndarray, cum: np.ndarray, limits: tuple[int, int, int]):
+    """(document, start, length, loss tokens, sequence, offset in it) of each piece, and the number of sequences."""
+    most, most_segments, most_loss = limits
+    doc, start, length = cut(off, cum, limits)
+    loss = cum[start + length] - cum[start + 1] if len(start) else length
+    whole = length == most
+    count = int(whole.sum())
+    placed = [(doc[whole], start[whole], length[whole], np.arange(count), np.zeros(count, np.int64))]
+    doc, start, length, loss = doc[~whole], start[~whole], length[~whole], loss[~whole]
+    bins = dot_product_pack(length, loss, limits)
+    n_bins = int(bins.max()) + 1 if len(bins) else 0
+    order = np.lexsort((-length, bins))
+    doc, start, length, loss, bins = doc[order], start[order], length[order], loss[order], bins[order]
+    tokens, segments = np.bincount(bins, length, n_bins).astype(np.int64), np.bincount(bins, minlength=n_bins)
+    borne = np.bincount(bins, loss, n_bins).astype(np.int64)
+    first = np.searchsorted(bins, np.arange(n_bins + 1))
+
+    # bins that are not full: the pieces of the emptiest, cut freely, fill the others until the two meet
+    loose = np.flatnonzero(tokens < most)
+    loose = loose[np.argsort(-tokens[loose], kind="stable")].tolist()
+    stay, extra, held, i = np.ones(n_bins, bool), [], [], 0
+    while i < len(loose):
+        b = loose[i]
+        gap, room, free = most - int(tokens[b]), most_loss - int(borne[b]), most_segments - int(segments[b])
+        while gap > 0 and free > 0:
+            if not held:
+                if len(loose) == i + 1:
+                    break
+                j = loose.pop()
+                stay[j] = False
+                held = [(int(doc[k]), int(start[k]), int(length[k])) for k in range(first[j], first[j + 1])]
+            d, g, n = held[-1]
+            by_loss = int(np.searchsorted(cum, cum[g + 1] + room, "right")) - 1 - g
+            take = min(gap, n, by_loss)
+            if take < min(gap, n, 32):  # no room for loss: not worth a segment
+                break
+            held.pop()
+            extra.append((d, g, take, b, most - gap))
+            if take < n:
+                held.append((d, g + take, n - take))
+            gap, room, free = gap - take, room - int(cum[g + take] - cum[g + 1]), free - 1
+        i += 1
+    if not held and stay.any() and loose and tokens[b := loose[-1]] < most and stay[b] and not any(x[3] == b for x in extra):
+        stay[b] = False  # one last bin that is not full
+        held = [(int(doc[k]), int(start[k]), int(length[k])) for k in range(first[b], first[b + 1])]
+
+    new = np.cumsum(stay) - 1 + count
+    keep = stay[bins]
+    at = np.cumsum(length) - length
+    at = at - at[first[:-1]][bins] if len(bins) else at
+    placed.append((doc[keep], start[keep], length[keep], new[bins[keep]], at[keep]))
+    count += int(stay.sum())
+    extra = [(d, g, n, int(new[b]), o) for d, g, n, b, o in extra]
+
+    # the rest goes into sequences of a power of two tokens, which need no padding
+    while held:
+        fits, room = 0, most_loss
+        for d, g, n in held[::-1][:most_segments]:
+            by_loss = int(np.searchsorted(cum, cum[g + 1] + room, "right")) - 1 - g
+            fits += (take := min(n, by_loss, most - fits))
+            room -= int(cum[g + take] - cum[g + 1])
+            if take < n:
+                break
+        size, used = 1 << (fits.bit_length() - 1), 0
+        while used < size:
+            d, g, n = held.pop()
+            take = min(size - used, n)
+            extra.append((d, g, take, count, used))
+            used += take
+            if take < n:
+                held.append((d, g + take, n - take))
+        count += 1
+    if extra:
+        placed.append(tuple(np.array(x, np.int64) for x in zip(*extra, strict=True)))
+    doc, start, length, seq, at = (np.concatenate([np.asarray(p[i], np.int64) for p in placed]) for i in range(5))
+    return doc, start, length, cum[start + length] - cum[start + 1] if len(start) else length, seq, at, count
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_tokens: int = 4_000_000, with_ids: bool = True) -> DataFrame:
+    """Pieces of documents placed in sequences of at most max_tokens tokens, max_segments pieces and max_loss loss-bearing
+    tokens; a row for each piece.
 
-def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_tokens: int = 4_000_000, with_ids: bool = True) -> DataFrame:
-    """Pieces of documents placed in sequences of at most max_tokens; a row for each piece.
+    Returns (id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset, ids unless with_ids is False). A
+    document is its ids, then end_id. Which of them bear loss: with parts_col (array of struct<text, loss>), those of its
+    parts with loss (end_id as the last part), each part encoded alone; else all. A piece's first id bears none, since
+    nothing precedes it in its segment; so for whole texts the default max_loss (max_tokens) follows from the limit on tokens.
 
-    Returns (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids unless with_ids is False). A document is its
-    ids, then end_id. It is cut every max_tokens ids; whole pieces are sequences of their own, the
-    rests are packed within groups of about group_tokens by the dot-product rule, where a piece's
-    loss-bearing tokens are all but its first (nothing precedes that one in its segment). A
-    sequence that would stay part empty takes the head of a rest that it splits; what remains
-    at the end of a group is cut into powers of two, which need no padding. sequence_id is
-    unique over all input. A null or empty text is its end_id alone.
+    A document is cut where a piece would pass the limits; pieces of max_tokens are sequences of their own, the others
+    are packed within groups of about group_tokens by the dot-product rule. Sequences that would stay part empty take the
+    pieces of the emptiest, cut freely within all three limits; what remains at the end of a group is cut into powers of two,
+    which need no padding. sequence_id is unique over all input. A null or empty text, or a null or empty array of parts, is its
+    end_id alone. Repeated rows are documents of their own; other columns are ignored; an empty table gives an empty one.
     """
-    max_loss = max_loss or max_tokens
-    fields = [docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), *([T.StructField("ids", T.BinaryType())] if with_ids else [])]
+    max_loss = max_tokens if max_loss is None else max_loss
+    if min(max_tokens, max_segments, max_loss) < 1:
+        raise ValueError("limits are positive")
+    fields = [docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset")), *([T.StructField("ids", T.BinaryType())] if with_ids else [])]
     schema = T.StructType([f for i, f in enumerate(fields) if i == 0 or f.name != id_col])
     limits = (max_tokens, max_segments, max_loss)
 
+    def encoded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, bounds of documents, whether each id bears loss), end ids among them."""
+        enc = encoder(tokenizer, spaces)
+        if parts_col is None:
+            ids, off = enc.encode(part.column(1))
+            bears = np.ones(len(ids), bool)
+            last = np.ones(len(off) - 1, bool)
+        else:
+            lists = part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1)
+            flat = lists.flatten()
+            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            ends = np.concatenate(([0], np.cumsum(n)))
+            ids, each = enc.encode(pc.struct_field(flat, "text"))
+            marked = np.asarray(pc.fill_null(pc.struct_field(flat, "loss"), False), bool)
+            bears = np.repeat(marked, np.diff(each))
+            off = each[ends]
+            last = np.where(n > 0, marked[np.maximum(ends[1:], 1) - 1] if len(marked) else False, False)
+        return np.insert(ids, off[1:], end_id), off + np.arange(len(off)), np.insert(bears, off[1:], last)
+
     def groups(batches):
         held, size = [], 0
-        for part in by_bytes(batches, 1, ENCODE_BYTES):
-            ids, off = encoder(tokenizer, spaces).encode(part.column(1))
-            n = len(off) - 1
-            full = np.insert(ids, off[1:], end_id)
-            held.append((part.column(0), full, off + np.arange(n + 1)))
-            size += len(full)
+        length = _parts_bytes if parts_col is not None else None
+        for part in by_bytes(batches, 1, ENCODE_BYTES, length):
+            held.append((part.column(0), *encoded(part)))
+            size += len(held[-1][1])
             if size >= group_tokens:
                 yield held
                 held, size = [], 0
@@ -89,82 +206,29 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, i
             ids = np.concatenate([h[1] for h in held])
             shift = np.cumsum([0] + [len(h[1]) for h in held])
             off = np.concatenate([h[2][:-1] + s for h, s in zip(held, shift[:-1], strict=True)] + [shift[-1:]])
-            doc, start, length, seq, at, count = plan(np.diff(off), limits)
-            src = off[doc] + start
+            cum = np.concatenate(([0], np.cumsum(np.concatenate([h[3] for h in held]))))
+            doc, start, length, loss, seq, at, count = plan(off, cum, limits)
             raw = ids.astype("<u4").tobytes()
-            data = [raw[4 * i : 4 * (i + n)] for i, n in zip(src.tolist(), length.tolist(), strict=True)]
+            data = [raw[4 * i : 4 * (i + n)] for i, n in zip(start.tolist(), length.tolist(), strict=True)]
             crc = np.fromiter((zlib.crc32(x) for x in data), np.int64, len(data))
-            cols = [keys.take(pa.array(doc)), start, length, crc, np.diff(off)[doc], seq + base, at] + [pa.array(data, pa.binary())] * with_ids
+            cols = [keys.take(pa.array(doc)), start - off[doc], length, crc, np.diff(off)[doc], loss, seq + base, at] + [pa.array(data, pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
             base += count
 
-    return map_arrow(docs.select(id_col, text_col), place, schema, forget)
-
-
-def plan(sizes: np.ndarray, limits: tuple[int, int, int]):
-    """(document, start, length, sequence, offset in it) of each piece, and the number of sequences."""
-    most = limits[0]
-    whole = np.minimum(sizes // most, sizes // most if limits[2] >= most - 1 else 0)
-    doc = np.repeat(np.arange(len(sizes)), whole)
-    start = (np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole)) * most
-    pieces = [(doc, start, np.full(len(doc), most), np.arange(len(doc)), np.zeros(len(doc), np.int64))]
-    count = len(doc)
-    rest = sizes - whole * most
-    item = np.flatnonzero(rest)
-    length, begin = rest[item], (whole * most)[item]
-    bins = dot_product_pack(length, np.maximum(length - 1, 0), limits)
-    order = np.lexsort((-length, bins))
-    item, length, begin, bins = item[order], length[order], begin[order], bins[order]
-    fill = np.bincount(bins, weights=length, minlength=0).astype(np.int64)
-    segs = np.bincount(bins)
-    # bins that are not full: the emptiest ones are given up and their pieces, cut freely, fill the others
-    loose = np.sort(np.flatnonzero(fill < most))
-    loose = loose[np.argsort(-fill[loose], kind="stable")]
-    gap = most - fill[loose]
-    gap[segs[loose] >= limits[1]] = 0
-    keep = len(loose)
-    while keep and fill[loose[keep - 1 :]].sum() <= gap[: keep - 1].sum():
-        keep -= 1
-    keep = min(keep, len(loose))
-    given = loose[keep:] if keep < len(loose) else loose[:0]
-    if keep == len(loose) and keep:  # one last bin that the others can't take whole
-        given, keep = loose[-1:], keep - 1
-    out = np.isin(bins, given)
-    stay = ~out
-    new = np.full(len(fill), -1)
-    order = np.setdiff1d(np.arange(len(fill)), given)
-    new[order] = np.arange(len(order))
-    b = new[bins[stay]]
-    n = length[stay]
-    head = np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1)) if len(b) else np.zeros(0, np.int64)
-    run = np.cumsum(n) - n
-    at = run - np.repeat(run[head], np.diff(np.append(head, len(b)))) if len(b) else run
-    pieces.append((item[stay], begin[stay], n, b + count, at))
-    takers = [(new[i] + count, int(fill[i]), int(min(g, most - fill[i]))) for i, g in zip(loose[:keep], gap[:keep], strict=True) if g > 0]
-    count += len(order)
-    extra = []
-    last = list(zip(item[out].tolist(), begin[out].tolist(), length[out].tolist(), strict=True))
-    for seq, used, g in takers:  # each takes one more segment: the head of what is given up
-        if not last:
-            break
-        d, s, n = last.pop()
-        cut = min(g, n)
-        extra.append((d, s, cut, seq, used))
-        if cut < n:
-            last.append((d, s + cut, n - cut))
-    left = sum(n for _, _, n in last)
-    for size in [x for whole_part in [most] * (left // most) + [left % most] for x in _powers_of_two(whole_part)]:
-        used, segments = 0, 0
-        while used < size:
-            if segments == limits[1]:
-                count, segments, size, used = count + 1, 0, size - used, 0
-            d, s, n = last.pop()
-            cut = min(size - used, n)
-            extra.append((d, s, cut, count, used))
-            used, segments = used + cut, segments + 1
-            if cut < n:
-                last.append((d, s + cut, n - cut))
-        count += 1
-    if extra:
-        pieces.append(tuple(np.array(x, np.int64) for x in zip(*extra, strict=True)))
-    return (*(np.concatenate([np.asarray(p[i], np.int64) for p in pieces]) for i in range(5)), count)
+    return map_arrow(docs.select(id_col, text_col if parts_col is None else parts_col), place, schema, forget)
+
+
+def _parts_bytes(col: pa.Array) -> np.ndarray:
+    """Bytes of all texts of each row's parts."""
+    each = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(pc.struct_field(col.flatten(), "text")), 0), np.int64))))
+    ends = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(col), 0), np.int64))))
+    return np.diff(each[ends])
+
+
+def conversation_parts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", bears: str = "assistant") -> DataFrame:
+    """(conversation, parts) for pack_documents: a conversation's turns in order, those of one role bearing loss. A conversation is
+    one training example and so one row; turns of equal number stand in the order of role and text; a null role bears none."""
+    turn = F.struct(turn_col, F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    sorted_turns = F.array_sort(F.collect_list(turn))
+    part = lambda t: F.struct(t["text"].alias("text"), F.coalesce(t["role"] == bears, F.lit(False)).alias("loss"))
+    return turns.groupBy(conv_col).agg(sorted_turns.alias("parts")).select(conv_col, F.transform("parts", part).alias("parts"))

@@ -20,7 +20,7 @@ from quillon.llm.decontaminate import decontaminate
 from quillon.llm.entry import tokenizer
 from quillon.llm.jaccard import near_duplicates
 from quillon.llm.lm import Model, lm_scores
-from quillon.llm.packing import dot_product_pack, pack_documents
+from quillon.llm.packing import conversation_parts, dot_product_pack, pack_documents
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.store import read_ids, read_store, write_store
 from quillon.llm.substring import substring_dedup
@@ -206,6 +206,45 @@ def test_packing(docs, empty, share):
     assert pack_documents(empty, tokenizer("byte_bpe_50k.json"), spaces=True, end_id=1).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{"max_loss": 300}, {"max_loss": 700, "max_segments": 3}, {"max_tokens": 256, "max_loss": 100}])
+def test_packing_keeps_a_binding_loss_limit(spark, docs, limits):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    parts = {i: [(prose(rng, rng.randint(0, 120)), bool(k % 2)) for k in range(rng.randint(0, 7))] for i in range(120)}
+    parts |= {900: [(prose(rng, 4000), True)], 901: [(prose(rng, 4000), False), (prose(rng, 900), True)], 902: None, 903: [(None, True), ("a", None)], 904: [("only asked", False)]}
+    table = spark.createDataFrame(list(parts.items()), "doc_id long, parts array<struct<text:string,loss:boolean>>").repartition(3)
+    rows = pack_documents(table, tokenizer("byte_bpe_50k.json"), spaces=True, end_id=1, parts_col="parts", **limits).collect()
+    most = {"max_tokens": 2048, "max_segments": 512, "max_loss": 2048} | limits
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for i, own in parts.items():
+        ids, bears = [], []
+        for t, loss in own or []:
+            ids += (new := lib.encode(t or "", add_special_tokens=False).ids)
+            bears += [bool(loss)] * len(new)
+        ids, bears = ids + [1], bears + [bool(own and own[-1][1])]
+        pieces = sorted(by_doc[i], key=lambda r: r.start)
+        assert np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist() == ids
+        assert [r.start for r in pieces] == [0, *np.cumsum([r.length for r in pieces])[:-1].tolist()]
+        assert all(r.loss_tokens == sum(bears[r.start + 1 : r.start + r.length]) for r in pieces)
+    sums = [(sum(r.length for r in p), len(p), sum(r.loss_tokens for r in p)) for p in by_seq.values()]
+    for k, name in enumerate(("max_tokens", "max_segments", "max_loss")):
+        assert max(x[k] for x in sums) <= most[name]
+    assert max(x[2] for x in sums) > 0.9 * most["max_loss"]
+    plain = pack_documents(docs, tokenizer("byte_bpe_50k.json"), spaces=True, end_id=1, **limits).groupBy("sequence_id").agg(F.sum("length"), F.count("*"), F.sum("loss_tokens")).collect()
+    assert all(r[1] <= most["max_tokens"] and r[2] <= most["max_segments"] and r[3] <= most["max_loss"] for r in plain)
+
+
+def test_conversations_bear_loss_in_answers(spark):
+    turns = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, "c"), (1, 2, "assistant", None)], "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: [tuple(p) for p in r.parts] for r in conversation_parts(turns).collect()}
+    assert got == {1: [("a", False), ("b", True), (None, True)], 2: [("c", False)]}
+
+
 def test_dot_product_rule_keeps_every_limit():
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 900, 400)
