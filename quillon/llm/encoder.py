@@ -3,13 +3,14 @@
 A byte-pair model works on one pre-token at a time, so a text's ids are its pre-tokens'
 ids one after another. Texts made of ordinary Latin characters are cut into pre-tokens
 with numpy; a batch's distinct ones go through the library, and their ids are gathered
-back (or only their lengths summed, for counts). All other texts (other scripts,
-control characters, special tokens' strings) go through the library whole.
+back. All other texts (other scripts, control characters, special tokens' strings) go through
+the library whole. For counts, every text is cut into pre-tokens, those others by the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import unicodedata
 
@@ -43,6 +44,11 @@ _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c
 _KIND[[c for c in range(LIMIT) if len(chr(c).lower()) != 1 or ord(chr(c).lower()) >= LIMIT]] = 255
 
 
+def _second(p: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length and three characters of each pre-token, which show that two of one hash differ."""
+    return (end - begin).astype(U64) << U64(32) | p[begin].astype(U64) | p[end - 1].astype(U64) << U64(10) | p[(begin + end) // 2].astype(U64) << U64(20)
+
+
 class Encoder:
     """spaces: pre-tokens carry a leading space and white space is kept (byte-level BPE);
     else white space is dropped, letters are lower-cased and digits stand alone (BPE with word ends)."""
@@ -50,12 +56,15 @@ class Encoder:
     def __init__(self, path: str, spaces: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.spaces = spaces
+        self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         #: Ids that begin (with a space) or end (at a word's end) a pre-token.
         self.edges = np.zeros(self.lib.get_vocab_size() + 1, bool)
         for t, i in self.lib.get_vocab().items():
@@ -167,8 +176,7 @@ class Encoder:
     def _known(self, p, begin, end):
         """For each pre-token, its place in the table of known ones; None if two share a hash."""
         h = segment_hashes(p, begin, end, 0)
-        n = (end - begin).astype(U64)
-        g = n << U64(32) | p[begin].astype(U64) | p[end - 1].astype(U64) << U64(10) | p[(begin + end) // 2].astype(U64) << U64(20)
+        g = _second(p, begin, end)
         u, first, inv = np.unique(h, return_index=True, return_inverse=True)
         if (g[first][inv] != g).any():
             return None
@@ -246,18 +254,55 @@ class Encoder:
                 out[off[i] : off[i + 1]] = x
         return out, off
 
-    def count(self, col: pa.Array) -> np.ndarray:
-        """Number of tokens of each text: distinct pre-tokens' counts, joined to each text's frequencies and summed."""
+    def pieces(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """(text of each pre-token, its place among the distinct ones, the distinct ones, special tokens of each text).
+
+        Texts that numpy can't cut go through the library's own normaliser and pre-tokeniser, after their special strings are
+        taken out, as the library does.
+        """
         texts = [t or "" for t in col.to_pylist()]
-        got = self._pieces(texts)
-        if got is None:
-            return np.array([len(x) for x in self._library(texts)], np.int64)
-        ok, doc, place = got
-        plain, rest = np.flatnonzero(ok), np.flatnonzero(~ok)
-        total = np.zeros(len(texts), np.int64)
-        total[plain] = np.bincount(doc, weights=self.size[place], minlength=len(plain)).astype(np.int64)[: len(plain)]
-        total[rest] = [len(x) for x in self._library([texts[i] for i in rest])]
-        return total
+        ok, points = self._plain(texts)
+        flat = np.concatenate(points) if points else np.zeros(0, np.uint16)
+        p = flat if self.spaces else _LOWER[flat]
+        off = np.concatenate(([0], np.cumsum([len(x) for x in points]))).astype(np.int64)
+        begin, end = self._cut(p, off) if len(p) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        doc = np.flatnonzero(ok)[np.searchsorted(off, begin, "right") - 1] if len(begin) else begin
+        whole = p.tobytes().decode("utf-16-le")
+        h = segment_hashes(p, begin, end, 0)
+        g = _second(p, begin, end)
+        _, first, place = np.unique(h, return_index=True, return_inverse=True)
+        if (g[first][place] != g).any():  # two pre-tokens share a hash: by their strings
+            names: dict[str, int] = {}
+            place = np.array([names.setdefault(whole[i:j], len(names)) for i, j in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+            distinct = list(names)
+        else:
+            distinct = [whole[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        special = np.zeros(len(texts), np.int64)
+        rest = np.flatnonzero(~ok)
+        if len(rest):
+            names = {t: i for i, t in enumerate(distinct)}
+            docs, places = [], []
+            for d in rest.tolist():
+                parts = self.split_special.split(texts[d]) if self.split_special else [texts[d]]
+                special[d] = len(parts) - 1
+                for part in parts:
+                    t = self.lib.normalizer.normalize_str(part) if self.lib.normalizer else part
+                    for _, (i, j) in self.lib.pre_tokenizer.pre_tokenize_str(t):
+                        docs.append(d)
+                        places.append(names.setdefault(t[i:j], len(names)))
+            distinct = list(names)
+            doc, place = np.concatenate([doc, np.array(docs, np.int64)]), np.concatenate([place, np.array(places, np.int64)])
+        return doc, place, distinct, special
+
+    def lengths(self, pieces: list[str]) -> np.ndarray:
+        """Number of ids of each pre-token; no ids are kept."""
+        plain = np.fromiter((p.isalnum() and p.isascii() or self._plain([p])[0][0] for p in pieces), bool, len(pieces))
+        out = np.zeros(len(pieces), np.int64)
+        if plain.any():
+            out[plain] = self._distinct([p for p, x in zip(pieces, plain.tolist(), strict=True) if x])[1]
+        for i in np.flatnonzero(~plain).tolist():  # past the normaliser, which has seen it
+            out[i] = sum(len(self.lib.model.tokenize(b)) for b, _ in self.to_bytes.pre_tokenize_str(pieces[i]))
+        return out
 
 
 def encoder(path: str, spaces: bool) -> Encoder:

@@ -256,13 +256,17 @@ def test_dot_product_rule_keeps_every_limit():
 
 
 @pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_token_counts(docs, empty, name, spaces):
+def test_token_counts(spark, empty, name, spaces):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer(name))
-    n = [len(lib.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in ROWS]
-    want = [(i, len((t or "").encode()), k, k > 2048) for (i, t, *_), k in zip(ROWS, n, strict=True)]
-    assert bag(token_counts(docs, tokenizer(name), spaces).collect()) == bag(want)
+    odd = ["It’s “quoted” — naïve…", "漢字とかな、混ざった text 12 months", "Ἀθῆναι İstanbul ǅ e\u0301 \u212b", "<|endoftext|>a<|endoftext|><|startoftext|> b", "x\x00y\x1fz\u200d👩\u200d👩 مرحبا हिन्दी", "  \n\n lead\u00a0trail \t", "don’t DON'T we'll 'S's", "a" * 300]
+    rng = random.Random(9)
+    odd += ["".join(rng.choice("ab 'sS漢é\n<|>0１ÅİßǅΣς\u0301\u3000") for _ in range(60)) for _ in range(60)]
+    rows = ROWS + [(1000 + i, t, "en", 7, 1, "k", 0.5) for i, t in enumerate(odd)]
+    n = [len(lib.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in rows]
+    want = [(i, len((t or "").encode()), k, k > 2048) for (i, t, *_), k in zip(rows, n, strict=True)]
+    assert bag(token_counts(spark.createDataFrame(rows, SCHEMA).repartition(4), tokenizer(name), spaces).collect()) == bag(want)
     assert token_counts(empty, tokenizer(name), spaces).count() == 0
 
 
