@@ -3,12 +3,15 @@
 A run starts with every set in one node. In a node, each token of a set is chosen with
 probability 1 / (rate * |set|) by a hash that all sets share, and the set goes on to a child
 for each token it chose; so sets with much in common stay together on some path, and others
-part. A node of at most ``small`` sets, or at the last level, is a bucket whose sets are compared by
-brute force, in blocks; a larger node is split again. Independent runs repeat until a pair at
-the threshold meets in some bucket with at least the target recall.
+part. A node of at most ``SMALL`` sets is a bucket whose sets are compared by brute force; a
+larger node is split again. What is still large at the last level is nearly always a group of
+near copies, which no token can split: it is compared in blocks, each set first with its block's
+least. Independent runs repeat until a pair at the threshold meets in some bucket with at least
+the target recall.
 
 Sets that are equal are one class throughout. In buckets, sketches of a few bytes decide which
-sets may be near; groups so linked are then compared exactly, set against set.
+sets may be near (the gates follow the threshold); groups so linked are then compared exactly, set
+against set.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ from quillon.llm.common import broadcast_if_small, by_bytes, map_arrow, material
 from quillon.llm.graph import components
 from quillon.llm.hashing import U64, doc_bounds, mix, segment_hashes, window_hashes, words
 
-LEVELS = 3
+LEVELS = 5
 RATE = 0.8
 #: Tokens (least hashes) of a set that deeper levels choose from.
 SAMPLE = 64
 #: One byte for each bin of a one-permutation minimum-hash sketch; 0 is an empty bin.
 BINS = 48
-SKETCH_FLOOR = 0.5
+#: Standard errors of a sketch's estimate by which a pair may fall short of the threshold.
+SLACK = 5.2
 SMALL = 128
 BLOCK = 1024
+#: Shingles that a block of exact comparison holds, about.
+BLOCK_SHINGLES = 4 << 20
 BROADCAST_KEYS = 1_000_000
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, 256, dtype=U64)
 
@@ -93,6 +99,11 @@ def sketches(bounds: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out.reshape(n, BINS)
 
 
+def sketch_floor(threshold: float) -> float:
+    """Share of equal bins from which two sketches may be those of sets at the threshold."""
+    return max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / BINS))
+
+
 def _choose(d, v, seed, size):
     """Of tokens v of sets d (each with its node's seed), the chosen ones, as (index, child path)."""
     limit = np.where(RATE * size <= 1, 2.0**64 * (1 - 2**-53), 2.0**64 / np.maximum(RATE * size, 1)).astype(U64)
@@ -100,39 +111,22 @@ def _choose(d, v, seed, size):
     return i, mix(v[i] + seed[i] * U64(0x9E3779B97F4A7C15))
 
 
-def paths(bounds: np.ndarray, v: np.ndarray, runs: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, path, parent's place among the set's nodes or -1), level by level, ordered by set."""
+def first_paths(bounds: np.ndarray, v: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path) of every run's first level, ordered by set."""
     n = np.diff(bounds)
     d = np.repeat(np.arange(len(n)), n)
-    sets, path, up = [], [], []
-    for r in range(runs):
-        i, p = _choose(d, v, np.full(len(v), _SEEDS[r]), n)
-        sets.append(d[i])
-        path.append(p)
-    s, p = np.concatenate(sets), np.concatenate(path)
-    up = np.full(len(s), -1)
-    all_s, all_p, all_up, base = [s], [p], [up], 0
-    part = np.minimum(n, SAMPLE)
-    for _ in range(levels - 1):
-        size = part[s]
-        node = np.repeat(np.arange(len(s)), size)
-        at = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size)
-        i, q = _choose(s[node], v[bounds[:-1][s[node]] + at], p[node], part)
-        all_s.append(s[node][i])
-        all_p.append(q)
-        all_up.append(node[i] + base)
-        base += len(s)
-        s, p = all_s[-1], q
-    s, p, up = np.concatenate(all_s), np.concatenate(all_p), np.concatenate(all_up)
+    found = [_choose(d, v, np.full(len(v), _SEEDS[r]), n) for r in range(runs)]
+    s, p = np.concatenate([d[i] for i, _ in found]), np.concatenate([p for _, p in found])
     order = np.argsort(s, kind="stable")
-    place = np.empty(len(s), np.int64)
-    place[order] = np.arange(len(s)) - np.searchsorted(s[order], s[order])
-    return s[order], p[order], np.where(up[order] < 0, -1, place[up[order]])
+    return s[order], p[order]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int) -> DataFrame:
-    """(doc, k) for every row; for each set that a task meets, once a row of (k, n, sketch, path, parent)."""
-    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("path", T.ArrayType(T.LongType())), T.StructField("parent", T.ArrayType(T.IntegerType()))])
+    """(doc, h, k) for every row, h a hash of its text; for each set that a task meets, once a row of (k, n, sketch, sample, path)."""
+    schema = T.StructType([
+        T.StructField("doc", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType()),
+        T.StructField("sketch", T.BinaryType()), T.StructField("sample", T.BinaryType()), T.StructField("path", T.ArrayType(T.LongType())),
+    ])
 
     def sign(batches):
         seen: set[bytes | None] = {None}
@@ -144,7 +138,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
                 if x not in seen:
                     seen.add(x)
                     first.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.binary()), *(pa.nulls(len(k), to_arrow(f.dataType)) for f in schema.fields[2:])], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k, pa.binary()), *(pa.nulls(len(k), to_arrow(f.dataType)) for f in schema.fields[3:])], schema.names)
             if len(seen) > 500_000:
                 seen = {None}
             if not first:
@@ -152,18 +146,33 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
             n = np.diff(bounds)[first]
             sub = np.concatenate(([0], np.cumsum(n)))
             v = v[np.repeat(bounds[:-1][first] - sub[:-1], n) + np.arange(int(n.sum()))]
-            s, p, up = paths(sub, v, runs)
+            s, p = first_paths(sub, v, runs)
             off = pa.array(np.searchsorted(s, np.arange(len(first) + 1)).astype(np.int32))
+            sample = [v[i : i + min(c, SAMPLE)].tobytes() for i, c in zip(sub.tolist(), n.tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(first), b.column(0).type), pa.array([k[i] for i in first], pa.binary()), pa.array(n), pa.array([x.tobytes() for x in sketches(sub, v)], pa.binary()), pa.ListArray.from_arrays(off, pa.array(p.view(np.int64))), pa.ListArray.from_arrays(off, pa.array(up.astype(np.int32)))],
+                [pa.nulls(len(first), b.column(0).type), pa.nulls(len(first), pa.int64()), pa.array([k[i] for i in first], pa.binary()), pa.array(n), pa.array([x.tobytes() for x in sketches(sub, v)], pa.binary()), pa.array(sample, pa.binary()), pa.ListArray.from_arrays(off, pa.array(p.view(np.int64)))],
                 schema.names,
             )
 
-    return map_arrow(docs.select(id_col, text_col), sign, schema)
+    return map_arrow(docs.select(id_col, text_col, F.xxhash64(text_col).alias("_h")), sign, schema)
+
+
+def split(nodes: DataFrame, samples: DataFrame) -> DataFrame:
+    """(p, k): the children of nodes (p, k), whose sets (k, sample) choose among their sampled tokens."""
+
+    def choose(batches):
+        for b in batches:
+            v = np.frombuffer(b"".join(b.column(2).to_pylist()), U64)
+            size = np.asarray(pc.binary_length(b.column(2)), np.int64) // 8
+            row = np.repeat(np.arange(len(size)), size)
+            i, child = _choose(row, v, b.column(0).to_numpy().view(U64)[row], size)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(pa.array(row[i]))], ["p", "k"])
+
+    return map_arrow(nodes.join(samples, "k").select("p", "k", "sample"), choose, "p long, k binary").distinct()
 
 
 def by_group(df: DataFrame, keys: list[str], work, schema, rows: int = 4096) -> DataFrame:
-    """work(table of whole groups, start of each group, and the end) over bounded groups of df."""
+    """work(table of whole groups, start of each group, and the end) over bounded groups of df, a group ordered by k."""
 
     def run(batches):
         held: list[pa.Table] = []
@@ -187,7 +196,7 @@ def by_group(df: DataFrame, keys: list[str], work, schema, rows: int = 4096) ->
         if held and (t := pa.concat_tables(held).combine_chunks()).num_rows:
             yield from work(t, cut(t)).to_batches()
 
-    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys, "k"), run, schema)
 
 
 def _blocks(df: DataFrame, group: str, count: str, block: int) -> DataFrame:
@@ -214,42 +223,70 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _loose(t: pa.Table, at: np.ndarray) -> pa.Table:
-    """Star edges (a, b) of sets in a bucket whose sketches may belong to near sets."""
-    k = t["k"].to_pylist()
-    own, x, y = (t[c].to_numpy() for c in ("own", "x", "y"))
-    sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-    size = t["n"].to_numpy().astype(float)
-    left, right = [], []
-
-    def near(a, b):
-        same = (sk[a] == sk[b]) & (sk[a] > 0)
-        either = (sk[a] > 0) | (sk[b] > 0)
-        ok = (same.sum(1) >= SKETCH_FLOOR * either.sum(1)) & (np.minimum(size[a], size[b]) >= 0.7 * np.maximum(size[a], size[b]))
-        left.append(a[ok])
-        right.append(b[ok])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if e - s < 2:
-            continue
-        if e - s <= 64 and x[s] == y[s]:
-            a, b = _within(e - s)
-            held.append((a + s, b + s))
-            if len(held) > 500:
-                near(*(np.concatenate(z) for z in zip(*held, strict=True)))
-                held = []
-            continue
-        one, two = np.flatnonzero(own[s:e] == x[s]) + s, np.flatnonzero(own[s:e] == y[s]) + s
-        for i in one:  # a set against the rest of its block, or all of the other
-            b = two[two > i] if x[s] == y[s] else two
-            near(np.full(len(b), i), b)
-    if held:
-        near(*(np.concatenate(z) for z in zip(*held, strict=True)))
-    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-    root = _roots(len(k), a, b)
-    i = np.flatnonzero(root != np.arange(len(k)))
-    return pa.table([pa.array([k[j] for j in root[i]], pa.binary()), pa.array([k[j] for j in i], pa.binary())], names=["a", "b"])
+def _stars(k: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(centre, member) for links between rows a and b: each component's least k with each of its others, a k once."""
+    raw = np.frombuffer(b"".join(k), ">u8").reshape(-1, 2)
+    order = np.lexsort((raw[:, 1], raw[:, 0]))
+    new = np.ones(len(k), np.int64)
+    new[1:] = (raw[order[1:]] != raw[order[:-1]]).any(1)
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    names = order[new.astype(bool)]
+    root = _roots(len(names), place[a], place[b])
+    i = np.flatnonzero(root != np.arange(len(names)))
+    return [k[j] for j in names[root[i]]], [k[j] for j in names[i]]
+
+
+def _loose(threshold: float):
+    """Star edges (a, b) of sets in a bucket whose sketches may belong to near sets. Only what hangs together matters, so
+    in a larger bucket every set is compared with the first, and with others only where it isn't near that."""
+    floor = sketch_floor(threshold)
+
+    def work(t: pa.Table, at: np.ndarray) -> pa.Table:
+        k = t["k"].to_pylist()
+        own, x, y = (t[c].to_numpy() for c in ("own", "x", "y"))
+        sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        size = t["n"].to_numpy().astype(float)
+        left, right = [], []
+
+        def near(a, b) -> np.ndarray:
+            same = (sk[a] == sk[b]) & (sk[a] > 0)
+            either = (sk[a] > 0) | (sk[b] > 0)
+            ok = (same.sum(1) >= floor * either.sum(1)) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+            left.append(a[ok])
+            right.append(b[ok])
+            return ok
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if e - s < 2:
+                continue
+            if e - s <= 64 and x[s] == y[s]:
+                a, b = _within(e - s)
+                held.append((a + s, b + s))
+                if len(held) > 500:
+                    near(*(np.concatenate(z) for z in zip(*held, strict=True)))
+                    held = []
+                continue
+            rest = np.arange(s + 1, e)
+            ok = near(np.full(len(rest), s), rest)
+            apart = np.zeros(e - s, bool)
+            apart[1:] = ~ok
+            for i in rest[~ok]:
+                others = ~apart
+                others[i - s + 1 :] = True
+                others[i - s] = False
+                if x[s] != y[s]:
+                    others &= own[s:e] != own[i]
+                b = np.flatnonzero(others) + s
+                near(np.full(len(b), i), b)
+        if held:
+            near(*(np.concatenate(z) for z in zip(*held, strict=True)))
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
+        one, two = _stars(k, a, b)
+        return pa.table([pa.array(one, pa.binary()), pa.array(two, pa.binary())], names=["a", "b"])
+
+    return work
 
 
 def _exact(threshold: float):
@@ -259,7 +296,7 @@ def _exact(threshold: float):
         own, x, y = (t[c].to_numpy() for c in ("own", "x", "y"))
         left, right = [], []
         for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            g = np.array(list({k[j]: j for j in range(s, e)}.values()))  # rows that repeat an id and its text bring a set again
+            g = np.arange(s, e)
             n = len(g)
             if n < 2:
                 continue
@@ -289,10 +326,10 @@ def _exact(threshold: float):
             right.append(g[b[ok]])
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
         links = np.bincount(a, weights=copies[b], minlength=len(k)) + np.bincount(b, weights=copies[a], minlength=len(k))
-        root = _roots(len(k), a, b)
-        i, d = np.flatnonzero(root != np.arange(len(k))), np.flatnonzero(links)
+        one, two = _stars(k, a, b)
+        d = np.flatnonzero(links)
         return pa.table(
-            [pa.array([k[j] for j in root[i]] + [k[j] for j in d], pa.binary()), pa.array([k[j] for j in i] + [None] * len(d), pa.binary()), pa.array([0] * len(i) + links[d].astype(int).tolist(), pa.int64())],
+            [pa.array(one + [k[j] for j in d], pa.binary()), pa.array(two + [None] * len(d), pa.binary()), pa.array([0] * len(one) + links[d].astype(int).tolist(), pa.int64())],
             names=["a", "b", "links"],
         )
 
@@ -312,30 +349,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class of null ids alone has a null class_id. Other columns are ignored; an empty table gives one.
     """
     sig = materialize(signatures(docs, id_col, text_col, size, runs_for(recall, threshold)), "signatures")
-    rows, feats = sig.where("n IS NULL").select("doc", "k"), sig.where("n IS NOT NULL").drop("doc")
-    keys = materialize(rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("doc")), "sets")
+    rows, feats = sig.where("n IS NULL").select("doc", "h", "k"), sig.where("n IS NOT NULL").drop("doc", "h")
+    keys = materialize(rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("doc"), F.min(F.struct("doc", "h")).alias("rep")), "sets")
 
     # level by level: nodes of some sets become buckets, larger ones are split
-    node = feats.select("k", F.posexplode("path").alias("slot", "p"), "parent").where(F.get("parent", F.col("slot")) == -1).select("p", "k", "slot").distinct()
+    node = feats.select(F.explode("path").alias("p"), "k").distinct()
     buckets = None
     for level in range(LEVELS):
         node = materialize(node, "nodes")
         counts = node.groupBy("p").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         met = materialize(node.join(counts, "p"), "met")
-        last = level == LEVELS - 1
+        big = met.where(F.col("members") > SMALL).select("p", "k")
+        last = level == LEVELS - 1 or not big.limit(1).count()
         here = met if last else met.where(F.col("members") <= SMALL)
-        here = here.select("p", "k", "members")
         buckets = here if buckets is None else buckets.union(here)
         if last:
             break
-        more = met.where(F.col("members") > SMALL).select("k", "slot").join(feats.select("k", "path", "parent"), "k")
-        node = more.select("k", "slot", F.posexplode("path").alias("child", "c"), "parent").where(F.get("parent", F.col("child")) == F.col("slot")).select(F.col("c").alias("p"), "k", F.col("child").alias("slot")).distinct()
-    sketched = _blocks(buckets, "p", "members", BLOCK).join(feats.select("k", "n", "sketch"), "k")
-    loose = components(by_group(sketched.select("p", "x", "y", "own", "k", "n", "sketch"), ["p", "x", "y"], _loose, "a binary, b binary"))
-
-    # exact comparison within each loosely linked group
-    group = materialize(loose.join(loose.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root").join(keys, "k"), "groups")
-    wanted = broadcast_if_small(group.select(F.col("doc").alias("_doc"), "k"), BROADCAST_KEYS)
+        node = split(big, feats.select("k", "sample").dropDuplicates(["k"]))
+    sketched = _blocks(buckets, "p", "members", BLOCK).join(feats.select("k", "n", "sketch").dropDuplicates(["k"]), "k")
+    loose = components(by_group(sketched.select("p", "x", "y", "own", "k", "n", "sketch"), ["p", "x", "y"], _loose(threshold), "a binary, b binary"))
+
+    # exact comparison within each loosely linked group, in blocks bounded by sets and by shingles
+    sizes = feats.groupBy("k").agg(F.first("n").alias("n"))
+    named = loose.join(keys, "k").join(sizes, "k")
+    weights = named.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    weights = weights.select("root", F.greatest("members", F.ceil(F.col("shingles") * (BLOCK // 2) / BLOCK_SHINGLES)).alias("members"))
+    group = materialize(named.join(weights, "root").select("k", "root", "members", "copies", "rep"), "groups")
+    wanted = broadcast_if_small(group.select(F.col("rep.doc").alias("_doc"), F.col("rep.h").alias("_h"), "k"), BROADCAST_KEYS)
 
     def tokens(batches):
         for b in by_bytes(batches, 0):
@@ -343,8 +383,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = [i for i, (k, w) in enumerate(zip(set_keys(bounds, v), b.column(1).to_pylist(), strict=True)) if k == w]
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array([v[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], ["k", "tokens"])
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_doc"))).select("_text", "k")
-    sets = map_arrow(texts, tokens, "k binary, tokens binary")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_h"))).select("_text", "k")
+    # rows that repeat an id and its text bring a set again
+    sets = map_arrow(texts, tokens, "k binary, tokens binary").dropDuplicates(["k"])
     full = _blocks(group, "root", "members", BLOCK // 2).join(sets, "k").select("root", "x", "y", "own", "k", "copies", "tokens")
     found = materialize(by_group(full, ["root", "x", "y"], _exact(threshold), "a binary, b binary, links long", rows=BLOCK), "links")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
