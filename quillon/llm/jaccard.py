@@ -4,9 +4,9 @@ A run starts with every set in one node. In a node, each token of a set is chose
 probability 1 / (rate * |set|) by a hash that all sets share, and the set goes on to a child
 for each token it chose; so sets with much in common stay together on some path, and others
 part. A node of at most ``SMALL`` sets is a bucket whose sets are compared by brute force; a
-larger node is split again. What is still large at the last level is nearly always a group of
-near copies, which no token can split: it is compared in blocks, each set first with its block's
-least. Independent runs repeat until a pair at the threshold meets in some bucket with at least
+larger node is split again, unless its sets are near copies on the whole, which no token can part.
+Such nodes, and what is still large at the last level, are compared in blocks, each set first
+with its block's least. Independent runs repeat until a pair at the threshold meets in some bucket with at least
 the target recall.
 
 Sets that are equal are one class throughout. In buckets, sketches of a few bytes decide which
@@ -21,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type as to_arrow
@@ -39,6 +39,9 @@ BINS = 48
 #: Standard errors of a sketch's estimate by which a pair may fall short of the threshold.
 SLACK = 5.2
 SMALL = 128
+#: Mean similarity within a node from which its sets are near copies on the whole.
+DENSE = 0.5
+_SIGNS = np.random.default_rng(8).integers(0, 2, (BINS, 256))
 BLOCK = 1024
 #: Shingles that a block of exact comparison holds, about.
 BLOCK_SHINGLES = 4 << 20
@@ -104,6 +107,23 @@ def sketch_floor(threshold: float) -> float:
     return max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / BINS))
 
 
+def signs(sketch: np.ndarray, k: list[bytes]) -> np.ndarray:
+    """A set's random sign for each bin's value as 48 bits (an empty bin's is the set's own), and above them the number of bins that aren't empty.
+
+    The square of the signs' mean over a node's sets is, bin by bin, about the chance that two of them agree there.
+    """
+    own = np.frombuffer(b"".join(k), "<u8").reshape(-1, 2)[:, :1] >> np.arange(BINS, dtype=U64) & U64(1)
+    bit = np.where(sketch > 0, _SIGNS[np.arange(BINS), sketch].astype(U64), own)
+    return ((bit << np.arange(BINS, dtype=U64)).sum(1, dtype=U64) | (sketch > 0).sum(1).astype(U64) << U64(BINS)).view(np.int64)
+
+
+def similarity_within() -> Column:
+    """Mean similarity of the sets of a node, from their signs (an aggregate)."""
+    m = F.count(F.lit(1))
+    mean = [2 * F.sum(F.shiftright("signs", i).bitwiseAND(F.lit(1))) / m - 1 for i in range(BINS)]
+    return sum((F.greatest(x * x - 1 / m, F.lit(0.0)) for x in mean), F.lit(0.0)) / F.avg(F.shiftright("signs", BINS))
+
+
 def _choose(d, v, seed, size):
     """Of tokens v of sets d (each with its node's seed), the chosen ones, as (index, child path)."""
     limit = np.where(RATE * size <= 1, 2.0**64 * (1 - 2**-53), 2.0**64 / np.maximum(RATE * size, 1)).astype(U64)
@@ -122,10 +142,10 @@ def first_paths(bounds: np.ndarray, v: np.ndarray, runs: int) -> tuple[np.ndarra
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int) -> DataFrame:
-    """(doc, h, k) for every row, h a hash of its text; for each set that a task meets, once a row of (k, n, sketch, sample, path)."""
+    """(doc, h, k) for every row, h a hash of its text; for each set that a task meets, once a row of (k, n, sketch, signs, sample, path)."""
     schema = T.StructType([
         T.StructField("doc", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType()),
-        T.StructField("sketch", T.BinaryType()), T.StructField("sample", T.BinaryType()), T.StructField("path", T.ArrayType(T.LongType())),
+        T.StructField("sketch", T.BinaryType()), T.StructField("signs", T.LongType()), T.StructField("sample", T.BinaryType()), T.StructField("path", T.ArrayType(T.LongType())),
     ])
 
     def sign(batches):
@@ -149,8 +169,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
             s, p = first_paths(sub, v, runs)
             off = pa.array(np.searchsorted(s, np.arange(len(first) + 1)).astype(np.int32))
             sample = [v[i : i + min(c, SAMPLE)].tobytes() for i, c in zip(sub.tolist(), n.tolist(), strict=False)]
+            names, sketch = [k[i] for i in first], sketches(sub, v)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(first), b.column(0).type), pa.nulls(len(first), pa.int64()), pa.array([k[i] for i in first], pa.binary()), pa.array(n), pa.array([x.tobytes() for x in sketches(sub, v)], pa.binary()), pa.array(sample, pa.binary()), pa.ListArray.from_arrays(off, pa.array(p.view(np.int64)))],
+                [pa.nulls(len(first), b.column(0).type), pa.nulls(len(first), pa.int64()), pa.array(names, pa.binary()), pa.array(n), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(signs(sketch, names)), pa.array(sample, pa.binary()), pa.ListArray.from_arrays(off, pa.array(p.view(np.int64)))],
                 schema.names,
             )
 
@@ -158,17 +179,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int
 
 
 def split(nodes: DataFrame, samples: DataFrame) -> DataFrame:
-    """(p, k): the children of nodes (p, k), whose sets (k, sample) choose among their sampled tokens."""
+    """(p, k, signs): the children of nodes (p, k, signs), whose sets (k, sample) choose among their sampled tokens."""
 
     def choose(batches):
         for b in batches:
-            v = np.frombuffer(b"".join(b.column(2).to_pylist()), U64)
-            size = np.asarray(pc.binary_length(b.column(2)), np.int64) // 8
+            v = np.frombuffer(b"".join(b.column(3).to_pylist()), U64)
+            size = np.asarray(pc.binary_length(b.column(3)), np.int64) // 8
             row = np.repeat(np.arange(len(size)), size)
             i, child = _choose(row, v, b.column(0).to_numpy().view(U64)[row], size)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(pa.array(row[i]))], ["p", "k"])
+            row = pa.array(row[i])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(row), b.column(2).take(row)], ["p", "k", "signs"])
 
-    return map_arrow(nodes.join(samples, "k").select("p", "k", "sample"), choose, "p long, k binary").distinct()
+    return map_arrow(nodes.join(samples, "k").select("p", "k", "signs", "sample"), choose, "p long, k binary, signs long").distinct()
 
 
 def by_group(df: DataFrame, keys: list[str], work, schema, rows: int = 4096) -> DataFrame:
@@ -352,20 +374,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, feats = sig.where("n IS NULL").select("doc", "h", "k"), sig.where("n IS NOT NULL").drop("doc", "h")
     keys = materialize(rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("doc"), F.min(F.struct("doc", "h")).alias("rep")), "sets")
 
-    # level by level: nodes of some sets become buckets, larger ones are split
-    node = feats.select(F.explode("path").alias("p"), "k").distinct()
+    # level by level: nodes of some sets become buckets, larger ones are split unless they are dense
+    node = feats.select(F.explode("path").alias("p"), "k", "signs").distinct()
     buckets = None
     for level in range(LEVELS):
         node = materialize(node, "nodes")
         counts = node.groupBy("p").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         met = materialize(node.join(counts, "p"), "met")
-        big = met.where(F.col("members") > SMALL).select("p", "k")
+        big = met.where(F.col("members") > SMALL)
         last = level == LEVELS - 1 or not big.limit(1).count()
-        here = met if last else met.where(F.col("members") <= SMALL)
+        if last:
+            here = met
+        else:
+            dense = materialize(big.groupBy("p").agg(similarity_within().alias("within")).where(F.col("within") >= DENSE).select("p"), "dense")
+            dense = broadcast_if_small(dense, BROADCAST_KEYS)
+            here = met.where(F.col("members") <= SMALL).unionByName(big.join(dense, "p", "left_semi"))
+            node = split(big.join(dense, "p", "left_anti"), feats.select("k", "sample").dropDuplicates(["k"]))
+        here = here.select("p", "k", "members")
         buckets = here if buckets is None else buckets.union(here)
         if last:
             break
-        node = split(big, feats.select("k", "sample").dropDuplicates(["k"]))
     sketched = _blocks(buckets, "p", "members", BLOCK).join(feats.select("k", "n", "sketch").dropDuplicates(["k"]), "k")
     loose = components(by_group(sketched.select("p", "x", "y", "own", "k", "n", "sketch"), ["p", "x", "y"], _loose(threshold), "a binary, b binary"))
 

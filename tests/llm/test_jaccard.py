@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillon.llm import jaccard
@@ -59,6 +60,17 @@ def test_links_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert all(n <= 3 * m for m, n in made.items()), made
 
 
+def test_similarity_within_a_node(spark):
+    """The signs tell near copies from sets that share a part, whatever the number of their shingles."""
+    rng = np.random.default_rng(2)
+    for size, shared in ((200, 190), (200, 60), (12, 11), (12, 3), (200, 0)):
+        v = np.concatenate([np.sort(np.concatenate([np.arange(1, shared + 1), rng.integers(10**9, 2**62, size - shared)])).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(400)])
+        bounds = np.arange(0, len(v) + 1, size)
+        found = jaccard.signs(jaccard.sketches(bounds, v), jaccard.set_keys(bounds, v))
+        within = spark.createDataFrame([(int(x),) for x in found], "signs long").agg(jaccard.similarity_within().alias("x")).first()["x"]
+        assert abs(within - shared / (2 * size - shared)) < 0.2, (size, shared, within)
+
+
 def test_rows_of_null_ids_and_repeats(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(None, one)] * 300 + [(None, two)] * 200 + [(7, two), (7, two), (7, one + " more"), (8, None)]
