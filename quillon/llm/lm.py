@@ -1,10 +1,11 @@
 """Log-bilinear language model with noise-contrastive estimation, over counts of the whole corpus.
 
-Every word's count comes from all training documents. The commonest words (and the end of a
-text, and one class for all other words) are the model's classes: a class's log probability is
-the softmax of <target vector, sum of position-scaled context vectors> + bias. A word outside has
-its class's probability times its share of it by smoothed counts. So all probabilities sum to one,
-and the untrained model is the smoothed unigram of the base score.
+Every word's count comes from all training documents. The model's words are the commonest ones, the end of a text, and for
+all others one word for each of some shapes (by their last letters). Words are dealt into classes by frequency, and a word's
+probability is that of its class times its own within the class: both are a softmax of <target vector, sum of
+position-scaled context vectors> + bias, so a probability is normalised exactly by two small products. A word outside has its
+shape's probability times its share of it by smoothed counts. So all probabilities sum to one, and the untrained model is a
+smoothed unigram.
 """
 
 from __future__ import annotations
@@ -20,24 +21,33 @@ from pyspark.sql import types as T
 
 from quillon.llm.blocks import ASK, answer, bucket_count, bucket_of, meet, pack_blocks, split_by_bucket, unpack
 from quillon.llm.common import materialize
-from quillon.llm.hashing import SPACES, U64, runs, segment_hashes, text_bytes
+from quillon.llm.hashing import SPACES, U64, mix, runs, segment_hashes, text_bytes
 
 #: The end of a text, as a word's hash.
-END = U64(0x5AD0_0E4D_0000_0001)
+END = U64(0x5AD0_0E4D_0000_0000)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Letters, digits and all bytes beyond ASCII.
+WORDY = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 SMOOTH = 0.1
-CLASSES, CONTEXT, WIDTH = 256, 4, 16
-OTHER_CLASS, END_CLASS = 0, 1
+CONTEXT, WIDTH, CLASS_WORDS, SHAPES = 4, 16, 128, 64
+#: Words that are counted less often belong to their shape.
+LEAST = 10
 
 
 def tokens(docs: pa.Table, id_col: str, text_col: str, modulus: int, held_out: int):
-    """(hash, document) of each token, ends included, and which documents are held out."""
+    """(hash, document) of each token, ends included, and which documents are held out. A hash's low bits are the word's shape."""
     data, off = text_bytes(docs[text_col])
     data = LOWER[data]
     start, end, doc = runs(~SPACES[data], off)
     n = docs.num_rows
-    h = np.concatenate([segment_hashes(data, start, end, 0), np.full(n, END)])
+    h = segment_hashes(data, start, end, 0)
+    if len(start):
+        # the last two letters, before a mark at the end
+        last = end - 1 - ((end - start > 2) & ~WORDY[data[end - 1]])
+        pair = data[last].astype(U64) * U64(257) + np.where(last > start, data[np.maximum(last - 1, 0)], 0).astype(U64)
+        h = h & ~U64(SHAPES - 1) | mix(pair + U64(1)) % U64(SHAPES)
+    h = np.concatenate([h, np.full(n, END)])
     d = np.concatenate([doc, np.arange(n)])
     order = np.argsort(d, kind="stable")
     ids = pc.fill_null(pc.cast(docs[id_col], pa.string()), "").to_pylist()
@@ -45,107 +55,168 @@ def tokens(docs: pa.Table, id_col: str, text_col: str, modulus: int, held_out: i
     return h[order], d[order], held
 
 
-class Model:
-    """Parameters as one flat vector of fixed size."""
+def _sums_by_row(i: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of i, and the sum of g's rows for each."""
+    order = np.argsort(i, kind="stable")
+    rows = i[order]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    return rows[first], np.add.reduceat(g[order], first, axis=0)
 
-    def __init__(self, hashes: np.ndarray, classes: np.ndarray, prior: np.ndarray, flat: np.ndarray | None = None):
-        self.hashes, self.classes, self.prior = hashes, classes, prior
-        k = len(prior)
-        self.shapes = [(k, WIDTH), (k, WIDTH), (CONTEXT, WIDTH), (k,)]
-        if flat is None:
-            rng = np.random.default_rng(1)
-            flat = np.concatenate([rng.normal(0, 0.1, 2 * k * WIDTH), np.ones(CONTEXT * WIDTH), np.log(prior)])
-        self.flat = flat.astype(np.float32)
-
-    def parts(self, flat: np.ndarray) -> list[np.ndarray]:
-        out, at = [], 0
-        for s in self.shapes:
-            n = int(np.prod(s))
-            out.append(flat[at : at + n].reshape(s))
-            at += n
-        return out
 
-    def class_of(self, h: np.ndarray) -> np.ndarray:
+class Model:
+    """Parameters of fixed size. hashes (ascending) and words: place of each named word; shapes: place of each shape's word;
+    mass: smoothed count of each place, 0 where a class has no more words. Places of one class are neighbours."""
+
+    NAMES = ("context", "word", "word_bias", "cls", "cls_bias", "position")
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, shapes: np.ndarray, mass: np.ndarray, parts: list[np.ndarray] | None = None):
+        self.hashes, self.words, self.shapes, self.mass = hashes, words, shapes, mass
+        self.classes = len(mass) // CLASS_WORDS
+        by_class = mass.reshape(self.classes, CLASS_WORDS)
+        self.prior = by_class.sum(1) / mass.sum()
+        self.share = by_class / by_class.sum(1, keepdims=True)
+        if parts is None:
+            rng = np.random.default_rng(1)
+            with np.errstate(divide="ignore"):
+                bias = np.maximum(np.log(self.share.ravel()), -1e4)
+            parts = [rng.normal(0, 0.1, (len(mass), WIDTH)), rng.normal(0, 0.1, (len(mass), WIDTH)), bias, rng.normal(0, 0.1, (self.classes, WIDTH)), np.log(self.prior), np.ones((CONTEXT, WIDTH))]
+        self.parts = [x.astype(np.float32) for x in parts]
+
+    def state(self) -> tuple:
+        return self.hashes, self.words, self.shapes, self.mass, self.parts
+
+    def place_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each token, whether it is a named word)."""
+        if not len(self.hashes):
+            return self.shapes[(h & U64(SHAPES - 1)).astype(np.int64)], np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.classes[at], OTHER_CLASS)
+        named = self.hashes[at] == h
+        return np.where(named, self.words[at], self.shapes[(h & U64(SHAPES - 1)).astype(np.int64)]), named
 
     def contexts(self, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """[tokens, CONTEXT] classes before each token; before a text stands its end class."""
-        out = np.full((len(c), CONTEXT), END_CLASS)
+        """[tokens, CONTEXT] places before each token; before a text stands its end."""
+        end = self.place_of(np.array([END]))[0][0]
+        out = np.full((len(c), CONTEXT), end)
         for i in range(CONTEXT):
             same = d[i + 1 :] == d[: len(d) - i - 1]
             out[i + 1 :, i][same] = c[: len(c) - i - 1][same]
         return out
 
-    def code(self, ctx: np.ndarray) -> np.ndarray:
-        """A context as one number."""
-        return ctx @ (len(self.prior) ** np.arange(CONTEXT))
+    def hidden(self, ctx: np.ndarray, context: np.ndarray, position: np.ndarray) -> np.ndarray:
+        return sum(context[ctx[:, i]] * position[i] for i in range(CONTEXT))
 
-    def decode(self, code: np.ndarray) -> list[np.ndarray]:
-        return [code // len(self.prior) ** i % len(self.prior) for i in range(CONTEXT)]
+    def train(self, c: np.ndarray, ctx: np.ndarray, seed: int, noise: int = 64, batch: int = 2048, rate: float = 0.1, passes: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Changes of the parameters after passes of noise-contrastive estimation over the tokens, and which context and word rows changed.
 
-    def train(self, c: np.ndarray, ctx: np.ndarray, seed: int, noise: int = 128, batch: int = 1024, rate: float = 0.1, passes: int = 1) -> np.ndarray:
-        """Change of the parameters after one pass of noise-contrastive estimation over distinct (context, class)
-        events, weighed by their counts."""
-        k = len(self.prior)
-        code, n = np.unique(self.code(ctx) * k + c, return_counts=True)
+        A step on classes takes tokens at random, with noise of the class prior; a step on words takes tokens of one class, with noise
+        of the words' shares in it. Steps are scaled by the squares of past gradients (of rows that a step touches alone).
+        """
         rng = np.random.default_rng(seed)
-        flat = self.flat.copy()
-        r, q, pos, b = self.parts(flat)
-        log_noise = np.log(noise * self.prior).astype(np.float32)
-        speed = np.full(len(flat), 1e-6, np.float32)
-        speeds = self.parts(speed)
-        steps = [i[lo : lo + batch] for i in (rng.permutation(len(code)) for _ in range(passes)) for lo in range(0, len(code), batch)]
-        for i in steps:
-            e, w = code[i], n[i].astype(np.float32)
-            w = w / w.sum()
-            t, before = e % k, self.decode(e // k)
-            h = sum(r[x] * p for x, p in zip(before, pos, strict=True))
-            z = rng.choice(k, noise, p=self.prior)
-            good = 1 / (1 + np.exp(-((h * q[t]).sum(1) + b[t] - log_noise[t])))
-            bad = 1 / (1 + np.exp(-(h @ q[z].T + b[z] - log_noise[z])))
-            dg, db = (1 - good) * w, -bad * w[:, None]
-            dh = dg[:, None] * q[t] + db @ q[z]
-            grads = [np.zeros_like(x) for x in (r, q, pos, b)]
-            np.add.at(grads[1], t, dg[:, None] * h)
-            np.add.at(grads[1], z, db.T @ h)
-            grads[3] += np.bincount(t, dg, k).astype(np.float32)
-            np.add.at(grads[3], z, db.sum(0))
-            for i, ci in enumerate(before):
-                np.add.at(grads[0], ci, dh * pos[i])
-                grads[2][i] = (dh * r[ci]).sum(0)
-            for x, g, s in zip((r, q, pos, b), grads, speeds, strict=True):
-                s += g * g
-                x += rate * np.where(x is b, 0.3, 1.0) * g / np.sqrt(s)
-        return flat - self.flat
+        context, word, word_bias, cls, cls_bias, position = parts = [x.copy() for x in self.parts]
+        speed = [np.full(x.shape, 1e-6, np.float32) for x in parts]
+        log_prior = np.log(noise * self.prior).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            log_share = np.maximum(np.log(noise * self.share), -1e4).astype(np.float32)
+
+        def step(k: int, rows, g: np.ndarray, scale: float = 1.0) -> None:
+            speed[k][rows] += g * g
+            parts[k][rows] += rate * scale * g / np.sqrt(speed[k][rows])
+
+        def contrast(h, targets, of, q, b, log_noise, sampled) -> np.ndarray:
+            """Gradient of h, after a step on the targets' vectors q[of] and biases; targets and sampled count within of."""
+            good = 1 / (1 + np.exp(np.clip(-((h * q[of][targets]).sum(1) + b[of][targets] - log_noise[targets]), -30, 30)))
+            bad = 1 / (1 + np.exp(np.clip(-(h @ q[of][sampled].T + b[of][sampled] - log_noise[sampled]), -30, 30)))
+            m = 1 / len(h)
+            up, down = (1 - good) * m, -bad * m
+            dh = up[:, None] * q[of][targets] + down @ q[of][sampled]
+            one = np.zeros((len(log_noise), len(h)), np.float32)
+            one[targets, np.arange(len(h))] = up
+            gq, gb = one @ h, one.sum(1)
+            np.add.at(gq, sampled, down.T @ h)
+            np.add.at(gb, sampled, down.sum(0))
+            return dh, gq, gb
+
+        def descend(i: np.ndarray, of, k: int, targets, log_noise, chance) -> None:
+            x = ctx[i]
+            h = self.hidden(x, context, position)
+            sampled = rng.choice(len(chance), noise, p=chance)
+            dh, gq, gb = contrast(h, targets, of, parts[k], parts[k + 1], log_noise, sampled)
+            step(k, of, gq)
+            step(k + 1, of, gb, 0.3)
+            rows, g = _sums_by_row(x.T.ravel(), np.concatenate([dh * position[j] for j in range(CONTEXT)]))
+            step(5, slice(None), np.stack([(dh * context[x[:, j]]).sum(0) for j in range(CONTEXT)]))
+            step(0, rows, g)
+
+        for _ in range(passes):
+            own = c // CLASS_WORDS
+            some = rng.permutation(len(c))
+            steps = [(None, some[lo : lo + batch]) for lo in range(0, len(c), batch)]
+            shuffled = some[np.argsort(own[some], kind="stable")]
+            ends = np.searchsorted(own[shuffled], np.arange(self.classes + 1))
+            steps += [(k, shuffled[lo : min(lo + batch, ends[k + 1])]) for k in range(self.classes) for lo in range(ends[k], ends[k + 1], batch)]
+            for s in rng.permutation(len(steps)):
+                k, i = steps[s]
+                if k is None:
+                    descend(i, slice(0, self.classes), 3, own[i], log_prior, self.prior)
+                else:
+                    descend(i, slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS), 1, c[i] % CLASS_WORDS, log_share[k], self.share[k])
+        return [x - y for x, y in zip(parts, self.parts, strict=True)], (speed[0] > 1e-6).any(1), (speed[1] > 1e-6).any(1)
 
     def log_probs(self, c: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """Natural log probability of each token's class, normalised over all classes by batched products."""
-        r, q, pos, b = self.parts(self.flat)
-        code, inv = np.unique(self.code(ctx), return_inverse=True)
-        h = sum(r[x] * p for x, p in zip(self.decode(code), pos, strict=True))
-        norm = np.empty(len(code), np.float32)
-        for lo in range(0, len(code), 8192):
-            s = h[lo : lo + 8192] @ q.T + b
-            top = s.max(1)
-            norm[lo : lo + 8192] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        return np.einsum("ij,ij->i", h[inv], q[c]).astype(float) + b[c] - norm[inv]
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0, rounds: int = 1) -> DataFrame:
+        """Natural log probability of each token's place, normalised over all classes and over its class by batched products."""
+        context, word, word_bias, cls, cls_bias, position = self.parts
+        out = np.zeros(len(c))
+
+        def normal(h, q, b, targets) -> np.ndarray:
+            s = h @ q.T + b
+            s -= s.max(1, keepdims=True)
+            return s[np.arange(len(h)), targets] - np.log(np.exp(s).sum(1))
+
+        order = np.argsort(c // CLASS_WORDS, kind="stable")
+        own = c[order] // CLASS_WORDS
+        edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(c) else np.zeros(1, np.int64)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k = int(own[lo])
+            of = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+            for at in range(lo, hi, 8192):
+                i = order[at : min(at + 8192, hi)]
+                h = self.hidden(ctx[i], context, position)
+                out[i] = normal(h, word[of], word_bias[of], c[i] % CLASS_WORDS) + normal(h, cls, cls_bias, np.full(len(i), k))
+        return out
+
+
+def named_model(words: list[tuple[int, int]], shape_n: np.ndarray, shape_v: np.ndarray) -> Model:
+    """The untrained model of named words (hash, count), with the counts and numbers of all words of each shape."""
+    h = np.array([x for x, _ in words], U64)
+    n = np.array([x for _, x in words], float)
+    shape = (h & U64(SHAPES - 1)).astype(np.int64)
+    rest_n = shape_n - np.bincount(shape, n, SHAPES)
+    rest_v = shape_v - np.bincount(shape, minlength=SHAPES)
+    mass = np.concatenate([n, rest_n + SMOOTH * rest_v]) + SMOOTH
+    order = np.argsort(-mass, kind="stable")
+    place = np.empty(len(mass), np.int64)
+    place[order] = np.arange(len(mass))
+    full = np.zeros(-(-len(mass) // CLASS_WORDS) * CLASS_WORDS)
+    full[: len(mass)] = mass[order]
+    by_hash = np.argsort(h)
+    return Model(h[by_hash], place[: len(h)][by_hash], place[len(h) :], full)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0, most_words: int = 16_000, rounds: int = 4, passes: int = 1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
-    Counts, totals and the model come from all documents whose crc32(id as text) mod ``modulus`` is
-    not ``held_out``. Each round, tasks train from the same parameters on their own documents and the
-    changes are averaged. Words are lower-cased for A-Z alone and told apart by a 64-bit hash. Null
-    and empty texts have one token, the end. Repeated rows are documents of their own; with no
-    training document N and V are 0. Other columns are ignored; an empty table gives an empty one.
+    Counts, totals and the model come from all documents whose crc32(id as text) mod ``modulus`` is not ``held_out``. The
+    model names the commonest words, at most most_words. In each round, tasks train from the same parameters, each on its own share
+    of the documents' blocks; a vector's changes are averaged over the blocks that have its word. The rounds of a pass share all
+    blocks out among them. Words are lower-cased for A-Z alone and told apart by a 64-bit hash. Null and empty texts have one
+    token, the end. Repeated rows are documents of their own; with no training document N and V are 0. Other columns are
+    ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     blocks = pack_blocks(docs.select(*dict.fromkeys([id_col, text_col])), text_col)
     buckets = bucket_count(blocks, 0.4)
 
-    def asked(name, t):
+    def asked(t):
         h, d, held = tokens(t, id_col, text_col, modulus, held_out)
         u, inv = np.unique(h, return_inverse=True)
         return h, d, held, u, inv
@@ -153,7 +224,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def ask(batches):
         for b in batches:
             for name, data in zip(b["block"].to_pylist(), b["data"], strict=True):
-                _, d, held, u, inv = asked(name, unpack(data))
+                _, d, held, u, inv = asked(unpack(data))
                 n = np.bincount(inv, ~held[d], len(u)).astype(np.uint32)
                 yield split_by_bucket(name, u, u, buckets, n)
 
@@ -164,77 +235,93 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         ends = np.cumsum(sizes)
         out = total[inv].astype("<u4" if total.max(initial=0) < 2**32 else "<u8")
         out = [out[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-        top = np.lexsort((u, -total))[:CLASSES]
-        top = top[total[top] > 0]
-        head = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
+        shape = (u & U64(SHAPES - 1)).astype(np.int64)
+        top = np.flatnonzero((total >= LEAST) | (u == END))
+        top = top[np.lexsort((u[top], -total[top]))][:most_words]
+        head = np.concatenate([np.bincount(shape, total, SHAPES), np.bincount(shape, total > 0, SHAPES)]).astype(np.int64).tobytes()
         out[0] = np.int64(len(head) + 16 * len(top)).tobytes() + head + u[top].tobytes() + total[top].tobytes() + out[0]
         return [out[0], *(np.int64(0).tobytes() + x for x in out[1:])]
 
     counted = materialize(answer(blocks.select("block", "data").mapInArrow(ask, ASK), reply), "counts")
 
     def heads(batches):
-        """Each bucket's totals, and its commonest words."""
+        """Each bucket's totals by shape, and its commonest words."""
         for b in batches:
             for x in b.column(0).to_pylist():
                 n = int.from_bytes(x[:8], "little")
                 if n:
                     v = np.frombuffer(x[8 : 8 + n], np.int64)
-                    k = (len(v) - 2) // 2
-                    yield pa.RecordBatch.from_arrays([pa.array([None, *v[2 : 2 + k]], pa.int64()), pa.array([v[0], *v[2 + k :]], pa.int64()), pa.array([v[1]] + [0] * k, pa.int64())], ["h", "n", "v"])
-
-    head = materialize(counted.select("answer").mapInArrow(heads, "h long, n long, v long"), "heads")
-    totals = head.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    n_all, v_all = int(totals.n), int(totals.v)
-    top = [(U64(r.h & (2**64 - 1)), int(r.n)) for r in head.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(CLASSES).collect()]
-    ends = sum(n for h, n in top if h == END)
-    if not ends and n_all:
-        raise ValueError("the end of texts is not among the commonest tokens")
-    named = [(h, n) for h, n in top if h != END][: CLASSES - 2]
-    rest_n, rest_v = n_all - ends - sum(n for _, n in named), v_all - bool(ends) - len(named)
-    mass = np.array([rest_n + SMOOTH * (rest_v + 1), ends + SMOOTH] + [n + SMOOTH for _, n in named])
-    hashes = np.array([END] + [h for h, _ in named], U64)
-    order = np.argsort(hashes)
-    classes = np.array([END_CLASS, *range(2, len(named) + 2)])[order]
-    model = Model(hashes[order], classes, mass / mass.sum())
-
-    for _ in range(rounds):
-        held_model = spark.sparkContext.broadcast((model.hashes, model.classes, model.prior, model.flat))  # of fixed size
-
-        def train(batches, held_model=held_model):
-            m, total, seen = Model(*held_model.value), 0.0, 0
+                    k = (len(v) - 2 * SHAPES) // 2
+                    w = v[2 * SHAPES :]
+                    yield pa.RecordBatch.from_arrays([pa.array([*range(SHAPES), *[None] * k], pa.int64()), pa.array([*[None] * SHAPES, *w[:k]], pa.int64()), pa.array([*v[:SHAPES], *w[k:]], pa.int64()), pa.array([*v[SHAPES : 2 * SHAPES], *[0] * k], pa.int64())], ["shape", "h", "n", "v"])
+
+    head = materialize(counted.select("answer").mapInArrow(heads, "shape long, h long, n long, v long"), "heads")
+    shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
+    for r in head.where("shape IS NOT NULL").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        shape_n[r["shape"]], shape_v[r["shape"]] = r.n, r.v
+    n_all, v_all = int(shape_n.sum()), int(shape_v.sum())
+    named = head.where("h IS NOT NULL")
+    # words by steps of their counts, so many steps from the top as hold most_words at most
+    level = F.when(F.col("h") == int(END.view(np.int64)), 1 << 20).otherwise(F.floor(F.log2(F.greatest("n", F.lit(1))) * 64))
+    held, lowest = 0, 1 << 21
+    for r in sorted(named.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        if held + r["count"] > most_words:
+            break
+        held, lowest = held + r["count"], r.level
+    words = sorted((r.h & (2**64 - 1), int(r.n)) for r in named.where(level >= lowest).select("h", "n").collect())
+    model = named_model(words, shape_n, shape_v)
+
+    for turn in range(rounds * passes if n_all else 0):
+        shared = spark.sparkContext.broadcast(model.state())  # of fixed size
+
+        def train(batches, shared=shared, turn=turn):
+            m, total, seen = Model(*shared.value), None, None
             for b in batches:
                 for name, data in zip(b["block"].to_pylist(), b["data"], strict=True):
+                    if mix(np.array([name], U64))[0] % U64(rounds) != U64(turn % rounds):
+                        continue
                     h, d, held = tokens(unpack(data), id_col, text_col, modulus, held_out)
-                    c = m.class_of(h)
+                    c, _ = m.place_of(h)
                     use = ~held[d]
                     if use.any():
-                        total = total + m.train(c[use], m.contexts(c, d)[use], name % 2**31).astype(float)
-                        seen += 1
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1, dtype=np.int32)), pa.array(np.append(total, seen))], ["i", "x"])
-
-        sums = sorted((r.i, r.x) for r in blocks.select("block", "data").mapInArrow(train, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect())
-        if sums:
-            change = np.array([x for _, x in sums])
-            model.flat = (model.flat + change[:-1] / change[-1]).astype(np.float32)
-
-    shared = spark.sparkContext.broadcast((model.hashes, model.classes, model.prior, model.flat))
+                        parts, ctx_rows, word_rows = m.train(c[use], m.contexts(c, d)[use], name % 2**31 + turn)
+                        one = np.ones(1, bool)
+                        counts = [ctx_rows, word_rows, word_rows, one, one, one]
+                        total = [x.astype(float) for x in parts] if total is None else [x + y for x, y in zip(total, parts, strict=True)]
+                        seen = [x.astype(float) for x in counts] if seen is None else [x + y for x, y in zip(seen, counts, strict=True)]
+            if total is not None:
+                for k in range(len(total)):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k].astype("<f8").tobytes()], pa.binary()), pa.array([seen[k].astype("<f8").tobytes()], pa.binary())], ["k", "total", "seen"])
+
+        def add(t: pa.Table) -> pa.Table:
+            total, seen = (sum(np.frombuffer(x, "<f8") for x in t[c].to_pylist()) for c in ("total", "seen"))
+            return pa.table([t["k"].slice(0, 1), pa.array([total.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["k", "total", "seen"])
+
+        # sums of fixed size for each task, added in two steps so that no task adds up those of all
+        sums = blocks.select("block", "data").mapInArrow(train, "k int, total binary, seen binary").withColumn("part", F.spark_partition_id() % 64)
+        partly = sums.groupBy("k", "part").applyInArrow(lambda key, t: add(t), "k int, total binary, seen binary")
+        for r in partly.groupBy("k").applyInArrow(lambda key, t: add(t), "k int, total binary, seen binary").collect():
+            x = model.parts[r.k]
+            seen = np.frombuffer(bytes(r.seen), "<f8")
+            change = np.frombuffer(bytes(r.total), "<f8").reshape(x.shape)
+            model.parts[r.k] = (x + change / np.maximum(seen, 1).reshape([-1] + [1] * (x.ndim - 1))).astype(np.float32)
+
+    final = spark.sparkContext.broadcast(model.state())
     id_field = docs.schema[id_col]
     schema = T.StructType([id_field, T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def score(name, t, got):
-        m = Model(*shared.value)
-        h, d, held, u, inv = asked(name, t)
+        m = Model(*final.value)
+        h, d, held, u, inv = asked(t)
         sizes = np.bincount(bucket_of(u, buckets))
         sizes = sizes[sizes > 0]
         raw = [x[8 + int.from_bytes(x[:8], "little") :] for x in got]
         count = np.concatenate([np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(raw, sizes, strict=True)]).astype(float)[inv] if len(u) else np.zeros(0)
         n = t.num_rows
         base = np.log10((count + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
-        c = m.class_of(h)
+        c, known = m.place_of(h)
         p = m.log_probs(c, m.contexts(c, d)) / np.log(10)
-        other = c == OTHER_CLASS
-        p[other] += np.log10((count[other] + SMOOTH) / mass[0])
+        p[~known] += np.log10((count[~known] + SMOOTH) / m.mass[c[~known]])
 
         def per(w):
             return np.bincount(d, w, n)

@@ -20,7 +20,7 @@ from quillon.llm.counts import token_counts
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.entry import tokenizer
 from quillon.llm.jaccard import near_duplicates
-from quillon.llm.lm import Model, lm_scores
+from quillon.llm.lm import END, lm_scores, named_model
 from quillon.llm.packing import conversation_parts, dot_product_pack, pack_documents
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.store import read_ids, read_store, write_store
@@ -305,17 +305,42 @@ def test_lm_scores(docs, empty):
 
 def test_lm_is_normalised():
     rng = np.random.default_rng(0)
-    m = Model(np.arange(1, 20, dtype=np.uint64), np.arange(1, 20), np.full(20, 0.05))
-    c, d = rng.integers(0, 20, 5000), np.sort(rng.integers(0, 50, 5000))
-    ctx = m.contexts(c, d)
+    words = [(int(h) << 6 | int(h) % 64, int(n)) for h, n in zip(range(1, 300), rng.integers(10, 500, 299), strict=True)] + [(int(END), 400)]
+    shape_n, shape_v = np.zeros(64), np.zeros(64)
+    for h, n in words:
+        shape_n[h & 63] += n + 30
+        shape_v[h & 63] += 4
+    m = named_model(sorted(words), shape_n, shape_v)
+    size = len(words) + 64
+    assert m.classes == 3 and abs(m.share.sum() - 3) < 1e-9 and (m.mass > 0).sum() == size
+    c, d = rng.integers(0, size, 5000), np.sort(rng.integers(0, 50, 5000))
     for i in np.flatnonzero(rng.random(4999) < 0.8) + 1:  # a chain that can be learned
-        c[i] = (c[i - 1] + 1) % 20
+        c[i] = (c[i - 1] + 1) % size
     ctx = m.contexts(c, d)
     before = m.log_probs(c, ctx).mean()
-    m.flat = m.flat + m.train(c, ctx, 1, batch=128, passes=10)
+    for whole in (False, True):
+        total = sum(np.exp(m.log_probs(np.full(100, k), ctx[:100])) for k in range(size))
+        assert np.allclose(total, 1, atol=1e-4), whole
+        changes, rows, _ = m.train(c, ctx, 1, batch=128, passes=10)
+        assert rows.any()
+        m.parts = [x + y for x, y in zip(m.parts, changes, strict=True)]
     assert m.log_probs(c, ctx).mean() > before + 0.5
-    whole = sum(np.exp(m.log_probs(np.full(len(c), k), ctx)) for k in range(20))
-    assert np.allclose(whole, 1, atol=1e-4)
+
+
+def test_lm_of_unknown_words_shares_out_its_shape():
+    """All words of a text's end, counted or not, add up to one: named words, and each shape's others with one unseen word."""
+    words = [(64 * i + i % 64, 50) for i in range(1, 200)] + [(int(END), 10)]
+    shape_n, shape_v = np.bincount([h & 63 for h, _ in words], [n + 7 for _, n in words], 64), np.bincount([h & 63 for h, _ in words], minlength=64) + 5.0
+    m = named_model(sorted(words), shape_n, shape_v)
+    rest = m.mass[m.shapes]
+    assert np.allclose(rest, shape_n - np.bincount([h & 63 for h, _ in words], [n for _, n in words], 64) + 0.1 * (5 + 1))
+
+
+def test_lm_beats_counts_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = lm_scores(docs).groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("score"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).collect()
+    print("log10 a token", [(r.held_out, round(r.score, 4), round(r.base, 4)) for r in rows])
+    assert all(r.score > r.base + 0.1 for r in rows)
 
 
 @pytest.mark.parametrize(("operator", "modulus", "rest"), [(quality_classifier, 5, 0), (toxicity, 3, 1)])
