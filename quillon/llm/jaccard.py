@@ -358,8 +358,9 @@ def _exact(threshold: float):
     return work
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """(id, class_id, n_links) for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, with_keys: bool = False) -> DataFrame:
+    """(id, class_id, n_links) for every row; with_keys: also text_hash (xxhash64 of the text) and class_key, which names the class
+    even where its ids are null or stand for several texts.
 
     class_id is the least id of the row's connected component of documents linked by Jaccard >=
     threshold of their sets of ``size``-word shingles; n_links counts the other rows it is linked to,
@@ -422,7 +423,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = keys.join(linked, "k", "left").join(degree, "k", "left").select("k", "copies", "doc", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = named.groupBy("root").agg(F.min("doc").alias("class_id"))
-    per = named.join(classes, "root").select("k", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    per = named.join(classes, "root").select("k", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = rows.join(per, "k", "left")
-    return out.select(F.col("doc").alias(id_col), F.when(F.col("k").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
+    own = F.when(F.col("k").isNull(), F.col("doc")).otherwise(F.col("class_id"))
+    more = [F.col("h").alias("text_hash"), F.col("root").alias("class_key")] if with_keys else []
+    return out.select(F.col("doc").alias(id_col), own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
