@@ -1,13 +1,13 @@
 """A corpus pipeline of five stages over the documents table; each stage's output is written as Parquet and read again.
 
-toxicity drops what it predicts toxic; near_duplicates keeps one document of each group; substrings cuts out repeated
-passages; decontamination cuts a contaminated document's hit out by dropping the document; packing places the rest in
-sequences. All but the last keep the columns of documents.
+toxicity drops the documents that it predicts toxic; ngram_jaccard keeps one document of each group of near duplicates;
+substring_dedup cuts out repeated passages; decontamination drops documents that hold benchmark windows; packing places the
+rest in sequences. All but the last return the columns of documents, whatever their names are besides doc_id and text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import broadcast_if_small, materialize, table
@@ -22,34 +22,67 @@ from quillon.llm.toxicity import toxicity as toxicity_scores
 BROADCAST_IDS = 1_000_000
 
 
+def _name() -> Column:
+    """A row's id; for a null id a negative number from its text, so that each such text is judged alone."""
+    return F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text")))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) as operators see them."""
+    return docs.select(_name().alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the ids in rejected; rows of one id go or stay together."""
-    return docs.join(broadcast_if_small(materialize(rejected.select("doc_id"), "rejected"), BROADCAST_IDS), "doc_id", "left_anti")
+    """docs without those in rejected (doc_id); rows of one id go or stay together, null ids by their texts."""
+    gone = broadcast_if_small(materialize(rejected.select(F.col("doc_id").alias("_gone")).distinct(), "rejected"), BROADCAST_IDS)
+    return docs.join(gone, _name() == F.col("_gone"), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    """docs without those predicted toxic. Null and empty texts stay; an empty table stays empty."""
+    found = toxicity_scores(_judged(docs), table(spark, sf_dir, "labels"))
     return _without(docs, found.where("predicted = 1"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> class_id"))
+    """One row of each group of near duplicates: that of the least id (null ids last), of several the least text hash, of
+    repeated rows any one. Rows linked to nothing stay; so do null and wordless texts, which are in no group."""
+    grouped = materialize(near_duplicates(docs.select("doc_id", "text"), with_keys=True).where("n_links > 0").groupBy("class_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")), "grouped")
+    first = grouped.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    judged = grouped.join(first, "class_key").select("doc_id", "text_hash", "rows", (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash") == F.col("first")).alias("stays"))
+    judged = materialize(judged, "judged")
+
+    def matching(named: DataFrame) -> tuple[DataFrame, Column]:
+        side = broadcast_if_small(named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), BROADCAST_IDS)
+        return side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+
+    kept = docs.join(*matching(judged.where("NOT stays")), "left_anti")
+    repeated = judged.where("stays AND rows > 1")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(*matching(repeated), "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return kept.join(*matching(repeated), "left_anti").unionByName(once)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup(docs, carry=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    named = {"text": text.alias("text"), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": text.alias("text")}
-    return cut.select(*(named.get(c, F.col(c)) for c in docs.columns))
+    """docs with passages that stand elsewhere too cut out of their texts: then the kept words, joined by one space, and n_chars
+    (where there is such a column) as their length. Texts that lose nothing stay as they are; all rows stay."""
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name can clash with the operator's own
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    cut = substring_dedup(named, id_col=place["doc_id"], text_col=place["text"], carry=named.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(place["text"]))
+    made = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(place["n_chars"])).cast(docs.schema["n_chars"].dataType) if "n_chars" in place else None}
+    return cut.select(*[(made[c] if made.get(c) is not None else F.col(p)).alias(c) for c, p in place.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """docs without those that hold a window of a benchmark item. Null and wordless texts stay."""
+    found = decontaminate(_judged(docs), table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence of at most 2048 tokens (see pack_documents); null texts are their end id."""
     return pack_documents(docs, tokenizer("byte_bpe_50k.json"), spaces=True, end_id=1, with_ids=False)
 
 
@@ -66,6 +99,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, each stage applied to all that the one before kept; stages are written below spark.checkpoint.dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
