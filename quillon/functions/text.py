@@ -39,6 +39,11 @@ def html_text(html: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), "[ \t]+", " "), F.lit(" \t\n\r"))
 
 
+def valid_slug(text: Column, longest: int = 80) -> Column:
+    """Lower-case letters and digits in groups joined by single hyphens, within the limit."""
+    return F.coalesce(text.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & (F.length(text) <= longest), F.lit(False))
+
+
 def html_title(html: Column) -> Column:
     return F.regexp_extract(html, "(?i)<title[^>]*>([^<]+)</title>", 1)
 
@@ -46,8 +51,9 @@ def html_title(html: Column) -> Column:
 def clean_title(title: Column, longest: int = 200) -> Column:
     """Without emoji, paired hashtags, stray #, bracketed prefixes; blanks collapsed; cut to ``longest``."""
     out = F.regexp_replace(title, "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]", "")
-    for _ in range(3):  # removing a pair may bring another together
-        out = F.regexp_replace(out, "#[^#\n]+#", "")
+    # removing a pair may bring another together: once more for every three characters would do for any title
+    again = F.when(out.contains("##"), F.sequence(F.lit(1), F.length(out))).otherwise(F.array(F.lit(1)))
+    out = F.aggregate(again, out, lambda t, _: F.regexp_replace(t, "#[^#\n]+#", ""))
     out = F.regexp_replace(F.replace(out, F.lit("#"), F.lit("")), "【[^】]*】", "")
     return F.left(F.btrim(F.regexp_replace(out, rf"{WS}+", " ")), F.lit(longest))
 

@@ -49,3 +49,24 @@ def descend(edges: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
             break
         out = out.union(level)
     return out
+
+
+def exploded_counts(rows: DataFrame, values: str, name: str) -> DataFrame:
+    """(name, n): how often each value stands in the rows' arrays."""
+    return rows.select(F.explode(values).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_arrays(rows: DataFrame, category: str, known: list[str], value: str) -> DataFrame:
+    """(category, items) of the known categories that have rows, items in order; other categories go."""
+    return rows.where(F.col(category).isin(*known)).groupBy(category).agg(F.array_sort(F.collect_list(value)).alias("items"))
+
+
+def best_of(columns: list[str], higher: Column) -> Column:
+    """The greatest of the columns where higher is better, else the least."""
+    return F.when(higher, F.greatest(*columns)).otherwise(F.least(*columns))
+
+
+def deviations(rows: DataFrame, keys: list[str], deviation: Column, error: float, warning: float) -> DataFrame:
+    """(keys, worst, errors, warnings): the greatest absolute deviation, and how many exceed either limit."""
+    off = F.abs(deviation)
+    return rows.groupBy(*keys).agg(F.max(off).alias("worst"), F.count_if(off > error).alias("errors"), F.count_if((off > warning) & (off <= error)).alias("warnings"))

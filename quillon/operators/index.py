@@ -36,3 +36,13 @@ def insert_new(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
 def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Exact duplicates by key, the first in a stated order kept."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def first_casing(rows: DataFrame, keys: list[str], word: str, ordinal: str) -> DataFrame:
+    """Words that are equal but for their case once for each key, as first written."""
+    return keep_first(rows.withColumn("_low", F.lower(word)), [*keys, "_low"], [ordinal]).drop("_low")
+
+
+def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n) of keys that stand more than once."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

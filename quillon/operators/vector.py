@@ -45,3 +45,16 @@ def hit_rate(hits: DataFrame, group: list[str]) -> DataFrame:
     pct = F.when(F.count(F.lit(1)) > 0, F.floor(100 * F.sum(F.col("hit").cast("int")) / F.count(F.lit(1)) + 0.5)).otherwise(0)
     out = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("hit").cast("int")).alias("hits"), pct.cast("long").alias("hit_rate"))
     return out.withColumn("passed", F.col("hit_rate") >= 80)
+
+
+def mean(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
+
+
+def rerank(results: DataFrame, keys: list[str], scores: str, id_col: str, where: Column | None = None) -> DataFrame:
+    """Results of each query with ``rank`` by the mean of a reranker's vector, where there are more than three; else in their order.
+    A filter goes after the ranking's choice, as one of noise does."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    out = results.withColumn("_by", F.when(n > 3, -F.round(mean(F.col(scores)), 9)).otherwise(0.0))
+    out = out if where is None else out.where(where)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_by", id_col))).drop("_by")

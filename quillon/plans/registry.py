@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import media_queries, table_queries, text_queries
+from quillon.plans import content_queries, media_queries, source_queries, table_queries, text_queries
 
-QUERIES: dict = {**text_queries.Q, **table_queries.Q, **media_queries.Q}
-ORACLE_SQL: dict = {**text_queries.S, **table_queries.S, **media_queries.S}
+MODULES = (text_queries, table_queries, media_queries, source_queries, content_queries)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.Q.items()}
+ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.S.items()}

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.functions.text import parse_number, token_estimate
 
@@ -64,6 +63,22 @@ def front_matter(text: Column, key: str) -> Column:
     return F.nullif(F.btrim(F.regexp_extract(block, rf"(?m)^{re.escape(key)}:[ \t]*(.*)$", 1), F.lit(" \t\r\"'")), F.lit(""))
 
 
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, slug, title, excerpt, text) of the published articles below a folder; the slug falls back to the file's name, the text is
+    what follows the leading block."""
+    out = markdown(spark, folder)
+    name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    shown = F.lower(F.coalesce(front_matter(F.col("text"), "published"), F.lit("false")))
+    body = F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", "")
+    kept = out.where(~shown.isin("false", "0", "null", "no", "~"))
+    return kept.select("path", F.coalesce(front_matter(F.col("text"), "slug"), name).alias("slug"), front_matter(F.col("text"), "title").alias("title"), front_matter(F.col("text"), "excerpt").alias("excerpt"), body.alias("text"))
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file's rows as text, quotes doubled within quotes; cells that a short row lacks are ''."""
+    return spark.read.csv(path, header=True, quote='"', escape='"').na.fill("")
+
+
 MAX_TOKENS = 8192
 
 
@@ -90,22 +105,7 @@ def chunk_markdown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def chunks(p: Column) -> Column:
         title = F.nullif(F.regexp_extract(p, r"\A## +([^\n]*)", 1), F.lit(""))
         long = p.startswith("## ") & (token_estimate(F.btrim(p, F.lit(" \t\n\x0b\f\r"))) > MAX_TOKENS)
-        return F.transform(F.when(long, _packed(p)).otherwise(F.array(p)), lambda c: F.struct(title.alias("title"), c.alias("chunk")))
+        return F.transform(F.when(long, _packed(p)).otherwise(F.array(F.btrim(p, F.lit(" \t\n\x0b\f\r")))), lambda c: F.struct(title.alias("title"), c.alias("chunk")))
 
     out = docs.select(id_col, F.posexplode(F.flatten(F.transform(sections, chunks))).alias("chunk_index", "_c"))
     return out.select(id_col, "chunk_index", "_c.title", "_c.chunk")
-
-
-FEED_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "description", "pubDate")])
-
-
-def feed_items(docs: DataFrame, text_col: str, tag: str = "item") -> DataFrame:
-    """(title, url, snippet, published) of a feed's items; items without title or url go."""
-
-    def field(x: Column, name: str) -> Column:
-        raw = F.regexp_extract(x, rf"(?s)<{name}[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 1)
-        return F.btrim(F.regexp_replace(F.regexp_replace(raw, "<[^>]+>", " "), r"\s+", " "))
-
-    item = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s)<{tag}[ >].*?</{tag}>"), 0)).alias("x"))
-    out = item.select(field(F.col("x"), "title").alias("title"), field(F.col("x"), "link").alias("url"), F.left(field(F.col("x"), "description"), F.lit(200)).alias("snippet"), field(F.col("x"), "pubDate").alias("published"))
-    return out.where("title <> '' AND url <> ''")
