@@ -15,9 +15,15 @@ def normalize_url(url: Column) -> Column:
     invalid URL stays as it is and null gives ''."""
     part = [F.regexp_extract(url, SHAPE, i) for i in range(5)]
     kept = F.filter(F.split(part[4], "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*TRACKING))
-    query = F.array_join(F.array_sort(kept), "&")
+    # by name, those of one name in their order
+    placed = F.transform(kept, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("at"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    query = F.array_join(F.transform(F.array_sort(placed), lambda x: x["p"]), "&")
     path = F.when(F.length(part[3]) > 1, F.regexp_replace(part[3], "/$", "")).when(part[3] == "", "/").otherwise(part[3])
-    whole = F.concat(F.lower(part[1]), F.lit("://"), F.lower(part[2]), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    port = {"http": ":80", "https": ":443"}
+    host = F.lower(part[2])
+    for scheme, own in port.items():
+        host = F.when((F.lower(part[1]) == scheme) & host.endswith(own), F.substring_index(host, ":", 1)).otherwise(host)
+    whole = F.concat(F.lower(part[1]), F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(url.isNull(), "").when(part[0] == "", url).otherwise(whole)
 
 

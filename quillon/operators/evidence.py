@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from quillon.functions.urls import normalize_url
 
 
+#: Weight of a source's kind; any other kind has none.
+SOURCE_PRIORITY = {"primary": 4, "authoritative-secondary": 3, "independent-secondary": 2, "community": 1}
+
+
+def priority(kind: Column) -> Column:
+    out = F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv])
+    return F.coalesce(F.try_element_at(out, kind), F.lit(0))
+
+
 def dedup_sources(rows: DataFrame, url: str, priority: Column, ordinal: str) -> DataFrame:
     """One row for each canonical URL: the highest priority, then the first."""
     w = Window.partitionBy("norm_url").orderBy(F.desc("_p"), ordinal)

@@ -46,3 +46,18 @@ def first_casing(rows: DataFrame, keys: list[str], word: str, ordinal: str) -> D
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n) of keys that stand more than once."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def save_posts(stored: DataFrame, saved: DataFrame, slug: str, now) -> DataFrame:
+    """Stored posts (slug, published, version, published_at) after saving others (slug, published, version): a post's first time of publication
+    stays, one that is published for the first time gets ``now``."""
+    was = stored.select(slug, F.col("published").alias("_p"), F.col("version").alias("_v"), F.col("published_at").alias("_at"))
+    both = saved.join(was, slug, "full_outer")
+    at = F.when(F.col("_at").isNotNull(), F.col("_at")).when(F.col("published"), now)
+    return both.select(slug, F.coalesce("published", "_p").alias("published"), F.coalesce("version", "_v").alias("version"), at.alias("published_at"))
+
+
+def or_else(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows, or the others if there are none."""
+    none = rows.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none")).where("_none")  # one row or none
+    return rows.unionByName(others.join(F.broadcast(none)).drop("_none"))

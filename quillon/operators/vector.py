@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.content import sized
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,24 +22,34 @@ def band(similarity: Column) -> Column:
 
 def topk(index: DataFrame, query: list[float], k: int = 10, threshold: float = 0.3, where: Column | None = None, id_col: str = "vec_id") -> DataFrame:
     """The k rows most similar to one query vector with similarity above the threshold; filters go first, and the
-    sort with limit keeps k rows of each task."""
+    sort with limit keeps k rows of each task. A vector of another size fails the job."""
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = index if where is None else index.where(where)
     # the query's norm is one number, the row's is computed once a row
-    sim = dot(F.col("embedding"), q) / (norm(F.col("embedding")) * F.lit(sum(x * x for x in query) ** 0.5))
-    scored = rows.withColumn("similarity", F.round(sim, 6)).where(F.col("similarity") > threshold)
+    sim = dot(sized(F.col("embedding"), len(query)), q) / (norm(F.col("embedding")) * F.lit(sum(x * x for x in query) ** 0.5))
+    scored = rows.withColumn("similarity", sim).where(F.col("similarity") > threshold).withColumn("similarity", F.round("similarity", 6))
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+#: Query vectors that are sent to every task at once.
+BLOCK = 2048
+
+
 def batch_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
-    """(query_id, id, similarity, rank): k best of all rows for each query. Stated queries against all rows, their
-    vectors sent to every task (bounded by the caller); each partial top-k keeps k rows for each query and task."""
+    """(query_id, id, similarity, rank): k best of all rows for each query. Stated queries against all rows, in blocks of
+    about BLOCK queries whose vectors are sent to every task; each partial top-k keeps k rows for each query and task."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
     rows = index.select(id_col, "embedding", norm(F.col("embedding")).alias("n"))
-    pairs = rows.join(F.broadcast(q), F.col(id_col) != F.col("query_id"))
-    scored = pairs.select("query_id", id_col, F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("similarity"))
+    blocks = max(1, -(-q.count() // BLOCK))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = rows.join(F.broadcast(some), F.col(id_col) != F.col("query_id"))
+        scored = pairs.select("query_id", id_col, F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("similarity"))
+        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def hit_rate(hits: DataFrame, group: list[str]) -> DataFrame:

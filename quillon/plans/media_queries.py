@@ -24,11 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("url_slugs", r"""WITH a AS (SELECT page_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '[?#].*$', ''), '[^A-Za-z0-9]+', '-', 'g')), '-') AS s FROM pages),
-b AS (SELECT *, left(s, 20) AS cut FROM a)
-SELECT page_id, CASE WHEN length(s) <= 20 THEN s WHEN length(cut) - instr(reverse(cut), '-') > 10 THEN left(cut, length(cut) - instr(reverse(cut), '-')) ELSE cut END AS slug FROM b""")
+@query("url_slugs", r"""WITH a AS (SELECT page_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(repeat(url || '/', page_id % 6 + 1), '^[a-zA-Z]+://', ''), '[?#].*$', ''), '[^A-Za-z0-9]+', '-', 'g')), '-') AS s FROM pages),
+b AS (SELECT *, left(s, 100) AS cut FROM a)
+SELECT page_id, CASE WHEN length(s) <= 100 THEN s WHEN length(cut) - instr(reverse(cut), '-') > 50 THEN left(cut, length(cut) - instr(reverse(cut), '-')) ELSE cut END AS slug FROM b""")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", M.url_slug(F.col("url"), 20, 10).alias("slug"))
+    return table(s, d, "pages").select("page_id", M.url_slug(F.repeat(F.concat("url", F.lit("/")), (F.col("page_id") % 6 + 1).cast("int"))).alias("slug"))
 
 
 @query("speech_seconds", r"""SELECT doc_id, round(greatest(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) / 4.5 + len(regexp_extract_all(text, '[A-Za-z0-9]+')) / 2.8
@@ -91,9 +91,9 @@ def _(s, d):
     return _times(s, d).select("conv_id", "turn", subtitle_line(F.col("a"), F.col("b"), F.col("text")).alias("line"))
 
 
-@query("subtitle_parse", f"SELECT conv_id, turn, floor(a * 100 + 0.5) / 100 AS start, floor(b * 100 + 0.5) / 100 AS \"end\", replace(left(text, 30), chr(10), '\\N') AS text, 55::BIGINT AS karaoke_cs FROM ({TIMES})")
+@query("subtitle_parse", f"SELECT conv_id, turn, floor(a * 100 + 0.5) / 100 AS start, floor(b * 100 + 0.5) / 100 AS \"end\", replace(text, chr(10), '\\N') AS text, 55::BIGINT AS karaoke_cs FROM ({TIMES})")
 def _(s, d):
-    text = F.concat(F.lit("{\\k20}"), F.left("text", F.lit(30)), F.lit("{\\kf35}"))
+    text = F.concat(F.lit("{\\k20}"), "text", F.lit("{\\kf35}"))
     return parse_subtitles(_times(s, d).select("conv_id", "turn", subtitle_line(F.col("a"), F.col("b"), text).alias("line")), ["conv_id", "turn"], "line")
 
 

@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-SIM = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+RAW = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+SIM = f"round({RAW}, 6)"
 PROBE = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
 
 
@@ -31,23 +32,23 @@ def _probe(s, d):
     return list(table(s, d, "embeddings").where("vec_id = 7").first().embedding)  # one row
 
 
-@query("vector_topk", f"SELECT a.vec_id, {SIM} AS similarity, CASE WHEN {SIM} >= 0.6 THEN 'high' WHEN {SIM} >= 0.5 THEN 'low' ELSE 'noise' END AS band FROM embeddings a, {PROBE} b WHERE {SIM} > 0.1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("vector_topk", f"SELECT a.vec_id, {SIM} AS similarity, CASE WHEN {SIM} >= 0.6 THEN 'high' WHEN {SIM} >= 0.5 THEN 'low' ELSE 'noise' END AS band FROM embeddings a, {PROBE} b WHERE {RAW} > 0.1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(s, d):
     return vector.topk(table(s, d, "embeddings"), _probe(s, d), 10, 0.1).select("vec_id", "similarity", vector.band(F.col("similarity")).alias("band"))
 
 
-@query("vector_topk_filtered", f"SELECT a.vec_id, a.label, {SIM} AS similarity FROM embeddings a, {PROBE} b WHERE a.label IN (2, 3) AND {SIM} > 0 ORDER BY 3 DESC, 1 LIMIT 10")
+@query("vector_topk_filtered", f"SELECT a.vec_id, a.label, {SIM} AS similarity FROM embeddings a, {PROBE} b WHERE a.label IN (2, 3) AND {RAW} > 0 ORDER BY 3 DESC, 1 LIMIT 10")
 def _(s, d):
     return vector.topk(table(s, d, "embeddings"), _probe(s, d), 10, 0.0, F.col("label").isin(2, 3)).select("vec_id", "label", "similarity")
 
 
 BATCH = f"""(SELECT q AS query_id, vec_id, similarity, rank FROM (SELECT b.vec_id AS q, a.vec_id, {SIM} AS similarity, row_number() OVER (PARTITION BY b.vec_id ORDER BY {SIM} DESC, a.vec_id) AS rank
-FROM embeddings a JOIN embeddings b ON b.vec_id < 20 AND a.vec_id <> b.vec_id) WHERE rank <= 5)"""
+FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5)"""
 
 
 def _batch(s, d):
     e = table(s, d, "embeddings")
-    return vector.batch_topk(e, e.where("vec_id < 20"), 5)
+    return vector.batch_topk(e, e.where("vec_id % 50 = 0"), 5)
 
 
 @query("vector_batch_topk", f"SELECT * FROM {BATCH}")
@@ -149,10 +150,10 @@ def _(s, d):
 RANKS = {"purchase": 0, "signup": 1, "click": 2}
 
 
-@query("priority_sort", "SELECT event_id, p FROM (SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 99 END AS p FROM events) ORDER BY p, event_id LIMIT 100")
+@query("priority_sort", "SELECT event_id, p FROM (SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 99 END AS p FROM events) ORDER BY p, event_id")
 def _(s, d):
     p = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in RANKS.items()], F.lit(99))
-    return table(s, d, "events").select("event_id", p.alias("p")).orderBy("p", "event_id").limit(100)
+    return table(s, d, "events").select("event_id", p.alias("p")).orderBy("p", "event_id")
 
 
 @query("gap_detect", "SELECT event_id, gap FROM (SELECT event_id, CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) / 1e6 AS gap FROM events) WHERE gap > 86400")
@@ -220,17 +221,20 @@ def _(s, d):
     return index.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "day"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
 
 
-@query("insert_ignore", "SELECT c_mktsegment, count(*) AS n, min(c_custkey) AS first_key FROM customer GROUP BY c_mktsegment")
+@query("insert_ignore", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0")
 def _(s, d):
-    c = table(s, d, "customer").select("c_custkey", "c_mktsegment")
-    both = index.insert_new(c.where("c_custkey % 3 = 0"), c, ["c_custkey"])
-    return both.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_key"))
+    c = table(s, d, "customer").select("c_custkey")
+    kept, offered = c.where("c_custkey % 3 = 0").withColumn("origin", F.lit("kept")), c.where("c_custkey % 2 = 0").withColumn("origin", F.lit("new"))
+    return index.insert_new(kept, offered, ["c_custkey"])
 
 
-@query("first_publish_kept", "SELECT o_custkey, CAST(min(o_orderdate) FILTER (o_orderstatus = 'F') AS VARCHAR) AS first_published, CAST(max(o_orderdate) AS VARCHAR) AS updated_at FROM orders GROUP BY o_custkey")
+@query("first_publish_kept", """WITH o AS (SELECT o_custkey AS slug, min(o_orderdate) AS published_at FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS slug, arg_max(o_orderstatus, o_orderkey) <> 'P' AS published, max(o_orderkey) AS version FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+SELECT slug, coalesce(published, true) AS published, version, CAST(CASE WHEN published_at IS NOT NULL THEN published_at WHEN published THEN TIMESTAMP '2024-01-01' END AS VARCHAR) AS published_at FROM o FULL JOIN n USING (slug)""")
 def _(s, d):
-    o = table(s, d, "orders").groupBy("o_custkey").agg(F.min(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).cast("string").alias("first_published"), F.max("o_orderdate").cast("string").alias("updated_at"))
-    return o
+    o = table(s, d, "orders").withColumnRenamed("o_custkey", "slug")
+    old = o.where("o_orderstatus = 'F' AND o_orderkey % 2 = 0").groupBy("slug").agg(F.min("o_orderdate").alias("published_at")).select("slug", F.lit(True).alias("published"), F.lit(None).cast("long").alias("version"), "published_at")
+    new = o.where("o_orderkey % 2 = 1").groupBy("slug").agg((F.max_by("o_orderstatus", "o_orderkey") != "P").alias("published"), F.max("o_orderkey").alias("version"))
+    return index.save_posts(old, new, "slug", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("published_at", F.col("published_at").cast("string"))
 
 
 @query("latest_event_state", "SELECT user_id, arg_max(CASE WHEN event_type IN ('error', 'click') THEN 'unsubscribed' ELSE 'subscribed' END, struct_pack(ts := ts, event_id := event_id)) AS state FROM events GROUP BY user_id")
@@ -273,13 +277,13 @@ def _(s, d):
     return n.join(table(s, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select("n_name", "s_name", "s_acctbal")
 
 
-@query("positional_join", """WITH a AS (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i, c_custkey FROM customer WHERE c_nationkey = 3), b AS (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i, s_suppkey FROM supplier WHERE s_nationkey = 3)
-SELECT coalesce(a.i, b.i) AS i, c_custkey, s_suppkey FROM a FULL OUTER JOIN b ON a.i = b.i""")
+@query("positional_join", """WITH a AS (SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS i, c_custkey FROM customer), b AS (SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS i, s_suppkey FROM supplier)
+SELECT nation, i, c_custkey, s_suppkey FROM a FULL OUTER JOIN b USING (nation, i)""")
 def _(s, d):
-    # the two sequences of one group, as positions in it
-    a = table(s, d, "customer").where("c_nationkey = 3").select(F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")).cast("long").alias("i"), "c_custkey")
-    b = table(s, d, "supplier").where("s_nationkey = 3").select(F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")).cast("long").alias("i"), "s_suppkey")
-    return a.join(b, "i", "full_outer").select("i", "c_custkey", "s_suppkey")
+    # the two sequences of each group, as positions in it
+    a = table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")).cast("long").alias("i"), "c_custkey")
+    b = table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")).cast("long").alias("i"), "s_suppkey")
+    return a.join(b, ["nation", "i"], "full_outer")
 
 
 @query("dense_matrix", "SELECT r_name, seg, coalesce(n, 0) AS n FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) LEFT JOIN (SELECT n_regionkey AS rk, c_mktsegment AS sg, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 5000 GROUP BY 1, 2) ON sg = seg AND rk = r_regionkey")
@@ -291,12 +295,12 @@ def _(s, d):
     return grid.join(facts, (F.col("n_regionkey") == F.col("r_regionkey")) & (facts.c_mktsegment == grid.c_mktsegment), "left").select("r_name", grid.c_mktsegment.alias("seg"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("fallback_recipients", "SELECT c_custkey FROM customer WHERE c_nationkey = 5")
+@query("fallback_recipients", "SELECT 'none' AS list, c_custkey FROM customer WHERE c_nationkey = 5 UNION ALL SELECT 'some', c_custkey FROM customer WHERE c_nationkey = 7")
 def _(s, d):
     c = table(s, d, "customer")
-    first, other = c.where("c_nationkey = 99").select("c_custkey"), c.where("c_nationkey = 5").select("c_custkey")
-    none = first.agg((F.count(F.lit(1)) == 0).alias("none")).where("none")
-    return first.union(other.join(F.broadcast(none)).select("c_custkey"))
+    pick = lambda n: c.where(F.col("c_nationkey") == n).select("c_custkey")
+    named = lambda name, df: df.select(F.lit(name).alias("list"), "c_custkey")
+    return named("none", index.or_else(pick(99), pick(5))).union(named("some", index.or_else(pick(7), pick(5))))
 
 
 @query("min_max_scale", "SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 6) AS scaled FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")
@@ -317,10 +321,10 @@ def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.greatest("l_discount", "l_tax").alias("best"), F.least("l_discount", "l_tax").alias("worst"))
 
 
-@query("price_fx_sort", "SELECT p_partkey, round(CASE WHEN p_brand = 'Brand#1' THEN p_retailprice ELSE p_retailprice / 6.78 END, 4) AS usd FROM part WHERE p_retailprice > 0 ORDER BY 2 DESC, 1 LIMIT 50")
+@query("price_fx_sort", "SELECT p_partkey, round(CASE WHEN p_brand = 'Brand#1' THEN p_retailprice ELSE p_retailprice / 6.78 END, 4) AS usd FROM part WHERE p_retailprice > 0 ORDER BY 2 DESC, 1")
 def _(s, d):
     usd = F.round(F.when(F.col("p_brand") == "Brand#1", F.col("p_retailprice")).otherwise(F.col("p_retailprice") / 6.78), 4)
-    return table(s, d, "part").where("p_retailprice > 0").select("p_partkey", usd.alias("usd")).orderBy(F.desc("usd"), "p_partkey").limit(50)
+    return table(s, d, "part").where("p_retailprice > 0").select("p_partkey", usd.alias("usd")).orderBy(F.desc("usd"), "p_partkey")
 
 
 @query("allocation", "SELECT c_mktsegment, c_custkey, rn FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 2 ELSE 1 END")

@@ -95,16 +95,23 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", normalize_url(F.col("url")).alias("norm_url"))
 
 
-@query("url_dedup_priority", f"""WITH n AS (SELECT page_id, regexp_extract(norm_url, '://([^/?#]*)', 1) AS host, page_id % 3 AS p FROM ({NORM}))
-SELECT page_id, host FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY p DESC, page_id) AS rn FROM n) WHERE rn = 1""")
+PRIORITY = "CASE page_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END"
+
+
+@query("url_dedup_priority", f"""WITH n AS (SELECT page_id, norm_url, {PRIORITY} AS p FROM ({NORM.replace('FROM pages', "FROM (SELECT page_id, regexp_replace(url, '[0-9]+', '', 'g') AS url FROM pages)")}))
+SELECT page_id, norm_url FROM (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY p DESC, page_id) AS rn FROM n) WHERE rn = 1""")
 def _(s, d):
-    sites = table(s, d, "pages").select("page_id", url_host(F.col("url")).alias("host"))
-    return index.keep_first(sites.withColumn("p", F.col("page_id") % 3), ["host"], [F.desc("p"), "page_id"]).select("page_id", "host")
+    kinds = F.get(F.array(*map(F.lit, [*evidence.SOURCE_PRIORITY, "unknown"])), (F.col("page_id") % 5).cast("int"))
+    sites = table(s, d, "pages").select("page_id", F.regexp_replace("url", "[0-9]+", "").alias("url"), kinds.alias("kind"))
+    return evidence.dedup_sources(sites, "url", evidence.priority(F.col("kind")), "page_id").select("page_id", "norm_url")
 
 
 @query("source_dedup", f"SELECT norm_url, min(page_id) AS page_id FROM ({NORM}) GROUP BY norm_url")
 def _(s, d):
-    return evidence.dedup_sources(table(s, d, "pages"), "url", F.lit(0), "page_id").select("norm_url", "page_id")
+    p = table(s, d, "pages")
+    noise = F.concat("url", F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_source=x&gclid=1"), F.when(F.col("page_id") % 2 == 0, "#top").otherwise(""))
+    twice = p.select("page_id", "url").union(p.select("page_id", F.when(F.col("url").contains("#"), F.col("url")).otherwise(noise)))
+    return evidence.dedup_sources(twice, "url", F.lit(0), "page_id").select("norm_url", "page_id")
 
 
 @query("url_keyword_search_topk", "SELECT page_id, url FROM pages WHERE contains(lower(html || ' ' || url), 'example') AND contains(lower(html || ' ' || url), '/en/') ORDER BY page_id DESC LIMIT 20")
@@ -114,13 +121,12 @@ def _(s, d):
     return hit.select("page_id", "url").orderBy(F.desc("page_id")).limit(20)
 
 
-HEAD = "split_part(text, chr(10), 1)"
 WORDS = r"regexp_split_to_array(lower(t), '[\s,.;:!?''\x22\-()\[\]{}]+')"
 
 
-@query("keyword_filter", f"SELECT doc_id FROM (SELECT doc_id, {HEAD} AS t FROM documents) WHERE list_contains({WORDS}, 'the') OR contains(lower(t), 'of the') OR contains(lower(t), 'ción')")
+@query("keyword_filter", f"SELECT doc_id FROM (SELECT doc_id, text AS t FROM documents) WHERE list_contains({WORDS}, 'the') OR contains(lower(t), 'of the') OR contains(lower(t), 'ción')")
 def _(s, d):
-    return table(s, d, "documents").where(X.any_keyword(F.substring_index("text", "\n", 1), ["the", "of the", "ción"])).select("doc_id")
+    return table(s, d, "documents").where(X.any_keyword(F.col("text"), ["the", "of the", "ción"])).select("doc_id")
 
 
 CASES = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w.lower()}')" for w in words) + f" THEN '{c}'" for c, words in trends.CLASSES)
@@ -137,14 +143,14 @@ def _(s, d):
     return t.rollup("topic").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("topic", F.lit("all")).alias("topic"), "n")
 
 
-@query("near_dup_pairs", r"""WITH t AS (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_ \t\n\x0B\f\r一-鿿]', ' ', 'g'), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN 'NUM' ELSE x END))) AS w FROM conversations WHERE role = 'user'),
+@query("near_dup_pairs", r"""WITH t AS (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_ \t\n\x0B\f\r一-鿿]', ' ', 'g'), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN 'NUM' ELSE x END))) AS w FROM conversations),
 c AS (SELECT w, min(id) AS id FROM t WHERE len(w) > 0 GROUP BY w),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS x, len(b.w) AS y FROM c a JOIN c b ON a.id < b.id),
 r AS (SELECT a, b, i / (x + y - i) AS jaccard, i / least(x, y) AS containment FROM p)
-SELECT a, b, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM r WHERE jaccard >= 0.4 OR containment >= 0.5""")
+SELECT a, b, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM r WHERE jaccard >= 0.8 OR containment >= 0.9""")
 def _(s, d):
-    rows = table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    return trends.similar_titles(rows, "id", "text", 0.4, 0.5)
+    rows = table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return trends.similar_titles(rows, "id", "text")
 
 
 @query("near_dup_greedy")
