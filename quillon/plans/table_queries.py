@@ -189,11 +189,49 @@ def _(s, d):
     return _scored(s, d).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("p_type", "p_partkey", "score")
 
 
-@query("greedy_assign")
+SCENES = ["hook", "narrative", "cta", "quote", "narrative", "data", "info-card", "narrative"]
+SCENES_SQL = f"(SELECT g AS content_id, i AS scene, {SCENES}[i + 1] AS visual_type, CASE WHEN (g + i) % 5 = 0 THEN 'm' END AS media FROM (SELECT DISTINCT p_partkey // 40 AS g FROM part), range(8) r(i))"
+ASSETS_SQL = f"(SELECT p_partkey // 40 AS content_id, p_partkey AS asset, {SCORE} AS score, CASE WHEN p_size > 20 THEN 'cover' ELSE 'contain' END AS fit, CASE WHEN p_partkey % 9 > 0 THEN 'a' || p_partkey % 29 || CASE WHEN p_size > 20 THEN 'c' ELSE 'd' END END AS path FROM part)"
+
+
+def _asset_scenes(s, d):
+    g = table(s, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("content_id")).distinct()
+    kinds = F.array(*map(F.lit, SCENES))
+    return g.select("content_id", F.posexplode(kinds).alias("scene", "visual_type")).withColumn("media", F.when((F.col("content_id") + F.col("scene")) % 5 == 0, "m"))
+
+
+def _assets(s, d):
+    k = F.col("p_partkey")
+    fit = F.when(F.col("p_size") > 20, "cover").otherwise("contain")
+    path = F.when(k % 9 > 0, F.concat(F.lit("a"), k % 29, F.when(F.col("p_size") > 20, "c").otherwise("d")))
+    return _scored(s, d).select(F.floor(k / 40).alias("content_id"), k.alias("asset"), F.col("score").cast("double").alias("score"), fit.alias("fit"), path.alias("path"), F.when(k % 2 == 0, "image").otherwise("video").alias("type"), F.get(F.array(*map(F.lit, ["product_demo", "talking_head", "other"])), (k % 3).cast("int")).alias("kind"))
+
+
+@query("greedy_assign", f"""WITH a AS (SELECT * FROM {ASSETS_SQL} WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY content_id, path ORDER BY score DESC, asset) = 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY content_id, visual_type = 'hook' ORDER BY scene) AS place FROM {SCENES_SQL} WHERE media IS NULL AND visual_type NOT IN ('cta', 'data', 'stat-reveal')),
+h AS (SELECT a.*, score >= 60 AND fit = 'cover' AS ok, (SELECT count(*) FROM s WHERE s.content_id = a.content_id AND visual_type = 'hook') AS hooks FROM a),
+r AS (SELECT *, ok AND row_number() OVER (PARTITION BY content_id, ok ORDER BY score DESC, asset) <= hooks AS hook FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY content_id, hook ORDER BY score DESC, asset) AS place FROM r)
+SELECT p.content_id, s.scene, p.asset, CAST(p.score AS DOUBLE) AS score FROM p JOIN s ON s.content_id = p.content_id AND s.place = p.place AND (s.visual_type = 'hook') = p.hook""")
+def _(s, d):
+    return assets.assign(_assets(s, d), _asset_scenes(s, d))
+
+
+@query("scene_recommendation", f"""WITH a AS (SELECT *, ['product_demo', 'talking_head', 'other'][CAST(asset % 3 + 1 AS INT)] AS kind FROM {ASSETS_SQL}), s AS (SELECT * FROM {SCENES_SQL} WHERE media IS NULL AND visual_type IN ('hook', 'narrative', 'info-card', 'quote')),
+b AS (SELECT a.content_id, asset, scene, visual_type FROM a JOIN s USING (content_id) QUALIFY row_number() OVER (PARTITION BY asset ORDER BY CASE WHEN visual_type = CASE kind WHEN 'product_demo' THEN 'narrative' WHEN 'talking_head' THEN 'quote' END THEN 0 ELSE 1 END, scene) = 1)
+SELECT content_id, asset, scene, CASE visual_type WHEN 'hook' THEN 'ken-burns' WHEN 'narrative' THEN CASE WHEN asset % 2 = 1 THEN 'zoom' ELSE 'ken-burns' END WHEN 'info-card' THEN CASE WHEN asset % 2 = 0 THEN 'ken-burns' ELSE 'fade' END ELSE 'fade' END AS animation, CASE visual_type WHEN 'hook' THEN 0.5 WHEN 'narrative' THEN 0.7 WHEN 'info-card' THEN 0.75 ELSE 0.8 END AS overlay FROM b""")
+def _(s, d):
+    return assets.recommend(_assets(s, d), _asset_scenes(s, d))
+
+
+@query("asset_relevance", f"""SELECT p_partkey, {SCORE} AS technical, least(CASE p_partkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 13 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 0 END, 30) AS relevance, least({SCORE} + least(CASE p_partkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 13 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 0 END, 30), 100) AS score, p_partkey % 7 <> 0 AND {SCORE} < 30 AS low FROM part""")
 def _(s, d):
-    a = _scored(s, d).select((F.col("p_partkey") % 50).alias("content_id"), F.lit("asset").alias("kind"), F.col("p_partkey").alias("ordinal"), F.col("score").cast("double").alias("score"), F.when(F.col("p_size") > 20, "cover").otherwise("contain").alias("fit"))
-    sc = s.range(50).select(F.col("id").alias("content_id"), F.lit("scene").alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("ordinal"), F.lit(None).cast("double").alias("score"), F.lit("").alias("fit"))
-    return assets.assign(a.unionByName(sc))
+    k = F.col("p_partkey")
+    subjects = F.when(k % 4 == 0, F.array(F.lit("Blue-Ray Disc"))).when(k % 4 == 1, F.array(F.lit("disc"), F.lit("x"), F.lit("Blue"))).when(k % 4 == 2, F.array(F.lit("rays")))
+    told = F.when(k % 3 == 0, "A Blue ray disc's shop (blue-ray disc)").when(k % 3 == 1, "xblue-ray discs")
+    rel = assets.relevance(F.lit("blue-ray disc"), subjects, told)
+    p = _scored(s, d).select("p_partkey", F.col("score").alias("technical"), rel.cast("int").alias("relevance"), F.when(k % 7 != 0, F.col("p_name")).alias("title"))
+    return p.select("p_partkey", "technical", "relevance", F.least(F.col("technical") + F.col("relevance"), F.lit(100)).alias("score"), assets.low_confidence(F.col("title"), F.lit("widget"), F.col("technical")).alias("low"))
 
 
 @query("nested_children", "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(string_agg(l_linenumber, ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")

@@ -20,11 +20,36 @@ def test_cues_end_at_pauses_sentences_and_length(spark):
 
 
 def test_hook_scene_takes_only_a_strong_cover(spark):
-    rows = [(1, "scene", 0, None, ""), (1, "scene", 1, None, ""), (1, "asset", 10, 90.0, "contain"), (1, "asset", 11, 60.0, "cover"), (1, "asset", 12, 59.0, "cover")]
-    got = sorted((r.scene, r.asset) for r in assets.assign(spark.createDataFrame(rows, "content_id long, kind string, ordinal long, score double, fit string")).collect())
+    scenes = spark.createDataFrame([(1, 0, "hook", None), (1, 1, "narrative", None), (1, 2, "cta", None), (1, 3, "quote", "m")], "content_id long, scene long, visual_type string, media string")
+    rows = [(1, 10, 90.0, "contain", "a"), (1, 11, 60.0, "cover", "b"), (1, 12, 59.0, "cover", "c"), (1, 13, 95.0, "contain", None), (1, 14, 80.0, "contain", "a")]
+    got = sorted((r.scene, r.asset) for r in assets.assign(spark.createDataFrame(rows, "content_id long, asset long, score double, fit string, path string"), scenes).collect())
     assert got == [(0, 11), (1, 10)]
 
 
+def test_assignment_as_a_loop_would(spark):
+    import random
+
+    rng = random.Random(6)
+    kinds = ["hook", "narrative", "cta", "quote"]
+    scenes = [(c, i, rng.choice(kinds), rng.choice([None, None, "m"])) for c in range(30) for i in range(rng.randint(0, 8))]
+    rows = [(c, a, float(rng.randint(40, 80)), rng.choice(["cover", "contain"])) for c in range(30) for a in range(rng.randint(0, 8))]
+    rows = [(*r, rng.choice([None, f"{r[3]}{rng.randint(0, 4)}"])) for r in rows]
+    want = []
+    for c in range(30):
+        taken, used = set(), set()
+        for _, a, score, fit, path in sorted((r for r in rows if r[0] == c), key=lambda r: (-r[2], r[1])):
+            if not path or path in used:
+                continue
+            own = sorted(x for x in scenes if x[0] == c and x[1] not in taken and x[3] is None)
+            pick = next((x for x in own if x[2] == "hook" and score >= 60 and fit == "cover"), None) or next((x for x in own if x[2] not in ("hook", "cta")), None)
+            if pick:
+                taken.add(pick[1])
+                used.add(path)
+                want.append((c, pick[1], a))
+    got = assets.assign(spark.createDataFrame(rows, "content_id long, asset long, score double, fit string, path string"), spark.createDataFrame(scenes, "content_id long, scene long, visual_type string, media string"))
+    assert sorted((r.content_id, r.scene, r.asset) for r in got.collect()) == sorted(want)
+
+
 def test_top_k_is_a_prefix_of_the_whole_order(spark):
     from quillon.plans.registry import QUERIES
 
