@@ -61,3 +61,58 @@ def or_else(rows: DataFrame, others: DataFrame) -> DataFrame:
     """rows, or the others if there are none."""
     none = rows.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none")).where("_none")  # one row or none
     return rows.unionByName(others.join(F.broadcast(none)).drop("_none"))
+
+
+def record_artifacts(manifest: DataFrame, written: DataFrame) -> DataFrame:
+    """Manifest rows (run, filename, written_at, ...) with the newly written ones; a file written again replaces its row."""
+    return upsert(manifest.withColumn("_new", F.lit(0)), written.withColumn("_new", F.lit(1)), ["run", "filename"], [F.desc("_new")]).drop("_new")
+
+
+def split_errors(rows: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without an error, rows with one): a job goes on with the first and logs the second."""
+    return rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull())
+
+
+#: Kinds of events that end a subscription; the one that begins it again.
+ENDS, BEGINS = ("unsubscribed", "bounced", "complaint"), "resubscribed"
+
+
+def subscription_times(subscribers: DataFrame, events: DataFrame) -> DataFrame:
+    """Subscribers (email, unsubscribed_at) after events (email, type, at): the last one that matters sets the time or clears it."""
+    last = events.where(F.col("type").isin(*ENDS, BEGINS)).groupBy("email").agg(F.max_by(F.struct("type", "at"), F.struct("at", "type")).alias("e"))
+    at = F.when(F.col("e").isNull(), F.col("unsubscribed_at")).when(F.col("e.type") != BEGINS, F.col("e.at"))
+    return subscribers.join(last, "email", "left").select("email", at.alias("unsubscribed_at"))
+
+
+def patch_field(rows: DataFrame, key: str, field: str, patches: DataFrame) -> DataFrame:
+    """rows with one field taken from patches (key, value) where there is one, null values included."""
+    side = patches.groupBy(key).agg(F.first("value").alias("_to"), F.lit(True).alias("_have"))
+    return rows.join(side, key, "left").withColumn(field, F.when(F.col("_have"), F.col("_to")).otherwise(F.col(field))).drop("_to", "_have")
+
+
+def only_one(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that are alone with their key; a second one fails the job."""
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.where(F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one row"))).otherwise(F.lit(True)).cast("boolean")).drop("_n")
+
+
+def lookup_or_fail(rows: DataFrame, side: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with the side's value; a key that the side lacks fails the job."""
+    named = side.select(key, F.col(value), F.lit(True).alias("_have"))
+    checked = F.when(F.col("_have"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("unknown key "), F.col(key).cast("string"))).cast(side.schema[value].dataType))
+    return rows.join(named, key, "left").withColumn(value, checked).drop("_have")
+
+
+def apply_media(scenes: DataFrame, patches: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(scenes after the patches, receipt): scenes (content, scene, media_type, media_path); patches (content, scene, ordinal, status, media_type,
+    media_path), a scene's first assigned one counts. Receipt: (content, added, replaced, already, conflicts, missing, skipped)."""
+    first = Window.partitionBy("content", "scene", F.col("status") == "assigned").orderBy("ordinal")
+    p = patches.select("content", "scene", "status", F.col("media_type").alias("_t"), F.col("media_path").alias("_p"), F.row_number().over(first).alias("_rn"))
+    met = p.join(scenes.withColumn("_have", F.lit(True)), ["content", "scene"], "left")
+    same = F.col("media_type").eqNullSafe(F.col("_t")) & F.col("media_path").eqNullSafe(F.col("_p"))
+    fate = F.when(F.col("status") != "assigned", "skipped").when(F.col("_have").isNull(), "missing").when(F.col("_rn") > 1, "conflict").when(F.col("media_path").isNull(), "added").when(same, "already").otherwise("replaced" if force else "conflict")
+    judged = met.withColumn("fate", fate)
+    receipt = judged.groupBy("content").agg(*[F.count_if(F.col("fate") == f).alias(n) for n, f in (("added", "added"), ("replaced", "replaced"), ("already", "already"), ("conflicts", "conflict"), ("missing", "missing"), ("skipped", "skipped"))])
+    done = judged.where(F.col("fate").isin("added", "replaced")).select("content", "scene", "_t", "_p")
+    out = scenes.join(done, ["content", "scene"], "left").select("content", "scene", F.coalesce("_t", "media_type").alias("media_type"), F.coalesce("_p", "media_path").alias("media_path"))
+    return out, receipt
