@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,8 @@ def write_store(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_c
 
     Each distinct chunk's bytes are shuffled and stored once (once for each task on the way), and
     rows of one hot digest are as few as the tasks that met it. Rows with equal ids are documents
-    of their own, ordered among themselves by their recipe. width 2 holds ids under 65,536.
+    of their own, ordered among themselves by their recipe. width 2 holds ids under 65,536. An empty table makes a store without
+    documents.
     """
     spark = docs.sparkSession
     path = f"{scratch_dir(spark)}/token-store-{uuid.uuid4().hex}"
@@ -96,16 +98,19 @@ def write_store(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_c
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(docs_n, np.int32)), pa.array(names, pa.binary()), b.column(0), pa.array(np.diff(off)), pa.array(recipes, pa.binary())], schema.names)
 
     def once(batches):
-        seen = set()
+        """Rows in the order of their keys, each key once; the names of recipes are keys of their own."""
+        last = None
         for b in batches:
-            keep = []
-            for k, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keep.append(k == 1 or key not in seen)
-                if k == 0:
-                    seen.add(key)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    entries = map_arrow(docs.select(id_col, text_col), encode, schema, forget).repartition(shuffle_partitions(spark), "key").mapInArrow(once, schema)
+            key = b.column(1)
+            new = np.ones(b.num_rows, bool)
+            if b.num_rows:
+                new[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+                new[0] = key[0].as_py() != last
+                last = key[-1].as_py()
+            yield b.filter(pa.array(new))
+
+    # sorted outside memory, so a partition may hold any number of chunks
+    entries = map_arrow(docs.select(id_col, text_col), encode, schema, forget).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(once, schema)
     entries.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/entries")
     stored = spark.read.schema(schema).parquet(f"{path}/entries").where("kind = 1").select("key", "doc", "n", "data")
     # the order column of a part: by id, then recipe, for rows of equal id
@@ -125,9 +130,9 @@ def write_store(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_c
 
 def roots(recipes: DataFrame, leaf_docs: int = 4096) -> DataFrame:
     """(part, root): Merkle root over each part's recipes in order; leaves cover runs of leaf_docs documents."""
-    row = F.xxhash64("place", "start", "n_tokens", "data")
+    row = F.sha2(F.concat(F.concat_ws(",", "place", "start", "n_tokens").cast("binary"), F.lit(b"\0"), "data"), 256)
     leaf = recipes.select("part", F.floor(F.col("place") % (1 << 33) / leaf_docs).alias("leaf"), "place", row.alias("h")).groupBy("part", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("hs"))
-    leaf = leaf.select("part", "leaf", F.sha2(F.array_join(F.transform("hs", lambda x: F.hex(x.h)), ","), 256).alias("leaf_hash"))
+    leaf = leaf.select("part", "leaf", F.sha2(F.array_join(F.transform("hs", lambda x: x.h), ","), 256).alias("leaf_hash"))
 
     def merkle(t: pa.Table) -> pa.Table:
         t = t.sort_by("leaf")
