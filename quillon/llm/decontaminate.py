@@ -59,10 +59,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # written, for plans below read it more than once and it stands for a pass over all documents
     probe = materialize(complete.where("all_seen").select("win", "ws", F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at"), F.size("ws").alias("len")), "probe")
 
-    met = bag.select("k1", "k2", "w", F.posexplode("w").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
-    fits = (F.col("probe.word") == F.col("met.word")) & (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", start + 1, F.col("len")) == F.col("ws"))
-    hits = met.alias("met").join(near(probe).alias("probe"), fits).select("k1", "k2", start.alias("s"), (start + F.col("len")).alias("e"), "win").distinct()
+    if small:
+        met = bag.select("k1", "k2", "w", F.posexplode("w").alias("pos", "word"))
+        fits = (F.col("probe.word") == F.col("met.word")) & (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", start + 1, F.col("len")) == F.col("ws"))
+        hits = met.alias("met").join(near(probe).alias("probe"), fits).select("k1", "k2", start.alias("s"), (start + F.col("len")).alias("e"), "win").distinct()
+    else:
+        # words travel alone, and a text's words once, to meet the places where windows may stand in it
+        alone = bag.select("k1", "k2", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+        may = alone.join(probe.select("word", "at", "len", "win"), "word").where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("k1", "k2", start.alias("s"), (start + F.col("len")).alias("e"), "win").distinct()
+        stands = F.array_join(F.slice("w", F.col("s") + 1, F.col("e") - F.col("s")), " ") == F.col("win")
+        hits = may.join(bag, ["k1", "k2"]).where(stands).select("k1", "k2", "s", "e", "win").distinct()
 
     spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"), F.collect_set("win").alias("wins"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, x: F.struct((a.n + F.greatest(x.e - F.greatest(x.s, a.to), F.lit(0))).alias("n"), F.greatest(a.to, x.e).alias("to")), lambda a: a.n)

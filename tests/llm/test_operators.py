@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from quillon.llm import decontaminate as decontamination
 from quillon.llm.classifier import quality_classifier
 from quillon.llm.counts import token_counts
 from quillon.llm.decontaminate import decontaminate
@@ -93,7 +94,9 @@ def test_substring_dedup(docs, empty):
         substring_dedup(docs, window=20)
 
 
-def test_decontaminate(spark, docs, empty):
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_decontaminate(spark, docs, empty, broadcast, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", broadcast)
     words = [[x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x] for _, t, *_ in ROWS]
     items = [("a", " ".join(words[20][5:40])), ("b", "one"), ("c", None), ("d", "..."), ("e", "never seen here"), ("f", " ".join(words[20][5:40]).upper()), ("g", " ".join(words[70][:9])), ("g", "one")]
     want = []
