@@ -119,36 +119,55 @@ class Model:
             log_share = np.maximum(np.log(noise * self.share), -1e4).astype(np.float32)
 
         def step(k: int, rows, g: np.ndarray, scale: float = 1.0) -> None:
-            speed[k][rows] += g * g
-            parts[k][rows] += rate * scale * g / np.sqrt(speed[k][rows])
-
-        def contrast(h, targets, of, q, b, log_noise, sampled) -> np.ndarray:
-            """Gradient of h, after a step on the targets' vectors q[of] and biases; targets and sampled count within of."""
-            good = 1 / (1 + np.exp(np.clip(-((h * q[of][targets]).sum(1) + b[of][targets] - log_noise[targets]), -30, 30)))
-            bad = 1 / (1 + np.exp(np.clip(-(h @ q[of][sampled].T + b[of][sampled] - log_noise[sampled]), -30, 30)))
-            m = 1 / len(h)
-            up, down = (1 - good) * m, -bad * m
-            dh = up[:, None] * q[of][targets] + down @ q[of][sampled]
-            one = np.zeros((len(log_noise), len(h)), np.float32)
-            one[targets, np.arange(len(h))] = up
-            gq, gb = one @ h, one.sum(1)
+            past = speed[k][rows] + g * g
+            speed[k][rows] = past
+            parts[k][rows] += rate * scale * g / np.sqrt(past)
+
+        def chance_of(x: np.ndarray) -> np.ndarray:
+            """Logistic function, in place."""
+            np.clip(x, -30, 30, out=x)
+            np.negative(x, out=x)
+            np.exp(x, out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
+
+        def contrast(h, targets, of, q, b, log_noise, sampled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Gradients of h, of the vectors q[of] and of their biases; targets and sampled count within of."""
+            own, qt, qz = b[of] - log_noise, q[of][targets], q[of][sampled]
+            up = chance_of(np.einsum("ij,ij->i", h, qt) + own[targets])
+            down = h @ qz.T
+            down += own[sampled]
+            chance_of(down)
+            m = np.float32(1 / len(h))
+            up = (1 - up) * m
+            down *= -m
+            dh = down @ qz
+            dh += up[:, None] * qt
+            gq, gb = np.zeros((len(log_noise), WIDTH), np.float32), np.bincount(targets, up, len(log_noise)).astype(np.float32)
+            rows, g = _sums_by_row(targets, up[:, None] * h)
+            gq[rows] = g
             np.add.at(gq, sampled, down.T @ h)
             np.add.at(gb, sampled, down.sum(0))
             return dh, gq, gb
 
         def descend(i: np.ndarray, of, k: int, targets, log_noise, chance) -> None:
-            x = ctx[i]
-            h = self.hidden(x, context, position)
+            x = before[i]
+            seen = context[x]  # [tokens, CONTEXT, WIDTH]
+            h = np.einsum("ijk,jk->ik", seen, position)
             sampled = rng.choice(len(chance), noise, p=chance)
             dh, gq, gb = contrast(h, targets, of, parts[k], parts[k + 1], log_noise, sampled)
             step(k, of, gq)
             step(k + 1, of, gb, 0.3)
-            rows, g = _sums_by_row(x.T.ravel(), np.concatenate([dh * position[j] for j in range(CONTEXT)]))
-            step(5, slice(None), np.stack([(dh * context[x[:, j]]).sum(0) for j in range(CONTEXT)]))
+            moved = np.einsum("ik,ijk->jk", dh, seen)
+            rows, g = _sums_by_row(x.ravel(), (dh[:, None, :] * position).reshape(-1, WIDTH))
+            step(5, slice(None), moved)
             step(0, rows, g)
 
+        # places as small numbers sort by radix
+        before = ctx.astype(np.int16 if len(self.mass) < 2**15 else np.int32)
+        inner = (c % CLASS_WORDS).astype(np.int16)
         for _ in range(passes):
-            own = c // CLASS_WORDS
+            own = (c // CLASS_WORDS).astype(np.int16 if self.classes < 2**15 else np.int32)
             some = rng.permutation(len(c))
             steps = [(None, some[lo : lo + batch]) for lo in range(0, len(c), batch)]
             shuffled = some[np.argsort(own[some], kind="stable")]
@@ -159,7 +178,7 @@ class Model:
                 if k is None:
                     descend(i, slice(0, self.classes), 3, own[i], log_prior, self.prior)
                 else:
-                    descend(i, slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS), 1, c[i] % CLASS_WORDS, log_share[k], self.share[k])
+                    descend(i, slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS), 1, inner[i], log_share[k], self.share[k])
         return [x - y for x, y in zip(parts, self.parts, strict=True)], (speed[0] > 1e-6).any(1), (speed[1] > 1e-6).any(1)
 
     def log_probs(self, c: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -168,9 +187,11 @@ class Model:
         out = np.zeros(len(c))
 
         def normal(h, q, b, targets) -> np.ndarray:
-            s = h @ q.T + b
+            s = h @ q.T
+            s += b
             s -= s.max(1, keepdims=True)
-            return s[np.arange(len(h)), targets] - np.log(np.exp(s).sum(1))
+            own = s[np.arange(len(h)), targets]
+            return own - np.log(np.exp(s, out=s).sum(1))
 
         order = np.argsort(c // CLASS_WORDS, kind="stable")
         own = c[order] // CLASS_WORDS
@@ -278,7 +299,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             m, total, seen = Model(*shared.value), None, None
             for b in batches:
                 for name, data in zip(b["block"].to_pylist(), b["data"], strict=True):
-                    if mix(np.array([name], U64))[0] % U64(rounds) != U64(turn % rounds):
+                    if (name + (name >> 32)) % rounds != turn % rounds:  # every task has blocks for every round
                         continue
                     h, d, held = tokens(unpack(data), id_col, text_col, modulus, held_out)
                     c, _ = m.place_of(h)
