@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,22 +31,6 @@ def coverage(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
     return out.select(group, (F.col("total") - F.col("holes")).alias("covered"), "total", F.round(100 * (F.col("total") - F.col("holes")) / F.col("total"), 1).alias("pct"))
 
 
-def cues(words: DataFrame, most: int = 6, pause: float = 0.6) -> DataFrame:
-    """Words (scene, start, end, text) into cues of at most ``most`` words that end with a sentence or at a pause."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], []
-        for r in pdf.sort_values(["start", "end"]).itertuples():
-            if held and (len(held) == most or r.start - held[-1].end > pause or held[-1].text.endswith((".", "!", "?"))):
-                out.append(held)
-                held = []
-            held.append(r)
-        rows = [(g[0].scene, i, g[0].start, max(w.end for w in g), " ".join(w.text for w in g)) for i, g in enumerate(out + [held] * bool(held))]
-        return pd.DataFrame(rows, columns=["scene", "cue", "start", "end", "text"])
-
-    return words.groupBy("scene").applyInPandas(one, f"scene {words.schema['scene'].dataType.simpleString()}, cue long, start double, end double, text string")
-
-
 def layout(rows: DataFrame, group: str, start: str, end: str, fill: float = 0.6, lead_frames: int = 2, fps: int = 30) -> DataFrame:
     """``shown_end``: an end beyond the next start is cut to it; one shortly before it is drawn out to some frames before it."""
     nxt = F.lead(start).over(Window.partitionBy(group).orderBy(start, end))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import media as M
 from quillon.operators import rules, timeline
 from quillon.sources.readers import table
-from quillon.sources.subtitles import parse_subtitles, subtitle_line
+from quillon.sources.subtitles import karaoke_text, karaoke_words, parse_subtitles, subtitle_line
 from quillon.streaming import jobs
 
 Q: dict = {}
@@ -64,14 +64,12 @@ def _(s, d):
     return table(s, d, "customer").select("c_custkey", (M.fnv1a(F.col("c_name")) % 5).alias("pick"))
 
 
-#: Advances in thousandths of an em.
-ADVANCES = {" ": 278, "i": 222, "l": 222, "m": 833, "w": 722}
-NARROW = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) * {n - 556}" for c, n in ADVANCES.items())
+WIDTHS = "MAP {" + ", ".join("'" + c.replace("'", "''") + f"': {n}" for c, n in M.ADVANCES.items()) + "}"
 
 
-@query("text_widths", f"SELECT conv_id, turn, (length(text) * 556 + {NARROW}) * 48.0 / 1000 AS width FROM conversations")
+@query("text_widths", f"SELECT conv_id, turn, list_sum(list_transform(string_split(text, ''), lambda c: coalesce({WIDTHS}[c], 556))) * 60.0 / 1000 AS width FROM conversations")
 def _(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", M.text_width(F.col("text"), ADVANCES, 556, 48.0).alias("width"))
+    return table(s, d, "conversations").select("conv_id", "turn", M.text_width(F.col("text"), M.ADVANCES, M.ADVANCE, 60.0).alias("width"))
 
 
 TIMES = "SELECT conv_id, turn, text, turn * 61.337 AS a, turn * 61.337 + 2.5 AS b FROM conversations"
@@ -97,6 +95,26 @@ def _(s, d):
     return parse_subtitles(_times(s, d).select("conv_id", "turn", subtitle_line(F.col("a"), F.col("b"), text).alias("line")), ["conv_id", "turn"], "line")
 
 
+KARAOKE = r"""'{\kt0\kf' || (20 + turn) || '}' || role || ' {\kt' || (30 + turn) || '\kf12.5}\{x\} {\kf10}end'"""
+
+
+@query("karaoke_render", f"SELECT conv_id, turn, {KARAOKE} AS text FROM conversations")
+def _(s, d):
+    t = F.col("turn")
+    word = lambda text, at, end: F.struct(text.alias("text"), at.alias("start"), end.alias("end"))
+    words = F.array(word(F.col("role"), F.lit(0.0), 0.2 + t / 100), word(F.lit("{x}"), 0.3 + t / 100, 0.425 + t / 100))
+    return table(s, d, "conversations").select("conv_id", "turn", F.concat(karaoke_text(words, F.lit(0.0)), F.lit(" {\\kf10}end")).alias("text"))
+
+
+@query("karaoke_words", """SELECT conv_id, turn, 0 AS i, role AS text, turn * 61.0 AS onset, (20 + turn) / 100.0 AS fill FROM conversations UNION ALL SELECT conv_id, turn, 1, '{x}', turn * 61.0 + (30 + turn) / 100.0, 0.125 FROM conversations
+UNION ALL SELECT conv_id, turn, 2, 'end', turn * 61.0 + (42.5 + turn) / 100.0, 0.1 FROM conversations""")
+def _(s, d):
+    t = F.col("turn")
+    text = F.concat(F.lit("{\\kt0\\kf"), 20 + t, F.lit("}"), F.col("role"), F.lit(" {\\kt"), 30 + t, F.lit("\\kf12.5}\\{x\\} {\\kf10}end"))
+    w = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(karaoke_words(text, t * 61.0)).alias("i", "w"))
+    return w.select("conv_id", "turn", "i", "w.text", F.round("w.onset", 6).alias("onset"), "w.fill")
+
+
 SCENES = r"""WITH t AS (SELECT conv_id, turn, text, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '')) AS n,
  list_max(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: len(list_filter(regexp_split_to_array(x, '[ \t\n\r]+'), lambda w: w <> '')))) AS b FROM conversations),
 v AS (SELECT conv_id, count(*) AS scenes, sum(n)::BIGINT AS words, max(b) AS breath, sum((contains(text, '—'))::INT)::BIGINT AS dashes, arg_min(n, turn) AS hook_words, arg_min(text, turn) AS hook, arg_max(text, turn) AS closer FROM t GROUP BY conv_id),

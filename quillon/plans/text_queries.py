@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.functions.urls import normalize_url, url_host
-from quillon.operators import evidence, index, timeline, trends
+from quillon.operators import cues, evidence, index, timeline, trends
 from quillon.sources.readers import chunk_markdown, table
 
 Q: dict = {}
@@ -238,7 +238,17 @@ def _(s, d):
     return timeline.offsets(c, "conv_id", "turn", "frames")
 
 
+def _word_times(s, d):
+    w = table(s, d, "conversations").select(F.col("conv_id").alias("content"), F.col("turn").cast("long").alias("scene"), F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
+    return w.select("content", "scene", F.lit(0).alias("segment"), "i", "text", (F.col("i") * 0.4).alias("start"), (F.col("i") * 0.4 + 0.35).alias("end"))
+
+
 @query("cue_grouping")
 def _(s, d):
-    w = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("scene"), F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
-    return timeline.cues(w.select("scene", (F.col("i") * 0.4).alias("start"), (F.col("i") * 0.4 + 0.35).alias("end"), "text"))
+    w = _word_times(s, d)
+    return cues.build(w, w.groupBy("content", "scene").agg(F.max("end").alias("duration")))
+
+
+@query("word_phrases")
+def _(s, d):
+    return cues.phrases(_word_times(s, d).select(F.concat_ws("-", "content", "scene").alias("scene"), "i", "text", "start", "end"))

@@ -18,3 +18,42 @@ def parse_subtitles(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
     raw = F.get(part, 9)
     karaoke = F.aggregate(F.regexp_extract_all(raw, F.lit(r"\\k[fo]?(\d+)"), 1), F.lit(0).cast("long"), lambda n, k: n + k.cast("long"))
     return lines.where(F.col(line).startswith("Dialogue:")).select(*keys, subtitle_seconds(F.get(part, 1)).alias("start"), subtitle_seconds(F.get(part, 2)).alias("end"), F.regexp_replace(raw, r"\{[^}]*\}", "").alias("text"), karaoke.alias("karaoke_cs"))
+
+
+def escaped(text: Column) -> Column:
+    """A text as subtitles hold it: backslashes and braces escaped, line ends as a tag."""
+    for a, b in (("\\", "\\\\"), ("{", "\\{"), ("}", "\\}")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.regexp_replace(text, r"\r?\n", r"\\N")
+
+
+def karaoke_text(words: Column, start: Column) -> Column:
+    """Words (text, start, end) with the offset from their line's start and the time they fill, in centiseconds to one decimal."""
+    begins = F.floor(start * 100 + 0.5) / 100
+
+    def centiseconds(x: Column) -> Column:
+        tenths = F.greatest(F.floor(x * 1000 + 0.5), F.lit(0))
+        return F.when(tenths % 10 == 0, (tenths / 10).cast("long").cast("string")).otherwise(F.format_string("%.1f", tenths / 10))
+
+    tagged = F.transform(words, lambda w: F.concat(F.lit("{\\kt"), centiseconds(w["start"] - begins), F.lit("\\kf"), centiseconds(w["end"] - w["start"]), F.lit("}"), escaped(w["text"])))
+    return F.array_join(tagged, " ")
+
+
+def karaoke_words(raw: Column, start: Column) -> Column:
+    """Array of (text, onset, fill) of a line's words: a tag sets the clock or goes on from the word before; a run without text takes
+    its time too. Tags without a time leave the clock alone."""
+    runs = F.regexp_extract_all(raw, F.lit(r"\{[^}]*\}(?:\\[\\{}Nh]|[^{\\]|\\[^\\{}Nh])*"), 0)
+    plain = lambda t: F.replace(F.replace(F.replace(F.regexp_replace(F.replace(F.replace(t, F.lit("\\N"), F.lit("\n")), F.lit("\\h"), F.lit(" ")), r"\\([{}])", "$1"), F.lit("\\\\"), F.lit("\\")), F.lit("\r"), F.lit("")), F.lit("\x00"), F.lit(""))
+    parts = F.transform(runs, lambda r: F.struct(
+        F.regexp_extract(r, r"^\{[^}]*\\kt(-?[\d.]+)", 1).try_cast("double").alias("at"), F.regexp_extract(r, r"^\{[^}]*\\(?:kf|ko|K|k)(-?[\d.]+)", 1).try_cast("double").alias("fill"),
+        F.btrim(plain(F.regexp_replace(r, r"^\{[^}]*\}", "")), F.lit(" \t\n\r")).alias("text"),
+    ))
+    word = "array<struct<text:string,onset:double,fill:double>>"
+    begin = F.struct(F.lit(0.0).alias("clock"), F.array().cast(word).alias("words"))
+
+    def step(s: Column, p: Column) -> Column:
+        at = F.coalesce(p["at"] / 100, s["clock"])
+        one = F.array(F.struct(p["text"].alias("text"), (start + at).alias("onset"), (p["fill"] / 100).alias("fill"))).cast(word)
+        return F.struct(F.when(p["fill"].isNull(), at).otherwise(at + p["fill"] / 100).alias("clock"), F.when(p["fill"].isNotNull() & (p["text"] != ""), F.concat(s["words"], one)).otherwise(s["words"]).alias("words"))
+
+    return F.aggregate(parts, begin, step, lambda s: s["words"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 
-from quillon.operators import assets, timeline, trends
+from quillon.operators import assets, cues, trends
 
 
 def test_greedy_merge_keeps_the_longest_title(spark):
@@ -13,10 +13,30 @@ def test_greedy_merge_keeps_the_longest_title(spark):
     assert got == {("b", "Acme raises $7 million for robots today"): (["x", "y"], ["u1", "u2"]), ("b", "Weather stays dry"): (["x"], ["u3"]), ("c", "Acme raises $5 million for robots"): (["x"], ["u4"])}
 
 
-def test_cues_end_at_pauses_sentences_and_length(spark):
-    words = [(1, i * 0.4, i * 0.4 + 0.3, t) for i, t in enumerate("a b. c d e f g h i".split())] + [(1, 9.0, 9.2, "late"), (2, 0.0, 0.2, "alone")]
-    got = sorted((r.scene, r.cue, r.text) for r in timeline.cues(spark.createDataFrame(words, "scene long, start double, end double, text string")).collect())
-    assert got == [(1, 0, "a b."), (1, 1, "c d e f g h"), (1, 2, "i"), (1, 3, "late"), (2, 0, "alone")]
+def test_words_are_grouped_into_lines():
+    assert cues.group("a b. c d e f g h i".split()) == [[0, 1], [2, 3, 4, 5, 6, 7], [8]]
+    assert cues.group("a b c d e f g".split()) == [[0, 1, 2, 3, 4, 5], [6]]
+    assert cues.group(["WWWWWWWWWW", "WWWW", "i"]) == [[0], [1, 2]]  # over the width, and a lone last word goes back
+    assert cues.group(["Yes.", "Exactly."]) == [[0, 1]]
+    assert cues.joined(["a", ",", "b", "!"]) == "a, b!"
+
+
+def test_short_cues_borrow_time_and_are_laid_out():
+    cue = lambda scene, words, a, b: {"scene": scene, "words": words, "from": a, "to": b, "clip_end": 10.0}
+    merged = cues.borrow([cue(1, ["a"], 0.0, 0.2), cue(1, ["b"], 0.3, 0.5), cue(1, ["c"], 3.0, 3.2), cue(2, ["d"], 3.3, 3.6)])
+    assert [c["words"] for c in merged] == [["a", "b"], ["c"], ["d"]]
+    times = cues.lay_out(merged)
+    assert times[0][0] == 0.0 and abs(times[0][1] - 1.0) < 1e-9  # held, and the next is far
+    assert all(b - a >= 1 / 30 - 1e-9 for a, b in times) and all(x[1] <= y[0] + 1e-9 for x, y in zip(times, times[1:], strict=False))
+    near = cues.lay_out([cue(1, ["a"], 1.0, 2.0), cue(1, ["b"], 2.8, 3.0)])
+    assert abs(near[0][1] - (2.8 - 2 / 30 - 2 / 30)) < 1e-9  # joined to the next over a short pause
+
+
+def test_phrases_end_at_sentences_commas_and_length(spark):
+    text = "one two, three four, five six seven eight nine ten eleven. one two, three four,"
+    words = [(1, i, t, i * 0.5, i * 0.5 + 0.4) for i, t in enumerate(text.split())]
+    got = [r.text for r in sorted(cues.phrases(spark.createDataFrame(words, "scene long, i long, text string, start double, end double")).collect(), key=lambda r: r.phrase)]
+    assert got == ["one two, three four,", "five six seven eight nine ten eleven."]
 
 
 def test_hook_scene_takes_only_a_strong_cover(spark):
@@ -65,7 +85,7 @@ def test_long_sections_are_packed_by_paragraph(spark):
     text = f"gone\n## A\n\n{big}\n\n\n{big}\n\n{huge}\n\n \n\nend\n## B\nshort\n"
     rows = [(1, text), (2, huge + "\n\n" + huge), (3, " ")]
     got = sorted(tuple(r) for r in chunk_markdown(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect())
-    assert got == [(1, 0, "A", f"## A\n\n{big}\n\n{big}"), (1, 1, "A", huge), (1, 2, "A", "end"), (1, 3, "B", "## B\nshort\n"), (2, 0, None, huge + "\n\n" + huge)]
+    assert got == [(1, 0, "A", f"## A\n\n{big}\n\n{big}"), (1, 1, "A", huge), (1, 2, "A", "end"), (1, 3, "B", "## B\nshort"), (2, 0, None, huge + "\n\n" + huge)]
 
 
 def test_topics_merge_across_sources_as_one_ordered_list_would(spark):
@@ -96,8 +116,8 @@ def test_cue_grouping_covers_every_turn(spark):
 
     sf = "/root/testdata/sf0.001"
     said: dict = {}
-    for r in sorted(QUERIES["cue_grouping"](spark, sf).collect(), key=lambda r: r.cue):
-        said.setdefault(r.scene, []).append(r.text)
+    for r in sorted(QUERIES["cue_grouping"](spark, sf).collect(), key=lambda r: (r.content, r.cue)):
+        said.setdefault((r.content, r.scene), []).append(r.text)
     turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     assert len({(r.conv_id, r.turn) for r in turns}) == len(turns) == len(said)
-    assert all(" ".join(said[f"{r.conv_id}-{r.turn}"]).split() == r.text.split() for r in turns)
+    assert all(" ".join(said[r.conv_id, r.turn]).split() == r.text.split() for r in turns)
