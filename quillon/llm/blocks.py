@@ -25,10 +25,11 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
 
 
-def pack_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES, stored: bool = True) -> DataFrame:
     """Table (block, n_bytes, data): all of docs' columns, as compressed Arrow of about block_bytes of text.
 
-    A text longer than that is a block of its own. Row order in a block is fixed by the stored table.
+    A text longer than that is a block of its own. Row order in a block is fixed by the stored table. A table that isn't
+    stored serves one query that shuffles it by block and uses that shuffle wherever it needs the blocks.
     """
     at = docs.columns.index(text_col)
 
@@ -64,7 +65,8 @@ def pack_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
         if held:
             yield flush()
 
-    return materialize(docs.mapInArrow(pack, "block long, n_bytes long, data binary"), "blocks")
+    packed = docs.mapInArrow(pack, "block long, n_bytes long, data binary")
+    return materialize(packed, "blocks") if stored else packed
 
 
 def unpack(data) -> pa.Table:
@@ -73,8 +75,11 @@ def unpack(data) -> pa.Table:
 
 def bucket_count(blocks: DataFrame, bytes_per_text_byte: float) -> int:
     """So many that a bucket's keys take about BUCKET_BYTES; a few for each shuffle partition at least."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(4 * shuffle_partitions(blocks.sparkSession), int(total * bytes_per_text_byte / BUCKET_BYTES) + 1)
+    return buckets_for(blocks.sparkSession, blocks.agg(F.sum("n_bytes")).first()[0] or 0, bytes_per_text_byte)
+
+
+def buckets_for(spark, total: int, bytes_per_text_byte: float) -> int:
+    return max(4 * shuffle_partitions(spark), int(total * bytes_per_text_byte / BUCKET_BYTES) + 1)
 
 
 def split_by_bucket(block: int, keys: np.ndarray, high: np.ndarray, buckets: int, extra: np.ndarray | None = None):
