@@ -43,6 +43,12 @@ def since_seconds(text: Column) -> Column:
     return F.regexp_extract(text, r"^(\d+)[dhm]$", 1).try_cast("long") * F.try_element_at(units, F.right(text, F.lit(1)))
 
 
+def since_time(text: Column, now: Column) -> Column:
+    """The time that a relative one (7h) or a date means; null if it is neither."""
+    ago = F.timestamp_seconds(F.unix_seconds(now) - since_seconds(text))
+    return F.coalesce(ago, F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), text)))
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over the code points of a text (its bytes, for ASCII)."""
     points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

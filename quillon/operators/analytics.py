@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.scratch import kept
+
 
 def totals(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Sums with null as 0, and the number of rows."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(v, F.lit(0))).alias(f"total_{v}") for v in values])
 
 
-def best_variant(rows: DataFrame, group: str, variant: str, score: Column, least: int = 2) -> DataFrame:
-    """Of each group with at least ``least`` scored variants, the best; ties keep the first by name."""
+def best_variant(rows: DataFrame, group: str, variant: str, score: Column, least: int = 2, order: str | None = None) -> DataFrame:
+    """Of each group with at least ``least`` scored variants, the best; ties keep the first in an order, by name if none is given."""
     w = Window.partitionBy(group)
-    out = rows.withColumn("score", score).where("score IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rn", F.row_number().over(w.orderBy(F.desc("score"), variant)))
+    out = rows.withColumn("score", score).where("score IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rn", F.row_number().over(w.orderBy(F.desc("score"), order or variant)))
     return out.where((F.col("_rn") == 1) & (F.col("_n") >= least)).select(group, variant, "score")
 
 
@@ -40,15 +42,16 @@ def latest_state(events: DataFrame, key: str, order: Column, state: Column) -> D
     return events.groupBy(key).agg(F.max_by(state, order).alias("state"))
 
 
-def descend(edges: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
-    """(id, path) of each node under the roots; edges(parent, child). A level is a join; ends with the last level."""
+def descend(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, path) of each node under the roots; edges(parent, child). A level is a join; ends with the last level, and a path never
+    comes back to a node of its own."""
     out = level = roots.select("id", F.array("id").alias("path"))
-    for _ in range(most):
+    while True:
         level = level.join(edges, level.id == edges.parent).where(~F.array_contains("path", F.col("child"))).select(F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path"))
+        level = kept(level)
         if level.isEmpty():
-            break
+            return out
         out = out.union(level)
-    return out
 
 
 def exploded_counts(rows: DataFrame, values: str, name: str) -> DataFrame:

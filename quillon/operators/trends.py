@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import title_tokens
+from quillon.operators.scratch import kept
 
 #: Keyword table of the classes, in their priority.
 CLASSES = [
@@ -79,20 +80,15 @@ def merge_topics(articles: DataFrame) -> DataFrame:
     return articles.groupBy("block").applyInPandas(lambda pdf: greedy_merge(pdf), "block string, title string, sources array<string>, urls array<string>, category string")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Rows written once to the shared checkpoint folder; where that is unset (one machine), held by the executors."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(k, root) for every end of a pair (a, b): the least of its connected component, by least labels and pointer jumping."""
-    both = _kept(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _kept(both.groupBy(F.col("a").alias("k")).agg(F.min(F.least("a", "b")).alias("root")))
+    both = kept(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = kept(both.groupBy(F.col("a").alias("k")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
         least = both.join(label.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("root").alias("m"))
         lower = label.join(least, "k").select("k", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jumped = lower.join(label.select(F.col("k").alias("root"), F.col("root").alias("far")), "root", "left")
-        changed = _kept(jumped.select("k", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
+        changed = kept(jumped.select("k", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
         label = changed.select("k", "root")
         if not changed.where("root <> was").limit(1).count():
             return label
@@ -154,7 +150,7 @@ def merge_all_topics(articles: DataFrame) -> DataFrame:
     named = sets.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("root"))
     keyed = titles.join(named, "t", "left").select("title", "t", "ordinals", F.coalesce("root", "own").alias("root"))
     placed = keyed.groupBy("root").applyInPandas(lambda pdf: ordered_merge(pdf), "ordinal long, topic long, title string")
-    rows = _kept(articles.drop("title").join(placed, "ordinal"))
+    rows = kept(articles.drop("title").join(placed, "ordinal"))
 
     def seen(col: str) -> DataFrame:
         """The values of each topic in the order of their first articles."""

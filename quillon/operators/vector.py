@@ -70,3 +70,14 @@ def rerank(results: DataFrame, keys: list[str], scores: str, id_col: str, where:
     out = results.withColumn("_by", F.when(n > 3, -F.round(mean(F.col(scores)), 9)).otherwise(0.0))
     out = out if where is None else out.where(where)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_by", id_col))).drop("_by")
+
+
+def register(spark, index_view: str, roles_view: str | None = None) -> None:
+    """SQL forms: match_content(query, kind, threshold, k), a table function over a view (vec_id, label, embedding) where a null kind
+    filters nothing; has_role(user, role) over a view (user_id, role)."""
+    product = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
+    similarity = f"{product('embedding', 'query')} / sqrt({product('embedding', 'embedding')} * {product('query', 'query')})"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION match_content(query ARRAY<DOUBLE>, kind INT, threshold DOUBLE, k INT) RETURNS TABLE(vec_id BIGINT, label INT, similarity DOUBLE)
+        RETURN SELECT vec_id, label, similarity FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rn FROM (SELECT vec_id, label, round({similarity}, 6) AS similarity FROM {index_view} WHERE kind IS NULL OR label = kind) WHERE similarity > threshold) WHERE rn <= k""")
+    if roles_view:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION has_role(u BIGINT, r STRING) RETURNS BOOLEAN RETURN EXISTS (SELECT 1 FROM {roles_view} WHERE user_id = u AND role = r)")

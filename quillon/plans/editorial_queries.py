@@ -276,3 +276,62 @@ def _(s, d):
     # dates as texts; those that can't be read count as undated and go
     e = table(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("published"))
     return trends.fresh(e, F.try_to_timestamp("published"), F.lit("2024-01-30").cast("timestamp"), 2).select("event_id")
+
+
+@query("sql_match_content", "SELECT a.vec_id, a.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b WHERE a.label = 3 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 0.01 ORDER BY 3 DESC, 1 LIMIT 8")
+def _(s, d):
+    from quillon.operators import vector
+
+    e = table(s, d, "embeddings")
+    e.createOrReplaceTempView("embedding_index")
+    vector.register(s, "embedding_index")
+    probe = ", ".join(map(repr, map(float, e.where("vec_id = 7").first().embedding)))  # one row
+    return s.sql(f"SELECT * FROM match_content(array({probe}), 3, 0.01D, 8)")
+
+
+@query("sql_has_role", "SELECT DISTINCT user_id, EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 95) AS admin FROM events e")
+def _(s, d):
+    from quillon.operators import vector
+
+    e = table(s, d, "events")
+    e.where("value > 95").selectExpr("user_id", "event_type AS role").createOrReplaceTempView("user_roles")
+    table(s, d, "embeddings").createOrReplaceTempView("embedding_index")
+    vector.register(s, "embedding_index", "user_roles")
+    e.select("user_id").distinct().createOrReplaceTempView("some_users")
+    return s.sql("SELECT user_id, has_role(user_id, 'error') AS admin FROM some_users")
+
+
+@query("json_paths", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'array' WHEN 1 THEN 'object' ELSE 'string' END AS kind, CASE WHEN event_id % 3 = 0 THEN 2 END AS size, CASE WHEN event_id % 3 = 1 THEN event_type END AS inner_value FROM events")
+def _(s, d):
+    k = F.col("event_id") % 3
+    raw = F.concat(F.lit('{"topics": '), F.when(k == 0, '["a", "b"]').when(k == 1, F.concat(F.lit('{"x": "'), "event_type", F.lit('"}'))).otherwise('"plain"'), F.lit("}"))
+    doc = F.parse_json(raw)
+    kind = F.lower(F.regexp_extract(F.schema_of_variant(F.try_variant_get(doc, "$.topics", "variant")), "^([A-Z]+)", 1))
+    return table(s, d, "events").select("event_id", kind.alias("kind"), F.json_array_length(F.when(k == 0, F.get_json_object(raw, "$.topics"))).alias("size"), F.try_variant_get(doc, "$.topics.x", "string").alias("inner_value"))
+
+
+@query("nulls_first", "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN n_chars END AS n FROM documents ORDER BY n DESC NULLS FIRST, doc_id LIMIT 100")
+def _(s, d):
+    n = F.when(F.col("doc_id") % 4 > 0, F.col("n_chars"))
+    return table(s, d, "documents").select("doc_id", n.alias("n")).orderBy(F.desc_nulls_first("n"), "doc_id").limit(100)
+
+
+@query("bookmark_search", "SELECT n_nationkey AS id, 'bar/' || r_name || '/' || n_name AS path FROM nation JOIN region ON r_regionkey = n_regionkey WHERE contains(lower(r_name || n_name), 'a') AND contains(lower(n_name), '1')")
+def _(s, d):
+    from quillon.operators.analytics import descend
+
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    edges = r.select(F.lit("bar").alias("parent"), F.col("r_name").alias("child")).union(n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name"))
+    tree = descend(edges, s.createDataFrame([("bar",)], "id string")).select("id", F.array_join("path", "/").alias("path"))
+    marks = tree.join(n.select(F.col("n_name").alias("id"), "n_nationkey", "n_regionkey"), "id")
+    hay = F.lower(F.col("path"))
+    return marks.where(F.contains(F.substring_index(hay, "/", -2), F.lit("a")) & F.contains(F.lower("id"), F.lit("1"))).select(F.col("n_nationkey").alias("id"), "path")
+
+
+@query("since_times", "SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN TIMESTAMP '2024-06-01' - INTERVAL 1 DAY * p_size WHEN 1 THEN TIMESTAMP '2024-06-01' - INTERVAL 1 HOUR * p_size WHEN 2 THEN TIMESTAMP '2024-05-03' END AS VARCHAR) AS since FROM part")
+def _(s, d):
+    from quillon.functions.media import since_time
+
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(n, F.lit("d"))).when(k == 1, F.concat(n, F.lit("h"))).when(k == 2, "2024-05-03").otherwise("soon")
+    return table(s, d, "part").select("p_partkey", since_time(text, F.lit("2024-06-01").cast("timestamp")).cast("string").alias("since"))

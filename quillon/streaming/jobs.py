@@ -1,25 +1,18 @@
-"""Streaming forms of the scheduled jobs: each reads what is new, then stops (available-now), and can run on as it is.
+"""Streaming forms of the scheduled jobs: each reads what is new, then stops (available-now).
 
-Windows with watermarks are extensions. Tables and checkpoints lie below ``spark.checkpoint.dir``.
+A job that is given its folder goes on there the next time; without one it starts anew below ``spark.checkpoint.dir``. Windows
+with watermarks are extensions.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.operators.index import upsert
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; where that is unset (tests), below one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from quillon.operators.scratch import folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,29 +27,39 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def run(stream: DataFrame, name: str) -> DataFrame:
-    """Append the stream's rows to Parquet and return them."""
-    path = folder(stream.sparkSession, name)
+def run(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Append the stream's rows to Parquet and return all there are."""
+    path = path or folder(stream.sparkSession, name)
     stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
-    """The newest row of each key after every batch: a batch makes the next version of the table, so a batch that is run again gives the same one."""
-    path = folder(stream.sparkSession, name)
+def newest_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest finished version below a folder, -1 without one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return -1
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(done, default=-1)
+
 
-    def version(i: int) -> str:
-        return f"{path}/table/v{i}"
+def upsert_stream(stream: DataFrame, keys: list[str], order: list, name: str, path: str | None = None) -> DataFrame:
+    """The newest row of each key after every batch: a batch makes the next version of the table, so a batch that is run again gives the same one.
 
-    last = [-1]
+    A version is the whole table, one shuffle by key; batches are to be large (a day's rows) against it.
+    """
+    spark, path = stream.sparkSession, path or folder(stream.sparkSession, name)
+    tables = f"{path}/table"
 
     def merge(batch: DataFrame, i: int) -> None:
-        before = batch.sparkSession.read.parquet(version(i - 1)) if i else batch.limit(0)
-        upsert(before, batch, keys, order).write.mode("overwrite").parquet(version(i))
-        last[0] = i
+        before = batch.sparkSession.read.schema(stream.schema).parquet(f"{tables}/v{i - 1}") if i else batch.limit(0)
+        upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{tables}/v{i}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(version(last[0])) if last[0] >= 0 else stream.sparkSession.createDataFrame([], stream.schema)
+    last = newest_version(spark, tables)
+    return spark.read.schema(stream.schema).parquet(f"{tables}/v{last}") if last >= 0 else spark.createDataFrame([], stream.schema)
 
 
 def window_counts(stream: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:

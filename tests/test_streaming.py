@@ -33,6 +33,19 @@ def test_upsert_keeps_newest_over_batches(stream):
     assert got == {1: 3.0, 2: 2.0, 3: 4.0, 4: None}
 
 
+def test_a_job_goes_on_in_its_folder(spark, tmp_path):
+    def latest():
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        return {r["k"]: r["v"] for r in jobs.upsert_stream(stream, ["k"], [F.desc("ts")], "latest", str(tmp_path / "job")).collect()}
+
+    add = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    add(BATCHES[0])
+    assert latest() == {1: 1.0, 2: 2.0}
+    assert latest() == {1: 1.0, 2: 2.0}  # nothing new
+    add(BATCHES[1])
+    assert latest() == {1: 3.0, 2: 2.0, 3: 4.0}
+
+
 def test_state_counts_over_batches(stream):
     rows = jobs.run(jobs.count_and_last(stream.where("v IS NOT NULL"), "k", "ts", F.col("v")), "last").collect()
     got = {}
