@@ -105,11 +105,11 @@ class Model:
     def hidden(self, ctx: np.ndarray, context: np.ndarray, position: np.ndarray) -> np.ndarray:
         return sum(context[ctx[:, i]] * position[i] for i in range(CONTEXT))
 
-    def train(self, c: np.ndarray, ctx: np.ndarray, seed: int, noise: int = 64, batch: int = 2048, rate: float = 0.1, passes: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def train(self, c: np.ndarray, ctx: np.ndarray, seed: int, noise: int = 64, batch: int = 512, rate: float = 0.1, passes: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Changes of the parameters after passes of noise-contrastive estimation over the tokens, and which context and word rows changed.
 
-        A step on classes takes tokens at random, with noise of the class prior; a step on words takes tokens of one class, with noise
-        of the words' shares in it. Steps are scaled by the squares of past gradients (of rows that a step touches alone).
+        A step takes tokens of one class, and holds their words against noise of the words' shares in it and the class against noise of
+        the class prior. Steps are scaled by the squares of past gradients (of rows that a step touches alone).
         """
         rng = np.random.default_rng(seed)
         context, word, word_bias, cls, cls_bias, position = parts = [x.copy() for x in self.parts]
@@ -150,14 +150,17 @@ class Model:
             np.add.at(gb, sampled, down.sum(0))
             return dh, gq, gb
 
-        def descend(i: np.ndarray, of, k: int, targets, log_noise, chance) -> None:
+        def descend(i: np.ndarray, k: int) -> None:
+            """One step on tokens of class k: their words against noise of the class, and the class against noise of all."""
             x = before[i]
             seen = context[x]  # [tokens, CONTEXT, WIDTH]
             h = np.einsum("ijk,jk->ik", seen, position)
-            sampled = rng.choice(len(chance), noise, p=chance)
-            dh, gq, gb = contrast(h, targets, of, parts[k], parts[k + 1], log_noise, sampled)
-            step(k, of, gq)
-            step(k + 1, of, gb, 0.3)
+            of, whole = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS), slice(0, self.classes)
+            dh, gw, gb = contrast(h, inner[i], of, word, word_bias, log_share[k], rng.choice(CLASS_WORDS, noise, p=self.share[k]))
+            more, gc, gd = contrast(h, np.full(len(i), k), whole, cls, cls_bias, log_prior, rng.choice(self.classes, noise, p=self.prior))
+            dh += more
+            for at, rows, g, scale in ((1, of, gw, 1.0), (2, of, gb, 0.3), (3, whole, gc, 1.0), (4, whole, gd, 0.3)):
+                step(at, rows, g, scale)
             moved = np.einsum("ik,ijk->jk", dh, seen)
             rows, g = _sums_by_row(x.ravel(), (dh[:, None, :] * position).reshape(-1, WIDTH))
             step(5, slice(None), moved)
@@ -169,16 +172,12 @@ class Model:
         for _ in range(passes):
             own = (c // CLASS_WORDS).astype(np.int16 if self.classes < 2**15 else np.int32)
             some = rng.permutation(len(c))
-            steps = [(None, some[lo : lo + batch]) for lo in range(0, len(c), batch)]
             shuffled = some[np.argsort(own[some], kind="stable")]
             ends = np.searchsorted(own[shuffled], np.arange(self.classes + 1))
-            steps += [(k, shuffled[lo : min(lo + batch, ends[k + 1])]) for k in range(self.classes) for lo in range(ends[k], ends[k + 1], batch)]
+            steps = [(k, shuffled[lo : min(lo + batch, ends[k + 1])]) for k in range(self.classes) for lo in range(ends[k], ends[k + 1], batch)]
             for s in rng.permutation(len(steps)):
                 k, i = steps[s]
-                if k is None:
-                    descend(i, slice(0, self.classes), 3, own[i], log_prior, self.prior)
-                else:
-                    descend(i, slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS), 1, inner[i], log_share[k], self.share[k])
+                descend(i, k)
         return [x - y for x, y in zip(parts, self.parts, strict=True)], (speed[0] > 1e-6).any(1), (speed[1] > 1e-6).any(1)
 
     def log_probs(self, c: np.ndarray, ctx: np.ndarray) -> np.ndarray:
