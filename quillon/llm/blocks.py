@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, shuffle_partitions
+from quillon.llm.common import give_back, materialize, shuffle_partitions
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
@@ -107,6 +107,7 @@ def answer(asked: DataFrame, reply: Callable[[list[bytes], list[bytes]], list[by
     """(block, bucket, answer): reply(keys, extra of all blocks) gives each block's answer, for each bucket."""
 
     def one(t: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         out = reply(t["keys"].to_pylist(), t["extra"].to_pylist())
         return pa.table([t["block"], t["bucket"], pa.array(out, pa.binary())], schema=ANSWER)
 
@@ -117,6 +118,7 @@ def meet(blocks: DataFrame, answers: DataFrame, then: Callable[[int, pa.Table, l
     """then(name, documents, answers in bucket order) for each block."""
 
     def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         right = right.sort_by("bucket")
         return then(key[0].as_py(), unpack(left["data"][0]), right["answer"].to_pylist())
 

@@ -48,8 +48,15 @@ def by_bytes(batches: Iterable[pa.RecordBatch], text: int, size: int = 1 << 20,
             i = j
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the machine: workers live on and share the executor with later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only in GNU's C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable, schema, forget: Callable[[], None] | None = None) -> DataFrame:
-    """``df.mapInArrow``, after which a task gives its worker's freed memory back: workers live on and share the executor with later stages."""
+    """``df.mapInArrow``, after which a task gives its worker's freed memory back."""
 
     def run(batches):
         try:
@@ -57,9 +64,7 @@ def map_arrow(df: DataFrame, work: Callable, schema, forget: Callable[[], None]
         finally:
             if forget:
                 forget()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only in GNU's C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import by_bytes, map_arrow
+from quillon.llm.common import by_bytes, give_back, map_arrow
 from quillon.llm.encoder import ENCODE_BYTES, encoder, forget
 
 
@@ -143,7 +143,7 @@ def plan(off: np.ndarray, cum: np.ndarray, limits: tuple[int, int, int]):
     if extra:
         placed.append(tuple(np.array(x, np.int64) for x in zip(*extra, strict=True)))
     doc, start, length, seq, at = (np.concatenate([np.asarray(p[i], np.int64) for p in placed]) for i in range(5))
-    return doc, start, length, cum[start + length] - cum[start + 1] if len(start) else length, seq, at, count
+    return doc, start, length, (cum[start + length] - cum[start + 1]).astype(np.int64) if len(start) else length, seq, at, count
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_tokens: int = 4_000_000, with_ids: bool = True) -> DataFrame:
@@ -168,23 +168,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, i
     schema = T.StructType([f for i, f in enumerate(fields) if i == 0 or f.name != id_col])
     limits = (max_tokens, max_segments, max_loss)
 
-    def encoded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, bounds of documents, whether each id bears loss), end ids among them."""
+    def encoded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(ids, bounds of documents, whether each id bears loss or None for all), end ids among them."""
         enc = encoder(tokenizer, spaces)
         if parts_col is None:
             ids, off = enc.encode(part.column(1))
-            bears = np.ones(len(ids), bool)
-            last = np.ones(len(off) - 1, bool)
-        else:
-            lists = part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1)
-            flat = lists.flatten()
-            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-            ends = np.concatenate(([0], np.cumsum(n)))
-            ids, each = enc.encode(pc.struct_field(flat, "text"))
-            marked = np.asarray(pc.fill_null(pc.struct_field(flat, "loss"), False), bool)
-            bears = np.repeat(marked, np.diff(each))
-            off = each[ends]
-            last = np.where(n > 0, marked[np.maximum(ends[1:], 1) - 1] if len(marked) else False, False)
+            return np.insert(ids, off[1:], end_id), off + np.arange(len(off)), None
+        lists = part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1)
+        flat = lists.flatten()
+        n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids, each = enc.encode(pc.struct_field(flat, "text"))
+        marked = np.asarray(pc.fill_null(pc.struct_field(flat, "loss"), False), bool)
+        bears = np.repeat(marked, np.diff(each))
+        off = each[ends]
+        last = np.where(n > 0, marked[np.maximum(ends[1:], 1) - 1] if len(marked) else False, False)
         return np.insert(ids, off[1:], end_id), off + np.arange(len(off)), np.insert(bears, off[1:], last)
 
     def groups(batches):
@@ -195,6 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, i
             size += len(held[-1][1])
             if size >= group_tokens:
                 yield held
+                give_back()
                 held, size = [], 0
         if held:
             yield held
@@ -203,15 +202,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, i
         base = TaskContext.get().partitionId() << 34
         for held in groups(batches):
             keys = pa.concat_arrays([h[0] for h in held])
-            ids = np.concatenate([h[1] for h in held])
             shift = np.cumsum([0] + [len(h[1]) for h in held])
             off = np.concatenate([h[2][:-1] + s for h, s in zip(held, shift[:-1], strict=True)] + [shift[-1:]])
-            cum = np.concatenate(([0], np.cumsum(np.concatenate([h[3] for h in held]))))
+            kind = np.int32 if shift[-1] < 2**31 - 1 else np.int64
+            cum = np.arange(shift[-1] + 1, dtype=kind) if held[0][3] is None else np.concatenate(([0], np.concatenate([h[3] for h in held]))).cumsum(dtype=kind)
+            ids = np.concatenate([h[1] for h in held])
+            held.clear()
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             doc, start, length, loss, seq, at, count = plan(off, cum, limits)
-            raw = ids.astype("<u4").tobytes()
             data = [raw[4 * i : 4 * (i + n)] for i, n in zip(start.tolist(), length.tolist(), strict=True)]
             crc = np.fromiter((zlib.crc32(x) for x in data), np.int64, len(data))
-            cols = [keys.take(pa.array(doc)), start - off[doc], length, crc, np.diff(off)[doc], loss, seq + base, at] + [pa.array(data, pa.binary())] * with_ids
+            cols = [keys.take(pa.array(doc)), start - off[doc], length, crc, np.diff(off)[doc], loss, seq + base, at] + [pa.array([bytes(x) for x in data] if with_ids else [], pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
             base += count
 
