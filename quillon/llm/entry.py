@@ -117,6 +117,44 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), spaces=False)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd rounds, each comparing every part with every entry."""
+    gap = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = f"SELECT p.row, p.part, any_value(p.v) AS v, min(struct_pack(d := {gap}, e := c.e)) AS s FROM p JOIN c{{r}} c USING (part) GROUP BY p.row, p.part"
+    ctes = [
+        "k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT row, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS v FROM k, range(0, {parts}) t(part))",
+        f"c0 AS MATERIALIZED (SELECT part, row - 1 AS e, v FROM p WHERE row <= {entries})",
+    ]
+    for r in range(rounds):
+        ctes.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        ctes.append(f"m{r} AS (SELECT part, e, list(m ORDER BY i) AS v FROM (SELECT part, s.e AS e, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM a{r}, range(1, (SELECT max(len(v)) FROM p) + 1) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+        ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (part, e))")
+    ctes.append(f"a{rounds} AS MATERIALIZED ({near.format(r=rounds)})")
+    ctes.append(f"f AS (SELECT row, string_agg(printf('%02x', s.e), '' ORDER BY part) AS code, CAST(sum(s.d) AS BIGINT) AS error FROM a{rounds} GROUP BY row)")
+    ctes.append(f"b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS h FROM c{rounds})")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM b) AS codebooks_sha256 FROM k JOIN f USING (row)"
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.mixing import mix_sources
+
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", F.element_at("source_sizes", 1).alias("source_size"), F.element_at("targets", 1).alias("target"), "taken", F.element_at("sources", 1).alias("source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -128,8 +166,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_mix": op13_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op12_vector_codes": _op12_sql(),
 }

@@ -14,10 +14,11 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    of, key = ("embeddings", "vec_id") if "vec_id" in df.columns else ("documents", "doc_id")
+    assert {r[key] for r in rows} == {r[key] for r in spark.read.parquet(f"{SF}/{of}.parquet").select(key).collect()}
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         found = con.execute(ORACLE_SQL[name])
         have = [d[0] for d in found.description]
