@@ -257,6 +257,7 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 
 
-def sized(embedding: Column, size: int) -> Column:
+def sized(embedding: Column, size: int | Column) -> Column:
     """A vector of the wanted size; any other fails the job."""
-    return F.when(F.size(embedding) == size, embedding).otherwise(F.raise_error(F.concat(F.lit(f"expected {size} dimensions, got "), F.size(embedding).cast("string"))).cast("array<float>"))
+    wanted = size if isinstance(size, Column) else F.lit(size)
+    return F.when(F.size(embedding) == wanted, embedding).when(embedding.isNotNull(), F.raise_error(F.concat(F.lit("expected "), wanted.cast("string"), F.lit(" dimensions, got "), F.size(embedding).cast("string"))).cast("array<float>"))

@@ -48,14 +48,20 @@ def html_title(html: Column) -> Column:
     return F.regexp_extract(html, "(?i)<title[^>]*>([^<]+)</title>", 1)
 
 
+#: White space beyond ASCII too; emoji.
+WIDE_WS = r"[ \t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+EMOJI = r"[\x{1F300}-\x{1F64F}\x{1F680}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F1E6}-\x{1F1FF}\x{1F200}-\x{1F251}]"
+
+
 def clean_title(title: Column, longest: int = 200) -> Column:
-    """Without emoji, paired hashtags, stray #, bracketed prefixes; blanks collapsed; cut to ``longest``."""
-    out = F.regexp_replace(title, "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]", "")
-    # removing a pair may bring another together: once more for every three characters would do for any title
-    again = F.when(out.contains("##"), F.sequence(F.lit(1), F.length(out))).otherwise(F.array(F.lit(1)))
-    out = F.aggregate(again, out, lambda t, _: F.regexp_replace(t, "#[^#\n]+#", ""))
+    """Without emoji, paired hashtags, stray #, bracketed prefixes; blanks collapsed; cut to ``longest``. Null gives ''."""
+    out = F.regexp_replace(F.coalesce(title, F.lit("")), EMOJI, "")
+    # removing a pair may bring another together; every pass that changes a text takes three characters at least
+    again = F.when(out.contains("##"), F.sequence(F.lit(0), F.floor(F.length(out) / 3).cast("int"))).otherwise(F.array(F.lit(0)))
+    pair = f"#[^#{WIDE_WS[1:-1]}]+#"
+    out = F.aggregate(again, out, lambda t, _: F.regexp_replace(t, pair, ""))
     out = F.regexp_replace(F.replace(out, F.lit("#"), F.lit("")), "【[^】]*】", "")
-    return F.left(F.btrim(F.regexp_replace(out, rf"{WS}+", " ")), F.lit(longest))
+    return F.left(F.regexp_replace(F.regexp_replace(out, f"{WIDE_WS}+", " "), "^ | $", ""), F.lit(longest))
 
 
 def xml_escape(text: Column) -> Column:

@@ -20,15 +20,18 @@ def band(similarity: Column) -> Column:
     return F.when(similarity >= 0.6, "high").when(similarity >= 0.5, "low").otherwise("noise")
 
 
-def topk(index: DataFrame, query: list[float], k: int = 10, threshold: float = 0.3, where: Column | None = None, id_col: str = "vec_id") -> DataFrame:
-    """The k rows most similar to one query vector with similarity above the threshold; filters go first, and the
-    sort with limit keeps k rows of each task. A vector of another size fails the job."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    rows = index if where is None else index.where(where)
-    # the query's norm is one number, the row's is computed once a row
-    sim = dot(sized(F.col("embedding"), len(query)), q) / (norm(F.col("embedding")) * F.lit(sum(x * x for x in query) ** 0.5))
+def topk(index: DataFrame, query: DataFrame | list[float], k: int = 10, threshold: float = 0.3, where: Column | None = None, id_col: str = "vec_id") -> DataFrame:
+    """The k rows most similar to one query vector (a list, or a table of one row with an ``embedding``) with similarity above the
+    threshold; filters go first, and the sort with limit keeps k rows of each task. A vector of another size fails the job;
+    null and zero vectors are similar to nothing."""
+    if isinstance(query, list):
+        query = index.sparkSession.createDataFrame([(query,)], "embedding array<double>")
+    q = F.broadcast(query.limit(2).agg(F.max_by("embedding", F.lit(1)).alias("_q"), F.count(F.lit(1)).alias("_n")))  # one row
+    one = F.when(F.col("_n") == 1, F.col("_q")).otherwise(F.raise_error(F.lit("one query vector is asked for")).cast("array<double>"))
+    rows = (index if where is None else index.where(where)).join(q.select(one.cast("array<double>").alias("_q")).withColumn("_qn", norm(F.col("_q"))))
+    sim = F.try_divide(dot(sized(F.col("embedding"), F.size("_q")), F.col("_q")), norm(F.col("embedding")) * F.col("_qn"))
     scored = rows.withColumn("similarity", sim).where(F.col("similarity") > threshold).withColumn("similarity", F.round("similarity", 6))
-    return scored.orderBy(F.desc("similarity"), id_col).limit(k)
+    return scored.drop("_q", "_qn").orderBy(F.desc("similarity"), id_col).limit(k)
 
 
 #: Query vectors that are sent to every task at once.
@@ -63,21 +66,23 @@ def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
 
 
-def rerank(results: DataFrame, keys: list[str], scores: str, id_col: str, where: Column | None = None) -> DataFrame:
-    """Results of each query with ``rank`` by the mean of a reranker's vector, where there are more than three; else in their order.
-    A filter goes after the ranking's choice, as one of noise does."""
+def rerank(results: DataFrame, keys: list[str], scores: str, order: str, where: Column | None = None) -> DataFrame:
+    """Results of each query with ``rank`` by the mean of a reranker's vector, where there are more than three; else, and among
+    equals, in the order that they came in (column ``order``). A filter goes after the ranking's choice, as one of noise does."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     out = results.withColumn("_by", F.when(n > 3, -F.round(mean(F.col(scores)), 9)).otherwise(0.0))
     out = out if where is None else out.where(where)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_by", id_col))).drop("_by")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_by", order))).drop("_by")
 
 
 def register(spark, index_view: str, roles_view: str | None = None) -> None:
     """SQL forms: match_content(query, kind, threshold, k), a table function over a view (vec_id, label, embedding) where a null kind
-    filters nothing; has_role(user, role) over a view (user_id, role)."""
+    filters nothing and the threshold holds before similarities are rounded; has_role(user, role) over a view (user_id, role).
+    A literal k lets Spark keep k rows of each task before they meet."""
     product = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
-    similarity = f"{product('embedding', 'query')} / sqrt({product('embedding', 'embedding')} * {product('query', 'query')})"
+    similarity = f"try_divide({product('embedding', 'query')}, sqrt({product('embedding', 'embedding')} * {product('query', 'query')}))"
+    near = f"SELECT vec_id, label, round(similarity, 6) AS similarity FROM (SELECT vec_id, label, {similarity} AS similarity FROM {index_view} WHERE kind IS NULL OR label = kind) WHERE similarity > threshold"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION match_content(query ARRAY<DOUBLE>, kind INT, threshold DOUBLE, k INT) RETURNS TABLE(vec_id BIGINT, label INT, similarity DOUBLE)
-        RETURN SELECT vec_id, label, similarity FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rn FROM (SELECT vec_id, label, round({similarity}, 6) AS similarity FROM {index_view} WHERE kind IS NULL OR label = kind) WHERE similarity > threshold) WHERE rn <= k""")
+        RETURN SELECT vec_id, label, similarity FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rn FROM ({near})) WHERE rn <= k""")
     if roles_view:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION has_role(u BIGINT, r STRING) RETURNS BOOLEAN RETURN EXISTS (SELECT 1 FROM {roles_view} WHERE user_id = u AND role = r)")

@@ -64,10 +64,10 @@ def _(s, d):
 
 
 @query("rerank", """WITH q AS (SELECT vec_id % 100 AS q, vec_id, label, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS score FROM embeddings)
-SELECT q, vec_id, CAST(row_number() OVER (PARTITION BY q ORDER BY CASE WHEN n > 3 THEN -round(score, 9) ELSE 0 END, vec_id) AS INT) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY q) AS n FROM q) WHERE label % 2 = 0""")
+SELECT q, vec_id, CAST(row_number() OVER (PARTITION BY q ORDER BY CASE WHEN n > 3 THEN -round(score, 9) ELSE 0 END, vec_id * 7 % 1001) AS INT) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY q) AS n FROM q) WHERE label % 2 = 0""")
 def _(s, d):
-    found = table(s, d, "embeddings").select((F.col("vec_id") % 100).alias("q"), "vec_id", "label", "embedding")
-    ranked = vector.rerank(found, ["q"], "embedding", "vec_id", where=F.col("label") % 2 == 0)
+    found = table(s, d, "embeddings").select((F.col("vec_id") % 100).alias("q"), "vec_id", "label", "embedding", (F.col("vec_id") * 7 % 1001).alias("found_at"))
+    ranked = vector.rerank(found, ["q"], "embedding", "found_at", where=F.col("label") % 2 == 0)
     return ranked.select("q", "vec_id", "rank")
 
 

@@ -278,15 +278,16 @@ def _(s, d):
     return trends.fresh(e, F.try_to_timestamp("published"), F.lit("2024-01-30").cast("timestamp"), 2).select("event_id")
 
 
-@query("sql_match_content", "SELECT a.vec_id, a.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b WHERE a.label = 3 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 0.01 ORDER BY 3 DESC, 1 LIMIT 8")
+@query("sql_match_content", """WITH m AS (SELECT 3 AS kind, a.vec_id, a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b WHERE a.label = 3
+UNION ALL SELECT NULL, a.vec_id, a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b)
+SELECT kind, vec_id, label, round(s, 6) AS similarity FROM m WHERE s > 0.01 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(s, 6) DESC, vec_id) <= 8""")
 def _(s, d):
     from quillon.operators import vector
 
-    e = table(s, d, "embeddings")
-    e.createOrReplaceTempView("embedding_index")
+    table(s, d, "embeddings").createOrReplaceTempView("embedding_index")
     vector.register(s, "embedding_index")
-    probe = ", ".join(map(repr, map(float, e.where("vec_id = 7").first().embedding)))  # one row
-    return s.sql(f"SELECT * FROM match_content(array({probe}), 3, 0.01D, 8)")
+    one = lambda kind: f"SELECT CAST({kind} AS INT) AS kind, m.* FROM embedding_index q, LATERAL match_content(CAST(q.embedding AS ARRAY<DOUBLE>), {kind}, 0.01D, 8) m WHERE q.vec_id = 7"
+    return s.sql(f"{one(3)} UNION ALL {one('CAST(NULL AS INT)')}")
 
 
 @query("sql_has_role", "SELECT DISTINCT user_id, EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 95) AS admin FROM events e")

@@ -29,7 +29,7 @@ PROBE = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
 
 
 def _probe(s, d):
-    return list(table(s, d, "embeddings").where("vec_id = 7").first().embedding)  # one row
+    return table(s, d, "embeddings").where("vec_id = 7")  # one row
 
 
 @query("vector_topk", f"SELECT a.vec_id, {SIM} AS similarity, CASE WHEN {SIM} >= 0.6 THEN 'high' WHEN {SIM} >= 0.5 THEN 'low' ELSE 'noise' END AS band FROM embeddings a, {PROBE} b WHERE {RAW} > 0.1 ORDER BY 2 DESC, 1 LIMIT 10")

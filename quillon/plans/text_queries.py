@@ -76,10 +76,21 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", X.html_title(F.col("html")).alias("title"))
 
 
-@query("clean_titles", r"""SELECT page_id, left(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(t, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]', '', 'g'), '#[^#\n]+#', '', 'g'), '#', ''), '【[^】]*】', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')), 200) AS title
-FROM (SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1, 'i') AS t FROM pages)""")
+#: Titles with what is to go from them, pairs within pairs too.
+TITLE = "regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1, 'i')"
+EMOJI = "[\\x{1F300}-\\x{1F64F}\\x{1F680}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE00}-\\x{FE0F}\\x{1F1E6}-\\x{1F1FF}\\x{1F200}-\\x{1F251}]"
+BLANK = "\\s\\x{0B}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+
+
+def _unpaired(t: str) -> str:
+    return f"regexp_replace({t}, '#[^#{BLANK}]+#', '', 'g')"
+
+
+@query("clean_titles", f"""SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(replace({_unpaired(_unpaired(_unpaired("regexp_replace(t, '" + EMOJI + "', '', 'g')")))}, '#', ''), '【[^】]*】', '', 'g'), '[{BLANK}]+', ' ', 'g'), '^ | $', '', 'g'), 200) AS title
+FROM (SELECT page_id, '【' || page_id || '】 🇩🇪☂️ C# vs F# ##a#b#\u3000#x##y#z#' || {TITLE} || ' #no pair# end' AS t FROM pages)""")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", X.clean_title(X.html_title(F.col("html"))).alias("title"))
+    t = F.concat(F.lit("【"), F.col("page_id"), F.lit("】 🇩🇪☂️ C# vs F# ##a#b#\u3000#x##y#z#"), X.html_title(F.col("html")), F.lit(" #no pair# end"))
+    return table(s, d, "pages").select("page_id", X.clean_title(t).alias("title"))
 
 
 P = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"

@@ -95,17 +95,23 @@ def _packed(section: Column) -> Column:
     return F.aggregate(paragraphs, start, step, lambda s: F.array_append(s["done"], s["held"]))
 
 
-def chunk_markdown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, chunk_index, title, chunk): sections at level-two headings, those over MAX_TOKENS cut between paragraphs; what
-    stands before the first goes; a document without headings is one chunk without title."""
-    parts = F.split(F.col(text_col), r"(?m)^(?=## )")
+def markdown_chunks(text: Column) -> Column:
+    """(title, chunk) in order: sections at level-two headings, those over MAX_TOKENS cut between paragraphs; what
+    stands before the first goes; a document without headings is one chunk without title; null has none."""
+    parts = F.split(text, r"(?m)^(?=## )")
     headed = F.filter(parts, lambda p: p.startswith("## "))
-    sections = F.when(F.size(headed) > 0, headed).when(F.btrim(F.col(text_col)) != "", F.array(F.col(text_col))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    sections = F.when(F.size(headed) > 0, headed).when(F.btrim(text) != "", F.array(text)).otherwise(none)
 
     def chunks(p: Column) -> Column:
         title = F.nullif(F.regexp_extract(p, r"\A## +([^\n]*)", 1), F.lit(""))
         long = p.startswith("## ") & (token_estimate(F.btrim(p, F.lit(" \t\n\x0b\f\r"))) > MAX_TOKENS)
         return F.transform(F.when(long, _packed(p)).otherwise(F.array(F.btrim(p, F.lit(" \t\n\x0b\f\r")))), lambda c: F.struct(title.alias("title"), c.alias("chunk")))
 
-    out = docs.select(id_col, F.posexplode(F.flatten(F.transform(sections, chunks))).alias("chunk_index", "_c"))
+    return F.flatten(F.transform(sections, chunks))
+
+
+def chunk_markdown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, chunk_index, title, chunk) of each document's chunks, see markdown_chunks."""
+    out = docs.select(id_col, F.posexplode(markdown_chunks(F.col(text_col))).alias("chunk_index", "_c"))
     return out.select(id_col, "chunk_index", "_c.title", "_c.chunk")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.operators.index import upsert
+from quillon.operators.buckets import BucketTable
 from quillon.operators.scratch import folder
 
 
@@ -34,32 +34,16 @@ def run(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def newest_version(spark: SparkSession, path: str) -> int:
-    """Number of the newest finished version below a folder, -1 without one."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(at):
-        return -1
-    names = [f.getPath().getName() for f in files.listStatus(at)]
-    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return max(done, default=-1)
-
-
-def upsert_stream(stream: DataFrame, keys: list[str], order: list, name: str, path: str | None = None) -> DataFrame:
-    """The newest row of each key after every batch: a batch makes the next version of the table, so a batch that is run again gives the same one.
-
-    A version is the whole table, one shuffle by key; batches are to be large (a day's rows) against it.
-    """
+def upsert_stream(stream: DataFrame, keys: list[str], order: list, name: str, path: str | None = None, buckets: int = 64) -> DataFrame:
+    """The newest row of each key after every batch. A batch reads and writes the buckets of its keys alone, and one that is run again gives the same table."""
     spark, path = stream.sparkSession, path or folder(stream.sparkSession, name)
-    tables = f"{path}/table"
+    table = BucketTable(spark, f"{path}/table", stream.schema, keys, buckets)
 
     def merge(batch: DataFrame, i: int) -> None:
-        before = batch.sparkSession.read.schema(stream.schema).parquet(f"{tables}/v{i - 1}") if i else batch.limit(0)
-        upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{tables}/v{i}")
+        BucketTable(batch.sparkSession, table.path, stream.schema, keys, buckets).merge(batch, i, order)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    last = newest_version(spark, tables)
-    return spark.read.schema(stream.schema).parquet(f"{tables}/v{last}") if last >= 0 else spark.createDataFrame([], stream.schema)
+    return table.rows()
 
 
 def window_counts(stream: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:
@@ -88,5 +72,3 @@ def count_and_last(stream: DataFrame, key: str, time: str, value: Column) -> Dat
 
     rows = stream.select(key, F.unix_micros(time).alias("at"), value.cast("double").alias("value"))
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, n long, last double", "n long, at long, last double", "append", GroupStateTimeout.NoTimeout)
-
-

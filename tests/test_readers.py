@@ -39,6 +39,11 @@ def test_metrics_files_with_other_headers(spark, tmp_path):
 def test_functions_at_their_edges(spark):
     lit = F.lit
     assert one(spark, clean_title(lit("x ##a#b# y #c 【z】"))) == "x y c"
+    assert one(spark, clean_title(lit("C# vs F# compared"))) == "C vs F compared"
+    assert one(spark, clean_title(lit("a 🇩🇪 b ☂️ c 🔥"))) == "a b c"
+    assert one(spark, clean_title(lit("#热点#AI芯片突破#国产芯片#"))) == "AI芯片突破"
+    assert one(spark, clean_title(lit("#" * 400 + "a#b" + "#" * 400))) == ""
+    assert one(spark, clean_title(lit(None).cast("string"))) == ""
     assert one(spark, normalize_url(lit("HTTPS://Ex.org:443/a/?b=2&a=1&b=1&utm_source=x#f"))) == "https://ex.org/a?a=1&b=2&b=1"
     assert one(spark, normalize_url(lit("/relative"))) == "/relative"
     assert one(spark, C.string_leaves(lit('{"a": {"b": ["x", " ", 3, {"c": "y: \\"z\\""}]}, "d": "e"}'))) == ["x", 'y: "z"', "e"]
