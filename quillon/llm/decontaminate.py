@@ -34,8 +34,8 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) ->
     return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("ws")).select("item", F.array_join("ws", " ").alias("win"), "ws").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every input row.
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, with_hash: bool = False) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every input row; with_hash: also text_hash, xxhash64 of the text.
 
     n_hit counts the words inside any occurrence of a window, n_items the items with an occurring
     window. Null and wordless texts have no words and no hits; wordless items have no windows.
@@ -76,9 +76,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     covered = materialize(spans.select("k1", "k2", covered.alias("n_hit"), "wins"), "hits")
     found = covered.select("k1", "k2", F.explode("wins").alias("win")).join(near(iw.select("win", "item")), "win").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     per = covered.select("k1", "k2", "n_hit").join(found, ["k1", "k2"])
-    counted = keyed.select(id_col, "k1", "k2", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    more = [F.xxhash64("text").alias("text_hash")] if with_hash else []
+    counted = keyed.select(id_col, "k1", "k2", *more, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counted.join(per, ["k1", "k2"], "left").select(
         id_col, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-    )
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *(["text_hash"] if with_hash else []),
+    )

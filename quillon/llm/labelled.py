@@ -14,8 +14,10 @@ def remainder(id_col: str, modulus: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int, id_col: str, text_col: str, positive: float = 0.5) -> DataFrame:
     """(_text, _label) of at most about ``rows`` labelled training documents: those of least hashed id, the share
     ``positive`` of them with label 1, where there are so many. Labels of one id are one row (the greatest); rows without label are left out."""
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & train).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label"))
+    known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
     order = F.xxhash64(F.col("_id").cast("string"))
     chosen = [known.where(F.col("_label") == v).orderBy(order, "_id").limit(int(rows * (positive if v else 1 - positive))) for v in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most `rows`
-    return docs.join(ids, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("_text"), "_label")
+    # the two columns alone, so that no other one's name can clash
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id").select("_text", "_label")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import by_bytes, map_arrow
+from quillon.llm.common import by_bytes, map_arrow, materialize
 from quillon.llm.hashing import doc_bounds, segment_hashes, words
 from quillon.llm.labelled import remainder, sample
 
@@ -34,7 +35,8 @@ QUOTED, REPORTED, ADDRESSED, MISSPELLED = 0.15, 0.5, 1.2, 0.6
 #: Insults known beforehand; each is dropped where labelled clean rows use it.
 SEED_LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "cretin", "vermin", "dimwit", "lowlife")
 SEED_WEIGHT = 2.0
-FUZZY_LENGTH = 5
+#: Letters of a term at least, and of a word that is looked for with an edit; letters of stems.
+LEAST, FUZZY_LEAST = 4, 4
 STEMS = range(4, 8)
 CACHE = 300_000
 KEPT = 50_000
@@ -64,7 +66,7 @@ class Trie:
         else:
             if "" in node:
                 best = max(best, node[""][0])
-        if best or len(word) < FUZZY_LENGTH - 1 or word in self.known:
+        if best or len(word) < FUZZY_LEAST or word in self.known:
             return best, False
         # states of the automaton of one edit, walked along the trie: (node, letters read, edits left)
         todo, n = [(self.root, 0, 1)], len(word)
@@ -87,62 +89,79 @@ class Trie:
         return best, True
 
 
-def _candidates(text: str | None) -> set[tuple[str, bool]]:
-    own = {w for x in (text or "").lower().split() if len(w := x.strip(EDGE)) >= 4}
-    return {(w, False) for w in own} | {(w[:k], True) for w in own for k in STEMS if len(w) > k}
+def _words(text: str | None) -> list[str]:
+    """Distinct lower-case words of LEAST letters and more, without marks at their edges."""
+    return sorted({w for x in (text or "").lower().split() if len(w := x.strip(EDGE)) >= LEAST})
 
 
-def learn(rows, chance: float = 1e-5, purity: float = 0.01, times: int = 3) -> tuple[dict[str, tuple[float, bool]], frozenset[str]]:
-    """(terms with weight and whether they are stems, clean words close to a term) from (text, label) rows.
+def learn(rows: DataFrame, chance: float = 1e-5, purity: float = 0.01, times: int = 3) -> tuple[dict[str, tuple[float, bool]], frozenset[str]]:
+    """(terms with weight and whether they are stems, clean words close to a term) from rows (_text, _label).
 
-    A candidate is in so many toxic rows that chance would rarely put it in those alone, and in next to no
+    A candidate (a word, or its first few letters) is in so many toxic rows that chance would rarely put it in those alone, and in next to no
     clean ones. The lexicon is a greedy cover: the candidate that most toxic rows still lack goes first,
-    until every row has ``times`` terms or no candidate adds enough rows.
+    until every row has ``times`` terms or no candidate adds enough rows. Rows are read and counted in tasks; the driver gets
+    the candidates that passed and the numbers of the toxic rows that hold them, no texts.
     """
-    toxic = [_candidates(t) for t, label in rows if label]
-    clean_texts = [t for t, label in rows if not label]
-    share = len(toxic) / max(1, len(rows))
+    spark = rows.sparkSession
+
+    def cut(batches):
+        for b in by_bytes(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([_words(t) for t in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1).cast(pa.int32())], ["words", "label"])
+
+    own = materialize(rows.select("_text", "_label").mapInArrow(cut, "words array<string>, label int").withColumn("row", F.monotonically_increasing_id()), "words")
+    n = {bool(r.label): r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = n.get(True, 0), n.get(False, 0)
+    share = toxic / max(1, toxic + clean)
     least = max(4, math.ceil(math.log(chance) / math.log(min(max(share, 1e-3), 0.9))))
-    count = Counter(c for own in toxic for c in own)
-    count = {c: n for c, n in count.items() if n >= least}
-    clean, words_seen = Counter(), set()
-    for t in clean_texts:
-        own = _candidates(t)
-        clean.update(c for c in own if c in count)
-        words_seen.update(w for w, stem in own if not stem)
-    where: dict[tuple[str, bool], list[int]] = {c: [] for c, n in count.items() if clean[c] <= purity * n}
-    for i, own in enumerate(toxic):
-        for c in own:
-            if c in where:
-                where[c].append(i)
-    have = [0] * len(toxic)
+
+    def begun(k: int):
+        return F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.struct(F.left(w, F.lit(k)).alias("t"), F.lit(True).alias("stem")))
+
+    of = F.array_distinct(F.concat(F.transform("words", lambda w: F.struct(w.alias("t"), F.lit(False).alias("stem"))), *map(begun, STEMS)))
+    flat = own.select("row", "label", F.explode(of).alias("c")).select("row", "label", "c.t", "c.stem")
+    counted = flat.groupBy("t", "stem").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    passed = materialize(counted.where((F.col("toxic") >= least) & (F.col("clean") <= purity * F.col("toxic"))), "passed")
+    held = flat.where("label = 1").join(passed, ["t", "stem"]).groupBy("t", "stem").agg(F.collect_list("row").alias("rows"), F.first("clean").alias("clean")).collect()
+    where = {(r.t, r.stem): (r.rows, r.clean) for r in held}
+    have: Counter = Counter()
     terms: dict[str, tuple[float, bool]] = {}
-    queue = [(-len(v), c[1], -len(c[0]), c[0]) for c, v in where.items()]
+    queue = [(-len(v), c[1], -len(c[0]), c[0]) for c, (v, _) in where.items()]
     heapq.heapify(queue)
     while queue:  # lazily: a stale gain is put back
         gain, stem, short, t = heapq.heappop(queue)
-        now = sum(have[i] < times for i in where[t, stem])
+        in_rows, in_clean = where[t, stem]
+        now = sum(have[i] < times for i in in_rows)
         if now < least:
             continue
         if now < -gain:
             heapq.heappush(queue, (-now, stem, short, t))
             continue
         if t not in terms and not (not stem and any(t[:k] in terms and terms[t[:k]][1] for k in STEMS)):
-            odds = (count[t, stem] + 0.5) / (len(toxic) + 1) / ((clean[t, stem] + 0.5) / (len(clean_texts) + 1))
+            odds = (len(in_rows) + 0.5) / (toxic + 1) / ((in_clean + 0.5) / (clean + 1))
             terms[t] = (min(3.0, math.log(odds)), stem)
-            for i in where[t, stem]:
-                have[i] += 1
+            have.update(in_rows)
     # Stems match exactly, since a prefix one edit away is that of too many clean words; so that an edit among
     # a stem's letters is caught too, the whole words of toxic rows that begin with it are terms, with its weight.
     stems = {t: w for t, (w, stem) in terms.items() if stem}
-    for t in {t for own in toxic for t, stem in own if not stem}:
-        if t not in terms and (begun := [stems[t[:k]] for k in STEMS if t[:k] in stems]):
-            terms[t] = (max(begun), False)
+    words_of = lambda label: own.where(F.col("label") == label).select(F.explode("words").alias("w")).distinct()
+    if stems:
+        starts = [F.left("w", F.lit(k)).isin([t for t in stems if len(t) == k]) for k in STEMS if any(len(t) == k for t in stems)]
+        for r in words_of(1).where(reduce(lambda a, b: a | b, starts)).collect():  # words of one lexicon
+            if r.w not in terms:
+                terms[r.w] = (max(stems[r.w[:k]] for k in STEMS if r.w[:k] in stems), False)
+    text = F.lower(F.coalesce("_text", F.lit("")))
+    used = rows.where("_label = 0").agg(*[F.count_if(text.contains(t)).alias(t) for t in SEED_LEXICON]).first()
     for t in SEED_LEXICON:
-        if t not in terms and sum(t in (x or "").lower() for x in clean_texts) <= purity * len(clean_texts):
+        if t not in terms and used[t] <= purity * clean:
             terms[t] = (SEED_WEIGHT, False)
-    trie = Trie(terms, frozenset())
-    return terms, frozenset(w for w in words_seen if trie.find(w)[0])
+    shared = spark.sparkContext.broadcast(terms)  # bounded by the sample
+
+    def near(batches):
+        trie = Trie(shared.value, frozenset())
+        for b in batches:
+            yield b.filter(pa.array([bool(trie.find(w)[0]) for w in b.column(0).to_pylist()], pa.bool_()))
+
+    return terms, frozenset(r.w for r in words_of(0).mapInArrow(near, "w string").collect())  # clean words an edit away from a term
 
 
 def _context(around: list[str], at: int) -> float:
@@ -195,25 +214,26 @@ def _thin() -> None:
     _MEMORY["memory"] = dict(islice(memory.items(), KEPT))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = 8000, threshold: float = 0.7, modulus: int = 3, held_out: int = 1) -> DataFrame:
-    """(id, held_out, score, predicted) of every whole text.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = 8000, threshold: float = 0.7, modulus: int = 3, held_out: int = 1, with_hash: bool = False) -> DataFrame:
+    """(id, held_out, score, predicted) of every whole text; with_hash: also text_hash, xxhash64 of the text.
 
     The lexicon is learned from at most sample_rows labelled rows whose crc32(id as text) mod
-    ``modulus`` is not ``held_out``; only texts are inputs of a score. Null, empty and wordless texts
-    score 0. With no labels the lexicon is the seed alone. Repeated rows each give a row;
-    other columns are ignored; an empty table gives an empty one.
+    ``modulus`` is not ``held_out``; only texts are inputs of a score. Terms have LEAST letters and more, and a word of
+    FUZZY_LEAST letters and more matches a whole term with one edit; what has two edits isn't caught. Null, empty and wordless texts
+    score 0; very long ones are batches of their own. With no labels the lexicon is the seed alone. Repeated rows each give a row;
+    other columns are ignored, whatever their names; an empty table gives an empty one.
     """
-    rows = sample(docs, labels, label, remainder(id_col, modulus) != held_out, sample_rows, id_col, text_col, positive=0.25).collect()
-    terms, known = learn([(r._text, int(r._label)) for r in sorted(rows, key=lambda r: (r._label, r._text or ""))])
+    terms, known = learn(materialize(sample(docs, labels, label, remainder(id_col, modulus) != held_out, sample_rows, id_col, text_col, positive=0.25), "sampled"))
     name = hash((tuple(sorted(terms.items())), known))
     shared = docs.sparkSession.sparkContext.broadcast((terms, known))  # bounded by the sample
-    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
+    more = ["text_hash"] if with_hash else []
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in more), T.StructField("score", T.DoubleType())])
 
     def score(batches):
         if _MEMORY.get("name") != name:
             _MEMORY.update(name=name, trie=Trie(*shared.value), memory={})
         for part in by_bytes(batches, 1, 4 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(part.column(1), _MEMORY["trie"], _MEMORY["memory"]))], schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(score_texts(part.column(1), _MEMORY["trie"], _MEMORY["memory"]))], schema.names)
 
-    out = map_arrow(docs.select(id_col, text_col), score, schema, _thin)
-    return out.select(id_col, (remainder(id_col, modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = map_arrow(docs.select(id_col, text_col, *[F.xxhash64(text_col).alias(c) for c in more]), score, schema, _thin)
+    return out.select(id_col, (remainder(id_col, modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)

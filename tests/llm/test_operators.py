@@ -372,16 +372,46 @@ def test_trie_catches_one_edit():
         assert t.find(w) == want, w
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance by the textbook's table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i, *row[1:]], row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def test_automaton_finds_what_edit_distance_finds():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(3, 8)))
+    terms = {word(): (rng.randint(1, 9) / 2, rng.random() < 0.3) for _ in range(40)}
+    trie = Trie(terms, frozenset({"abcab", "cabba"}))
+    for w in {word() for _ in range(1500)} | set(terms) | {"abcab", "cabba"}:
+        exact = max([v for t, (v, stem) in terms.items() if t == w or stem and w.startswith(t)], default=0.0)
+        near = max([v for t, (v, stem) in terms.items() if not stem and edits(t, w) <= 1], default=0.0)
+        want = (exact, False) if exact or len(w) < 4 or w in ("abcab", "cabba") else (near, True)
+        assert trie.find(w) == want, w
+
+
+@pytest.mark.parametrize("work", [quality_classifier, toxicity])
+def test_learned_operators_take_any_names_and_id_types(spark, labels, work):
+    named = spark.createDataFrame([("1", "some words", "x", 1, 2, 3), (None, None, "x", 1, 2, 3)], "doc_id string, text string, _text string, _id int, _label int, text_hash int")
+    own = labels.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("_id", F.lit(1)).withColumn("_label", F.lit(0))
+    got = work(named, own).collect()
+    assert {r.doc_id for r in got} == {"1", None} and all(0 <= r.score <= 1 for r in got)
+
+
 def test_quotation_weighs_less(spark, labels):
     rows = [(1, "you are scum you moron"), (2, 'the report said "scum" is a slur term')]
     got = {r.doc_id: r.score for r in toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels.limit(0)).collect()}
     assert got[1] > 0.7 > got[2]
 
 
-def test_edits_inside_a_learned_stem_are_caught():
+def test_edits_inside_a_learned_stem_are_caught(spark):
     endings = ["ian", "heit", "es", "los"]
     rows = [(f"so ein grob{endings[i % 4]} hier", 1) for i in range(40)] + [("ruhig wie immer hier", 0)] * 60
-    terms, known = learn(rows)
+    terms, known = learn(spark.createDataFrame(rows, "_text string, _label int"))
     assert terms["grob"][1]
     t = Trie(terms, known)
     for w in ["grobian", "grobneu"]:

@@ -54,6 +54,24 @@ def test_odd_rows_pass(spark, tmp_path):
         assert {r.doc_id or 0 for r in corpus_pipeline.packing(spark, docs, d).collect()} == {x[0] for x in kept}
 
 
+def test_any_names_and_id_types_pass(spark, tmp_path):
+    schema = "text string, _id string, doc_id string, _gone int, _hash long, text_hash string, _text string, c0 int"
+    tail = (1, 2, "h", "t", 0)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [("clean words of one", "q", "id a", *tail), ("you are scum you moron and scum", "q", "id a", *tail), ("twins of five words here", "q", "x", *tail), ("twins of five words here", "q", "y", *tail), (None, None, None, *tail), (f"{passage} a", "q", "z1", *tail), (f"other {passage}", "q", None, *tail), ("holds some words of an item", "q", "id b", *tail), ("and does not hold it", "q", "id b", *tail)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id string, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([("a", "some words of an item")], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, d), name)
+        assert docs.schema == spark.read.parquet(f"{d}/documents.parquet").schema
+    # of two texts of one id, the clean one stays
+    assert sorted((r.doc_id or "", r.text or "") for r in docs.collect()) == [("", ""), ("id a", "clean words of one"), ("id b", "and does not hold it"), ("x", "twins of five words here"), ("z1", f"{passage} a")]
+    assert corpus_pipeline.packing(spark, docs, d).count() >= 6
+
+
 def test_each_stage_by_brute_force(spark, tmp_path):
     """Substring dedup and decontamination as sets of words say; packing as an exact round trip of lengths."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
