@@ -7,7 +7,7 @@ rest in sequences. All but the last return the columns of documents, whatever th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import broadcast_if_small, materialize, table
@@ -22,25 +22,27 @@ from quillon.llm.toxicity import toxicity as toxicity_scores
 BROADCAST_IDS = 1_000_000
 
 
-def _name() -> Column:
-    """A row's id; for a null id a negative number from its text, so that each such text is judged alone."""
-    return F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text")))
+def _apart(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """(docs under positional names, its id's, its text's): no name can clash with one of our own."""
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return named, f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as operators see them."""
-    return docs.select(_name().alias("doc_id"), "text")
+def _meeting(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs that do (left_semi) or don't (left_anti) have the id and the text of a row of found (doc_id, text_hash); null ids are equal."""
+    named, id_, text = _apart(docs)
+    side = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), BROADCAST_IDS)
+    return named.join(side, F.col(id_).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), how).toDF(*docs.columns)
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without those in rejected (doc_id); rows of one id go or stay together, null ids by their texts."""
-    gone = broadcast_if_small(materialize(rejected.select(F.col("doc_id").alias("_gone")).distinct(), "rejected"), BROADCAST_IDS)
-    return docs.join(gone, _name() == F.col("_gone"), "left_anti")
+    """docs without those of the id and text of a row in rejected (doc_id, text_hash)."""
+    return _meeting(docs, materialize(rejected.select("doc_id", "text_hash").distinct(), "rejected"), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those predicted toxic. Null and empty texts stay; an empty table stays empty."""
-    found = toxicity_scores(_judged(docs), table(spark, sf_dir, "labels"))
+    """docs without those predicted toxic; of rows of one id each text is judged alone. Null and empty texts stay; an empty table stays empty."""
+    found = toxicity_scores(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), with_hash=True)
     return _without(docs, found.where("predicted = 1"))
 
 
@@ -51,23 +53,19 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     first = grouped.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     judged = grouped.join(first, "class_key").select("doc_id", "text_hash", "rows", (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash") == F.col("first")).alias("stays"))
     judged = materialize(judged, "judged")
-
-    def matching(named: DataFrame) -> tuple[DataFrame, Column]:
-        side = broadcast_if_small(named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), BROADCAST_IDS)
-        return side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-
-    kept = docs.join(*matching(judged.where("NOT stays")), "left_anti")
+    kept = _meeting(docs, judged.where("NOT stays"), "left_anti")
     repeated = judged.where("stays AND rows > 1")
     if not repeated.limit(1).count():
         return kept
-    once = kept.join(*matching(repeated), "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return kept.join(*matching(repeated), "left_anti").unionByName(once)
+    again, id_, text = _apart(_meeting(kept, repeated, "left_semi"))
+    once = again.withColumn("_hash", F.xxhash64(text)).dropDuplicates([id_, "_hash"]).drop("_hash").toDF(*docs.columns)
+    return _meeting(kept, repeated, "left_anti").unionByName(once)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with passages that stand elsewhere too cut out of their texts: then the kept words, joined by one space, and n_chars
     (where there is such a column) as their length. Texts that lose nothing stay as they are; all rows stay."""
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name can clash with the operator's own
+    named = _apart(docs)[0]
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     cut = substring_dedup(named, id_col=place["doc_id"], text_col=place["text"], carry=named.columns)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(place["text"]))
@@ -77,7 +75,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item. Null and wordless texts stay."""
-    found = decontaminate(_judged(docs), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), with_hash=True)
     return _without(docs, found.where("contaminated"))
 
 
