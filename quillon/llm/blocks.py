@@ -25,8 +25,16 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
 
 
-def pack_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES, stored: bool = True) -> DataFrame:
-    """Table (block, n_bytes, data): all of docs' columns, as compressed Arrow of about block_bytes of text.
+def sealed(t: pa.Table) -> bytes:
+    """A table as compressed Arrow."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def pack_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES, stored: bool = True, seal: Callable[[pa.Table], bytes] = sealed) -> DataFrame:
+    """Table (block, n_bytes, data): all of docs' columns, or what ``seal`` makes of them, of about block_bytes of text.
 
     A text longer than that is a block of its own. Row order in a block is fixed by the stored table. A table that isn't
     stored serves one query that shuffles it by block and uses that shuffle wherever it needs the blocks.
@@ -40,11 +48,7 @@ def pack_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES,
 
         def flush():
             nonlocal name, size
-            t = pa.Table.from_batches(held)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(t.combine_chunks())
-            out = pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_bytes", "data"])
+            out = pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([size], pa.int64()), pa.array([seal(pa.Table.from_batches(held))], pa.binary())], ["block", "n_bytes", "data"])
             held.clear()
             name, size = name + 1, 0
             return out
@@ -114,13 +118,13 @@ def answer(asked: DataFrame, reply: Callable[[list[bytes], list[bytes]], list[by
     return asked.groupBy("bucket").applyInArrow(one, "block long, bucket int, answer binary")
 
 
-def meet(blocks: DataFrame, answers: DataFrame, then: Callable[[int, pa.Table, list[bytes]], pa.Table], schema) -> DataFrame:
-    """then(name, documents, answers in bucket order) for each block."""
+def meet(blocks: DataFrame, answers: DataFrame, then: Callable[[int, pa.Table, list[bytes]], pa.Table], schema, unseal: Callable = unpack) -> DataFrame:
+    """then(name, documents or what was sealed, answers in bucket order) for each block."""
 
     def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
         give_back()  # of the block before
         right = right.sort_by("bucket")
-        return then(key[0].as_py(), unpack(left["data"][0]), right["answer"].to_pylist())
+        return then(key[0].as_py(), unseal(left["data"][0]), right["answer"].to_pylist())
 
     return blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)
 

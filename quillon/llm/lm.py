@@ -11,15 +11,17 @@ smoothed unigram.
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.blocks import ASK, answer, bucket_count, bucket_of, meet, pack_blocks, split_by_bucket, unpack
+from quillon.llm.blocks import ASK, answer, bucket_count, bucket_of, meet, pack_blocks, sealed, split_by_bucket, unpack
 from quillon.llm.common import materialize
 from quillon.llm.hashing import SPACES, U64, mix, runs, segment_hashes, text_bytes
 
@@ -31,8 +33,8 @@ LOWER[65:91] += 32
 WORDY = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 SMOOTH = 0.1
 CONTEXT, WIDTH, CLASS_WORDS, SHAPES = 4, 16, 128, 64
-#: Words that are counted less often belong to their shape.
-LEAST = 10
+#: Rows of a sum of parameters that meet in one task.
+FAN_IN = 16
 
 
 def tokens(docs: pa.Table, id_col: str, text_col: str, modulus: int, held_out: int):
@@ -55,6 +57,37 @@ def tokens(docs: pa.Table, id_col: str, text_col: str, modulus: int, held_out: i
     return h[order], d[order], held
 
 
+def seal_tokens(t: pa.Table, id_col: str, text_col: str, modulus: int, held_out: int) -> bytes:
+    """A block's documents as their words: ids, what is held out and the number of words; the distinct hashes, ascending; each word's place among them."""
+    h, d, held = tokens(t, id_col, text_col, modulus, held_out)
+    u, inv = np.unique(h, return_inverse=True)
+    parts = [pa.table([t[id_col], pa.array(held), pa.array(np.bincount(d, minlength=t.num_rows))], names=["id", "held", "n"]), pa.table([pa.array(u)], names=["u"]), pa.table([pa.array(inv.astype(np.uint16 if len(u) < 2**16 else np.uint32))], names=["inv"])]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in map(sealed, parts))
+
+
+class Words(NamedTuple):
+    """What was sealed: documents (id, held, n), distinct hashes, each word's place among them, and its document."""
+
+    docs: pa.Table
+    u: np.ndarray
+    inv: np.ndarray
+    d: np.ndarray
+
+    @classmethod
+    def unseal(cls, data) -> Words:
+        raw, parts = (data.as_py() if hasattr(data, "as_py") else data), []
+        while raw:
+            n = int.from_bytes(raw[:8], "little")
+            parts.append(unpack(raw[8 : 8 + n]))
+            raw = raw[8 + n :]
+        docs, u, inv = parts
+        return cls(docs, u["u"].to_numpy(), inv["inv"].to_numpy(), np.repeat(np.arange(docs.num_rows), docs["n"].to_numpy()))
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.docs["held"].to_numpy()
+
+
 def _sums_by_row(i: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of i, and the sum of g's rows for each."""
     order = np.argsort(i, kind="stable")
@@ -188,7 +221,8 @@ class Model:
         def normal(h, q, b, targets) -> np.ndarray:
             s = h @ q.T
             s += b
-            s -= s.max(1, keepdims=True)
+            if s.max(initial=0) > 80:  # beyond what single precision exponentiates
+                s -= s.max(1, keepdims=True)
             own = s[np.arange(len(h)), targets]
             return own - np.log(np.exp(s, out=s).sum(1))
 
@@ -198,8 +232,8 @@ class Model:
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             k = int(own[lo])
             of = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            for at in range(lo, hi, 8192):
-                i = order[at : min(at + 8192, hi)]
+            for at in range(lo, hi, 1024):  # products that stay in a core's cache
+                i = order[at : min(at + 1024, hi)]
                 h = self.hidden(ctx[i], context, position)
                 out[i] = normal(h, word[of], word_bias[of], c[i] % CLASS_WORDS) + normal(h, cls, cls_bias, np.full(len(i), k))
         return out
@@ -222,31 +256,45 @@ def named_model(words: list[tuple[int, int]], shape_n: np.ndarray, shape_v: np.n
     return Model(h[by_hash], place[: len(h)][by_hash], place[len(h) :], full)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0, most_words: int = 16_000, rounds: int = 4, passes: int = 1) -> DataFrame:
+def added(sums: DataFrame, tasks: int) -> DataFrame:
+    """One row (total) that adds up those of ``tasks`` tasks (part, total), FAN_IN of them in a task at a time."""
+
+    def add(t):
+        total = None
+        for x in t["total"]:
+            one = np.frombuffer(x.as_buffer(), "<f4")
+            total = one.astype("<f4") if total is None else total + one
+        return pa.table([t["part"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        sums = sums.select(F.floor(F.col("part") / FAN_IN).cast("int").alias("part"), "total").groupBy("part").applyInArrow(add, "part int, total binary")
+    return sums
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0, most_words: int = 16_000, least_count: int = 10, rounds: int = 4, passes: int = 1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     Counts, totals and the model come from all documents whose crc32(id as text) mod ``modulus`` is not ``held_out``. The
-    model names the commonest words, at most most_words. In each round, tasks train from the same parameters, each on its own share
+    model names the ``most_words`` commonest words (of equally common ones those of least hash) that stand ``least_count`` times at least; the others have
+    their shape's probability times their share of it. In each round, tasks train from the same parameters, each on its own share
     of the documents' blocks; a vector's changes are averaged over the blocks that have its word. The rounds of a pass share all
-    blocks out among them. Words are lower-cased for A-Z alone and told apart by a 64-bit hash. Null and empty texts have one
-    token, the end. Repeated rows are documents of their own; with no training document N and V are 0. Other columns are
-    ignored; an empty table gives an empty one.
+    blocks out among them. Words are lower-cased for A-Z alone and told apart by 58 bits of a hash, whose other bits are their shape. Null and empty
+    texts have one token, the end; a very long text is a block of its own. Repeated rows are documents of their own; with no training document N and V
+    are 0. Other columns are ignored, whatever their names; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    blocks = pack_blocks(docs.select(*dict.fromkeys([id_col, text_col])), text_col)
+    named_docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # texts are hashed once: what is stored, trained on and scored are places of words
+    blocks = pack_blocks(named_docs, "text", seal=lambda t: seal_tokens(t, "id", "text", modulus, held_out))
     buckets = bucket_count(blocks, 0.4)
 
-    def asked(t):
-        h, d, held = tokens(t, id_col, text_col, modulus, held_out)
-        u, inv = np.unique(h, return_inverse=True)
-        return h, d, held, u, inv
-
     def ask(batches):
         for b in batches:
             for name, data in zip(b["block"].to_pylist(), b["data"], strict=True):
-                _, d, held, u, inv = asked(unpack(data))
-                n = np.bincount(inv, ~held[d], len(u)).astype(np.uint32)
-                yield split_by_bucket(name, u, u, buckets, n)
+                w = Words.unseal(data)
+                n = np.bincount(w.inv, ~w.held[w.d], len(w.u)).astype(np.uint32)
+                yield split_by_bucket(name, w.u, w.u, buckets, n)
 
     def reply(keys: list[bytes], counts: list[bytes]) -> list[bytes]:
         sizes = [len(k) // 8 for k in keys]
@@ -256,8 +304,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         out = total[inv].astype("<u4" if total.max(initial=0) < 2**32 else "<u8")
         out = [out[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
         shape = (u & U64(SHAPES - 1)).astype(np.int64)
-        top = np.flatnonzero((total >= LEAST) | (u == END))
-        top = top[np.lexsort((u[top], -total[top]))][:most_words]
+        top = np.flatnonzero((total >= least_count) | (u == END))
+        top = top[np.lexsort((u[top], -total[top], u[top] != END))][:most_words]
         head = np.concatenate([np.bincount(shape, total, SHAPES), np.bincount(shape, total > 0, SHAPES)]).astype(np.int64).tobytes()
         out[0] = np.int64(len(head) + 16 * len(top)).tobytes() + head + u[top].tobytes() + total[top].tobytes() + out[0]
         return [out[0], *(np.int64(0).tobytes() + x for x in out[1:])]
@@ -281,16 +329,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         shape_n[r["shape"]], shape_v[r["shape"]] = r.n, r.v
     n_all, v_all = int(shape_n.sum()), int(shape_v.sum())
     named = head.where("h IS NOT NULL")
-    # words by steps of their counts, so many steps from the top as hold most_words at most
+    # the commonest words by steps of their counts; of the first step that doesn't fit as a whole, those that come first
     level = F.when(F.col("h") == int(END.view(np.int64)), 1 << 20).otherwise(F.floor(F.log2(F.greatest("n", F.lit(1))) * 64))
-    held, lowest = 0, 1 << 21
+    held, words = 0, []
     for r in sorted(named.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
         if held + r["count"] > most_words:
+            words = named.where(level == r.level).orderBy(F.desc("n"), "h").limit(most_words - held).select("h", "n").collect()
             break
         held, lowest = held + r["count"], r.level
-    words = sorted((r.h & (2**64 - 1), int(r.n)) for r in named.where(level >= lowest).select("h", "n").collect())
-    model = named_model(words, shape_n, shape_v)
+    if held:
+        words += named.where(level >= lowest).select("h", "n").collect()
+    model = named_model(sorted((r.h & (2**64 - 1), int(r.n)) for r in words), shape_n, shape_v)
+    shapes = [x.shape for x in model.parts]
+    ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
 
+    tasks = blocks.rdd.getNumPartitions() if n_all else 0
     for turn in range(rounds * passes if n_all else 0):
         shared = spark.sparkContext.broadcast(model.state())  # of fixed size
 
@@ -298,55 +351,48 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             m, total, seen = Model(*shared.value), None, None
             for b in batches:
                 for name, data in zip(b["block"].to_pylist(), b["data"], strict=True):
-                    if (name + (name >> 32)) % rounds != turn % rounds:  # every task has blocks for every round
-                        continue
-                    h, d, held = tokens(unpack(data), id_col, text_col, modulus, held_out)
-                    c, _ = m.place_of(h)
-                    use = ~held[d]
+                    w = Words.unseal(data)
+                    place, _ = m.place_of(w.u)
+                    c = place[w.inv]
+                    use = ~w.held[w.d]
                     if use.any():
-                        parts, ctx_rows, word_rows = m.train(c[use], m.contexts(c, d)[use], name % 2**31 + turn)
+                        parts, ctx_rows, word_rows = m.train(c[use], m.contexts(c, w.d)[use], name % 2**31 + turn)
                         one = np.ones(1, bool)
                         counts = [ctx_rows, word_rows, word_rows, one, one, one]
-                        total = [x.astype(float) for x in parts] if total is None else [x + y for x, y in zip(total, parts, strict=True)]
-                        seen = [x.astype(float) for x in counts] if seen is None else [x + y for x, y in zip(seen, counts, strict=True)]
+                        total = parts if total is None else [x + y for x, y in zip(total, parts, strict=True)]
+                        seen = [x.astype(np.float32) for x in counts] if seen is None else [x + y for x, y in zip(seen, counts, strict=True)]
             if total is not None:
-                for k in range(len(total)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k].astype("<f8").tobytes()], pa.binary()), pa.array([seen[k].astype("<f8").tobytes()], pa.binary())], ["k", "total", "seen"])
-
-        def add(t: pa.Table) -> pa.Table:
-            total, seen = (sum(np.frombuffer(x, "<f8") for x in t[c].to_pylist()) for c in ("total", "seen"))
-            return pa.table([t["k"].slice(0, 1), pa.array([total.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["k", "total", "seen"])
-
-        # sums of fixed size for each task, added in two steps so that no task adds up those of all
-        sums = blocks.select("block", "data").mapInArrow(train, "k int, total binary, seen binary").withColumn("part", F.spark_partition_id() % 64)
-        partly = sums.groupBy("k", "part").applyInArrow(lambda key, t: add(t), "k int, total binary, seen binary")
-        for r in partly.groupBy("k").applyInArrow(lambda key, t: add(t), "k int, total binary, seen binary").collect():
-            x = model.parts[r.k]
-            seen = np.frombuffer(bytes(r.seen), "<f8")
-            change = np.frombuffer(bytes(r.total), "<f8").reshape(x.shape)
-            model.parts[r.k] = (x + change / np.maximum(seen, 1).reshape([-1] + [1] * (x.ndim - 1))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate([x.ravel() for x in [*total, *seen]]).astype("<f4").tobytes()], pa.binary())], ["part", "total"])
+
+        # every task has blocks for every round; sums of fixed size for each task, some of which meet in a task at a time
+        mine = blocks.where(F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(rounds)) == turn % rounds).select("block", "data")
+        for r in added(mine.mapInArrow(train, "part int, total binary"), tasks).collect():
+            flat = np.frombuffer(bytes(r.total), "<f4")
+            counts = np.split(flat[ends[-1] :], np.cumsum([shapes[0][0], shapes[1][0], shapes[1][0], 1, 1]))
+            for k, (lo, hi, shape, n) in enumerate(zip(ends[:-1], ends[1:], shapes, counts, strict=True)):
+                model.parts[k] = (model.parts[k] + flat[lo:hi].reshape(shape) / np.maximum(n, 1).reshape([-1] + [1] * (len(shape) - 1))).astype(np.float32)
 
     final = spark.sparkContext.broadcast(model.state())
-    id_field = docs.schema[id_col]
-    schema = T.StructType([id_field, T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
-    def score(name, t, got):
+    def score(name, w, got):
         m = Model(*final.value)
-        h, d, held, u, inv = asked(t)
-        sizes = np.bincount(bucket_of(u, buckets))
+        sizes = np.bincount(bucket_of(w.u, buckets))
         sizes = sizes[sizes > 0]
         raw = [x[8 + int.from_bytes(x[:8], "little") :] for x in got]
-        count = np.concatenate([np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(raw, sizes, strict=True)]).astype(float)[inv] if len(u) else np.zeros(0)
-        n = t.num_rows
+        count = np.concatenate([np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(raw, sizes, strict=True)]).astype(float) if len(w.u) else np.zeros(0)
+        n = w.docs.num_rows
+        place, known = m.place_of(w.u)
         base = np.log10((count + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
-        c, known = m.place_of(h)
-        p = m.log_probs(c, m.contexts(c, d)) / np.log(10)
-        p[~known] += np.log10((count[~known] + SMOOTH) / m.mass[c[~known]])
+        rest = np.zeros(len(w.u))
+        rest[~known] = np.log10((count[~known] + SMOOTH) / m.mass[place[~known]])
+        c = place[w.inv]
+        p = m.log_probs(c, m.contexts(c, w.d)) / np.log(10) + rest[w.inv]
 
-        def per(w):
-            return np.bincount(d, w, n)
+        def per(x):
+            return np.bincount(w.d, x, n)
 
-        cols = [t[id_col], pa.array(held), pa.array(np.bincount(d, minlength=n)), pa.array(per(count > 0).astype(np.int64)), pa.array(np.full(n, n_all)), pa.array(per(base)), pa.array(per(p))]
+        cols = [w.docs["id"], w.docs["held"], w.docs["n"], pa.array(per((count > 0)[w.inv]).astype(np.int64)), pa.array(np.full(n, n_all)), pa.array(per(base[w.inv])), pa.array(per(p))]
         return pa.table(cols, names=schema.names)
 
-    return meet(blocks, counted, score, schema)
+    return meet(blocks, counted, score, schema, Words.unseal)
