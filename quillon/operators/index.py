@@ -116,3 +116,26 @@ def apply_media(scenes: DataFrame, patches: DataFrame, force: bool = False) -> t
     done = judged.where(F.col("fate").isin("added", "replaced")).select("content", "scene", "_t", "_p")
     out = scenes.join(done, ["content", "scene"], "left").select("content", "scene", F.coalesce("_t", "media_type").alias("media_type"), F.coalesce("_p", "media_path").alias("media_path"))
     return out, receipt
+
+
+def update_rows(rows: DataFrame, updates: DataFrame, keys: list[str], now) -> DataFrame:
+    """rows after updates (keys, some of the other columns): each updated row has ``updated_at`` set to now, changed or not, as a trigger does."""
+    changed = [c for c in updates.columns if c not in keys]
+    side = updates.select(*keys, *[F.col(c).alias(f"_to_{c}") for c in changed], F.lit(True).alias("_have"))
+    out = rows.join(side, keys, "left")
+    to = {c: F.when(F.col("_have"), F.col(f"_to_{c}")).otherwise(F.col(c)) for c in changed}
+    return out.withColumns(to | {"updated_at": F.when(F.col("_have"), now).otherwise(F.col("updated_at"))}).select(*rows.columns)
+
+
+def new_users(profiles: DataFrame, signups: DataFrame, key: str, order: list) -> tuple[DataFrame, DataFrame]:
+    """(profiles with the new ones, their roles (key, role)): whoever comes when there is no profile yet is admin, everyone else user."""
+    fresh = signups.join(profiles.select(key), key, "left_anti").dropDuplicates([key])
+    none = profiles.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
+    first = fresh.orderBy(*order).limit(1).select(key, F.lit(True).alias("_first"))
+    roles = fresh.join(first, key, "left").join(F.broadcast(none)).select(key, F.when(F.col("_none") & F.col("_first"), "admin").otherwise("user").alias("role"))
+    return profiles.unionByName(fresh.select(*profiles.columns)), roles
+
+
+def append_log(log: DataFrame, sends: DataFrame, keys: list[str]) -> DataFrame:
+    """The log with the sends whose keys it lacks, each once; a dispatch that runs again adds nothing."""
+    return log.unionByName(sends.dropDuplicates(keys).join(log.select(*keys), keys, "left_anti").select(*log.columns))

@@ -54,6 +54,40 @@ def scene_rules() -> list[Rule]:
     ]
 
 
+#: Fields of a post's record, the size of its video, its frame rates and lengths in seconds, what is left to a person.
+META, META_MORE, META_SERIES, META_LISTS = ("subject", "pipelineId", "title", "article"), ("createdAt", "topics", "keyEntities", "dataPoints"), ("seriesId", "partNumber", "totalParts"), ("companies", "people", "models")
+FRAME, RATES, SHORT, BEST, LONGEST = (1080, 1920), (23, 60), 180, 70, 600
+BY_HAND = ("Title (< 60 chars)", "Description (with SEO keywords)", "3-5 hashtags (broad + niche)", "Geographic tag", "In-app editing (algorithm bonus)")
+
+
+def final_gate(videos: DataFrame, keys: list[str], meta: Column, probe: Column, subtitled: Column, hook_subtitled: Column, tiktok: bool = True) -> DataFrame:
+    """(keys, level, category, check): each check of a finished video with its level, pass, warning, error or manual.
+
+    meta: its record as a variant; probe: a struct (width, height, fps, duration_ms), null for an unreadable file; subtitled: whether all scenes but the
+    last have subtitles, hook_subtitled whether the first has. One pass over the videos, whatever the number of checks.
+    """
+    field = lambda f: F.try_variant_get(meta, f"$.{f}", "variant")
+    raw = lambda f: F.coalesce(F.try_variant_get(meta, f"$.{f}", "string"), F.lit("")) != ""
+    there = lambda f: field(f).isNotNull() & F.coalesce(~F.is_variant_null(field(f)), F.lit(False)) & ~F.coalesce(F.try_variant_get(meta, f"$.{f}", "string").isin("", "0", "false"), F.lit(False))
+    is_list = lambda f: F.try_variant_get(meta, f"$.keyEntities.{f}", "array<variant>").isNotNull()
+    seconds = probe["duration_ms"] / 1000
+    row = lambda when, level, category, check: F.when(F.coalesce(when, F.lit(False)), F.struct(F.when(level, "pass").otherwise(F.lit(category[1])).alias("level"), F.lit(category[0]).alias("category"), F.lit(check).alias("check")))
+    always, known = F.lit(True), meta.isNotNull()
+    made = [row(~known, F.lit(False), ("Meta", "error"), "meta loads")]
+    made += [row(known, there(f), ("Meta", "error"), f"meta.{f} exists") for f in META] + [row(known, there(f), ("Meta", "warning"), f"meta.{f} exists (extended)") for f in META_MORE]
+    made += [row(known & raw("seriesId"), field(f).isNotNull(), ("Meta", "warning"), f"meta.{f} exists (series)") for f in META_SERIES]
+    made += [row(known & there("keyEntities"), is_list(f), ("Meta", "error"), f"meta.keyEntities.{f} is array") for f in META_LISTS]
+    read = probe.isNotNull()
+    made += [row(always, read, ("Specs", "error"), "video can be read"), row(read, (probe["width"] == FRAME[0]) & (probe["height"] == FRAME[1]), ("Specs", "error"), "Resolution 1080×1920 (9:16)"), row(read, probe["fps"].between(*RATES), ("Specs", "error"), "Frame rate (23-60fps)")]
+    if tiktok:
+        made += [row(read & (seconds <= LONGEST), seconds <= BEST, ("Duration", "warning"), "TikTok optimal (60-70s)"), row(read & (seconds > LONGEST), F.lit(False), ("Duration", "error"), "TikTok max (600s/10min)")]
+    else:
+        made += [row(read, seconds <= SHORT, ("Duration", "error"), "YouTube Shorts duration (≤180s)")]
+    made += [row(read, subtitled, ("Subtitles", "error"), "All scenes have subtitle timing"), row(read, hook_subtitled, ("Subtitles", "error"), "Scene 1 (hook) has subtitles")]
+    made += [row(read, F.lit(False), ("Publish", "manual"), c) for c in BY_HAND]
+    return videos.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("f")).select(*keys, "f.*")
+
+
 def term_pairs(rows: DataFrame, keys: list[str], text: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """(keys, first, second) of each pair of contrary terms that one text holds both of; 'versus' between texts excuses them."""
     low = F.lower(text)

@@ -13,7 +13,7 @@ from quillon.sources.readers import chunk_markdown, table
 
 Q, S, query = registry()
 
-BODY = "regexp_replace(left(text, 500), '[\\n#]', ' ', 'g')"
+BODY = "regexp_replace(text, '[\\n#]', ' ', 'g')"
 
 
 @query("chunk_sections", rf"""WITH d AS (SELECT doc_id, rtrim({BODY}, ' ') AS b, repeat('p ', 7500) AS p FROM documents)
@@ -25,7 +25,7 @@ UNION ALL SELECT doc_id, 2, 'Two x', md5(rtrim(p, ' ')), 14999 FROM d WHERE doc_
 def _(s, d):
     p = F.repeat(F.lit("p "), F.lit(7500))
     long = F.concat_ws("\n\n\n", p, p, p)
-    t = F.concat(F.lit("dropped\n## One\n"), F.regexp_replace(F.left("text", F.lit(500)), "[\n#]", " "), F.lit("\n\n## Two x\n"), F.when(F.col("doc_id") % 5 == 0, long).otherwise("y"), F.lit("  \n"))
+    t = F.concat(F.lit("dropped\n## One\n"), F.regexp_replace("text", "[\n#]", " "), F.lit("\n\n## Two x\n"), F.when(F.col("doc_id") % 5 == 0, long).otherwise("y"), F.lit("  \n"))
     rows = table(s, d, "documents").select("doc_id", t.alias("t"))
     return chunk_markdown(rows, "doc_id", "t").select("doc_id", "chunk_index", "title", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
 

@@ -235,13 +235,13 @@ def _(s, d):
     return hit.withColumn("visits", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).orderBy(F.desc("visits"), F.desc("ts"), "event_id").limit(20).select("event_id", "user_id")
 
 
-@query("cached_images", "SELECT doc_id, 'https://i.org/' || doc_id AS image FROM documents WHERE contains(lower(left(text, 60)), 'the') AND doc_id % 4 > 0")
+@query("cached_images", "SELECT doc_id, 'https://i.org/' || doc_id AS image FROM documents WHERE contains(lower(text), 'the') AND doc_id % 4 > 0")
 def _(s, d):
     from quillon.functions.content import any_substring, not_content_image
 
     k = F.col("doc_id")
     image = F.when(k % 4 == 0, F.concat(F.lit("https://i.org/logo"), k)).otherwise(F.concat(F.lit("https://i.org/"), k))
-    topic = F.struct(F.left("text", F.lit(60)).alias("title"), F.array(image, F.lit("")).alias("images"))
+    topic = F.struct(F.col("text").alias("title"), F.array(image, F.lit("")).alias("images"))
     cache = table(s, d, "documents").select("doc_id", F.create_map("lang", F.array(topic)).alias("topics"))
     t = cache.select("doc_id", F.explode(F.flatten(F.map_values("topics"))).alias("t")).where(any_substring(F.col("t.title"), ["THE"]))
     return t.select("doc_id", F.explode("t.images").alias("image")).where(~not_content_image(F.col("image")))

@@ -24,7 +24,7 @@ def _scenes(s, d) -> DataFrame:
     c = table(s, d, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
     k, t = F.col("conv_id"), F.col("turn")
     pick = lambda xs, i: F.get(F.array(*map(F.lit, xs)), i.cast("int"))
-    said = F.concat_ws(" ", F.when((k + t) % 12 == 8, "hey there"), F.left("text", F.lit(90)), F.nullif(pick(SAID, (k + t) % 12), F.lit("")))
+    said = F.concat_ws(" ", F.when((k + t) % 12 == 8, "hey there"), F.col("text"), F.nullif(pick(SAID, (k + t) % 12), F.lit("")))
     kind = F.when((t == 0) & (k % 3 != 0), "hook").when((t == F.col("last")) & (k % 2 == 0), "cta").otherwise("narrative")
     entry = lambda name, value, where: F.when(where, F.struct(F.lit(name).alias("k"), F.lit(value).alias("v")))
     first, last = t == 0, t == F.col("last")
@@ -49,7 +49,7 @@ def _re(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-FIXTURE = rf"""c AS (SELECT conv_id AS k, turn AS t, left(text, 90) AS x, max(turn) OVER (PARTITION BY conv_id) AS l FROM conversations),
+FIXTURE = rf"""c AS (SELECT conv_id AS k, turn AS t, text AS x, max(turn) OVER (PARTITION BY conv_id) AS l FROM conversations),
 s AS (SELECT k, t, l, t = 0 AS f, t = l AS e, CASE WHEN t = 0 AND k % 3 <> 0 THEN 'hook' WHEN t = l AND k % 2 = 0 THEN 'cta' ELSE 'narrative' END AS vt,
  CASE WHEN (k + t) % 12 = 8 THEN 'hey there ' ELSE '' END || x || CASE WHEN {_list(SAID)}[CAST((k + t) % 12 + 1 AS INT)] <> '' THEN ' ' || {_list(SAID)}[CAST((k + t) % 12 + 1 AS INT)] ELSE '' END AS vo,
  concat_ws(',', CASE WHEN t = 0 AND k % 4 <> 1 THEN '"hookText":"a claim first"' END, CASE WHEN t = 0 AND k % 4 = 2 THEN '"bigNumber":"42"' END, CASE WHEN t = 0 AND k % 5 = 0 THEN '"subject":"Kimi"' END, CASE WHEN t = l AND k % 4 = 0 THEN '"action":"FOLLOW"' END,

@@ -21,10 +21,10 @@ def _obj(**fields: Column) -> Column:
 
 
 def _turns(s, d):
-    return table(s, d, "conversations").withColumn("head", F.left("text", F.lit(40)))
+    return table(s, d, "conversations").withColumn("head", F.col("text"))
 
 
-TURNS = "(SELECT *, left(text, 40) AS head FROM conversations)"
+TURNS = "(SELECT *, text AS head FROM conversations)"
 ISO_SQL = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%S.%gZ')"
 
 
@@ -48,14 +48,15 @@ def _(s, d):
     return apis.repositories(table(s, d, "part").withColumn("p", _json(items=F.array(item))), ["p_partkey"], "p")
 
 
-@query("source_works", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(left(text, 300), '[^A-Za-z]+'), lambda x: x <> '') AS w FROM documents),
+@query("source_works", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> '') AS w FROM documents),
 u AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w) GROUP BY 1, 2)
 SELECT d.doc_id, 0 AS i, d.lang AS title, CASE WHEN d.doc_id % 2 = 0 THEN 'https://doi.org/' || d.doc_id ELSE 'https://w.org/' || d.doc_id END AS url, left(coalesce(t, ''), 200) AS snippet, '2024-01-02' AS published
 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM u GROUP BY doc_id) USING (doc_id)""")
 def _(s, d):
-    w = F.filter(F.split(F.left("text", F.lit(300)), "[^A-Za-z]+"), lambda x: x != "")
-    places = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.filter(F.transform("w", lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull()))))
-    rows = table(s, d, "documents").withColumn("w", w)
+    docs = table(s, d, "documents")
+    word = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")).alias("at", "w"))
+    index = word.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("at")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("places"))
+    rows, places = docs.join(index, "doc_id", "left"), F.coalesce("places", F.create_map().cast("map<string, array<int>>"))
     work = _obj(title=F.lit(None).cast("string"), display_name=F.col("lang"), doi=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://doi.org/"), "doc_id")), id=F.concat(F.lit("https://w.org/"), "doc_id"), publication_date=F.lit("2024-01-02"), abstract_inverted_index=places)
     return apis.works(rows.withColumn("p", _json(results=F.array(work))), ["doc_id"], "p")
 
@@ -76,8 +77,8 @@ def _(s, d):
     return apis.atom_entries(table(s, d, "pages").withColumn("x", x), ["page_id"], "x")
 
 
-@query("source_numbered_list", r"""WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 40), '[*"\n]', '', 'g') AS h FROM conversations)
-SELECT conv_id, turn, 0 AS i, h AS title, 'https://a.org/' || conv_id AS url, '@u' || turn AS author FROM t WHERE h <> ''
+@query("source_numbered_list", r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[*"\n]', '', 'g') AS h FROM conversations)
+SELECT conv_id, turn, 0 AS i, left(h, 200) AS title, 'https://a.org/' || conv_id AS url, '@u' || turn AS author FROM t WHERE h <> ''
 UNION ALL SELECT conv_id, turn, 1, 'quoted ' || turn, 'https://b.org/x?y=' || turn, '' FROM t WHERE h <> ''""")
 def _(s, d):
     t = _turns(s, d).withColumn("head", F.regexp_replace("head", '[*"\n]', "")).where("head <> ''")
@@ -106,7 +107,7 @@ def _(s, d):
     return apis.videos(table(s, d, "orders").join(files, "o_orderkey", "left").withColumn("p", _json(videos=F.array(video))), ["o_orderkey"], "p", F.lit("kw"))
 
 
-@query("source_short_videos", f"""SELECT conv_id, turn, 0 AS i, CASE WHEN turn % 3 = 0 THEN '@' || role || ' video ' || (conv_id * 10 + turn) ELSE head END AS title, CASE WHEN turn % 2 = 0 THEN 'https://s.org/' || conv_id ELSE 'https://www.tiktok.com/@' || role || '/video/' || (conv_id * 10 + turn) END AS url, role AS author FROM {TURNS}""")
+@query("source_short_videos", f"""SELECT conv_id, turn, 0 AS i, CASE WHEN turn % 3 = 0 THEN '@' || role || ' video ' || (conv_id * 10 + turn) ELSE left(head, 200) END AS title, CASE WHEN turn % 2 = 0 THEN 'https://s.org/' || conv_id ELSE 'https://www.tiktok.com/@' || role || '/video/' || (conv_id * 10 + turn) END AS url, role AS author FROM {TURNS}""")
 def _(s, d):
     info = _obj(aweme_id=(F.col("conv_id") * 10 + F.col("turn")).cast("string"), desc=F.when(F.col("turn") % 3 != 0, F.col("head")), share_url=F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://s.org/"), "conv_id", F.lit("?u=1"))), author=_obj(unique_id=F.col("role")))
     nested, flat = _json(search_item_list=F.array(_obj(aweme_info=info))), _json(data=F.array(info, _obj(aweme_id=F.lit(""), desc=F.lit(""), share_url=F.lit(""), author=_obj(unique_id=F.lit("")))))
@@ -192,10 +193,10 @@ def _(s, d):
     return apis.capable(table(s, d, "supplier").withColumns({"capabilities": F.when(k % 2 == 0, F.array(F.lit("api"), F.lit("images"))).otherwise(F.array(F.lit("cdp"))), "paid": F.when(k % 5 == 0, F.lit(True))}), "api").select("s_suppkey")
 
 
-@query("image_enrichment", "SELECT a.page_id, a.url, CASE WHEN page_id % 3 = 0 THEN 'own' ELSE m END AS image_url FROM pages a LEFT JOIN (SELECT url, min('img' || page_id) AS m FROM pages WHERE page_id % 2 = 0 GROUP BY url) USING (url)")
+@query("image_enrichment", "SELECT a.page_id, a.url, CASE WHEN page_id % 3 = 0 THEN 'own' ELSE m END AS image_url FROM pages a LEFT JOIN (SELECT url, arg_min('img' || page_id, page_id) AS m FROM pages WHERE page_id % 2 = 0 GROUP BY url) USING (url)")
 def _(s, d):
     p, k = table(s, d, "pages"), F.col("page_id")
-    return apis.with_images(p.select("page_id", "url", F.when(k % 3 == 0, "own").otherwise("").alias("image_url")), p.where(k % 2 == 0).select("url", F.concat(F.lit("img"), k).alias("image_url"))).select("page_id", "url", "image_url")
+    return apis.with_images(p.select("page_id", "url", F.when(k % 3 == 0, "own").otherwise("").alias("image_url")), p.where(k % 2 == 0).select(k.alias("ordinal"), "url", F.concat(F.lit("img"), k).alias("image_url"))).select("page_id", "url", "image_url")
 
 
 @query("source_markdown", r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '# Source: ' || t || ' (Stub)' || chr(10) || '> URL: ' || url || chr(10) || '> Extracted from widget: w' || chr(10) || chr(10) || '## Note' || chr(10) || 'Content could not be fetched (HTTP 403).' || CASE WHEN page_id % 2 = 0 THEN ' Widget data summary: first value; second value.' ELSE '' END || chr(10)

@@ -112,6 +112,69 @@ def numbered_list(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
     return out.select(*keys, "i", F.left("title", F.lit(200)).alias("title"), "url", "author")
 
 
+#: Of each news service the array of its answer, and the fields (several: the first given one) that hold a title, address, snippet, time and author.
+NEWS = {
+    "gnews": ("articles", ["title"], ["url"], "description", ["publishedAt"], ["source.name"], "title: string, url: string, description: string, publishedAt: string, source: struct<name: string>"),
+    "currents": ("news", ["title"], ["url"], "description", ["published"], ["author", "source_category[0]"], "title: string, url: string, description: string, published: string, author: string, source_category: array<string>"),
+    "noozra": ("articles", ["headline"], ["url"], "description", ["published_at"], ["source"], "headline: string, url: string, description: string, published_at: string, source: string"),
+}
+
+
+def news(rows: DataFrame, keys: list[str], payload: str, service: str) -> DataFrame:
+    """(keys, i, title, url, snippet, published, author) of a news service's answer; missing fields are ''."""
+    array, title, url, snippet, published, author, fields = NEWS[service]
+    found = each(rows, keys, payload, f"{array} array<struct<{fields}>>", array)
+
+    def of(path: str) -> Column:
+        if path.endswith("[0]"):
+            return F.get(F.col(f"x.{path[:-3]}"), F.lit(0))
+        return F.col(f"x.{path}")
+
+    first = lambda paths: given(*map(of, paths))
+    return found.select(*keys, "i", first(title).alias("title"), first(url).alias("url"), F.left(given(of(snippet)), F.lit(200)).alias("snippet"), first(published).alias("published"), first(author).alias("author"))
+
+
+def papers(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """(keys, i, title, url, snippet, published, author) of a repository of papers: the DOI's address, else the first full text's; authors joined."""
+    x = F.col("x")
+    found = each(rows, keys, payload, "results array<struct<title: string, abstract: string, doi: string, sourceFulltextUrls: array<string>, publishedDate: string, depositedDate: string, authors: array<struct<name: string>>>>", "results")
+    url = F.when(given(x["doi"]) != "", F.concat(F.lit("https://doi.org/"), x["doi"])).otherwise(given(F.get(x["sourceFulltextUrls"], F.lit(0))))
+    return found.select(*keys, "i", given(x["title"]).alias("title"), url.alias("url"), F.left(given(x["abstract"]), F.lit(200)).alias("snippet"), given(x["publishedDate"], x["depositedDate"]).alias("published"), given(F.array_join(F.transform(x["authors"], lambda a: F.coalesce(a["name"], F.lit(""))), ", ")).alias("author"))
+
+
+def atom_updates(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """(keys, i, title, url, snippet, published) of a feed whose links give their address before their kind; entries without title go, the address may be ''."""
+    x = F.col("x")
+    inner = lambda tag: F.regexp_replace(F.btrim(F.regexp_extract(x, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), F.lit(" \t\n\r")), "\n", " ")
+    entry = rows.select(*keys, F.posexplode(F.regexp_extract_all(F.col(payload), F.lit(r"(?s)<entry>(.*?)</entry>"), 1)).alias("i", "x"))
+    url = F.regexp_extract(x, r'(?s)<link[^>]*href="([^"]+)"[^>]*rel="alternate"', 1)
+    return entry.where(x.rlike("(?s)<title>.*?</title>")).select(*keys, "i", inner("title").alias("title"), url.alias("url"), F.left(inner("summary"), F.lit(200)).alias("snippet"), inner("updated").alias("published"))
+
+
+#: Of each service of pictures the array of its answer, the fields of a title, of addresses, of width and height, of an author.
+PICTURES = {
+    "unsplash": ("results", "alt_description", ["urls.full", "urls.regular"], ("width", "height"), None, "alt_description: string, urls: struct<full: string, regular: string>, width: int, height: int"),
+    "pixabay": ("hits", "tags", ["largeImageURL", "webformatURL"], ("imageWidth", "imageHeight"), "user", "tags: string, largeImageURL: string, webformatURL: string, imageWidth: int, imageHeight: int, user: string"),
+}
+
+
+def pictures(rows: DataFrame, keys: list[str], payload: str, service: str, keyword: Column) -> DataFrame:
+    """(keys, i, title, url, type, resolution, author) of a picture service's answer; a picture without a title has the keyword's."""
+    array, title, urls, (wide, high), author, fields = PICTURES[service]
+    found = each(rows.withColumn("_kw", keyword), [*keys, "_kw"], payload, f"{array} array<struct<{fields}>>", array)
+    x = lambda f: F.col(f"x.{f}")
+    by = x(author) if author else F.lit(None).cast("string")
+    return found.select(*keys, "i", given(x(title), F.col("_kw")).alias("title"), F.nullif(given(*map(x, urls)), F.lit("")).alias("url"), F.lit("image").alias("type"), F.concat_ws("x", x(wide), x(high)).alias("resolution"), by.alias("author"))
+
+
+def clips(rows: DataFrame, keys: list[str], payload: str, keyword: Column) -> DataFrame:
+    """(keys, i, title, url, type, resolution, base_filename) of a service whose clips are known by file name and opened with the answer's token."""
+    whole = F.from_json(F.col(payload), "params struct<userToken: string>, hits array<struct<title: string, base_filename: string, is_vertical: boolean>>")
+    found = rows.select(*keys, keyword.alias("_kw"), given(whole["params"]["userToken"]).alias("_token"), F.posexplode(whole["hits"]).alias("i", "x"))
+    url = F.concat(F.lit("https://cdn.coverr.co/videos/"), F.coalesce(F.col("x.base_filename"), F.lit("undefined")), F.lit("/mp4?token="), F.col("_token"))
+    return found.select(*keys, "i", given(F.col("x.title"), F.col("_kw")).alias("title"), url.alias("url"), F.lit("video").alias("type"), F.when(F.coalesce(F.col("x.is_vertical"), F.lit(False)), "vertical").otherwise("horizontal").alias("resolution"), F.col("x.base_filename").alias("base_filename"))
+
+
 def photos(rows: DataFrame, keys: list[str], payload: str, keyword: Column) -> DataFrame:
     x = F.col("x")
     found = each(rows.withColumn("_kw", keyword), [*keys, "_kw"], payload, "photos array<struct<alt: string, src: struct<original: string, large: string>, width: int, height: int>>", "photos")
@@ -228,8 +291,8 @@ def capable(registry: DataFrame, capability: str, paid: bool = False) -> DataFra
 
 
 def with_images(articles: DataFrame, images: DataFrame) -> DataFrame:
-    """Articles with image_url, their own or that of the table (url, image_url) by address."""
-    side = images.groupBy("url").agg(F.min("image_url").alias("_image"))
+    """Articles with image_url, their own or that of the table (ordinal, url, image_url) by address; of several the one with the least ordinal."""
+    side = images.groupBy("url").agg(F.min_by("image_url", "ordinal").alias("_image"))
     return articles.join(side, "url", "left").withColumn("image_url", F.coalesce(F.nullif("image_url", F.lit("")), "_image")).drop("_image")
 
 

@@ -83,13 +83,18 @@ def _little(value: Column, size: int) -> Column:
     return F.concat(*[F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for i in range(size)])
 
 
-def wav_bytes(pcm: Column, sample_rate: Column) -> Column:
-    """A mono 16-bit PCM file of an array of samples."""
-    size = F.size(pcm) * 2
+def wav_file(data: Column, sample_rate: Column) -> Column:
+    """A mono 16-bit PCM file of samples' bytes."""
+    size = F.octet_length(data)
     numbers = [(size + HEADER - 8, 4), (F.lit(16), 4), (F.lit(PCM), 2), (F.lit(CHANNELS), 2), (sample_rate, 4), (sample_rate * 2, 4), (F.lit(2), 2), (F.lit(BITS), 2), (size, 4)]
     hexed = [_little(v, n) for v, n in numbers]
     text = lambda s: F.lit(s.encode().hex())
-    return F.unhex(F.concat(text("RIFF"), hexed[0], text("WAVEfmt "), *hexed[1:8], text("data"), hexed[8], F.array_join(F.transform(pcm, lambda s: _little(s, 2)), "")))
+    return F.concat(F.unhex(F.concat(text("RIFF"), hexed[0], text("WAVEfmt "), *hexed[1:8], text("data"), hexed[8])), data)
+
+
+def wav_bytes(pcm: Column, sample_rate: Column) -> Column:
+    """A mono 16-bit PCM file of an array of samples."""
+    return wav_file(F.unhex(F.array_join(F.transform(pcm, lambda s: _little(s, 2)), "")), sample_rate)
 
 
 def quantized(samples: Column) -> Column:

@@ -115,3 +115,39 @@ def chunk_markdown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, chunk_index, title, chunk) of each document's chunks, see markdown_chunks."""
     out = docs.select(id_col, F.posexplode(markdown_chunks(F.col(text_col))).alias("chunk_index", "_c"))
     return out.select(id_col, "chunk_index", "_c.title", "_c.chunk")
+
+
+def json_files(spark: SparkSession, folder: str, pattern: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path, folder, name of the folder, text) of the files below a folder, whole; no rows where there is no such folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "path string, folder string, name string, text string")
+    out = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    for e in exclude:
+        out = out.where(~F.col("path").contains(e))
+    return out.select("path", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("name"), "text")
+
+
+SCENES = "scenes array<struct<id: string, name: string, visualType: string, voiceover: string, texts: string>>"
+META = "pipelineId string, topics array<string>, keyEntities string, article string, partNumber int"
+
+
+def scenes(spark: SparkSession, folder: str, pattern: str = "scene-data.json", meta: str = "meta.json", exclude: tuple[str, ...] = ("_test-fixtures",)) -> tuple[DataFrame, DataFrame]:
+    """(scenes, errors): (source_id, ordinal, scene_id, name, visual_type, voiceover, texts, topics, entities, article, part) of the scene files below a folder, and
+    (path, error) of those that can't be read. A record beside a scene file gives its id, else its folder's name does; files without an array of scenes give none."""
+    files = json_files(spark, folder, pattern, exclude).withColumn("doc", F.try_parse_json("text"))
+    listed = F.schema_of_variant(F.try_variant_get("doc", "$.scenes", "variant")).startswith("ARRAY")
+    side = json_files(spark, folder, meta, exclude).select("folder", F.from_json("text", META).alias("m"))
+    good = files.where(F.coalesce(listed, F.lit(False))).join(side, "folder", "left")
+    one = good.select(F.coalesce(F.nullif("m.pipelineId", F.lit("")), "name").alias("source_id"), F.posexplode(F.from_json("text", SCENES)["scenes"]).alias("ordinal", "s"), "m")
+    rows = one.select("source_id", "ordinal", F.col("s.id").alias("scene_id"), "s.name", F.col("s.visualType").alias("visual_type"), "s.voiceover", "s.texts", "m.topics", F.col("m.keyEntities").alias("entities"), F.col("m.article").alias("article"), F.col("m.partNumber").alias("part"))
+    return rows, files.where("doc IS NULL").select("path", F.lit("not JSON").alias("error"))
+
+
+CATALOG = "array<struct<file: string, type: string, description: string, source: string, license: string, used_in: array<string>, keywords: array<string>>>"
+
+
+def catalog(spark: SparkSession, folder: str, pattern: str = "catalog.json") -> DataFrame:
+    """(ordinal, file, type, description, source, license, used_in, keywords) of a catalog's entries; a missing file, one that isn't JSON and one without entries give none."""
+    text = json_files(spark, folder, pattern).select(F.posexplode(F.from_json(F.when(F.try_parse_json("text").isNotNull() & F.btrim("text").startswith("["), F.col("text")), CATALOG)).alias("ordinal", "e"))
+    return text.select("ordinal", "e.*").where("file IS NOT NULL")
