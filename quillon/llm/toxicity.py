@@ -106,19 +106,16 @@ def learn(rows: DataFrame, chance: float = 1e-5, purity: float = 0.01, times: in
 
     def cut(batches):
         for b in by_bytes(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([_words(t) for t in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1).cast(pa.int32())], ["words", "label"])
+            own = [_words(t) for t in b.column(0).to_pylist()]
+            begun = [sorted({w[:k] for w in ws for k in STEMS if len(w) > k}) for ws in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), pa.array(begun, pa.list_(pa.string())), b.column(1).cast(pa.int32())], ["words", "stems", "label"])
 
-    own = materialize(rows.select("_text", "_label").mapInArrow(cut, "words array<string>, label int").withColumn("row", F.monotonically_increasing_id()), "words")
+    own = materialize(rows.select("_text", "_label").mapInArrow(cut, "words array<string>, stems array<string>, label int").withColumn("row", F.monotonically_increasing_id()), "words")
     n = {bool(r.label): r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     share = toxic / max(1, toxic + clean)
     least = max(4, math.ceil(math.log(chance) / math.log(min(max(share, 1e-3), 0.9))))
-
-    def begun(k: int):
-        return F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.struct(F.left(w, F.lit(k)).alias("t"), F.lit(True).alias("stem")))
-
-    of = F.array_distinct(F.concat(F.transform("words", lambda w: F.struct(w.alias("t"), F.lit(False).alias("stem"))), *map(begun, STEMS)))
-    flat = own.select("row", "label", F.explode(of).alias("c")).select("row", "label", "c.t", "c.stem")
+    flat = own.select("row", "label", F.explode("words").alias("t"), F.lit(False).alias("stem")).union(own.select("row", "label", F.explode("stems"), F.lit(True)))
     counted = flat.groupBy("t", "stem").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     passed = materialize(counted.where((F.col("toxic") >= least) & (F.col("clean") <= purity * F.col("toxic"))), "passed")
     held = flat.where("label = 1").join(passed, ["t", "stem"]).groupBy("t", "stem").agg(F.collect_list("row").alias("rows"), F.first("clean").alias("clean")).collect()
