@@ -82,14 +82,14 @@ def track(parts: DataFrame, blocks: DataFrame, sample_rate: int, segment: int =
         .when(F.col("rate") != sample_rate, F.concat(F.lit("another sample rate: "), "path"))
         .when(F.col("samples") > F.col("target"), F.concat(F.lit("part "), "ordinal", F.lit(" of "), "samples", F.lit(" samples exceeds its clip of "), "target"))
     )
-    checked = checked.withColumn("start", F.when(fault.isNotNull(), F.raise_error(fault).cast("long")).otherwise(F.col("start")))
+    checked = checked.withColumn("target", F.when(fault.isNotNull(), F.raise_error(fault).cast("long")).otherwise(F.col("target")))  # every segment waits for the track's total
     first, last = F.floor(F.col("from") / segment), F.floor((F.col("from") + F.size("pcm") - 1) / segment)
     placed = checked.select("track", "path", "start").join(blocks.where("core > 0").select("path", "at", F.slice("pcm", F.lit(1), F.col("core")).alias("pcm")), "path")
     placed = placed.select("track", (F.col("start") + F.col("at")).alias("from"), "pcm").withColumn("s", F.explode(F.sequence(first, last)))
     low, high = F.greatest(F.col("from"), F.col("s") * segment), F.least(F.col("from") + F.size("pcm"), (F.col("s") + 1) * segment)
     pieces = placed.select("track", "s", (low - F.col("s") * segment).alias("o"), F.slice("pcm", (low - F.col("from") + 1).cast("int"), (high - low).cast("int")).alias("p"))
     held = pieces.groupBy("track", "s").agg(F.array_sort(F.collect_list(F.struct("o", "p"))).alias("held"))  # a segment's samples at most
-    totals = checked.groupBy("track").agg(F.sum("target").alias("total"), F.max("start").alias("_checked"))
+    totals = checked.groupBy("track").agg(F.sum("target").alias("total"))
     spans = totals.select("track", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / segment))).alias("s"))
     silence = lambda n: F.array_repeat(F.lit(0).cast("short"), n.cast("int"))
     end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("held", i - 1)["o"] + F.size(F.get("held", i - 1)["p"]))

@@ -94,12 +94,14 @@ def post_texts(scenes: DataFrame, posts: DataFrame, entities: DataFrame, names:
     both = scenes.select("content", "ordinal", "voiceover", "texts", F.concat(voice, F.lit(" "), texts).alias("_all"))
     found = find_terms(both, "_all", terms, name="_found").withColumn("_amounts", F.transform(F.regexp_extract_all("_all", F.lit(AMOUNT), 0), lambda m: F.regexp_replace(m, r"\s+", " ")))
     line = _first_sentence(F.col("voiceover"))
-    words = F.map_filter(F.from_json("texts", "map<string, string>"), lambda _, v: v.isNotNull() & (v != "") & ~v.rlike(r"^[\[{]"))
+    # of a scene's texts the first that is a string and not empty
+    values = F.transform(F.map_entries(F.from_json("texts", "map<string, variant>")), lambda e: F.when(F.schema_of_variant(e["value"]) == "STRING", F.try_variant_get(e["value"], "$", "string")))
+    word = F.get(F.filter(values, lambda v: v != ""), F.lit(0))
     per = found.groupBy("content").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))).alias("_found"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "_amounts"))), lambda s: s["_amounts"])).alias("_amounts"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(line != "", F.struct("ordinal", line.alias("line"))))), lambda s: s["line"]), "\n").alias("_body"),
-        F.min_by(F.struct(line.alias("line"), F.get(F.map_values(words), F.lit(0)).alias("word")), "ordinal").alias("_first"),
+        F.min_by(F.struct(line.alias("line"), word.alias("word")), "ordinal").alias("_first"),
     )
     tags = entities.groupBy(F.col("tag")).agg(F.min("place").alias("place"))
     listed = F.explode("_found").alias("_n")
