@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import snake_case
+from quillon.functions.text import snake_case, xml_escape
 
 BLANK = " \t\n\x0b\f\r"
 IDEOGRAPHS = r"\x{4e00}-\x{9fff}\x{3040}-\x{30ff}"
@@ -261,3 +261,103 @@ def sized(embedding: Column, size: int | Column) -> Column:
     """A vector of the wanted size; any other fails the job."""
     wanted = size if isinstance(size, Column) else F.lit(size)
     return F.when(F.size(embedding) == wanted, embedding).when(embedding.isNotNull(), F.raise_error(F.concat(F.lit("expected "), wanted.cast("string"), F.lit(" dimensions, got "), F.size(embedding).cast("string"))).cast("array<float>"))
+
+
+def series_caption(title: Column, description: Column, series_id: Column, part: Column, parts: Column, longest: int = 2200) -> Column:
+    """A caption with a line for the part of its series."""
+    line = F.concat(F.lit("Part "), part.cast("string"), F.lit("/"), parts.cast("string"), F.lit(" "), series_hashtag(series_id))
+    return sentence_head(F.concat(caption(title, description, longest), F.lit("\n\n"), line), longest)
+
+
+def credits(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, credits): a section of the texts of attribution (source, author, text, logo, required), each source and author once, in order;
+    '' where none is called for."""
+    due = F.coalesce("logo", F.lit(False)) | F.coalesce("required", F.lit(False))
+    who = F.concat("source", F.coalesce("author", F.lit("")))
+    first = rows.select(*keys, F.when(due, F.struct(F.col(order).alias("o"), "text")).alias("t"), who.alias("who")).groupBy(*keys, "who").agg(F.min("t").alias("t"))
+    lines = F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"])
+    return first.groupBy(*keys).agg(lines.alias("l")).select(*keys, F.when(F.size("l") > 0, F.concat(F.lit("\n\n--- Credits ---\n"), F.array_join("l", "\n"), F.lit("\n--- /Credits ---"))).otherwise("").alias("credits"))
+
+
+#: Terms that a search for sounds always has.
+SOUND_TERMS = ("news", "breaking news", "tech news", "ai news")
+
+
+def sound_keywords(title: Column, subject: Column, wish: Column) -> Column:
+    """Words of a title, its subject, a wish, and SOUND_TERMS, each once, in lower case."""
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(F.lower(c))).otherwise(F.array().cast("array<string>"))
+    words = F.coalesce(title_keywords(title), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(words, some(subject), some(wish), F.array(*map(F.lit, SOUND_TERMS))))
+
+
+ENTITY_KINDS = ("companies", "people", "models")
+
+
+def normalized_metadata(raw: Column) -> Column:
+    """A metadata object's JSON with topics lower-cased and the entities' three lists in snake case, all else as it was; what is missing
+    stays missing, and a null or other value gives {}. Topics that are no array of texts fail the job."""
+    whole = F.from_json(F.when(raw.startswith("{"), raw), "map<string, variant>")
+    names = lambda v: F.to_variant_object(F.transform(F.filter(F.try_variant_get(v, "$", "array<string>"), lambda x: F.btrim(x, F.lit(BLANK)) != ""), snake_case))
+    listed = lambda v: F.schema_of_variant(v).startswith("ARRAY")
+    own = lambda e: F.transform_values(F.from_json(F.to_json(e), "map<string, variant>"), lambda k, v: F.when(k.isin(*ENTITY_KINDS) & listed(v), names(v)).otherwise(v))
+    kept = F.map_filter(whole, lambda k, v: (k != "entities") | ~F.coalesce(F.is_variant_null(v), F.lit(True)))
+    made = F.transform_values(kept, lambda k, v: F.when(k == "topics", F.to_variant_object(topics(raw))).when((k == "entities") & F.schema_of_variant(v).startswith("OBJECT"), F.to_variant_object(own(v))).otherwise(v))
+    return F.coalesce(F.to_json(made), F.lit("{}"))
+
+
+def parsed_article(text: Column) -> Column:
+    """(title, slug, excerpt, content, published, error) of an article's file: leading block and title are needed, the slug comes from the title where
+    none is given and has to be a valid one. With an error the rest is null."""
+    from quillon.functions.text import slug, valid_slug
+
+    block = r"(?s)\A\s*---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+    has = F.coalesce(text.rlike(block), F.lit(False))
+    front = F.regexp_extract(text, block, 1)
+    field = lambda k: F.nullif(F.regexp_replace(F.btrim(F.regexp_extract(front, rf"(?m)^{k}:[ \t]*(.*)$", 1), F.lit(" \t\r")), "^([\"'])(.*)\\1$", "$2"), F.lit(""))
+    title = F.nullif(F.btrim(field("title"), F.lit(BLANK)), F.lit(""))
+    name = F.coalesce(field("slug"), slug(title))
+    error = F.when(~F.coalesce(text.rlike(r"\A\s*---"), F.lit(False)), "Frontmatter is required").when(~has | title.isNull(), "title is required in frontmatter").when(~valid_slug(name), F.concat(F.lit('slug must match [a-z0-9-]+ pattern (got: "'), name, F.lit('")')))
+    good = lambda c: F.when(error.isNull(), c)
+    body = F.btrim(F.regexp_replace(text, block, ""), F.lit(BLANK))
+    return F.struct(good(title).alias("title"), good(name).alias("slug"), good(F.btrim(field("excerpt"), F.lit(BLANK))).alias("excerpt"), good(body).alias("content"), good(F.coalesce(field("published") == "true", F.lit(False))).alias("published"), error.alias("error"))
+
+
+#: Types of files that may be attached, by extension; bytes of one at most.
+ATTACHMENTS = {
+    "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "ppt": "application/vnd.ms-powerpoint", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "txt": "text/plain", "csv": "text/csv", "zip": "application/zip", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp",
+}
+LARGEST_FILE = 50 * 1024 * 1024
+
+
+def checked_uploads(files: DataFrame, group: str) -> DataFrame:
+    """files (group, path, size: null where there is no such file) with file_name, media_type and error: none there, empty, too large, of a type
+    that isn't allowed, or of a name that the group has twice."""
+    name = F.substring_index("path", "/", -1)
+    types = F.create_map(*[F.lit(x) for kv in ATTACHMENTS.items() for x in kv])
+    extension = F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
+    kind = F.try_element_at(types, extension)
+    path = F.coalesce("path", F.lit(""))
+    megabytes = F.format_string("%.1f", F.col("size") / (1024 * 1024))
+    twice = F.count(F.lit(1)).over(Window.partitionBy(group, name)) > 1
+    error = (
+        F.when(F.btrim(path) == "", F.lit("Invalid file path")).when(F.col("size").isNull(), F.concat(F.lit("File not found: "), path)).when(F.col("size") == 0, F.concat(F.lit("File is empty: "), path))
+        .when(F.col("size") > LARGEST_FILE, F.concat(F.lit("File too large: "), path, F.lit(" ("), megabytes, F.lit(" MB). Max: 50 MB"))).when(kind.isNull(), F.concat(F.lit("Unsupported file type: "), path)).when(twice, F.concat(F.lit("Duplicate file names: "), name))
+    )
+    return files.withColumns({"file_name": name, "media_type": F.coalesce(kind, F.lit("application/octet-stream")), "error": error})
+
+
+def feed_item(title: Column, link: Column, day: Column) -> Column:
+    """An item of a feed."""
+    when = F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT"))
+    return F.concat(F.lit("<item><title>"), xml_escape(title), F.lit("</title><link>"), link, F.lit("</link><guid>"), link, F.lit("</guid><pubDate>"), when, F.lit("</pubDate></item>"))
+
+
+def site_entry(link: Column, day: Column) -> Column:
+    """An entry of a site map."""
+    return F.concat(F.lit("<url><loc>"), link, F.lit("</loc><lastmod>"), day.cast("string"), F.lit("</lastmod></url>"))
+
+
+def name_of_mail(address: Column) -> Column:
+    """What stands before an address's @, the name of a user who gave none."""
+    return F.split_part(address, F.lit("@"), F.lit(1))

@@ -10,14 +10,20 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 SHAPE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def _plain(text: Column) -> Column:
+    """A form's text decoded; one that isn't well encoded stays, but for its signs for blanks."""
+    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+
+
 def normalize_url(url: Column) -> Column:
-    """Lower-case host, no tracking parameters, the rest sorted, no fragment, no slash at the end of a path; an
-    invalid URL stays as it is and null gives ''."""
+    """Lower-case host, no tracking parameters, the rest decoded, sorted by name and encoded again, no fragment, no slash at the end of
+    a path; an invalid URL stays as it is and null gives ''."""
     part = [F.regexp_extract(url, SHAPE, i) for i in range(5)]
-    kept = F.filter(F.split(part[4], "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*TRACKING))
-    # by name, those of one name in their order
-    placed = F.transform(kept, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("at"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    query = F.array_join(F.transform(F.array_sort(placed), lambda x: x["p"]), "&")
+    given = F.transform(F.filter(F.split(part[4], "&"), lambda p: p != ""), lambda p, i: F.struct(_plain(F.substring_index(p, "=", 1)).alias("name"), i.alias("at"), _plain(F.when(p.contains("="), F.substr(p, F.locate("=", p) + 1)).otherwise("")).alias("value")))
+    kept = F.filter(given, lambda p: ~p["name"].isin(*TRACKING))
+    # by name, small letters before capitals; those of one name in their order
+    placed = F.transform(kept, lambda p: F.struct(F.lower(p["name"]).alias("low"), (p["name"] != F.lower(p["name"])).alias("capital"), p["name"], p["at"], p["value"]))
+    query = F.array_join(F.transform(F.array_sort(placed), lambda x: F.concat(F.url_encode(x["name"]), F.lit("="), F.url_encode(x["value"]))), "&")
     path = F.when(F.length(part[3]) > 1, F.regexp_replace(part[3], "/$", "")).when(part[3] == "", "/").otherwise(part[3])
     port = {"http": ":80", "https": ":443"}
     host = F.lower(part[2])

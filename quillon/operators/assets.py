@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.media import fnv1a
+
 
 def _plain(text: Column) -> Column:
     """Without possessive apostrophes, hyphens as blanks."""
@@ -52,7 +54,11 @@ def relevance(keyword: Column, subjects: Column, description: Column) -> Column:
     return F.least(named + told, F.lit(30))
 
 
-def low_confidence(title: Column, keyword: Column, technical: Column, least: int = 30) -> Column:
+#: Least technical score of an asset that is downloaded, and of one that is looked at closely.
+BEFORE_DOWNLOAD, BEFORE_ANALYSIS = 20, 30
+
+
+def low_confidence(title: Column, keyword: Column, technical: Column, least: int = BEFORE_ANALYSIS) -> Column:
     """Whether a technical score rules an asset out; without a title or a keyword it can't."""
     return (F.coalesce(title, F.lit("")) != "") & (F.coalesce(keyword, F.lit("")) != "") & (technical < least)
 
@@ -95,3 +101,13 @@ def assign(assets: DataFrame, scenes: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("hook", F.col("_suits") & (F.col("_n") <= F.coalesce("_hooks", F.lit(0))))
     placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy("content_id", "hook").orderBy(*order)))
     return placed.join(scene.select("content_id", "hook", "place", "scene"), ["content_id", "hook", "place"]).select("content_id", "scene", "asset", "score")
+
+
+def pick_music(posts: DataFrame, pool: DataFrame, key: str) -> DataFrame:
+    """posts with ``pick``: the file (name, instant, news) that each key's FNV-1a hash chooses among those that begin at once and sound like news;
+    if there are none, among those that begin at once, else among all, in the order of their names; null of an empty pool. The pool is a folder's files."""
+    order = lambda kept: F.array_sort(F.collect_list(F.when(kept, F.col("name"))))
+    pools = pool.agg(order(F.col("instant") & F.col("news")).alias("_a"), order(F.col("instant")).alias("_b"), order(F.lit(True)).alias("_c"))
+    use = pools.select(F.when(F.size("_a") > 0, F.col("_a")).when(F.size("_b") > 0, F.col("_b")).otherwise(F.col("_c")).alias("_pool"))
+    n = F.size("_pool")
+    return posts.join(F.broadcast(use)).withColumn("pick", F.when(n > 0, F.get("_pool", (fnv1a(F.col(key).cast("string")) % n).cast("int")))).drop("_pool")

@@ -54,13 +54,21 @@ def shown_from(cue: dict) -> float:
     return max(cue["from"] - LEAD, 0.0)
 
 
+def can_merge(a: dict, b: dict) -> bool:
+    """Whether two cues of one scene fit a line together; one with words and one without stay apart."""
+    if a["scene"] != b["scene"] or bool(a["words"]) != bool(b["words"]):
+        return False
+    return fits(a["words"] + b["words"]) if a["words"] else width(f"{a['text']} {b['text']}") <= WIDTH
+
+
 def borrow(cues: list[dict]) -> list[dict]:
     """Cues too short to be read are merged with the next of their scene where both fit. A merged cue begins where its first did, so what
     could not merge before it still can't, and one pass comes to rest."""
     out: list[dict] = []
     for c in cues:
-        if out and shown_from(c) - CHAIN - shown_from(out[-1]) < LEAST and out[-1]["scene"] == c["scene"] and fits(out[-1]["words"] + c["words"]):
-            out[-1] = {**out[-1], "words": out[-1]["words"] + c["words"], "to": c["to"], "clip_end": c["clip_end"]}
+        if out and shown_from(c) - CHAIN - shown_from(out[-1]) < LEAST and can_merge(out[-1], c):
+            words = out[-1]["words"] + c["words"]
+            out[-1] = {**out[-1], "words": words, "text": joined(words) if words else f"{out[-1]['text']} {c['text']}", "to": c["to"], "clip_end": c["clip_end"]}
         else:
             out.append(c)
     return out
@@ -88,17 +96,27 @@ def video_cues(pdf: pd.DataFrame) -> pd.DataFrame:
     """Cues of one video's words (content, scene, segment, i, text, start, end, clip_end), in the order of their speech."""
     raw = []
     for (scene, _), rows in pdf.sort_values(["scene", "segment", "i"]).groupby(["scene", "segment"], sort=True):
-        words = rows["text"].tolist()
+        words, clip_end = rows["text"].tolist(), rows["clip_end"].iloc[0]
+        if rows["i"].iloc[0] < 0:  # a text without times of its words
+            raw.append({"scene": scene, "words": [], "text": words[0], "from": rows["start"].iloc[0], "to": rows["end"].iloc[0], "clip_end": clip_end})
+            continue
         for g in group(words):
-            raw.append({"scene": scene, "words": [words[j] for j in g], "from": rows["start"].iloc[g[0]], "to": rows["end"].iloc[g[-1]], "clip_end": rows["clip_end"].iloc[0]})
+            own = [words[j] for j in g]
+            raw.append({"scene": scene, "words": own, "text": joined(own), "from": rows["start"].iloc[g[0]], "to": rows["end"].iloc[g[-1]], "clip_end": clip_end})
     cues = borrow(sorted(raw, key=lambda c: c["from"]))
-    rows = [(pdf["content"].iloc[0], i, c["scene"], a, b, joined(c["words"])) for i, (c, (a, b)) in enumerate(zip(cues, lay_out(cues), strict=True))]
+    rows = [(pdf["content"].iloc[0], i, c["scene"], a, b, c["text"]) for i, (c, (a, b)) in enumerate(zip(cues, lay_out(cues), strict=True))]
     return pd.DataFrame(rows, columns=["content", "cue", "scene", "start", "end", "text"])
 
 
-def build(words: DataFrame, durations: DataFrame) -> DataFrame:
+def build(words: DataFrame, durations: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """(content, cue, scene, start, end, text): words (content, scene, segment, i, text, start, end; times within the scene) on the video's
-    time, whose scenes (content, scene, duration) follow one another in whole frames. Words stay within their scene's speech."""
+    time, whose scenes (content, scene, duration) follow one another in whole frames. Words stay within their scene's speech.
+    segments (content, scene, segment, text, start, end): those that have no words keep their text, as a cue without words; blank ones go."""
+    if segments is not None:
+        keys = ["content", "scene", "segment"]
+        bare = segments.join(words.select(*keys).distinct(), keys, "left_anti").withColumn("text", F.btrim("text", F.lit(" \t\n\r\x0b\f"))).where("text <> ''")
+        bare = bare.select(*keys, F.lit(-1).alias("i"), "text", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("start", "end")])
+        words = words.select(*bare.columns).unionByName(bare)
     before = Window.partitionBy("content").orderBy("scene").rowsBetween(Window.unboundedPreceding, -1)
     clip = clip_frames(F.col("duration"), FPS)
     placed = durations.withColumn("_f", clip).select("content", "scene", "duration", "_f", (F.coalesce(F.sum("_f").over(before), F.lit(0)) / FPS).alias("offset"))

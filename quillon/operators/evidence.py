@@ -23,14 +23,16 @@ def dedup_sources(rows: DataFrame, url: str, priority: Column, ordinal: str) ->
     return rows.withColumn("norm_url", normalize_url(F.col(url))).withColumn("_p", priority).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_p")
 
 
-def audit(claims: DataFrame, evidence: DataFrame, now: Column, tier: str = "standard") -> DataFrame:
+def audit(claims: DataFrame, evidence: DataFrame, now: Column, tier: str = "standard", order: str | None = None) -> DataFrame:
     """claims(claim_id, evidence_id, type, risk) held against evidence(evidence_id, status, valid_until, source_type,
     cross_ids): a row for each failing claim with the first reason that applies.
 
-    Analysis claims need no evidence. High-risk claims need 1 independent source (standard) or 2 and a primary one (deep).
+    Of items that share an id the last in ``order`` counts, without an order the greatest row. Analysis claims need no evidence. High-risk claims need 1 independent source (standard) or 2 and a primary one (deep).
     """
     least, primary = (2, True) if tier == "deep" else (1, False)
-    item = evidence.dropDuplicates(["evidence_id"])
+    fields = ["status", "valid_until", "source_type", "cross_ids"]
+    last = F.max_by(F.struct(*fields), F.struct(*([order] if order else []), *fields))
+    item = evidence.groupBy("evidence_id").agg(last.alias("_i")).select("evidence_id", "_i.*")
     # cross ids that exist in the pack count, each time they are named
     cross = item.select("evidence_id", F.explode("cross_ids").alias("x")).join(item.select(F.col("evidence_id").alias("x"), F.col("source_type").alias("xt")), "x")
     cross = cross.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("others"), F.max((F.col("xt") == "primary").cast("int")).alias("other_primary"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.dictionary import find_terms
+
 
 def hash_diff(current: DataFrame, existing: DataFrame, keys: list[str], hash_col: str = "chunk_hash") -> DataFrame:
     """current rows with ``state``: new, changed or unchanged against existing hashes (null-safe)."""
@@ -84,9 +86,11 @@ def subscription_times(subscribers: DataFrame, events: DataFrame) -> DataFrame:
     return subscribers.join(last, "email", "left").select("email", at.alias("unsubscribed_at"))
 
 
-def patch_field(rows: DataFrame, key: str, field: str, patches: DataFrame) -> DataFrame:
-    """rows with one field taken from patches (key, value) where there is one, null values included."""
-    side = patches.groupBy(key).agg(F.first("value").alias("_to"), F.lit(True).alias("_have"))
+def patch_field(rows: DataFrame, key: str, field: str, patches: DataFrame, order: str | None = None) -> DataFrame:
+    """rows with one field taken from patches (key, value) where there is one, null values included; of several patches of a key the last in
+    ``order``, without an order the greatest value."""
+    last = F.struct(F.col(order or "value"), F.col("value"))
+    side = patches.groupBy(key).agg(F.max_by(F.struct("value"), last)["value"].alias("_to"), F.lit(True).alias("_have"))
     return rows.join(side, key, "left").withColumn(field, F.when(F.col("_have"), F.col("_to")).otherwise(F.col(field))).drop("_to", "_have")
 
 
@@ -139,3 +143,16 @@ def new_users(profiles: DataFrame, signups: DataFrame, key: str, order: list) ->
 def append_log(log: DataFrame, sends: DataFrame, keys: list[str]) -> DataFrame:
     """The log with the sends whose keys it lacks, each once; a dispatch that runs again adds nothing."""
     return log.unionByName(sends.dropDuplicates(keys).join(log.select(*keys), keys, "left_anti").select(*log.columns))
+
+
+def keywords_of(contents: DataFrame, named: DataFrame, wished: DataFrame, scenes: DataFrame, known: DataFrame) -> DataFrame:
+    """(content, ordinal, keyword): each content's keywords, once whatever their case, as first written. They are those named in its record and those wished
+    for (content, ordinal, keyword), in this order; where there are neither, the known names (place, name) that its scenes (content, scene, voiceover)
+    speak of, by scene and place."""
+    given = named.select("content", F.lit(0).alias("tier"), F.col("ordinal").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "keyword").unionByName(wished.select("content", F.lit(1).alias("tier"), F.col("ordinal").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "keyword"))
+    silent = contents.select("content").distinct().join(given.select("content").distinct(), "content", "left_anti")
+    said = find_terms(scenes.join(silent, "content", "left_semi").select("content", "scene", "voiceover"), "voiceover", known.select(F.col("name").alias("term"), F.col("place").alias("number")))
+    told = said.select("content", "scene", F.explode("found").alias("place")).join(F.broadcast(known.select("place", "name")), "place")
+    told = told.select("content", F.lit(2).alias("tier"), F.col("scene").cast("long").alias("a"), F.col("place").cast("long").alias("b"), F.col("name").alias("keyword"))
+    once = first_casing(given.unionByName(told).withColumn("_o", F.struct("tier", "a", "b", "keyword")), ["content"], "keyword", "_o")
+    return once.select("content", (F.row_number().over(Window.partitionBy("content").orderBy("_o")) - 1).alias("ordinal"), "keyword")

@@ -28,3 +28,43 @@ def prior(snapshots: DataFrame, key: str, day: str, position: str, today) -> Dat
     """As-of lookup: each key's last position strictly before ``today``; one aggregate, no sort."""
     before = snapshots.where(F.col(day) < today)
     return before.groupBy(key).agg(F.max_by(position, day).alias("prior_position"), F.max(day).alias("prior_day"))
+
+
+#: Microseconds from 1601, from which a browser's history counts, to 1970.
+SINCE_1601 = 11_644_473_600_000_000
+
+
+def search_history(visits: DataFrame, keywords: list[str], since: Column | None = None, limit: int = 0, by_visits: bool = False) -> DataFrame:
+    """(title, url, visited, visits) of addresses (title, url, last_visit: microseconds since 1601, visits) whose title and address together hold every
+    keyword, whatever its case, visited since a time; the latest first, or the most visited. limit 0: all."""
+    hay = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("url", F.lit(""))))
+    rows = visits.where("last_visit > 0")
+    for k in keywords:
+        rows = rows.where(hay.contains(k.lower()))
+    rows = rows.withColumn("visited", F.timestamp_micros(F.col("last_visit") - SINCE_1601))
+    rows = rows if since is None else rows.where(F.col("visited") >= since)
+    order = [F.desc("visits"), F.desc("last_visit")] if by_visits else [F.desc("last_visit")]
+    out = rows.orderBy(*order, "url")
+    return (out.limit(limit) if limit else out).select("title", "url", "visited", "visits")
+
+
+def quota_top(rows: DataFrame, group: str, order: list, quota: Column) -> DataFrame:
+    """The first rows of each group with their place ``rn``, as many as its quota."""
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rn") <= quota)
+
+
+def commonest(rows: DataFrame, group: str, kind: str, priority: list[str]) -> DataFrame:
+    """(group, category): the kind with the most rows; of several the one that stands first in the priority, others last."""
+    n = rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("n"))
+    place = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(priority)], F.lit(len(priority)))
+    return n.groupBy(group).agg(F.max_by(kind, F.struct("n", -place)).alias("category"))
+
+
+def last_of(rows: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
+    """(group, value of the last row, n)."""
+    return rows.groupBy(group).agg(F.max_by(value, F.struct(*order)).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def renumbered(rows: DataFrame, group: str, order: list[str], name: str = "id") -> DataFrame:
+    """rows with their places in each group, from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))

@@ -59,8 +59,8 @@ def alert_preview(before: Column, after: Column, threshold: int, lost: bool) ->
     return F.struct(valid.alias("valid"), F.coalesce(fires, F.lit(False)).alias("alert"), F.when(fires, F.when(empty, "lost").otherwise("drop")).alias("kind"))
 
 
-def json_ld_errors(node: Column) -> Column:
-    """Messages about one JSON-LD document (a variant) without a graph; types without rules pass."""
+def _node_errors(node: Column) -> Column:
+    """Messages about one node of a JSON-LD document; types without rules pass."""
     text = lambda p: F.try_variant_get(node, p, "string")
     size = lambda p: F.coalesce(F.size(F.try_variant_get(node, p, "array<variant>")), F.lit(0))
     kind = text('$["@type"]')
@@ -70,12 +70,22 @@ def json_ld_errors(node: Column) -> Column:
     lacks = lambda p: F.coalesce(text(p), F.lit("")) == ""
     url = lambda p: ~F.coalesce(text(p).rlike("^[a-z][a-z0-9+.-]*:"), F.lit(False))
     found = errors(
-        (lacks('$["@context"]'), "missing @context"), (kind.isNull(), "node without @type"), (is_a("Article") & (lacks("$.headline") | (F.length(text("$.headline")) > 110)), "Article.headline"),
+        (kind.isNull(), "node without @type"), (is_a("Article") & (lacks("$.headline") | (F.length(text("$.headline")) > 110)), "Article.headline"),
         (is_a("Article") & (lacks("$.description") | (F.length(text("$.description")) > 320)), "Article.description"), (is_a("Article") & url("$.url"), "Article.url"), (is_a("Article") & (size("$.image") < 1), "Article.image"),
         (is_a("Article") & lacks("$.inLanguage"), "Article.inLanguage"), (is_a("FAQPage") & (size("$.mainEntity") < 2), "FAQPage.mainEntity"), (is_a("BreadcrumbList") & (size("$.itemListElement") < 2), "BreadcrumbList.itemListElement"),
         (is_a("ItemList") & (size("$.itemListElement") < 1), "ItemList.itemListElement"), (is_a("ItemList") & ~F.coalesce(F.try_variant_get(node, "$.numberOfItems", "int") > 0, F.lit(False)), "ItemList.numberOfItems"),
     )
-    return F.when(node.isNull(), F.array(F.lit("document is not an object"))).otherwise(F.concat(found, F.when(is_a("BreadcrumbList"), F.coalesce(order, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))))
+    return F.concat(found, F.when(is_a("BreadcrumbList"), F.coalesce(order, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+
+
+def json_ld_errors(doc: Column) -> Column:
+    """Messages about a JSON-LD document (a variant): of itself, or of each node of its graph."""
+    graph = F.try_variant_get(doc, '$["@graph"]', "array<variant>")
+    plain = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+    context = F.coalesce(F.try_variant_get(doc, '$["@context"]', "string"), F.lit("")) == ""
+    whole = errors((context, "missing @context"), (F.size(graph) == 0, "empty @graph"))
+    nodes = F.when(graph.isNotNull(), F.flatten(F.transform(graph, _node_errors))).otherwise(_node_errors(doc))
+    return F.when(~plain, F.array(F.lit("document is not an object"))).otherwise(F.concat(whole, nodes))
 
 
 def series_errors(series_id: Column, part: Column, parts: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import title_tokens
+from quillon.functions.text import cascade, title_tokens
 from quillon.operators.scratch import kept
 
 #: Keyword table of the classes, in their priority.
@@ -20,6 +20,20 @@ CLASSES = [
 ]
 
 
+#: Topics of posts in the order in which they are tried, and their keywords; any other post is "industry".
+TOPICS = [
+    ("policy", ["policy", "regulation", "regulator", "law", "beijing", "government", "state", "ban", "export control", "compliance", "censorship", "license"]),
+    ("chips", ["chip", "nvidia", "gpu", "semiconductor", "huawei", "ascend", "smic", "compute", "data center", "data centre", "wafer", "hbm"]),
+    ("companies", ["funding", "raise", "valuation", "ipo", "alibaba", "bytedance", "baidu", "tencent", "startup", "founder", "acquisition", "investor"]),
+    ("models", ["model", "deepseek", "qwen", "glm", "kimi", "moonshot", "minimax", "llm", "benchmark", "open-weight", "open source", "distillation", "reasoning", "training"]),
+]
+
+
+def topic_of_post(title: Column, excerpt: Column) -> Column:
+    """The first topic one of whose keywords stands anywhere in title and excerpt."""
+    return cascade(F.concat(title, F.lit(" "), F.coalesce(excerpt, F.lit(""))), TOPICS, "industry")
+
+
 def fresh(rows: DataFrame, published: Column, now: Column, days: int | None) -> DataFrame:
     """Rows of the last ``days`` days; undated ones go. No window: all rows."""
     return rows if not days or days <= 0 else rows.where(published >= now - F.expr(f"INTERVAL {int(days)} DAYS"))

@@ -62,6 +62,25 @@ def hit_rate(hits: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("passed", F.col("hit_rate") >= 80)
 
 
+#: Fixed value: a result at least this similar to a question that has no answer is a false one.
+FALSE_FROM = 0.5
+
+
+def expected_hits(golden: DataFrame, results: DataFrame, k: int = 5) -> DataFrame:
+    """golden (query, expected: array of (content_type, source_id)) with ``hit`` and the numbers ``matched`` and ``missed``: whether one of the expected
+    sources is among the first k results (query, content_type, source_id, similarity, rank); a question that expects none hits if
+    none of its k is FALSE_FROM similar."""
+    top = results.where(F.col("rank") <= k)
+    said = top.groupBy("query").agg(F.coalesce(F.max("similarity"), F.lit(0.0)).alias("_most"))
+    wanted = golden.select("query", F.explode("expected").alias("e")).select("query", "e.content_type", "e.source_id")
+    found = top.select("query", "content_type", "source_id").distinct().withColumn("_in", F.lit(True))
+    met = wanted.join(found, ["query", "content_type", "source_id"], "left").groupBy("query").agg(F.count("_in").alias("matched"), (F.count(F.lit(1)) - F.count("_in")).alias("missed"))
+    out = golden.join(met, "query", "left").join(said, "query", "left")
+    hit = F.when(F.coalesce(F.size("expected"), F.lit(0)) > 0, F.col("matched") > 0).otherwise(F.coalesce("_most", F.lit(0.0)) < FALSE_FROM)
+    zero = F.lit(0).cast("long")
+    return out.withColumns({"hit": hit, "matched": F.coalesce("matched", zero), "missed": F.coalesce("missed", zero)}).drop("_most")
+
+
 def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import content as C
 from quillon.functions import text as X
-from quillon.operators import analytics, vector
+from quillon.operators import analytics, trends, vector
 from quillon.plans.twins import registry
 from quillon.sources.readers import chunk_markdown, table
 
@@ -153,11 +153,18 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", C.heading_topic(t).alias("topic"))
 
 
-@query("article_evaluation", "SELECT doc_id, 14::BIGINT AS words, 2::BIGINT AS chapters, 5::BIGINT AS data_points FROM documents")
+PLAIN = "b"
+for _pattern, _by in C.MARKUP:
+    PLAIN = f"regexp_replace({PLAIN}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
+POINTS = (r"(?i)\$\d[\d,.]*\s*(?:billion|million|B|M)?", r"\d[\d,.]*%", r"(?i)\d[\d,.]*\s*(?:billion|million|thousand)", r"\b\d{3,}\b")
+
+
+@query("article_evaluation", f"""WITH d AS (SELECT doc_id, '## One 1999' || chr(10) || text || chr(10) || '**bold** cost $1.4 billion, `code` 50% of [a link](http://x.org)' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '## Two' || chr(10) || '- item _x_' ELSE '' END AS b FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, b, trim({PLAIN}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM d)
+SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+')) END AS BIGINT) AS words, CAST(len(regexp_extract_all(b, '(?m)^##\\s+')) AS BIGINT) AS chapters, CAST({' + '.join(f"len(regexp_extract_all(b, '{k}'))" for k in POINTS)} AS BIGINT) AS data_points FROM p""")
 def _(s, d):
-    t = F.concat(F.lit("---\ntitle: 900 [x](y)\n---\n## One 1999\n"), F.regexp_replace("lang", "[^a-z]", ""), F.lit(" cost $1.4 billion, 50% of **20000** units\n\n## Two\n- see [a link](http://x.org)\n"))
-    f = table(s, d, "documents").select("doc_id", C.article_figures(t).alias("f"))
-    return f.select("doc_id", "f.*")
+    t = F.concat(F.lit("---\ntitle: 900 [x](y)\n---\n## One 1999\n"), "text", F.lit("\n**bold** cost $1.4 billion, `code` 50% of [a link](http://x.org)"), F.when(F.col("doc_id") % 2 == 0, "\n## Two\n- item _x_").otherwise(""))
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", C.article_figures(t).alias("f")).select("doc_id", "f.*")
 
 
 @query("episode_plans", "SELECT doc_id, n_chars / 2.5 AS seconds, CASE WHEN n_chars / 2.5 <= 60 THEN 1 WHEN n_chars / 2.5 <= 120 THEN 2 WHEN n_chars / 2.5 <= 180 THEN 3 WHEN n_chars / 2.5 <= 240 THEN 4 ELSE 5 END AS parts, CASE WHEN n_chars / 2.5 <= 60 THEN 'none' WHEN doc_id % 4 >= 2 THEN 'thematic' ELSE 'narrative' END AS split FROM documents")
@@ -172,10 +179,9 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", C.sentence_head(t, 12).alias("head"))
 
 
-@query("captions", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id || chr(10) || chr(10) || url ELSE url END AS caption FROM pages WHERE length(url) < 2000")
+@query("captions", "SELECT page_id, CASE WHEN length(c) <= 2200 THEN c ELSE left(c, 2200) END AS caption FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id || chr(10) || chr(10) || url ELSE url END AS c FROM pages)")
 def _(s, d):
-    p = table(s, d, "pages").where(F.length("url") < 2000)
-    return p.select("page_id", C.caption(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" T"), "page_id", F.lit(" "))), F.concat("url", F.lit("\n"))).alias("caption"))
+    return table(s, d, "pages").select("page_id", C.caption(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" T"), "page_id", F.lit(" "))), F.concat("url", F.lit("\n"))).alias("caption"))
 
 
 @query("names_and_tags", "SELECT p_partkey, '#' || lower(replace(p_brand, '#', '')) || 'x' AS tag, upper(left(p_type, 1)) || substr(p_type, 2) || ' McX' AS name FROM part")
@@ -243,12 +249,14 @@ def _(s, d):
     return table(s, d, "customer").select("c_custkey", F.split_part(mail, F.lit("@"), F.lit(1)).alias("name"))
 
 
-@query("topics_of_posts", "SELECT doc_id, CASE WHEN contains(t, 'ban') OR contains(t, 'law') THEN 'policy' WHEN contains(t, 'chip') OR contains(t, 'gpu') THEN 'chips' ELSE 'industry' END AS topic FROM (SELECT doc_id, lower(left(text, 50) || ' ' || text) AS t FROM documents)")
-def _(s, d):
-    from quillon.functions.text import cascade
+def _topic_sql(text: str) -> str:
+    some = lambda words: " OR ".join(f"contains({text}, '{w}')" for w in words)
+    return "CASE " + " ".join(f"WHEN {some(words)} THEN '{name}'" for name, words in trends.TOPICS) + " ELSE 'industry' END"
 
-    t = F.concat_ws(" ", F.left("text", F.lit(50)), "text")
-    return table(s, d, "documents").select("doc_id", cascade(t, [("policy", ["ban", "law"]), ("chips", ["chip", "gpu"])], "industry").alias("topic"))
+
+@query("topics_of_posts", f"SELECT doc_id, {_topic_sql('t')} AS topic FROM (SELECT doc_id, lower(lang || ' ' || CASE WHEN doc_id % 5 > 0 THEN text ELSE '' END) AS t FROM documents)")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", trends.topic_of_post(F.col("lang"), F.when(F.col("doc_id") % 5 > 0, F.col("text"))).alias("topic"))
 
 
 @query("source_counts", "SELECT source, count(*) AS n FROM (SELECT unnest([source, lang]) AS source FROM documents) GROUP BY source")
@@ -284,13 +292,13 @@ def _(s, d):
     return analytics.deviations(table(s, d, "events"), ["user_id"], F.col("value") - 50, 30, 10).withColumn("worst", F.round("worst", 6))
 
 
-@query("keyword_dedup", "SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT lower(c_mktsegment))), ',') AS keywords, count(DISTINCT lower(c_mktsegment)) AS n FROM customer GROUP BY c_nationkey")
+@query("keyword_dedup", "SELECT c_nationkey, string_agg(kw, ',' ORDER BY kw) AS keywords, count(*) AS n FROM (SELECT c_nationkey, arg_min(CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) END, c_custkey) AS kw FROM customer GROUP BY c_nationkey, lower(c_mktsegment)) GROUP BY c_nationkey")
 def _(s, d):
     from quillon.operators.index import first_casing
 
     c = table(s, d, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.initcap("c_mktsegment")).alias("kw"))
     kept = first_casing(c, ["c_nationkey"], "kw", "c_custkey")
-    return kept.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.lower("kw"))), ",").alias("keywords"), F.count(F.lit(1)).alias("n"))
+    return kept.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("kw")), ",").alias("keywords"), F.count(F.lit(1)).alias("n"))
 
 
 @query("duplicate_names", "SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import html_title, xml_escape
+from quillon.functions.content import feed_item, site_entry
+from quillon.functions.text import html_title
 from quillon.operators import index, research, timeline, trends
 from quillon.plans.text_queries import NORM
 from quillon.plans.twins import registry
+from quillon.sources.apis import pointer_files
 from quillon.sources.readers import table
 
 Q, S, query = registry()
@@ -137,15 +139,13 @@ def _(s, d):
 def _(s, d):
     p = table(s, d, "pages").orderBy(F.desc("page_id")).limit(50)
     link = F.concat(F.lit("https://x.org/"), "page_id")
-    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "EEE, dd MMM yyyy")
-    return p.select("page_id", F.concat(F.lit("<item><title>"), xml_escape(html_title(F.col("html"))), F.lit("</title><link>"), link, F.lit("</link><guid>"), link, F.lit("</guid><pubDate>"), day, F.lit(" 00:00:00 GMT</pubDate></item>")).alias("item"))
+    return p.select("page_id", feed_item(html_title(F.col("html")), link, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int"))).alias("item"))
 
 
 @query("sitemap", "SELECT page_id, '<url><loc>https://x.org/' || page_id || '</loc><lastmod>' || CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INT) AS VARCHAR) || '</lastmod></url>' AS entry FROM pages ORDER BY page_id DESC LIMIT 500")
 def _(s, d):
     p = table(s, d, "pages").orderBy(F.desc("page_id")).limit(500)
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")).cast("string")
-    return p.select("page_id", F.concat(F.lit("<url><loc>https://x.org/"), "page_id", F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>")).alias("entry"))
+    return p.select("page_id", site_entry(F.concat(F.lit("https://x.org/"), "page_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int"))).alias("entry"))
 
 
 @query("word_sync", """WITH w AS (SELECT conv_id * 100 + turn AS g, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM conversations)
@@ -253,13 +253,11 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", F.explode(F.filter(ids, lambda x: F.length(x) > 0)).alias("claim"))
 
 
-@query("pointer_files", "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0")
+@query("pointer_files", "SELECT page_id FROM pages WHERE page_id % 3 = 0 AND NOT starts_with(html, 'version https://git-lfs') AND page_id % 5 <> 0")
 def _(s, d):
-    k = F.col("p_partkey")
-    files = table(s, d, "part").select("p_partkey", F.when(k % 3 == 0, "a.MP4").otherwise("a.txt").alias("name"), F.when(k % 5 != 0, "binary").otherwise("version https://git-lfs.github.com/spec/v1\noid").alias("content"))
-    tracked = s.createDataFrame([("mp4",), ("png",)], "ext string")
-    staged = files.withColumn("ext", F.lower(F.substring_index("name", ".", -1))).join(F.broadcast(tracked), "ext", "left_semi")
-    return staged.where(~F.col("content").startswith("version https://git-lfs")).select("p_partkey")
+    k = F.col("page_id")
+    files = table(s, d, "pages").select("page_id", F.concat("url", F.when(k % 3 == 0, ".MP4").otherwise(".txt")).alias("name"), F.when(k % 5 != 0, F.col("html")).otherwise(F.concat(F.lit("version https://git-lfs.github.com/spec/v1\noid "), F.md5("html"))).alias("content"))
+    return pointer_files(files, s.createDataFrame([("mp4",), ("png",)], "ext string")).select("page_id")
 
 
 @query("paired_values", "SELECT p_partkey, p_size AS left_value, p_size + 1 AS right_value FROM part WHERE p_partkey % 4 = 0")

@@ -366,24 +366,26 @@ def _(s, d):
 
 @query("allocation", "SELECT c_mktsegment, c_custkey, rn FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 2 ELSE 1 END")
 def _(s, d):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
     quota = F.when(F.col("c_mktsegment") == "HOUSEHOLD", X.half_up(F.lit(7 * 0.4))).when(F.col("c_mktsegment") == "MACHINERY", X.half_up(F.lit(7 * 0.3))).otherwise(1)
-    return table(s, d, "customer").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= quota).select("c_mktsegment", "c_custkey", "rn")
+    return rankings.quota_top(table(s, d, "customer"), "c_mktsegment", [F.desc("c_acctbal"), "c_custkey"], quota).select("c_mktsegment", "c_custkey", "rn")
 
 
 @query("failure_argmax", "SELECT user_id, arg_max(event_type, struct_pack(n := n, p := -p)) AS category FROM (SELECT user_id, event_type, count(*) AS n, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS p FROM events GROUP BY 1, 2) GROUP BY user_id")
 def _(s, d):
-    n = table(s, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    p = F.coalesce(*[F.when(F.col("event_type") == k, v) for v, k in enumerate(("error", "click", "view", "signup"))], F.lit(4))
-    return n.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -p)).alias("category"))
+    return rankings.commonest(table(s, d, "events"), "user_id", "event_type", ["error", "click", "view", "signup"])
 
 
-@query("cache_lookup", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE lower(trim('  ' || c_mktsegment || ' ')) = 'household' AND epoch(TIMESTAMP '1998-01-01' - o_orderdate) < 30 * 86400 AND o_orderdate <= TIMESTAMP '1998-01-01'")
+@query("cache_lookup", "SELECT c_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE epoch(TIMESTAMP '1998-01-01' - o_orderdate) < 30 * 86400 AND o_orderkey % 5 > 0 GROUP BY c_custkey")
 def _(s, d):
-    c = table(s, d, "customer").where(F.lower(F.trim(F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))) == "household")
+    from quillon.sources.apis import cached_answers
+
+    # an entry for each order, empty for every fifth; those of one customer under names that differ in case and blanks
+    k = F.col("o_orderkey")
+    entries = table(s, d, "orders").select(F.when(k % 2 == 0, " Web").otherwise("web").alias("source"), F.concat(F.lit("C"), F.col("o_custkey"), F.when(k % 3 == 0, " ").otherwise("")).alias("keyword"), F.struct("o_orderdate", k).alias("t"), F.when(k % 5 > 0, F.array(k)).otherwise(F.array().cast("array<bigint>")).alias("results"))
+    entries = entries.select("source", "keyword", (F.col("t.o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("t.o_orderkey") / 1e6)).alias("timestamp"), "results")
+    wanted = table(s, d, "customer").select("c_custkey", F.lit("WEB ").alias("source"), F.concat(F.lit(" c"), "c_custkey").alias("keyword"))
     now = F.lit("1998-01-01").cast("timestamp")
-    o = table(s, d, "orders").where((F.unix_seconds(now) - F.unix_seconds(F.col("o_orderdate").cast("timestamp")) < 30 * 86400) & (F.col("o_orderdate") <= now))
-    return c.join(o, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey")
+    return cached_answers(entries, wanted, now, 30 * 24).select("c_custkey", F.get("results", F.lit(0)).alias("o_orderkey"))
 
 
 @query("row_visibility", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
@@ -421,10 +423,9 @@ def _(s, d):
 
 @query("last_runs", "SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS last_order, count(*) AS n FROM orders GROUP BY o_custkey")
 def _(s, d):
-    return table(s, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"), F.count(F.lit(1)).alias("n"))
+    return rankings.last_of(table(s, d, "orders"), "o_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"]).withColumnRenamed("last", "last_order")
 
 
 @query("renumber", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id FROM lineitem WHERE l_returnflag <> 'N'")
 def _(s, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return table(s, d, "lineitem").where("l_returnflag <> 'N'").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.row_number().over(w).alias("id"))
+    return rankings.renumbered(table(s, d, "lineitem").where("l_returnflag <> 'N'"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "id")

@@ -310,3 +310,18 @@ def widget_summary(content: Column) -> Column:
     """The first five quoted texts of 5 to 80 characters that are no address, colour or import, joined by '; '."""
     found = F.filter(F.regexp_extract_all(content, F.lit("[\"']([^\"']{5,80})[\"']"), 1), lambda x: ~x.startswith("http") & ~x.startswith("#") & ~x.contains("import"))
     return F.array_join(F.slice(found, 1, 5), "; ")
+
+
+def pointer_files(files: DataFrame, extensions: DataFrame) -> DataFrame:
+    """files (name, content) of the extensions (ext) that large-file storage keeps, that hold their content and not a pointer to it."""
+    staged = files.withColumn("ext", F.lower(F.substring_index("name", ".", -1))).join(F.broadcast(extensions), "ext", "left_semi")
+    return staged.where(~F.col("content").startswith("version https://git-lfs")).drop("ext")
+
+
+def cached_answers(entries: DataFrame, wanted: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """wanted (source, keyword) with the results of the cache's entry (source, keyword, timestamp, results) of the same names, whatever their case and
+    blanks around them, that is younger than so many hours and isn't empty."""
+    name = lambda c: F.lower(F.btrim(c))
+    young = entries.where((F.unix_micros(now) - F.unix_micros("timestamp") < hours * 3_600_000_000) & (F.size("results") > 0))
+    side = young.groupBy(name("source").alias("_s"), name("keyword").alias("_k")).agg(F.max_by("results", "timestamp").alias("results"))
+    return wanted.join(side, (name(F.col("source")) == F.col("_s")) & (name(F.col("keyword")) == F.col("_k"))).drop("_s", "_k")

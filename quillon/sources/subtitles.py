@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,51 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\r?\n", r"\\N")
 
 
+@dataclass(frozen=True)
+class Style:
+    """How subtitles look and where they stand on a canvas of WIDE x HIGH."""
+
+    font: str = "Helvetica Neue"
+    size: int = 60
+    spoken: str = "&H00FF8B4D"
+    unspoken: str = "&H00F5F5F5"
+    outline_color: str = "&H66000000"
+    back_color: str = "&H66000000"
+    outline: int = 3
+    shadow: int = 1
+    left: int = 110
+    right: int = 250
+    low: int = 570
+
+
+WIDE, HIGH = 1080, 1920
+STYLE_FIELDS = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+EVENT_FIELDS = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+
+
+def header(style: Style) -> str:
+    """What stands before a subtitle file's lines."""
+    look = f"Default,{style.font},{style.size},{style.spoken},{style.unspoken},{style.outline_color},{style.back_color},-1,0,0,0,100,100,0,0,1,{style.outline},{style.shadow},2,{style.left},{style.right},{style.low},1"
+    lines = ["[Script Info]", "ScriptType: v4.00+", f"PlayResX: {WIDE}", f"PlayResY: {HIGH}", "WrapStyle: 0", "ScaledBorderAndShadow: yes", "", "[V4+ Styles]", f"Format: {STYLE_FIELDS}", f"Style: {look}", "", "[Events]", f"Format: {EVENT_FIELDS}"]
+    return "\n".join(lines) + "\n"
+
+
+def subtitle_files(cues: DataFrame, key: str, style: Style | None = None) -> DataFrame:
+    """(key, content): a whole subtitle file of each video's cues (key, start, end, text, words: array of (text, start, end)), in the order of their
+    starts; a cue with words has their karaoke times. A file's cues are one video's."""
+    text = F.when(F.size("words") > 0, karaoke_text(F.col("words"), F.col("start"))).otherwise(escaped(F.coalesce("text", F.lit(""))))
+    line = F.concat(F.lit("Dialogue: 0,"), subtitle_time(F.greatest("start", F.lit(0.0))), F.lit(","), subtitle_time(F.greatest("end", F.lit(0.0))), F.lit(",Default,,0,0,0,,"), text)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("start", "end", line.alias("line")))), lambda x: x["line"])
+    return cues.groupBy(key).agg(F.concat(F.lit(header(style or Style())), F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
+
+
+def subtitle_styles(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """(keys, style: map of its fields) of the lines that set a style, by the fields that STYLE_FIELDS names."""
+    names = F.array(*[F.lit(f.strip()) for f in STYLE_FIELDS.split(",")])
+    values = F.transform(F.split(F.regexp_replace(line, "^Style: *", ""), ","), lambda v: F.btrim(v))
+    return lines.where(F.col(line).startswith("Style:")).select(*keys, F.map_from_arrays(F.slice(names, F.lit(1), F.size(values)), values).alias("style"))
+
+
 def karaoke_text(words: Column, start: Column) -> Column:
     """Words (text, start, end) with the offset from their line's start and the time they fill, in centiseconds to one decimal."""
     begins = F.floor(start * 100 + 0.5) / 100
