@@ -5,13 +5,15 @@ probability 1 / (rate * |set|) by a hash that all sets share, and the set goes o
 for each token it chose; so sets with much in common stay together on some path, and others
 part. A node of at most ``SMALL`` sets is a bucket whose sets are compared by brute force; a
 larger node is split again, unless its sets are near copies on the whole, which no token can part.
-Such nodes, and what is still large at the last level, are compared in blocks, each set first
-with its block's least. Independent runs repeat until a pair at the threshold meets in some bucket with at least
-the target recall.
+In such nodes, and in what is still large at the last level, every set is compared with the node's least, and only
+those apart from it with the others, in blocks. Independent runs repeat until a pair at the threshold meets in some
+bucket with at least the target recall.
 
 Sets that are equal are one class throughout. In buckets, sketches of a few bytes decide which
-sets may be near (the gates follow the threshold); groups so linked are then compared exactly, set
-against set.
+sets may be near (the gates follow the threshold); groups so linked are then compared exactly: a small one set
+against set, a large one through a pivot. What a set lacks of the pivot and has besides bounds its similarity to any other
+set, so pairs of sets close to the pivot are links by that alone and are counted by sums over the group; only pairs
+with a set farther off are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ SMALL = 128
 DENSE = 0.5
 _SIGNS = np.random.default_rng(8).integers(0, 2, (BINS, 256))
 BLOCK = 1024
+#: Members of a large group that are tried as its pivot.
+PIVOTS = 4
 #: Shingles that a block of exact comparison holds, about.
 BLOCK_SHINGLES = 4 << 20
 BROADCAST_KEYS = 1_000_000
@@ -228,6 +232,17 @@ def _blocks(df: DataFrame, group: str, count: str, block: int) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
 
 
+def _cells(far: DataFrame, near: DataFrame, group: str) -> DataFrame:
+    """A row for each pair of blocks (x <= y) of which one at least is of far rows: all pairs with a far row meet in one. Both have the
+    numbers of their group's blocks, _fars and _nears; blocks of near rows are numbered after those of far ones."""
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("k", group), F.greatest(n, F.lit(1))).cast("int")
+
+    out = far.withColumn("own", own("_fars")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_fars") + F.col("_nears") - 1)))
+    met = near.withColumn("own", F.col("_fars") + own("_nears")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_fars") - 1)))
+    return out.unionByName(met).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "_fars", "_nears")
+
+
 def _within(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
@@ -311,10 +326,44 @@ def _loose(threshold: float):
     return work
 
 
+def _near_first(threshold: float):
+    """Of sets of large nodes (p, k, n, sketch; first, n0, sketch0 of their node's least): whether each may be near that one."""
+    floor = sketch_floor(threshold)
+
+    def work(batches):
+        for b in batches:
+            c = dict(zip(b.schema.names, b.columns, strict=True))
+            one, two = (np.frombuffer(b"".join(c[x].to_pylist()), np.uint8).reshape(-1, BINS) for x in ("sketch", "sketch0"))
+            n, n0 = (c[x].to_numpy().astype(float) for x in ("n", "n0"))
+            same, either = ((one == two) & (one > 0)).sum(1), ((one > 0) | (two > 0)).sum(1)
+            near = (same >= floor * either) & (np.minimum(n, n0) >= threshold * np.maximum(n, n0) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c["p"], c["k"], c["n"], c["sketch"], c["first"], pa.array(near)], ["p", "k", "n", "sketch", "first", "near"])
+
+    return work
+
+
+def _large_nodes(buckets: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
+    """Star edges (a, b) of the sets of nodes (p, k, members) over BLOCK: each set that may be near its node's least with that one; those apart
+    with whatever they may be near, in blocks. A node of near copies ships each of its rows once."""
+    feats = feats.select("k", "n", "sketch").dropDuplicates(["k"])
+    first = buckets.groupBy("p").agg(F.min("k").alias("first")).join(feats.select(F.col("k").alias("first"), F.col("n").alias("n0"), F.col("sketch").alias("sketch0")), "first")
+    first = broadcast_if_small(materialize(first, "firsts"), BROADCAST_KEYS)
+    met = buckets.select("p", "k").join(feats, "k").join(first, "p")
+    judged = materialize(map_arrow(met, _near_first(threshold), "p long, k binary, n long, sketch binary, first binary, near boolean"), "judged")
+    edges = judged.where("near AND k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
+    blocks = [F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for n, c in (("_fars", ~F.col("near")), ("_nears", F.col("near")))]
+    counts = broadcast_if_small(materialize(judged.groupBy("p").agg(*blocks).where("_fars > 0"), "apart"), BROADCAST_KEYS)
+    rows = judged.join(counts, "p")
+    cells = _cells(rows.where("NOT near").drop("first", "near"), rows.where("near").drop("first", "near"), "p")
+    return edges.union(by_group(cells.select("p", "x", "y", "own", "k", "n", "sketch"), ["p", "x", "y"], _loose(threshold), "a binary, b binary"))
+
+
 def _exact(threshold: float):
     def work(t: pa.Table, at: np.ndarray) -> pa.Table:
-        """Links of each set in a group (weighted by the other's copies) and star edges between linked sets."""
+        """Links of each set in a group (weighted by the other's copies) and star edges between linked sets; where sets have a distance
+        ``w`` from a pivot, pairs within ``limit`` of each other by that are counted elsewhere."""
         k, raw, copies = t["k"].to_pylist(), t["tokens"].to_pylist(), t["copies"].to_numpy()
+        w, limit = t["w"].to_numpy(), t["limit"].to_numpy()
         own, x, y = (t[c].to_numpy() for c in ("own", "x", "y"))
         left, right = [], []
         for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -344,6 +393,7 @@ def _exact(threshold: float):
             ok = exact >= threshold * (size[a] + size[b] - exact) - 1e-9
             if x[s] != y[s]:
                 ok &= own[g[a]] != own[g[b]]
+            ok &= w[g[a]] + w[g[b]] > limit[s]
             left.append(g[a[ok]])
             right.append(g[b[ok]])
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
@@ -358,6 +408,82 @@ def _exact(threshold: float):
     return work
 
 
+def _differences(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of each set of a part of a group (root, k, copies, tokens) and each of the group's pivots: how many tokens it lacks, and has besides."""
+    pivots = [np.frombuffer(x, U64) for x in right.sort_by("place")["tokens"].to_pylist()]
+    lacks, more = [], []
+    for x in left["tokens"].to_pylist():
+        v = np.frombuffer(x, U64)
+        for c in pivots:
+            both = int((c[np.minimum(np.searchsorted(c, v), len(c) - 1)] == v).sum())
+            lacks.append(len(c) - both)
+            more.append(len(v) - both)
+    off = pa.array(np.arange(left.num_rows + 1, dtype=np.int32) * len(pivots))
+    arrays = [pa.ListArray.from_arrays(off, pa.array(z, pa.int64())) for z in (lacks, more)]
+    n = pa.array([len(x) // 8 for x in left["tokens"].to_pylist()], pa.int64())
+    return pa.table([left["root"], left["k"], left["copies"], n, *arrays], names=["root", "k", "copies", "n", "lacks", "more"])
+
+
+def _certain(t: pa.Table) -> pa.Table:
+    """(root, w, certain): of a group's distances w with their copies, the copies within its limit of each."""
+    t = t.sort_by("w")
+    w, upto = t["w"].to_numpy(), np.concatenate(([0], np.cumsum(t["copies"].to_numpy())))
+    return pa.table([t["root"], t["w"], pa.array(upto[np.searchsorted(w, t["limit"].to_numpy() - w, "right")], pa.int64())], names=["root", "w", "certain"])
+
+
+def _large_groups(group: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links) as _exact gives, of groups (k, root, members, copies) of more than a block.
+
+    For sets A and B and the pivot c, |A n B| >= |c| - lacks(A) - lacks(B). So with w = lacks + threshold * more, a pair is a
+    link for certain if w(A) + w(B) <= (1 - threshold) |c|. Those links are counted by sums over w, and all sets that have one are
+    linked to the set of the least w. Other pairs have a set with w over half the limit; these are compared exactly, in blocks, with
+    each other and with the sets that are far enough.
+    """
+    own = materialize(group.join(sets, "k").select("root", "k", "copies", "members", "tokens"), "large")
+    pick = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), "k")).alias(f"c{i}") for i in range(PIVOTS)]
+    sizes = own.groupBy("root").agg(F.max("members").alias("members"), *pick)
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    chosen = sizes.select("root", parts.alias("parts"), F.posexplode(F.array(*[F.col(f"c{i}.k") for i in range(PIVOTS)])).alias("place", "k"))
+    pivots = materialize(chosen.join(own.select("root", "k", "tokens"), ["root", "k"]).select("root", "place", "tokens", "parts"), "pivots")
+    pivots = pivots.select("root", "place", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    left = own.select("root", "k", "copies", "tokens", F.pmod(F.xxhash64("k", F.lit(99)), parts).cast("int").alias("part"))
+    kind = T.StructType([T.StructField("root", T.BinaryType()), T.StructField("k", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lacks", T.ArrayType(T.LongType())), T.StructField("more", T.ArrayType(T.LongType()))])
+    diffs = materialize(left.groupBy("root", "part").cogroup(pivots.groupBy("root", "part")).applyInArrow(_differences, kind), "differences")
+
+    def far(i: int) -> tuple[Column, Column]:
+        lacks, more = F.get("lacks", F.lit(i)), F.get("more", F.lit(i))
+        return lacks + threshold * more, (1 - threshold) * (F.col("n") - more + lacks) - 1e-6  # a little is left to the exact comparison
+
+    heavy = [F.count_if(2 * far(i)[0] > far(i)[1]).alias(f"h{i}") for i in range(PIVOTS)]
+    best = diffs.groupBy("root").agg(*heavy).select("root", F.array_min(F.array(*[F.struct(F.col(f"h{i}").alias("h"), F.lit(i).alias("i")) for i in range(PIVOTS)]))["i"].alias("i"))
+    best = broadcast_if_small(materialize(best, "best"), BROADCAST_KEYS)
+    w, limit = (F.get(F.array(*[far(i)[j] for i in range(PIVOTS)]), F.col("i")) for j in (0, 1))
+    placed = materialize(diffs.join(best, "root").select("root", "k", "copies", "n", w.alias("w"), limit.alias("limit")), "placed")
+
+    # certain links: sums over the distances within the limit, of which there are as many as the pivot has tokens at most
+    sums = placed.where("w <= limit").groupBy("root", "w", "limit").agg(F.sum("copies").alias("copies"))
+    certain = materialize(sums.groupBy("root").applyInArrow(_certain, "root binary, w double, certain long"), "certain")
+    centre = placed.groupBy("root").agg(F.min_by("k", F.struct("w", "k")).alias("centre"))
+    centre = broadcast_if_small(materialize(centre, "centres"), BROADCAST_KEYS)
+    counted = placed.join(broadcast_if_small(certain, BROADCAST_KEYS), ["root", "w"]).join(centre, "root")
+    links = F.col("certain") - F.when(2 * F.col("w") <= F.col("limit"), F.col("copies")).otherwise(0)
+    counted = counted.select("k", "centre", links.cast("long").alias("links")).where("links > 0")
+    none = F.lit(None).cast("binary")
+    sure = counted.select(F.col("k").alias("a"), none.alias("b"), "links").union(counted.where("k <> centre").select(F.col("centre").alias("a"), F.col("k").alias("b"), F.lit(0).cast("long")))
+
+    # what is left: pairs with a set far from the pivot
+    is_far = 2 * F.col("w") > F.col("limit")
+    bounds = placed.groupBy("root").agg(F.max("w").alias("most"), F.max("limit").alias("limit")).where(2 * F.col("most") > F.col("limit")).select("root", (F.col("limit") - F.col("most")).alias("from"))
+    bounds = broadcast_if_small(materialize(bounds, "bounds"), BROADCAST_KEYS)
+    open_ = placed.join(bounds, "root").where(is_far | (F.col("w") > F.col("from"))).withColumn("far", is_far).drop("from")
+    room = lambda c: F.ceil(F.greatest(F.count_if(c) / (BLOCK // 2), F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    counts = open_.groupBy("root").agg(room(F.col("far")).alias("_fars"), room(~F.col("far")).alias("_nears"))
+    rows = materialize(open_.join(broadcast_if_small(materialize(counts, "open"), BROADCAST_KEYS), "root").select("root", "k", "w", "limit", "far", "_fars", "_nears"), "far")
+    met = rows.join(own.select("root", "k", "copies", "tokens"), ["root", "k"])
+    cells = _cells(met.where("far").drop("far"), met.where("NOT far").drop("far"), "root")
+    return sure.union(by_group(cells.select("root", "x", "y", "own", "k", "copies", "tokens", "w", "limit"), ["root", "x", "y"], _exact(threshold), "a binary, b binary, links long", rows=BLOCK))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, with_keys: bool = False) -> DataFrame:
     """(id, class_id, n_links) for every row; with_keys: also text_hash (xxhash64 of the text) and class_key, which names the class
     even where its ids are null or stand for several texts.
@@ -395,8 +521,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         buckets = here if buckets is None else buckets.union(here)
         if last:
             break
-    sketched = _blocks(buckets, "p", "members", BLOCK).join(feats.select("k", "n", "sketch").dropDuplicates(["k"]), "k")
-    loose = components(by_group(sketched.select("p", "x", "y", "own", "k", "n", "sketch"), ["p", "x", "y"], _loose(threshold), "a binary, b binary"))
+    sketched = _blocks(buckets.where(F.col("members") <= BLOCK), "p", "members", BLOCK).join(feats.select("k", "n", "sketch").dropDuplicates(["k"]), "k")
+    edges = by_group(sketched.select("p", "x", "y", "own", "k", "n", "sketch"), ["p", "x", "y"], _loose(threshold), "a binary, b binary")
+    large = buckets.where(F.col("members") > BLOCK)
+    loose = components(edges.union(_large_nodes(large, feats, threshold)) if large.limit(1).count() else edges)
 
     # exact comparison within each loosely linked group, in blocks bounded by sets and by shingles
     sizes = feats.groupBy("k").agg(F.first("n").alias("n"))
@@ -416,8 +544,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_h"))).select("_text", "k")
     # rows that repeat an id and its text bring a set again
     sets = map_arrow(texts, tokens, "k binary, tokens binary").dropDuplicates(["k"])
-    full = _blocks(group, "root", "members", BLOCK // 2).join(sets, "k").select("root", "x", "y", "own", "k", "copies", "tokens")
-    found = materialize(by_group(full, ["root", "x", "y"], _exact(threshold), "a binary, b binary, links long", rows=BLOCK), "links")
+    is_small = F.col("members") <= BLOCK // 2
+    full = _blocks(group.where(is_small), "root", "members", BLOCK // 2).join(sets, "k").select("root", "x", "y", "own", "k", "copies", "tokens", F.lit(float("inf")).alias("w"), F.lit(0.0).alias("limit"))
+    compared = by_group(full, ["root", "x", "y"], _exact(threshold), "a binary, b binary, links long", rows=BLOCK)
+    large = group.where(~is_small)
+    found = materialize(compared.union(_large_groups(large, sets, threshold)) if large.limit(1).count() else compared, "links")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     degree = found.where("b IS NULL").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
 

@@ -60,6 +60,50 @@ def test_links_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert all(n <= 3 * m for m, n in made.items()), made
 
 
+def copies_of(base, rng, m, edits):
+    rows = []
+    for i in range(m):
+        w = list(base)
+        for j in rng.sample(range(len(w)), rng.choice(edits)):
+            w[j] = f"other{i}x{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_shipped_rows_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    shipped: list = []
+
+    def counted(df, *rest, plain=jaccard.by_group, **more):
+        shipped.append(df.count())
+        return plain(df, *rest, **more)
+
+    monkeypatch.setattr(jaccard, "by_group", counted)
+    per = {}
+    for m in (1000, 4000, 16_000):
+        rng = random.Random(m)
+        shipped.clear()
+        rows = copies_of([f"w{rng.randrange(10**6)}" for _ in range(120)], rng, m, [1])
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+        assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {m - 1}
+        per[m] = sum(shipped) / m
+    assert per[16_000] <= 2 * per[1000] + 2, per
+
+
+def test_large_groups_are_compared_as_by_brute_force(spark, monkeypatch):
+    """Groups of many blocks, some of whose sets are far from any pivot, with copies among them; pairs on either side of the threshold."""
+    for name, size in (("BLOCK", 32), ("SMALL", 16)):
+        monkeypatch.setattr(jaccard, name, size)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    other = base[:40] + [f"v{rng.randrange(10**6)}" for _ in range(20)]
+    rows = copies_of(base, rng, 150, [0, 1, 1, 2, 3]) + [(i + 200, t) for i, t in copies_of(other, rng, 60, [0, 1, 2])]
+    rows += [(i + 300, " ".join(base[: rng.randint(45, 60)])) for i in range(60)] + [(i + 400, rows[i][1]) for i in range(40)]
+    sets = {i: grams(t) for i, t in rows}
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()}
+    got = {r.doc_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
 def test_similarity_within_a_node(spark):
     """The signs tell near copies from sets that share a part, whatever the number of their shingles."""
     rng = np.random.default_rng(2)
