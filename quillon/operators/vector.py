@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.content import sized
 
@@ -34,25 +38,105 @@ def topk(index: DataFrame, query: DataFrame | list[float], k: int = 10, threshol
     return scored.drop("_q", "_qn").orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-#: Query vectors that are sent to every task at once.
-BLOCK = 2048
+#: Bytes of the query vectors that are sent to every task at once; rows and queries that are multiplied at once.
+BLOCK_BYTES, ROWS, QUERIES = 32 << 20, 1024, 4096
+
+
+def as_matrix(col: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows; those of another length are refused, null ones are zeros."""
+    if isinstance(col, pa.ChunkedArray):
+        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+    lengths = pc.list_value_length(col)
+    if pc.any(pc.not_equal(lengths, width)).as_py():
+        raise ValueError(f"expected {width} dimensions, got {pc.min_max(lengths).as_py()}")
+    out = np.zeros((len(col), width))
+    out[np.asarray(pc.is_valid(col))] = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; zeros stay."""
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+class Best:
+    """The k most similar rows of each query, of all that were offered: similarities rounded to six places, equal ones by id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries, k
+        self.sims: list[np.ndarray] = [np.zeros(0)] * len(queries)
+        self.ids: list[pa.Array | None] = [None] * len(queries)
+        self.least = np.full(len(queries), -np.inf)  # what a row has to reach
+
+    def offer(self, m: np.ndarray, ids: pa.Array, skip: np.ndarray | None = None, threshold: float | None = None) -> None:
+        """m: rows of unit length or zero; skip: of each row the query whose own it is, or -1; threshold: what an unrounded similarity has to exceed."""
+        alive = (m != 0).any(1)
+        for lo in range(0, len(self.q), QUERIES):
+            sims = m @ self.q[lo : lo + QUERIES].T
+            sims[~alive] = -np.inf
+            if threshold is not None:
+                sims[sims <= threshold] = -np.inf
+            if skip is not None:
+                own = np.flatnonzero((skip >= lo) & (skip < lo + sims.shape[1]))
+                sims[own, skip[own] - lo] = -np.inf
+            np.round(sims, 6, out=sims)
+            if not len(sims):
+                continue
+            high = sims.max(0)
+            for i in np.flatnonzero((high >= self.least[lo : lo + QUERIES]) & (high > -np.inf)).tolist():
+                self._merge(lo + i, sims[:, i], ids)
+
+    def _merge(self, i: int, s: np.ndarray, ids: pa.Array) -> None:
+        at = np.flatnonzero((s >= self.least[i]) & (s > -np.inf))
+        if len(at) > self.k:  # of the chunk's own, those that can be among its first
+            at = at[s[at] >= np.partition(s[at], len(at) - self.k)[len(at) - self.k]]
+        both = np.concatenate([self.sims[i], s[at]])
+        names = ids.take(pa.array(at))
+        names = names if self.ids[i] is None else pa.concat_arrays([self.ids[i], names])
+        order = pc.sort_indices(pa.table({"s": both, "id": names}), [("s", "descending"), ("id", "ascending")])[: self.k]
+        self.sims[i], self.ids[i] = both[order.to_numpy()], names.take(order)
+        if len(self.sims[i]) == self.k:
+            self.least[i] = self.sims[i][-1]
+
+    def found(self) -> tuple[np.ndarray, pa.Array | None, np.ndarray]:
+        """(query, id, similarity) of all that were kept."""
+        have = [i for i, x in enumerate(self.ids) if x is not None]
+        at = np.repeat(have, [len(self.sims[i]) for i in have]).astype(np.int64)
+        return at, pa.concat_arrays([self.ids[i] for i in have]) if have else None, np.concatenate([self.sims[i] for i in have]) if have else np.zeros(0)
 
 
 def batch_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
-    """(query_id, id, similarity, rank): k best of all rows for each query. Stated queries against all rows, in blocks of
-    about BLOCK queries whose vectors are sent to every task; each partial top-k keeps k rows for each query and task."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    rows = index.select(id_col, "embedding", norm(F.col("embedding")).alias("n"))
-    blocks = max(1, -(-q.count() // BLOCK))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
+    """(query_id, id, similarity, rank): k best of all other rows for each query. Stated queries against all rows, in blocks of BLOCK_BYTES that are
+    sent to every task; a task multiplies matrices and keeps k rows for each query. Ids of queries are unique; null and zero vectors are similar to nothing."""
+    spark, id_type = index.sparkSession, index.schema[id_col].dataType
+    q = queries.select(F.col(id_col).alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).where("q IS NOT NULL")
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("width")).first()
+    width = size["width"] or 0
+    blocks = max(1, -(-size["n"] * width * 8 // BLOCK_BYTES))
+    rows = index.select(id_col, F.col("embedding").cast("array<double>").alias("v"))
+    schema = T.StructType([T.StructField("query_id", queries.schema[id_col].dataType), T.StructField(id_col, id_type), T.StructField("similarity", T.DoubleType())])
     out = None
     for b in range(blocks):
-        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = rows.join(F.broadcast(some), F.col(id_col) != F.col("query_id"))
-        scored = pairs.select("query_id", id_col, F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("similarity"))
-        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+        some = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()  # about BLOCK_BYTES
+        shared = spark.sparkContext.broadcast((some["query_id"].combine_chunks(), unit_rows(as_matrix(some["q"], width))))
+
+        def search(batches, shared=shared):
+            names, vectors = shared.value
+            best = Best(vectors, k)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(lo, ROWS)
+                    ids = part.column(0)
+                    best.offer(unit_rows(as_matrix(part.column(1), width)), ids, pc.fill_null(pc.index_in(ids.cast(names.type), value_set=names), -1).to_numpy(zero_copy_only=False))
+            at, ids, sims = best.found()
+            if ids is not None:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids, pa.array(sims)], schema.names)
+
+        found = rows.mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hit_rate(hits: DataFrame, group: list[str]) -> DataFrame:

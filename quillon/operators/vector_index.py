@@ -20,28 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators.scratch import folder, kept
+from quillon.operators.vector import Best, as_matrix, unit_rows
 
 #: Rows for each centroid that the fit sees, and rows of a part of a list; queries that meet a part at once.
 SAMPLE_PER_LIST, PART_ROWS, QUERY_BLOCK = 64, 16_384, 2048
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(1, keepdims=True))
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def _matrix(col: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows; those of another length are refused, null ones are zeros."""
-    if isinstance(col, pa.ChunkedArray):
-        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
-    lengths = pc.list_value_length(col)
-    if pc.any(pc.not_equal(lengths, width)).as_py():
-        raise ValueError(f"expected {width} dimensions, got {pc.min_max(lengths).as_py()}")
-    out = np.zeros((len(col), width))
-    out[np.asarray(pc.is_valid(col))] = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return out
-
-
 class VectorIndex:
     """An index below ``path``: ``lists`` (rows by list), ``units`` (list, parts) and ``centroids`` (list, center)."""
 
@@ -71,14 +55,14 @@ class VectorIndex:
         fit = named.where(F.col(vector_col).isNotNull()).where(length > 0).where(F.pmod(F.xxhash64(id_col, vector_col, F.lit(seed)), F.lit(1 << 20)) < (k * SAMPLE_PER_LIST << 20) / max(n, 1))
         sample = kept(fit.select(array_to_vector(F.transform(vector_col, lambda x: x / length)).alias("features")), "sample")
         centers = KMeans(k=k, seed=seed, maxIter=12, distanceMeasure="cosine").fit(sample).clusterCenters() if k > 1 and sample.limit(2).count() > 1 else [np.zeros(width)]
-        centers = _unit(np.array(centers, float).reshape(len(centers), width))
+        centers = unit_rows(np.array(centers, float).reshape(len(centers), width))
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list int, center array<double>").write.parquet(f"{path}/centroids")
 
         schema = T.StructType([*named.schema.fields, T.StructField("list", T.IntegerType())])
 
         def place(batches):
             for b in batches:
-                near = (_matrix(b.column(1), width) @ centers.T).argmax(1) if width else np.zeros(b.num_rows)
+                near = (as_matrix(b.column(1), width) @ centers.T).argmax(1) if width else np.zeros(b.num_rows)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], [*b.schema.names, "list"])
 
         placed = kept(named.mapInArrow(place, schema), "placed")
@@ -100,8 +84,8 @@ class VectorIndex:
 
         def choose(batches):
             for b in batches:
-                q = _matrix(b.column(1), width)
-                near = np.argsort(-(_unit(q) @ centers.T), axis=1, kind="stable")[:, :probes]
+                q = as_matrix(b.column(1), width)
+                near = np.argsort(-(unit_rows(q) @ centers.T), axis=1, kind="stable")[:, :probes]
                 at = pa.array(np.repeat(np.arange(b.num_rows), probes))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], ["query_id", "q", "list"])
 
@@ -121,27 +105,11 @@ class VectorIndex:
         def best(a, b):
             """Each query's k best rows of one part."""
             names, asks = a["id"].combine_chunks(), b["query_id"].combine_chunks()
-            m, q = _unit(_matrix(a["v"], width)), _unit(_matrix(b["q"], width))
-            alive = (m != 0).any(1)
-            out_q, out_r, out_s = [], [], []
-            for lo in range(0, len(q), 256):
-                sims = q[lo : lo + 256] @ m.T
-                for i, s in enumerate(sims):
-                    ok = alive & (s > threshold) if threshold is not None else alive
-                    if others:
-                        ok = ok & ~np.asarray(pc.fill_null(pc.equal(names, asks[lo + i]), False))
-                    at = np.flatnonzero(ok)
-                    r = np.round(s[at], 6)
-                    if len(at) > k:
-                        least = np.partition(r, len(r) - k)[len(r) - k]
-                        at, r = at[r >= least], r[r >= least]
-                        order = pc.sort_indices(pa.table({"s": r, "id": names.take(pa.array(at))}), [("s", "descending"), ("id", "ascending")]).to_numpy()[:k]
-                        at, r = at[order], r[order]
-                    out_q.append(np.full(len(at), lo + i))
-                    out_r.append(at)
-                    out_s.append(r)
-            cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            return pa.table([asks.take(pa.array(cat(out_q, np.int64))), names.take(pa.array(cat(out_r, np.int64))), pa.array(cat(out_s, float))], names=["query_id", "id", "similarity"])
+            kept_ = Best(unit_rows(as_matrix(b["q"], width)), k)
+            own = pc.fill_null(pc.index_in(names.cast(asks.type), value_set=asks), -1).to_numpy(zero_copy_only=False) if others else None
+            kept_.offer(unit_rows(as_matrix(a["v"], width)), names, own, threshold)
+            at, ids, sims = kept_.found()
+            return pa.table([asks.take(pa.array(at)), ids if ids is not None else names.slice(0, 0), pa.array(sims)], names=["query_id", "id", "similarity"])
 
         keys = ["list", "part", "block"]
         some = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, found)

@@ -48,7 +48,9 @@ def test_functions_at_their_edges(spark):
     assert one(spark, normalize_url(lit("/relative"))) == "/relative"
     assert one(spark, C.string_leaves(lit('{"a": {"b": ["x", " ", 3, {"c": "y: \\"z\\""}]}, "d": "e"}'))) == ["x", 'y: "z"', "e"]
     assert one(spark, C.segments(lit(None).cast("string"))) == [("markdown", "")]
-    assert one(spark, C.currency_notes(lit("¥445 million and 2 thousand yuan"))) == "$62 million (¥445 million) and 2 thousand yuan"
+    # dollars within thirty characters before an amount will do; here they stand 29 and 31 before the second
+    assert one(spark, C.currency_notes(lit("¥445 million, 2 thousand yuan"))) == "$62 million (¥445 million), 2 thousand yuan"
+    assert one(spark, C.currency_notes(lit("¥445 million and 2 thousand yuan"))) == "$62 million (¥445 million) and $0 thousand (2 thousand yuan)"
     assert one(spark, C.platform_url(lit(None).cast("string")))["kind"] == "unknown"
     assert one(spark, C.topics(lit('{"topics": null}'))) == []
     for bad in ('{"topics": "a"}', '{"topics": [1]}'):
