@@ -55,8 +55,21 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of a batch that goes to a worker at once, unless the session asks for less: it stands in the JVM and in Python at the same time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def map_arrow(df: DataFrame, work: Callable, schema, forget: Callable[[], None] | None = None) -> DataFrame:
-    """``df.mapInArrow``, after which a task gives its worker's freed memory back."""
+    """``df.mapInArrow`` in small batches, after which a task gives its worker's freed memory back."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         try:

@@ -52,7 +52,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # the frequency in all documents of each word that some window holds
     vocabulary = iw.select(F.explode("ws").alias("word")).distinct()
-    seen = bag.select(F.explode("w").alias("word")).join(near(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
+    # written, so that the join below is between two plain shuffles, which a frequent word's rows can be split in
+    seen = materialize(bag.select(F.explode("w").alias("word")).join(near(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("seen")), "seen")
     placed = iw.select("win", "ws").distinct().select("win", "ws", F.posexplode("ws").alias("at", "word"))
     # an inner join: a window with a word that no document has can't occur
     complete = placed.join(seen, "word", "left").groupBy("win").agg(F.first("ws").alias("ws"), F.min(F.struct("seen", "word", "at")).alias("rarest"), F.bool_and(F.col("seen").isNotNull()).alias("all_seen"))

@@ -25,7 +25,7 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 TAILS = ("re", "ve", "ll", "s", "t", "m", "d")
 CACHE = 500_000
 #: Text that goes through an encoder at once.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 
 
 def _classes() -> np.ndarray:

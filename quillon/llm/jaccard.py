@@ -506,7 +506,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = None
     for level in range(LEVELS):
         node = materialize(node, "nodes")
-        counts = node.groupBy("p").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        # written, so that the join is between two plain shuffles, which a large node's rows can be split in
+        counts = materialize(node.groupBy("p").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "counts")
         met = materialize(node.join(counts, "p"), "met")
         big = met.where(F.col("members") > SMALL)
         last = level == LEVELS - 1 or not big.limit(1).count()

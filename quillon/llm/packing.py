@@ -146,7 +146,7 @@ def plan(off: np.ndarray, cum: np.ndarray, limits: tuple[int, int, int]):
     return doc, start, length, (cum[start + length] - cum[start + 1]).astype(np.int64) if len(start) else length, seq, at, count
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_tokens: int = 4_000_000, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_tokens: int = 2_000_000, with_ids: bool = True) -> DataFrame:
     """Pieces of documents placed in sequences of at most max_tokens tokens, max_segments pieces and max_loss loss-bearing
     tokens; a row for each piece.
 

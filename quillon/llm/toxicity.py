@@ -38,7 +38,7 @@ SEED_WEIGHT = 2.0
 #: Letters of a term at least, and of a word that is looked for with an edit; letters of stems.
 LEAST, FUZZY_LEAST = 4, 4
 STEMS = range(4, 8)
-CACHE = 300_000
+CACHE = 150_000
 KEPT = 50_000
 
 
