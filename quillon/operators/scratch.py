@@ -16,7 +16,22 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: Folders that this process has made.
+_MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the folders made so far, for a user who needs no more of the results that read them; gives their number."""
+    n = len(_MADE)
+    while _MADE:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return n
 
 
 def kept(rows: DataFrame, name: str = "kept") -> DataFrame:

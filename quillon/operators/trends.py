@@ -47,22 +47,27 @@ def within_window(rows: DataFrame, published: Column, now: Column, days: int) ->
 def similar_titles(rows: DataFrame, id_col: str, title_col: str, jaccard: float = 0.8, containment: float = 0.9) -> DataFrame:
     """(a, b, jaccard, containment) of pairs of titles at or over either threshold, a < b.
 
-    Prefix filter: for containment c of the smaller set, it must share one of its (1 - c) * n + 1 rarest tokens, so
-    only those of each title meet all the tokens of others; equal token sets are compared once.
+    Prefix filter: the smaller of two such sets shares at least the lesser threshold's part of its tokens, so one of its few rarest is in
+    the larger one. Those meet all tokens of larger sets alone, and only where as many tokens as are needed can still follow in both, by
+    their places in the order of frequency; equal token sets are compared once.
     """
     sets = rows.select(F.col(id_col).alias("id"), F.array_sort(title_tokens(F.col(title_col))).alias("t")).where(F.size("t") > 0)
     classes = sets.groupBy("t").agg(F.min("id").alias("rep"))
     tokens = classes.select("rep", F.explode("t").alias("token"))
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(rare, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    ranked = kept(tokens.join(rare, "token").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x.token).alias("r")))
     share = min(jaccard, containment)
-    need = F.floor(F.size("r") * (1 - share) + 1e-9).cast("int") + 1
-    prefix = ranked.select("rep", F.explode(F.transform(F.slice("r", F.lit(1), need), lambda x: x.token)).alias("token"))
-    pairs = prefix.alias("p").join(tokens.alias("q"), "token").where("p.rep <> q.rep").select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
-    one, two = (classes.select(F.col("rep").alias(x), F.col("t").alias(f"t{x}")) for x in ("a", "b"))
+    all_ = ranked.select("rep", F.size("r").alias("n"), F.posexplode("r").alias("at", "token"))
+    prefix = all_.where(F.col("at") <= F.floor(F.col("n") * (1 - share) + 1e-9))
+    larger = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.rep") < F.col("q.rep")))
+    enough = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= F.col("p.n") * share - 1e-9
+    met = prefix.alias("p").join(all_.alias("q"), (F.col("p.token") == F.col("q.token")) & larger & enough)
+    pairs = met.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+    one, two = (ranked.select(F.col("rep").alias(x), F.col("r").alias(f"t{x}")) for x in ("a", "b"))
     both = F.size(F.array_intersect("ta", "tb"))
     sized = pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("jaccard"), (both / F.least(F.size("ta"), F.size("tb"))).alias("containment"))
-    return sized.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
+    found = sized.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
 def _tokens(title: str) -> set[str]:

@@ -187,3 +187,19 @@ def test_written_rows(spark):
 
         e = spark.createDataFrame([(1, [1.0])], "vec_id int, embedding array<float>")
         vector.topk(e, e.union(e)).collect()
+
+
+def test_scratch_folders_can_be_cleared(spark, tmp_path):
+    from pathlib import Path
+
+    from quillon.operators import scratch
+
+    made = list(scratch._MADE)
+    scratch._MADE.clear()  # other tests' results still read theirs
+    try:
+        rows = scratch.kept(spark.range(3).toDF("x"), "gone")
+        (at,) = scratch._MADE
+        assert rows.count() == 3 and Path(at.removeprefix("file:")).exists()
+        assert scratch.clear(spark) == 1 and not Path(at.removeprefix("file:")).exists() and scratch.clear(spark) == 0
+    finally:
+        scratch._MADE.extend(made)
