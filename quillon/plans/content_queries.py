@@ -93,16 +93,20 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", C.asset_file(F.lit("src"), F.concat("p_name", F.lit("'s 世界!")), F.col("p_size"), F.lit("jpg")).alias("file"))
 
 
-@query("valid_slugs", "SELECT p_partkey, p_partkey % 3 <> 0 AND p_partkey % 2 = 0 AS valid FROM part")
+SLUG = "lower(replace(p_name, ' ', CASE WHEN p_partkey % 3 = 0 THEN '--' WHEN p_partkey % 3 = 1 THEN '-' ELSE '_' END)) || CASE WHEN p_partkey % 5 = 0 THEN repeat('ab', 40) WHEN p_partkey % 7 = 0 THEN '-' ELSE '' END"
+
+
+@query("valid_slugs", f"SELECT p_partkey, regexp_full_match({SLUG}, '[a-z0-9]+(-[a-z0-9]+)*') AND length({SLUG}) <= 80 AS valid, p_partkey % 3 = 1 AS plain FROM part")
 def _(s, d):
     k = F.col("p_partkey")
-    slug = F.when(k % 3 == 0, F.lit("a--b")).when(k % 2 == 0, X.slug(F.col("p_name"))).otherwise(F.repeat(F.lit("ab"), F.lit(41)))
-    return table(s, d, "part").select("p_partkey", X.valid_slug(slug).alias("valid"))
+    joint = F.when(k % 3 == 0, "--").when(k % 3 == 1, "-").otherwise("_")
+    tail = F.when(k % 5 == 0, F.repeat(F.lit("ab"), F.lit(40))).when(k % 7 == 0, "-").otherwise("")
+    return table(s, d, "part").select("p_partkey", X.valid_slug(F.concat(F.lower(F.replace("p_name", F.lit(" "), joint)), tail)).alias("valid"), X.valid_slug(X.slug(F.when(k % 3 == 1, F.col("p_name")).otherwise("!"))).alias("plain"))
 
 
-@query("content_images", "SELECT page_id FROM pages WHERE page_id % 4 NOT IN (0, 1)")
+@query("content_images", "SELECT page_id FROM pages WHERE page_id % 4 > 0 AND NOT regexp_matches(url || CASE WHEN page_id % 4 = 1 THEN '/Site-LOGO.png' ELSE '/p.jpg' END, '(?i)logo|avatar|icon|placeholder|spinner|favicon|badge|button|sprite')")
 def _(s, d):
-    url = F.when(F.col("page_id") % 4 == 1, F.lit("https://x.org/Site-LOGO.png")).when(F.col("page_id") % 4 != 0, F.concat(F.lit("https://img.org/p"), "page_id", F.lit(".jpg")))
+    url = F.when(F.col("page_id") % 4 > 0, F.concat("url", F.when(F.col("page_id") % 4 == 1, "/Site-LOGO.png").otherwise("/p.jpg")))
     return table(s, d, "pages").where(~C.not_content_image(url)).select("page_id")
 
 
@@ -194,10 +198,13 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", C.join_words(F.array("p_brand", F.lit(","), "p_type", F.lit("!"))).alias("line"))
 
 
-@query("attribution", "SELECT p_partkey, p_partkey % 5 IN (0, 1, 4) AS needed FROM part")
+LICENCE = "lower(['CC-BY-SA 4.0', 'CC BY 2.0', 'CC0', 'Public Domain', 'GFDL', 'none', 'CC'][CAST(p_partkey % 7 + 1 AS INT)] || ' ' || p_type)"
+
+
+@query("attribution", f"SELECT p_partkey, contains({LICENCE}, 'cc-by') OR contains({LICENCE}, 'cc by') OR contains({LICENCE}, 'gfdl') OR (contains({LICENCE}, 'cc') AND NOT contains({LICENCE}, 'cc0') AND NOT contains({LICENCE}, 'public domain')) AS needed FROM part")
 def _(s, d):
-    licence = F.get(F.array(*map(F.lit, ["CC-BY-SA 4.0", "CC BY 2.0", "CC0", "Public Domain", "GFDL"])), (F.col("p_partkey") % 5).cast("int"))
-    return table(s, d, "part").select("p_partkey", C.needs_attribution(licence).alias("needed"))
+    licence = F.get(F.array(*map(F.lit, ["CC-BY-SA 4.0", "CC BY 2.0", "CC0", "Public Domain", "GFDL", "none", "CC"])), (F.col("p_partkey") % 7).cast("int"))
+    return table(s, d, "part").select("p_partkey", C.needs_attribution(F.concat(licence, F.lit(" "), "p_type")).alias("needed"))
 
 
 @query("platform_urls", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'u.' || user_id WHEN 2 THEN 'p' || user_id END AS handle, CASE event_id % 6 WHEN 0 THEN (7000000 + event_id)::VARCHAR WHEN 3 THEN (9000000 + event_id)::VARCHAR END AS video_id, CASE event_id % 6 WHEN 1 THEN 'AbC' || (10000 + user_id) WHEN 4 THEN 'Zz' || (10000 + user_id) END AS short_code,
@@ -213,9 +220,13 @@ def _(s, d):
     return table(s, d, "events").select("event_id", C.platform_url(url).alias("p")).select("event_id", "p.*")
 
 
-@query("path_guards", "SELECT p_partkey, p_partkey % 4 IN (0, 1) AS inside FROM part")
+PATH = "CASE p_partkey % 5 WHEN 0 THEN '/data/media/' || p_name WHEN 1 THEN p_name || '/c..d.png' WHEN 2 THEN '../' || p_name WHEN 3 THEN p_name || '/../' || p_type ELSE '/etc/' || p_name END"
+
+
+@query("path_guards", f"SELECT p_partkey, (starts_with({PATH}, '/data/media/') OR NOT starts_with({PATH}, '/')) AND NOT list_contains(string_split({PATH}, '/'), '..') AS inside FROM part")
 def _(s, d):
-    path = F.get(F.array(*map(F.lit, ["/data/media/a.png", "b/c..d.png", "../x.png", "/etc/x"])), (F.col("p_partkey") % 4).cast("int"))
+    k, n = F.col("p_partkey") % 5, F.col("p_name")
+    path = F.when(k == 0, F.concat(F.lit("/data/media/"), n)).when(k == 1, F.concat(n, F.lit("/c..d.png"))).when(k == 2, F.concat(F.lit("../"), n)).when(k == 3, F.concat(n, F.lit("/../"), "p_type")).otherwise(F.concat(F.lit("/etc/"), n))
     return table(s, d, "part").select("p_partkey", C.inside(path, "/data/media").alias("inside"))
 
 

@@ -48,11 +48,14 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", F.array_join(research.json_ld_errors(F.try_parse_json(doc)), ";").alias("errors"))
 
 
-@query("series_errors", "SELECT p_partkey, concat_ws(';', CASE WHEN p_partkey % 3 = 0 THEN 'seriesId is required' WHEN p_partkey % 3 = 1 THEN 'seriesId must be kebab-case' END, CASE WHEN p_partkey % 4 = 0 THEN 'partNumber is required' END, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 7 NOT BETWEEN 1 AND 5 THEN 'partNumber must be an integer 1-5' END, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 7 > 4 THEN 'partNumber must be <= totalParts' END) AS errors FROM part")
+SERIES = "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_name WHEN 2 THEN lower(replace(p_name, ' ', '-')) ELSE lower(p_brand) END"
+
+
+@query("series_errors", f"SELECT p_partkey, concat_ws(';', CASE WHEN {SERIES} = '' THEN 'seriesId is required' WHEN NOT regexp_full_match({SERIES}, '[a-z0-9]+(-[a-z0-9]+)*') THEN 'seriesId must be kebab-case' END, CASE WHEN p_partkey % 6 = 0 THEN 'partNumber is required' WHEN p_size % 9 NOT BETWEEN 1 AND 5 THEN 'partNumber must be an integer 1-5' END, CASE WHEN p_size % 7 NOT BETWEEN 1 AND 5 THEN 'totalParts must be an integer 1-5' END, CASE WHEN p_partkey % 6 > 0 AND p_size % 9 > p_size % 7 THEN 'partNumber must be <= totalParts' END) AS errors FROM part")
 def _(s, d):
     k = F.col("p_partkey")
-    name = F.when(k % 3 == 1, "Not Kebab").when(k % 3 == 2, "a-b2")
-    return table(s, d, "part").select("p_partkey", F.array_join(research.series_errors(name, F.when(k % 4 != 0, k % 7), F.lit(4)), ";").alias("errors"))
+    name = F.when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))).when(k % 4 == 3, F.lower("p_brand"))
+    return table(s, d, "part").select("p_partkey", F.array_join(research.series_errors(name, F.when(k % 6 > 0, F.col("p_size") % 9), F.col("p_size") % 7), ";").alias("errors"))
 
 
 @query("alert_preview", "SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 4 <> 3 AS valid, CASE l_linenumber % 4 WHEN 0 THEN l_partkey % 30 >= 10 WHEN 1 THEN true ELSE false END AS alert, CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_partkey % 30 >= 10 THEN 'drop' END WHEN 1 THEN 'lost' END AS kind FROM lineitem")
@@ -247,9 +250,9 @@ def _(s, d):
     return t.select("doc_id", F.explode("t.images").alias("image")).where(~not_content_image(F.col("image")))
 
 
-@query("claim_ids", "SELECT p_partkey, 'c' || p_partkey AS claim FROM part WHERE p_partkey % 3 > 0")
+@query("claim_ids", "SELECT p_partkey, unnest(list_filter(string_split(p_name, ' '), lambda w: w <> '')) AS claim FROM part WHERE p_partkey % 3 > 0")
 def _(s, d):
-    ids = F.when(F.col("p_partkey") % 3 > 0, F.array(F.lit(""), F.concat(F.lit("c"), "p_partkey"), F.lit(None).cast("string")))
+    ids = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.array(F.lit(""), F.lit(None).cast("string")), F.split("p_name", " ")))
     return table(s, d, "part").select("p_partkey", F.explode(F.filter(ids, lambda x: F.length(x) > 0)).alias("claim"))
 
 
