@@ -63,14 +63,21 @@ def contradictions(scenes: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "c.voice_term", "c.shown_term", "level")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), value being computed once, however often body's own functions ask for it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def facts(scenes: DataFrame) -> DataFrame:
     """One row for each video: what the checks ask of its scenes."""
     vo, own, t = F.coalesce("voiceover", F.lit("")), F.coalesce(F.to_json("texts"), F.lit('""')), F.col("texts")
     low, seen = F.lower(vo), F.lower(own)
     long_words = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 3)
     grams = F.split(comparable(vo), " ")
-    windows = F.when(F.size(grams) >= GRAM, F.transform(F.sequence(F.lit(1), F.size(grams) - GRAM + 1), lambda i: F.array_join(F.slice(grams, i, GRAM), " "))).otherwise(F.array().cast("array<string>"))
     around = F.concat(F.lit(" "), comparable(own), F.lit(" "))
+    windows = lambda g: F.when(F.size(g) >= GRAM, F.transform(F.sequence(F.lit(1), F.size(g) - GRAM + 1), lambda i: F.array_join(F.slice(g, i, GRAM), " "))).otherwise(F.array().cast("array<string>"))
+    repeated = let(F.struct(grams.alias("g"), around.alias("a")), lambda x: F.exists(windows(x["g"]), lambda w: F.contains(x["a"], F.concat(F.lit(" "), w, F.lit(" ")))))
+    shown_words = let(F.struct(long_words.alias("w"), seen.alias("s")), lambda x: F.size(F.filter(x["w"], lambda w: F.contains(x["s"], w))))
     no_dollars = r"(?<!\$\d[\s\S]{0,28})"
     capital = lambda a, b: F.coalesce(t[a].rlike("^[A-Z]") & t[b].rlike("^[A-Z]") & ~t[a].rlike(r"\s$"), F.lit(False))
     pair = [low.contains(a) & seen.contains(b) for a, b in CONTRADICTIONS]
@@ -78,11 +85,11 @@ def facts(scenes: DataFrame) -> DataFrame:
     one = scenes.select(
         "content", "id", "visual_type", "media", "texts", vo.alias("vo"), low.alias("low"), seen.alias("seen"),
         F.size(split_words(vo)).alias("n_words"), F.size(F.filter(sentences, lambda x: F.size(split_words(x)) > BREATH)).alias("long_breaths"), (vo.rlike(DASHES) | own.rlike(DASHES)).alias("dashes"),
-        sum((low.contains(w).cast("int") for w in BLACKLIST), F.lit(0)).alias("blacklisted"), F.size(long_words).alias("hook_words"), F.size(F.filter(long_words, lambda w: F.contains(seen, w))).alias("hook_shown"),
+        sum((low.contains(w).cast("int") for w in BLACKLIST), F.lit(0)).alias("blacklisted"), F.size(long_words).alias("hook_words"), shown_words.alias("hook_shown"),
         F.array_join(F.slice(F.split(low, r"\s+"), 1, 3), " ").alias("opening"), *[(low.contains(k) | seen.contains(k)).alias(f"has_{k}") for k in KEYWORDS], found(vo, SOURCE).alias("sourced"), F.concat(vo, own).rlike(r"\d").alias("data"),
         found(vo, CLICKBAIT).alias("clickbait"), (found(vo, r"\bsources say\b") & ~found(vo, NAMED_SOURCE)).alias("unverified"), found(F.concat_ws(" ", vo, own, "visual_type", "media"), WATERMARK).alias("watermark"),
         F.when(vo != "", F.size(F.split(vo, r"\s+"))).alias("length"), (F.regexp_count(vo, F.lit(f"(?i){CALLS}")) >= STACK).alias("stacked"), *[found(vo, g).alias(f"goal_{i}") for i, g in enumerate(GOALS)],
-        sum((p.cast("int") for p in pair), F.lit(0)).alias("contradicted"), seen.rlike(r"\bvs\b").alias("compares"), F.exists(windows, lambda w: F.contains(around, F.concat(F.lit(" "), w, F.lit(" ")))).alias("repeats"),
+        sum((p.cast("int") for p in pair), F.lit(0)).alias("contradicted"), seen.rlike(r"\bvs\b").alias("compares"), repeated.alias("repeats"),
         F.concat(vo, F.lit(" "), own).rlike(rf"(?i){no_dollars}¥[\d,.]+|{no_dollars}\d[\d,.]*\s*(?:billion|million|thousand)\s*yuan").alias("yuan"), (capital("title", "titleHighlight") | capital("line1", "line2")).alias("run_on"),
     )
     any_of, count_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False)), lambda c: F.count_if(F.col(c))
