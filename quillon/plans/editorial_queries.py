@@ -287,8 +287,11 @@ def _(s, d):
 
     table(s, d, "embeddings").createOrReplaceTempView("embedding_index")
     vector.register(s, "embedding_index")
-    one = lambda kind: f"SELECT CAST({kind} AS INT) AS kind, m.* FROM embedding_index q, LATERAL match_content(CAST(q.embedding AS ARRAY<DOUBLE>), {kind}, 0.01D, 8) m WHERE q.vec_id = 7"
-    return s.sql(f"{one(3)} UNION ALL {one('CAST(NULL AS INT)')}")
+    # the one vector goes in as a parameter: laterally, the function would be held for every distinct vector of the index before the filter of the outer rows
+    probe = [r.v for r in s.sql("SELECT CAST(embedding AS ARRAY<DOUBLE>) AS v FROM embedding_index WHERE vec_id = 7 LIMIT 1").collect()]
+    vec = F.array(*map(F.lit, probe[0])) if probe and probe[0] else F.lit(None).cast("array<double>")
+    one = lambda kind: f"SELECT CAST({kind} AS INT) AS kind, * FROM match_content(:vec, {kind}, 0.01D, 8)"
+    return s.sql(f"{one(3)} UNION ALL {one('CAST(NULL AS INT)')}", args={"vec": vec})
 
 
 @query("sql_has_role", "SELECT DISTINCT user_id, EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 95) AS admin FROM events e")
