@@ -24,6 +24,14 @@ def band_counts(rows: DataFrame, keys: list[str], bands: dict[str, Column]) -> D
     return rows.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in bands.items()])
 
 
+def ordered_averages(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, average) of each group's values, added up as doubles in the order given, so that neither partitions nor tasks change the last digit. A
+    window reads a group row by row, whatever its size; null values count for nothing."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select(*keys, order, value, F.sum(F.col(value).cast("double")).over(w).alias("_sum"))
+    return run.groupBy(*keys).agg((F.max_by(F.struct("_sum"), F.struct(order))["_sum"] / F.nullif(F.count(value), F.lit(0))).alias("average"))
+
+
 def min_max(rows: DataFrame, key: str, value: str) -> DataFrame:
     """value scaled to 0..1 over all rows; one value: 0. The range is one row, sent to every task."""
     span = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

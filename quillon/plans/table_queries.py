@@ -80,8 +80,9 @@ DAILY = "(SELECT user_id, CAST(ts AS DATE) AS day, CAST(floor(avg(value)) AS BIG
 
 
 def _daily(s, d):
-    e = table(s, d, "events").where("event_type <> 'error'")
-    return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.floor(F.avg("value")).cast("long").alias("position"))
+    # added up in the order of events, as a scan of the table does: another order can put an average at a whole number on its other side
+    e = table(s, d, "events").where("event_type <> 'error'").select("user_id", F.to_date("ts").alias("day"), "event_id", "value")
+    return analytics.ordered_averages(e, ["user_id", "day"], "event_id", "value").select("user_id", "day", F.floor("average").cast("long").alias("position"))
 
 
 LATEST = f"(SELECT * FROM (SELECT user_id, day, position, lead(position) OVER w AS previous_position, row_number() OVER w AS rn FROM {DAILY} WINDOW w AS (PARTITION BY user_id ORDER BY day DESC)) WHERE rn = 1)"

@@ -32,3 +32,28 @@ def test_match_content_meets_one_vector_alone(spark):
     df = QUERIES["sql_match_content"](spark, SF)
     assert "Join" not in plan(df)  # laterally: every distinct vector of the index against every row
     assert df.count()
+
+
+def _awkward() -> tuple[float, float, float]:
+    """Three values whose average in their order and in reverse lie on two sides of a whole number."""
+    for a in range(1, 400):
+        for b in range(1, 400):
+            c = 900 - a - b
+            if c > 0:
+                v = a / 100, b / 100, c / 100
+                if math.floor((v[0] + v[1] + v[2]) / 3) != math.floor((v[2] + v[1] + v[0]) / 3):
+                    return v
+    raise AssertionError
+
+
+@pytest.mark.parametrize("name", ["asof_prior", "rank_history30", "rank_latest_prev"])
+def test_daily_averages_are_added_up_in_the_order_of_events(spark, tmp_path, name):
+    v = _awkward()
+    at = datetime(2024, 1, 5)
+    rows = [(2 - i, at, 1, "view", x) for i, x in enumerate(reversed(v))] + [(3, at, 2, "view", None)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1)
+    got = {r.user_id: r for r in QUERIES[name](spark, tables(tmp_path, events=events)).collect()}
+    want = math.floor((v[0] + v[1] + v[2]) / 3)
+    col = {"asof_prior": "prior_position", "rank_history30": "history", "rank_latest_prev": "position"}[name]
+    assert str(got[1][col]) == str(want)
+    assert got[2][col] in (None, "")
