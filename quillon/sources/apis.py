@@ -318,10 +318,10 @@ def pointer_files(files: DataFrame, extensions: DataFrame) -> DataFrame:
     return staged.where(~F.col("content").startswith("version https://git-lfs")).drop("ext")
 
 
-def cached_answers(entries: DataFrame, wanted: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+def cached_answers(entries: DataFrame, wanted: DataFrame, now: Column, hours: int = 24, then: list[str] | None = None) -> DataFrame:
     """wanted (source, keyword) with the results of the cache's entry (source, keyword, timestamp, results) of the same names, whatever their case and
-    blanks around them, that is younger than so many hours and isn't empty."""
+    blanks around them, that is younger than so many hours and isn't empty; of several the latest, of equal times the one with the greatest ``then``."""
     name = lambda c: F.lower(F.btrim(c))
     young = entries.where((F.unix_micros(now) - F.unix_micros("timestamp") < hours * 3_600_000_000) & (F.size("results") > 0))
-    side = young.groupBy(name("source").alias("_s"), name("keyword").alias("_k")).agg(F.max_by("results", "timestamp").alias("results"))
+    side = young.groupBy(name("source").alias("_s"), name("keyword").alias("_k")).agg(F.max_by("results", F.struct("timestamp", *(then or []))).alias("results"))
     return wanted.join(side, (name(F.col("source")) == F.col("_s")) & (name(F.col("keyword")) == F.col("_k"))).drop("_s", "_k")

@@ -57,3 +57,11 @@ def test_daily_averages_are_added_up_in_the_order_of_events(spark, tmp_path, nam
     col = {"asof_prior": "prior_position", "rank_history30": "history", "rank_latest_prev": "position"}[name]
     assert str(got[1][col]) == str(want)
     assert got[2][col] in (None, "")
+
+
+def test_cache_lookup_keeps_the_age_of_large_keys(spark, tmp_path):
+    days = [(4_310_136, datetime(1997, 12, 2)), (9, datetime(1997, 12, 3)), (12, datetime(1997, 12, 3)), (8_000_001, datetime(1997, 12, 2))]
+    orders = spark.createDataFrame([(k, 1 if k < 8_000_000 else 2, t) for k, t in days], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp")
+    customer = spark.createDataFrame([(1,), (2,)], "c_custkey bigint")
+    got = QUERIES["cache_lookup"](spark, tables(tmp_path, orders=orders, customer=customer)).collect()
+    assert [tuple(r) for r in got] == [(1, 12)]  # 30 days old is too old, whatever the key
