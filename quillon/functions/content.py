@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import snake_case, xml_escape
+from quillon.functions.text import bound, snake_case, xml_escape
 
 BLANK = " \t\n\x0b\f\r"
 IDEOGRAPHS = r"\x{4e00}-\x{9fff}\x{3040}-\x{30ff}"
@@ -226,20 +226,26 @@ DOLLARS = 0.14
 
 def _noted(text: Column, pattern: str) -> Column:
     """Dollars before each yuan amount (groups: number, magnitude) that has none within 30 characters before it."""
-    found = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 0)
-    rest = F.split(text, f"(?i){pattern}")
-    before = F.transform(rest, lambda _, i: F.array_join(F.flatten(F.zip_with(F.slice(rest, F.lit(1), i + 1), F.slice(found, F.lit(1), i), lambda a, b: F.array(a, b))), "", ""))
 
-    def note(m: Column, i: Column) -> Column:
+    def before(found: Column, rest: Column, i: Column) -> Column:
+        """What stands before the i-th amount, of as many pieces as 30 characters can have: an amount has two at least."""
+        at = F.greatest(i - 16, F.lit(0))
+        return F.array_join(F.flatten(F.zip_with(F.slice(rest, at + 1, i + 1 - at), F.slice(found, at + 1, i - at), lambda a, b: F.array(a, b))), "", "")
+
+    def note(m: Column, before: Column) -> Column:
         n = F.coalesce(F.regexp_extract(F.replace(F.regexp_extract(m, f"(?i){pattern}", 1), F.lit(",")), r"^(\d*\.?\d+|\d+)", 1).try_cast("double"), F.lit(0.0)) * DOLLARS
         unit = F.lower(F.regexp_extract(m, f"(?i){pattern}", 2))
         scale = F.when(unit == "b", 1e9).when(unit == "m", 1e6).when(unit == "k", 1e3).otherwise(1.0)
         word = F.when(unit.isin("billion", "million", "thousand"), F.concat(F.lit(" "), unit)).otherwise("")
         dollars = F.concat(F.lit("$"), F.floor(n * scale + 0.5).cast("string"), word)
-        return F.when(F.right(F.get(before, i), F.lit(30)).rlike(r"\$\d"), m).otherwise(F.concat(dollars, F.lit(" ("), m, F.lit(")")))
+        return F.when(F.right(before, F.lit(30)).rlike(r"\$\d"), m).otherwise(F.concat(dollars, F.lit(" ("), m, F.lit(")")))
+
+    def all_noted(text: Column, found: Column, rest: Column) -> Column:
+        noted = F.transform(found, lambda m, i: note(m, before(found, rest, i)))
+        return F.when(F.size(found) > 0, F.array_join(F.flatten(F.zip_with(rest, noted, lambda a, b: F.array(a, b))), "", "")).otherwise(text)
 
-    noted = F.transform(found, note)
-    return F.when(F.size(found) > 0, F.array_join(F.flatten(F.zip_with(rest, noted, lambda a, b: F.array(a, b))), "", "")).otherwise(text)
+    amounts = F.lit(f"(?i){pattern}")
+    return bound(text, lambda t: bound(F.regexp_extract_all(t, amounts, 0), lambda found: bound(F.split(t, f"(?i){pattern}"), lambda rest: all_noted(t, found, rest))))
 
 
 def currency_notes(text: Column) -> Column:
