@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import bound
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -237,9 +239,12 @@ def probe(payload: Column) -> Column:
     """Duration, frame rate, size, sound and rotation of a media file from its prober's JSON; null without a video stream or a duration."""
     stream = "codec_type: string, r_frame_rate: string, width: int, height: int, tags: struct<rotate: string>, side_data_list: array<struct<rotation: double>>"
     whole = F.from_json(payload, f"streams array<struct<{stream}>>, format struct<duration: string>")
-    video = F.get(F.filter(whole["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    first = lambda w: F.get(F.filter(w["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    return bound(whole, lambda w: bound(first(w), lambda video: bound(F.split(video["r_frame_rate"], "/"), lambda rate: _probed(w, video, rate))))
+
+
+def _probed(whole: Column, video: Column, rate: Column) -> Column:
     seconds = F.regexp_extract(whole["format"]["duration"], r"^\s*([+-]?\d*\.?\d+)", 1).try_cast("double")
-    rate = F.split(video["r_frame_rate"], "/")
     one, two = F.get(rate, F.lit(0)).try_cast("double"), F.get(rate, F.lit(1)).try_cast("double")
     fps = F.coalesce(F.when(F.size(rate) == 1, one).when((F.size(rate) == 2) & (two != 0), one / two), F.lit(0.0))
     turned = F.get(F.filter(F.transform(video["side_data_list"], lambda s: s["rotation"]), lambda r: r.isNotNull()), F.lit(0))
