@@ -66,6 +66,9 @@ def final_gate(videos: DataFrame, keys: list[str], meta: Column, probe: Column,
     meta: its record as a variant; probe: a struct (width, height, fps, duration_ms), null for an unreadable file; subtitled: whether all scenes but the
     last have subtitles, hook_subtitled whether the first has. One pass over the videos, whatever the number of checks.
     """
+    # read once a video, not once a check
+    videos = videos.select(*keys, meta.alias("_meta"), probe.alias("_probe"), subtitled.alias("_subtitled"), hook_subtitled.alias("_hook"))
+    meta, probe, subtitled, hook_subtitled = (F.col(c) for c in ("_meta", "_probe", "_subtitled", "_hook"))
     field = lambda f: F.try_variant_get(meta, f"$.{f}", "variant")
     raw = lambda f: F.coalesce(F.try_variant_get(meta, f"$.{f}", "string"), F.lit("")) != ""
     there = lambda f: field(f).isNotNull() & F.coalesce(~F.is_variant_null(field(f)), F.lit(False)) & ~F.coalesce(F.try_variant_get(meta, f"$.{f}", "string").isin("", "0", "false"), F.lit(False))
@@ -85,7 +88,7 @@ def final_gate(videos: DataFrame, keys: list[str], meta: Column, probe: Column,
         made += [row(read, seconds <= SHORT, ("Duration", "error"), "YouTube Shorts duration (≤180s)")]
     made += [row(read, subtitled, ("Subtitles", "error"), "All scenes have subtitle timing"), row(read, hook_subtitled, ("Subtitles", "error"), "Scene 1 (hook) has subtitles")]
     made += [row(read, F.lit(False), ("Publish", "manual"), c) for c in BY_HAND]
-    return videos.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("f")).select(*keys, "f.*")
+    return videos.select(*keys, F.explode(F.array(*made)).alias("f")).where("f IS NOT NULL").select(*keys, "f.*")
 
 
 def term_pairs(rows: DataFrame, keys: list[str], text: str, pairs: list[tuple[str, str]]) -> DataFrame:
