@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.text import bound
+
 #: Version, choices, and the documents' fields with their types; required ones first.
 VERSION = "1.0.0"
 STATUSES = ["verified", "context", "analysis", "conflicted", "rejected", "stale"]
@@ -44,6 +46,11 @@ CLAIM_FIELDS = ["claimId", "evidenceId", "type", "text", "articleSection", "risk
 MEDIA_TYPES, PRESETS, MODES, FITS, FOCUSES = ["image", "video"], ["fade", "ken-burns", "slide", "zoom", "none"], ["background", "fullscreen"], ["cover", "contain"], ["top", "center", "bottom"]
 
 
+def _first(base: Column, more: Column) -> Column:
+    """A document's own errors; where it has none, those of its items."""
+    return bound(base, lambda b: F.when(F.size(b) > 0, b).otherwise(more))
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -132,16 +139,24 @@ def _or_plain(sound: Column, p: Column, found: Column) -> Column:
 
 def discovery_errors(doc: Column) -> Column:
     """Of a pool of candidate sources: each has an address or a title, failed ones a name and a reason, and their number is right."""
+    return bound(doc, _discovery_errors)
+
+
+def _discovery_errors(doc: Column) -> Column:
     base = object_errors(doc, DISCOVERY)
     sources = each_item(doc, "sources", lambda x, p: _or_plain(_loose(x), p, messages((~truthy(at(x, "url")) & ~truthy(at(x, "title")), say(p, " must have at least a url or title")))))
     failed = each_item(doc, "failedSources", lambda x, p: _or_plain(_loose(x), p, messages(*[(~filled(at(x, f)), say(p, f".{f} must be a non-empty string")) for f in ("name", "reason")])))
     n, own = F.try_variant_get(doc, "$.sourceCount", "double"), F.size(F.try_variant_get(doc, "$.sources", "array<variant>"))
     count = messages((n != own, say("sourceCount (", text(at(doc, "sourceCount")), ") does not match sources.length (", own.cast("string"), ")")))
-    return F.when(F.size(base) > 0, base).otherwise(F.concat(sources, failed, count))
+    return _first(base, F.concat(sources, failed, count))
 
 
 def brief_errors(doc: Column) -> Column:
     """Of a research brief: its claims have ids, questions and known risks."""
+    return bound(doc, _brief_errors)
+
+
+def _brief_errors(doc: Column) -> Column:
     base = object_errors(doc, BRIEF)
 
     def claim(x: Column, p: Column) -> Column:
@@ -149,11 +164,15 @@ def brief_errors(doc: Column) -> Column:
         wrong = truthy(risk) & ~text(risk).isin(*RISKS)
         return _or_plain(_loose(x), p, messages((~filled(at(x, "claimId")), say(p, ".claimId must be a non-empty string")), (~filled(at(x, "question")), say(p, ".question must be a non-empty string")), (wrong, say(p, f".riskLevel must be one of [{', '.join(RISKS)}], got \"", text(risk), '"'))))
 
-    return F.when(F.size(base) > 0, base).otherwise(each_item(doc, "claimsToVerify", claim))
+    return _first(base, each_item(doc, "claimsToVerify", claim))
 
 
 def evidence_errors(doc: Column) -> Column:
     """Of an evidence pack: items have their fields, nested ones theirs, and known kinds and states. What isn't an object is told twice, by either pass."""
+    return bound(doc, _evidence_errors)
+
+
+def _evidence_errors(doc: Column) -> Column:
     base = object_errors(doc, EVIDENCE_PACK)
 
     def item(x: Column, p: Column) -> Column:
@@ -173,11 +192,15 @@ def evidence_errors(doc: Column) -> Column:
             (truthy(of) & ~text(of).isin(*SOURCE_TYPES), say(p, f".sourceType must be one of [{', '.join(SOURCE_TYPES)}], got \"", text(of), '"')),
         ))
 
-    return F.when(F.size(base) > 0, base).otherwise(F.concat(each_item(doc, "evidence", item), each_item(doc, "evidence", choices)))
+    return _first(base, F.concat(each_item(doc, "evidence", item), each_item(doc, "evidence", choices)))
 
 
 def claim_map_errors(doc: Column) -> Column:
     """Of an article's claims: their fields are texts and known ones, and a fact names its evidence."""
+    return bound(doc, _claim_map_errors)
+
+
+def _claim_map_errors(doc: Column) -> Column:
     base = object_errors(doc, CLAIM_MAP)
 
     def item(x: Column, p: Column) -> Column:
@@ -191,7 +214,7 @@ def claim_map_errors(doc: Column) -> Column:
         return _or_plain(_strict(x), p, messages(*checks))
 
     fact = lambda x, p: messages((_loose(x) & (text(at(x, "type")) == "fact") & ~filled(at(x, "evidenceId")), say(p, ".evidenceId must be a non-empty string for fact-type claims")))
-    return F.when(F.size(base) > 0, base).otherwise(F.concat(each_item(doc, "claims", item), each_item(doc, "claims", fact)))
+    return _first(base, F.concat(each_item(doc, "claims", item), each_item(doc, "claims", fact)))
 
 
 def media_errors(media: Column, exists: Column) -> Column:

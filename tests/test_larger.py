@@ -65,3 +65,17 @@ def test_cache_lookup_keeps_the_age_of_large_keys(spark, tmp_path):
     customer = spark.createDataFrame([(1,), (2,)], "c_custkey bigint")
     got = QUERIES["cache_lookup"](spark, tables(tmp_path, orders=orders, customer=customer)).collect()
     assert [tuple(r) for r in got] == [(1, 12)]  # 30 days old is too old, whatever the key
+
+
+def whole_plan(spark, df) -> str:
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        return plan(df)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+@pytest.mark.parametrize(("name", "step"), [("currency_notes", "regexp_extract_all"), ("media_probe", "from_json"), ("final_gate", "parsejson"), ("model_answers", "regexp_replace(text"), ("brief_errors", "parsejson")])
+def test_a_row_is_parsed_once(spark, name, step):
+    text = whole_plan(spark, QUERIES[name](spark, SF)).lower()
+    assert text.count(step) <= 6, text.count(step)  # once for each form of the row
