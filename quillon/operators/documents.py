@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.dictionary import find_terms
+from quillon.operators.dictionary import terms_found
 from quillon.operators.rules import Rule, findings
 from quillon.operators.scratch import kept
 
@@ -67,10 +67,9 @@ def lint(docs: DataFrame, name: str, content: str, level_col: str, index_lines:
 
     Each file but passing ones (LEFT_OUT) stands in a line (line) of the index; one at the top that refers to a ``deeper`` folder has a section of
     design decisions; one below has fewer than MOST_COMMANDS lines with a command. The names are looked for in the index's lines by
-    one automaton, whatever their number.
+    automata of bounded size, whatever their number.
     """
-    named = docs.select(F.col(name).alias("term"), F.col(name).alias("number")).distinct()
-    listed = find_terms(index_lines.select("line"), "line", named, fold=False).select(F.explode("found").alias(name)).distinct().withColumn("_listed", F.lit(True))
+    listed = terms_found(index_lines, "line", docs.where(F.col(name).isNotNull()), name).select(F.col("term").alias(name), F.lit(True).alias("_listed"))
     text = F.coalesce(content, F.lit(""))
     apart = F.col(name).rlike(LEFT_OUT)
     refers = reduce(lambda a, b: a | b, [text.contains(d) for d in deeper], F.lit(False))

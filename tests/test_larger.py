@@ -79,3 +79,33 @@ def whole_plan(spark, df) -> str:
 def test_a_row_is_parsed_once(spark, name, step):
     text = whole_plan(spark, QUERIES[name](spark, SF)).lower()
     assert text.count(step) <= 6, text.count(step)  # once for each form of the row
+
+
+def test_lint_holds_one_automaton_a_task(spark, monkeypatch):
+    from quillon.operators import dictionary, documents
+
+    monkeypatch.setattr(dictionary, "PART", 7)
+    docs = spark.createDataFrame([(f"d{i}.md", "", 2) for i in range(60)] + [(None, "", 2)], "name string, content string, level int")
+    lines = spark.createDataFrame([(f"- see d{i}.md and d{i + 1}.md",) for i in range(0, 50, 5)] + [(None,)], "line string")
+    found = documents.lint(docs, "name", "content", "level", lines, ("x/",))
+    named = {f"d{i + j}.md" for i in range(0, 50, 5) for j in (0, 1)}
+    assert {r.name for r in found.collect() if r.name} == {f"d{i}.md" for i in range(60)} - {n for n in named}
+    chains = [node for node in plan(found).split("Union")[1:]]
+    assert chains  # a part's scan beside another's, not on top of it
+
+
+def test_search_multiplies_a_slice_of_a_part_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from quillon.operators import vector_index
+    from quillon.operators.vector import ROWS, Best, unit_rows
+
+    rng = np.random.default_rng(1)
+    v, q = unit_rows(rng.normal(size=(5 * ROWS + 3, 4))), unit_rows(rng.normal(size=(9, 4)))
+    whole, cut = Best(q, 6), Best(q, 6)
+    ids = pa.array(range(len(v)))
+    whole.offer(v, ids)
+    for lo in range(0, len(v), ROWS):
+        cut.offer(v[lo : lo + ROWS], ids.slice(lo, ROWS))
+    assert all(np.array_equal(a, b) if isinstance(a, np.ndarray) else a.equals(b) for a, b in zip(whole.found(), cut.found(), strict=True))
+    assert vector_index.ROWS == ROWS  # before: a whole part at once
