@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators.scratch import folder, kept
-from quillon.operators.vector import Best, as_matrix, unit_rows
+from quillon.operators.vector import ROWS, Best, as_matrix, unit_rows
 
 #: Rows for each centroid that the fit sees, and rows of a part of a list; queries that meet a part at once.
 SAMPLE_PER_LIST, PART_ROWS, QUERY_BLOCK = 64, 16_384, 2048
@@ -107,7 +107,8 @@ class VectorIndex:
             names, asks = a["id"].combine_chunks(), b["query_id"].combine_chunks()
             kept_ = Best(unit_rows(as_matrix(b["q"], width)), k)
             own = pc.fill_null(pc.index_in(names.cast(asks.type), value_set=asks), -1).to_numpy(zero_copy_only=False) if others else None
-            kept_.offer(unit_rows(as_matrix(a["v"], width)), names, own, threshold)
+            for lo in range(0, a.num_rows, ROWS):  # similarities of ROWS rows at once, however large the part
+                kept_.offer(unit_rows(as_matrix(a["v"].slice(lo, ROWS), width)), names.slice(lo, ROWS), None if own is None else own[lo : lo + ROWS], threshold)
             at, ids, sims = kept_.found()
             return pa.table([asks.take(pa.array(at)), ids if ids is not None else names.slice(0, 0), pa.array(sims)], names=["query_id", "id", "similarity"])
 
