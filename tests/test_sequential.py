@@ -111,6 +111,30 @@ def test_near_dup_greedy_merges_equal_titles_of_all_hosts(spark):
     assert sorted((r.title, r.sources, r.urls) for r in QUERIES["near_dup_greedy"](spark, sf).collect()) == want
 
 
+def test_titles_that_share_one_rare_token_are_not_compared(spark, monkeypatch):
+    import random
+
+    rng, met = random.Random(8), []
+    one = lambda: [f"c{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in rng.sample(range(300), 12)]
+    texts = [" ".join([*one(), "rare"]) for _ in range(60)] + [" ".join(one()[:3]) for _ in range(30)]
+    texts += [" ".join(rng.sample(t.split(), 12)) for t in texts[:20]] + [t.upper() + " 7a 8" for t in texts[:20]] + ["", "!!", None, "rare"]
+    made = trends.candidates
+    monkeypatch.setattr(trends, "candidates", lambda *x: met.append(made(*x)) or met[-1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.a, r.b): (r.jaccard, r.containment) for r in trends.similar_titles(rows, "id", "text").collect()}
+    classes: dict = {}
+    for i, t in enumerate(texts):
+        classes.setdefault(frozenset(trends._tokens(t or "")), i)
+    sets, want = {i: t for t, i in classes.items() if t}, {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            j, c = len(x & y) / len(x | y), len(x & y) / min(len(x), len(y))
+            if a < b and (j >= 0.8 or c >= 0.9):
+                want[a, b] = (round(j, 6), round(c, 6))
+    assert got == want and len(want) > 100
+    assert met[0].count() < len(want) + 200  # 60 sets and those made of them share the token: over 4,000 pairs
+
+
 def test_cue_grouping_covers_every_turn(spark):
     from quillon.plans.registry import QUERIES
 
