@@ -100,6 +100,21 @@ def test_topics_merge_across_sources_as_one_ordered_list_would(spark):
     assert sorted((r.title, r.sources, r.urls, r.category) for r in got.collect()) == want
 
 
+def test_many_similar_titles_merge_by_their_pairs_alone():
+    import random
+    import time
+
+    # 60,000 articles of 3,000 titles that share their tokens with one another but are alike in pairs only
+    rng, n = random.Random(5), 3000
+    titles = [f"t{i // 2} " + " ".join(f"w{j}" for j in rng.sample(range(40), 12)) + " x" * (i % 2) for i in range(n)]
+    pdf = pd.DataFrame({"title": titles, "k": [float(i) for i in range(n)], "ordinals": [list(range(i, 20 * n, n)) for i in range(n)]})
+    t = time.time()
+    got = trends.ordered_merge(pdf, pd.DataFrame({"a": range(0, n, 2), "b": range(1, n, 2)}))
+    assert time.time() - t < 20
+    assert sorted(set(got.topic)) == list(range(0, n, 2)) and all(r.topic == r.ordinal % n // 2 * 2 for r in got.itertuples())
+    assert all(r.title == titles[r.topic + (len(titles[r.topic + 1]) > len(titles[r.topic]))] for r in got.itertuples() if r.ordinal == r.topic)
+
+
 def test_near_dup_greedy_merges_equal_titles_of_all_hosts(spark):
     from quillon.plans.registry import QUERIES
     from quillon.plans.text_queries import X, url_host
