@@ -54,9 +54,8 @@ SELECT d.doc_id, 0 AS i, d.lang AS title, CASE WHEN d.doc_id % 2 = 0 THEN 'https
 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM u GROUP BY doc_id) USING (doc_id)""")
 def _(s, d):
     docs = table(s, d, "documents")
-    word = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")).alias("at", "w"))
-    index = word.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("at")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("places"))
-    rows, places = docs.join(index, "doc_id", "left"), F.coalesce("places", F.create_map().cast("map<string, array<int>>"))
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
+    rows, places = docs.withColumn("places", apis.inverted_index(words)), F.coalesce("places", F.create_map().cast("map<string, array<int>>"))
     work = _obj(title=F.lit(None).cast("string"), display_name=F.col("lang"), doi=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://doi.org/"), "doc_id")), id=F.concat(F.lit("https://w.org/"), "doc_id"), publication_date=F.lit("2024-01-02"), abstract_inverted_index=places)
     return apis.works(rows.withColumn("p", _json(results=F.array(work))), ["doc_id"], "p")
 

@@ -52,10 +52,23 @@ def repositories(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
     return items.select(*keys, "i", given(x["full_name"], x["name"]).alias("title"), given(x["html_url"]).alias("url"), F.left(given(x["description"]), F.lit(200)).alias("snippet"))
 
 
+def inverted_index(words: Column) -> Column:
+    """A map of each word to its places in the array, as such services give abstracts: sorted by word and place, cut where another word begins."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def cut(s: Column) -> Column:
+        begins = lambda e, i: (i == 0) | (F.get(s, i - 1)["w"] != e["w"])
+        firsts = F.filter(F.transform(s, lambda e, i: F.when(begins(e, i), i)), lambda i: i.isNotNull())
+        spans = lambda at, places: F.transform(at, lambda i, k: F.slice(places, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i))
+        return bound(s["i"], lambda places: bound(firsts, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)["w"]), spans(at, places))))
+
+    return bound(placed, cut)
+
+
 def inverted_abstract(index: Column) -> Column:
     """The words of an inverted index in the order of their first places (a word that comes again stands once)."""
     firsts = F.transform(F.map_entries(index), lambda e: F.struct(F.coalesce(F.get(e["value"], F.lit(0)), F.lit(0)).alias("at"), e["key"].alias("word")))
-    return F.coalesce(F.array_join(F.transform(F.array_sort(firsts), lambda e: e["word"]), " "), F.lit(""))
+    return F.coalesce(F.array_join(F.sort_array(firsts)["word"], " "), F.lit(""))
 
 
 def works(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:

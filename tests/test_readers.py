@@ -58,3 +58,14 @@ def test_functions_at_their_edges(spark):
             one(spark, C.topics(lit(bad)))
     with pytest.raises(Exception, match="dimensions"):
         one(spark, C.sized(F.array(lit(1.0).cast("float")), 2))
+
+
+def test_works_are_indexed_within_their_rows(spark):
+    from quillon.plans.registry import QUERIES
+    from quillon.sources.apis import inverted_index
+
+    rows = spark.createDataFrame([(1, "b a b c a b".split()), (2, []), (3, None), (4, ["x"])], "id long, w array<string>")
+    got = {r.id: r.m for r in rows.select("id", inverted_index(F.col("w")).alias("m")).collect()}
+    assert got == {1: {"a": [1, 4], "b": [0, 2, 5], "c": [3]}, 2: {}, 3: None, 4: {"x": [0]}}
+    plan = QUERIES["source_works"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # words are not shuffled
