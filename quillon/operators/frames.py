@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ class Layout:
 
 #: Brighter counts as bright, darker as black; shares that are too much and too little; every how many pixels one is looked at.
 BRIGHT, BLACK, MOST, LEAST, STEP = 80, 5, 0.05, 0.01, 8
+#: Bytes of bands of one shape that are looked at together.
+TOGETHER = 4 << 20
 TILES = "frame string, width int, height int, y int, data binary"
 
 
@@ -76,23 +79,25 @@ def regions(width: int, height: int, at: Layout, step: int) -> dict[str, tuple[R
     }
 
 
-def count_marked(marked: np.ndarray, y: int, region: Rect, exempt: list[Rect], step: int) -> tuple[int, int]:
-    """(marked, all) of a region's pixels at every ``step`` from its corner on, outside the exempt ones, in a band that begins at row y."""
-    high, wide = marked.shape
+def count_marked(marked: np.ndarray, y: int, region: Rect, exempt: list[Rect], step: int) -> tuple[np.ndarray, int]:
+    """(marked, all) of a region's pixels at every ``step`` from its corner on, outside the exempt ones, in each of some bands [band, row, column]
+    that begin at row y."""
+    n, high, wide = marked.shape
     x0, x1, y0, y1 = region
     x1, y1 = min(x1, wide), min(y1, y + high)
     first = y0 + max(0, -(-(y - y0) // step)) * step  # the region's first row in this band
     if x0 >= x1 or first >= y1:
-        return 0, 0
-    part = marked[first - y : y1 - y : step, x0:x1:step]
-    table = np.zeros((part.shape[0] + 1, part.shape[1] + 1), np.int64)
-    table[1:, 1:] = part.cumsum(0, dtype=np.int64).cumsum(1)
+        return np.zeros(n, np.int64), 0
+    part = marked[:, first - y : y1 - y : step, x0:x1:step]
+    rows, columns = part.shape[1:]
+    table = np.zeros((n, rows + 1, columns + 1), np.int64)
+    table[:, 1:, 1:] = part.cumsum(1, dtype=np.int64).cumsum(2)
     on_grid = lambda v, origin, most: min(max(-(-(v - origin) // step), 0), most)
-    found = total = 0
+    found, total = np.zeros(n, np.int64), 0
     for a, b, c, d in disjoint((x0, x1, first, y1), exempt):
-        i, j = on_grid(a, x0, part.shape[1]), on_grid(b, x0, part.shape[1])
-        k, m = on_grid(c, first, part.shape[0]), on_grid(d, first, part.shape[0])
-        found += int(table[m, j] - table[k, j] - table[m, i] + table[k, i])
+        i, j = on_grid(a, x0, columns), on_grid(b, x0, columns)
+        k, m = on_grid(c, first, rows), on_grid(d, first, rows)
+        found += table[:, m, j] - table[:, k, j] - table[:, m, i] + table[:, k, i]
         total += (j - i) * (m - k)
     return found, total
 
@@ -106,15 +111,30 @@ def luminance(data: np.ndarray) -> np.ndarray:
 def frame_counts(bands: DataFrame, at: Layout = Layout(), step: int = STEP) -> DataFrame:  # noqa: B008
     """(frame, check, found, total): black pixels of the whole frame, and bright ones of four regions."""
 
+    def counted(b: pa.RecordBatch, w: int, height: int, y: int, size: int, rows: list[int]):
+        """The checks of a batch's bands of one shape and place."""
+        data = b.column(4).take(pa.array(rows)).cast(pa.large_binary())
+        start = np.frombuffer(data.buffers()[1], np.int64)[data.offset]
+        pixels = np.frombuffer(data.buffers()[2], np.uint8, len(rows) * size, start) if size else np.zeros(0, np.uint8)
+        light = luminance(pixels.reshape(len(rows), -1, w, 4)) if w and size else np.zeros((len(rows), 0, 0))
+        wanted = regions(w, height, at, step)
+        got = [count_marked(light < BLACK if name == "black" else light > BRIGHT, y, *r) for name, r in wanted.items()]
+        frame = b.column(0).take(pa.array(np.tile(rows, len(got))))
+        check = pa.array(np.repeat(list(wanted), len(rows)), pa.string())
+        total = pa.array(np.repeat([g[1] for g in got], len(rows)), pa.int64())
+        return pa.RecordBatch.from_arrays([frame.cast(pa.string()), check, pa.array(np.concatenate([g[0] for g in got]), pa.int64()), total], ["frame", "check", "found", "total"])
+
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                frame, width, height, y, data = (b.column(k)[i] for k in range(5))
-                w = width.as_py()
-                light = luminance(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, w, 4)) if w else np.zeros((0, 0))
-                wanted = regions(w, height.as_py(), at, step)
-                got = [count_marked(light < BLACK if name == "black" else light > BRIGHT, y.as_py(), *r) for name, r in wanted.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([frame.as_py()] * len(got), pa.string()), pa.array(list(wanted)), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["frame", "check", "found", "total"])
+            width, height, y = (b.column(k).to_pylist() for k in (1, 2, 3))
+            sizes = pc.binary_length(b.column(4)).to_pylist()
+            alike: dict[tuple, list[int]] = {}
+            for i, shape in enumerate(zip(width, height, y, sizes, strict=True)):
+                alike.setdefault(shape, []).append(i)
+            for (*shape, size), rows in alike.items():
+                most = max(1, TOGETHER // max(size, 1))
+                for i in range(0, len(rows), most):
+                    yield counted(b, *shape, size, rows[i : i + most])
 
     each = bands.mapInArrow(run, "frame string, check string, found long, total long")
     return each.groupBy("frame", "check").agg(F.sum("found").alias("found"), F.sum("total").alias("total"))

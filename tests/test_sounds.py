@@ -143,3 +143,16 @@ def test_frames_are_counted_as_by_pixel(spark):
     assert level["white", "right"][1] == "1000/1000 bright pixels (100.0%)"
     with pytest.raises(Exception, match="has 3 bytes"):
         frames.tiles(spark.createDataFrame([("x", 1, 1, bytearray(3))], df.schema)).collect()
+
+
+def test_bands_of_one_shape_are_counted_together(spark, monkeypatch):
+    calls, one = [], frames.count_marked
+    monkeypatch.setattr(frames, "count_marked", lambda *x: calls.append(x[0].shape) or one(*x))
+    at = frames.Layout(top=3, right=2, bottom=4, left=1, rail=(1, 6), lane=6, exempt=(), glow=0)
+    rng = np.random.default_rng(3)
+    marked = rng.random((50, 8, 6)) < 0.5
+    for r in frames.regions(6, 8, at, 1).values():
+        found, total = frames.count_marked(marked, 0, *r)
+        want = [frames.count_marked(m[None], 0, *r) for m in marked]
+        assert found.tolist() == [int(f[0]) for f, _ in want] and all(t == total for _, t in want)
+    assert calls[0] == (50, 8, 6)
