@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.timeline import clip_frames, offsets
+from quillon.sources.audio import TOGETHER
 
 
 def best_lag(x: np.ndarray, needle: np.ndarray, core: int, h_len: int, h_sum: int) -> tuple[int, int]:
@@ -71,6 +73,20 @@ def clip_samples(seconds: Column, sample_rate: int, fps: int = 30) -> Column:
     return F.floor(clip_frames(seconds, fps) / fps * sample_rate + 0.5).cast("long")
 
 
+def filled(size: np.ndarray, held: pa.Array) -> pa.Array:
+    """Segments of so many samples with the pieces held (o: place, p: samples), silent between them."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    out = np.zeros(ends[-1], np.int16)
+    pieces = held.flatten()
+    rows = np.repeat(np.arange(len(held)), np.asarray(pc.fill_null(pc.list_value_length(held), 0)))
+    if len(pieces):
+        samples = pieces.field("p")
+        start, low, values = ends[rows] + pieces.field("o").to_numpy(), samples.offsets.to_numpy(), samples.values.to_numpy()
+        for at, i, j in zip(start.tolist(), low[:-1].tolist(), low[1:].tolist(), strict=True):
+            out[at : at + j - i] = values[i:j]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
+
+
 def track(parts: DataFrame, blocks: DataFrame, sample_rate: int, segment: int = 1 << 16, fps: int = 30) -> DataFrame:
     """(track, sample_rate, total, at, pcm): the parts (track, ordinal, path, seconds) one after another, each drawn out with silence to its clip's
     length, in segments of equal length but for the last. A part that is longer than its clip, has another sample rate or no readable sound fails the job."""
@@ -88,12 +104,21 @@ def track(parts: DataFrame, blocks: DataFrame, sample_rate: int, segment: int =
     placed = placed.select("track", (F.col("start") + F.col("at")).alias("from"), "pcm").withColumn("s", F.explode(F.sequence(first, last)))
     low, high = F.greatest(F.col("from"), F.col("s") * segment), F.least(F.col("from") + F.size("pcm"), (F.col("s") + 1) * segment)
     pieces = placed.select("track", "s", (low - F.col("s") * segment).alias("o"), F.slice("pcm", (low - F.col("from") + 1).cast("int"), (high - low).cast("int")).alias("p"))
-    held = pieces.groupBy("track", "s").agg(F.array_sort(F.collect_list(F.struct("o", "p"))).alias("held"))  # a segment's samples at most
+    held = pieces.groupBy("track", "s").agg(F.collect_list(F.struct("o", "p")).alias("held"))  # a segment's samples at most
     totals = checked.groupBy("track").agg(F.sum("target").alias("total"))
     spans = totals.select("track", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / segment))).alias("s"))
-    silence = lambda n: F.array_repeat(F.lit(0).cast("short"), n.cast("int"))
-    end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("held", i - 1)["o"] + F.size(F.get("held", i - 1)["p"]))
-    size = F.least(F.lit(segment), F.col("total") - F.col("s") * segment)
-    filled = F.flatten(F.transform("held", lambda h, i: F.concat(silence(h["o"] - end(i)), h["p"])))
-    pcm = F.when(F.col("held").isNull(), silence(size)).otherwise(F.concat(filled, silence(size - end(F.size("held")))))
-    return spans.join(held, ["track", "s"], "left").select("track", F.lit(sample_rate).alias("sample_rate"), "total", (F.col("s") * segment).alias("at"), pcm.alias("pcm"))
+    size = F.least(F.lit(segment).cast("long"), F.col("total") - F.col("s") * segment)
+
+    def fill(batches):
+        for b in batches:
+            ends, i = np.cumsum(b.column(3).to_numpy(zero_copy_only=False)), 0
+            while i < b.num_rows:  # some samples at a time, a segment at least
+                j = max(i + 1, int(np.searchsorted(ends, TOGETHER + (ends[i - 1] if i else 0), "right")))
+                part = b.slice(i, j - i)
+                size = part.column(3).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), filled(size, part.column(4))], ["track", "total", "at", "pcm"])
+                i = j
+
+    kind = parts.schema["track"].dataType.simpleString()
+    rows = spans.join(held, ["track", "s"], "left").select("track", "total", (F.col("s") * segment).alias("at"), size.alias("size"), "held")
+    return rows.mapInArrow(fill, f"track {kind}, total long, at long, pcm array<short>").select("track", F.lit(sample_rate).alias("sample_rate"), "total", "at", "pcm")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillon.operators import audio, frames
@@ -44,6 +46,16 @@ g AS (SELECT conv_id, p // {SEGMENT} AS s, sum(v) AS plain, sum(v * (p % {SEGMEN
 e AS (SELECT conv_id, total, unnest(range((total - 1) // {SEGMENT} + 1)) AS s FROM (SELECT DISTINCT conv_id, total FROM o))"""
 
 
+def weighted(pcm):
+    """The sum of the samples, each by its place from 1."""
+
+    @F.arrow_udf("long")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([int(np.dot(v, np.arange(1, len(v) + 1))) for v in (s.values.to_numpy().astype(np.int64) for s in x)], pa.int64())
+
+    return run(pcm)
+
+
 @query("track_segments", f"WITH {TRACKS} SELECT conv_id AS track, total, s * {SEGMENT} AS at, CAST(least({SEGMENT}, total - s * {SEGMENT}) AS INT) AS n, CAST(coalesce(plain, 0) AS BIGINT) AS plain, CAST(coalesce(placed, 0) AS BIGINT) AS placed FROM e LEFT JOIN g USING (conv_id, s)")
 def _(s, d):
     sounds = _turn_sounds(s, d)
@@ -53,7 +65,7 @@ def _(s, d):
     # written as files and read again
     files = made.select("track", "total", "at", wav_bytes(F.col("pcm"), F.lit(RATE)).alias("content")).withColumn("path", F.concat_ws("/", "track", "at"))
     back = wav_blocks(files.select("path", "content"), SEGMENT).select("path", "core", "core_sum", "pcm")
-    placed = F.aggregate(F.transform("pcm", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = weighted("pcm")
     return files.drop("content").join(back, "path").select("track", "total", "at", F.col("core").alias("n"), F.col("core_sum").alias("plain"), placed.alias("placed"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes before the first chunk and of the shortest header; the one format, width and number of channels that are read.
 FIRST_CHUNK, HEADER, PCM, BITS, CHANNELS = 12, 44, 1, 16, 1
+#: Samples that go to Spark at once, a block at least.
+TOGETHER = 1 << 20
 BLOCKS = "path string, error string, sample_rate int, total long, at long, core int, core_sum long, pcm array<short>"
 
 
@@ -53,27 +55,39 @@ def wav_blocks(files: DataFrame, block: int = 1 << 16, overlap: int = 0) -> Data
     """``BLOCKS`` of files (path, content): samples ``at`` to at + core, and up to ``overlap`` samples after them, in ``pcm``; core_sum adds up
     the core's. A sound without samples is one empty block; a file that can't be read is one row with the error alone."""
 
-    def run(batches):
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int16())]
-        names = ["path", "error", "sample_rate", "total", "at", "core", "core_sum", "pcm"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["path", "error", "sample_rate", "total", "at", "core", "core_sum", "pcm"]
 
-        def row(*values):
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[:-1], kinds, strict=True)]
+        samples = [r[-1] for r in rows]
+        ends = np.cumsum([0] + [0 if x is None else len(x) for x in samples], dtype=np.int32)
+        values = np.concatenate([np.zeros(0, np.int16)] + [x for x in samples if x is not None])
+        pcm = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int16()), mask=pa.array([x is None for x in samples]))
+        return pa.RecordBatch.from_arrays([*columns, pcm], names)
 
+    def run(batches):
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1), strict=True):
+            held, size = [], 0
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = content.as_py()
                 try:
                     if data is None:
                         raise ValueError("no content")
                     rate, start, n = find_samples(data)
                 except ValueError as e:
-                    yield row(path.as_py(), str(e), None, None, None, None, None, None)
+                    held.append((path, str(e), None, None, None, None, None, None))
                     continue
                 samples = np.frombuffer(data, "<i2", n, start)
                 for at in range(0, max(n, 1), block):
                     core = min(block, n - at)
-                    yield row(path.as_py(), None, rate, n, at, core, int(samples[at : at + core].sum(dtype=np.int64)), samples[at : at + core + overlap])
+                    held.append((path, None, rate, n, at, core, int(samples[at : at + core].sum(dtype=np.int64)), samples[at : at + core + overlap]))
+                    size += len(held[-1][-1])
+                    if size >= TOGETHER:
+                        yield batch(held)
+                        held, size = [], 0
+            if held:
+                yield batch(held)
 
     return files.select("path", "content").mapInArrow(run, BLOCKS)
 
@@ -92,9 +106,27 @@ def wav_file(data: Column, sample_rate: Column) -> Column:
     return F.concat(F.unhex(F.concat(text("RIFF"), hexed[0], text("WAVEfmt "), *hexed[1:8], text("data"), hexed[8])), data)
 
 
+def _samples_bytes(pcm: pa.Array) -> pa.Array:
+    """The bytes of lists of 16-bit numbers, the low byte first: what Arrow holds, with other bounds. Null samples are left out."""
+    if pcm.null_count or pcm.flatten().null_count:
+        return pa.array([None if x is None else np.asarray([v for v in x if v is not None], "<i2").tobytes() for x in pcm.to_pylist()], pa.binary())
+    ends = pcm.offsets.to_numpy().astype(np.int64)
+    data = pcm.flatten().to_numpy().astype("<i2", copy=False).tobytes()
+    offsets = ((ends - ends[0]) * 2).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pcm), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def little_endian(pcm: Column) -> Column:
+    @F.arrow_udf("binary")
+    def run(x: pa.Array) -> pa.Array:
+        return _samples_bytes(x)
+
+    return run(pcm)
+
+
 def wav_bytes(pcm: Column, sample_rate: Column) -> Column:
     """A mono 16-bit PCM file of an array of samples."""
-    return wav_file(F.unhex(F.array_join(F.transform(pcm, lambda s: _little(s, 2)), "")), sample_rate)
+    return wav_file(little_endian(pcm.cast("array<short>")), sample_rate)
 
 
 def quantized(samples: Column) -> Column:

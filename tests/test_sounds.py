@@ -156,3 +156,20 @@ def test_bands_of_one_shape_are_counted_together(spark, monkeypatch):
         want = [frames.count_marked(m[None], 0, *r) for m in marked]
         assert found.tolist() == [int(f[0]) for f, _ in want] and all(t == total for _, t in want)
     assert calls[0] == (50, 8, 6)
+
+
+def test_segments_and_blocks_are_made_many_at_a_time(spark):
+    import pyarrow as pa
+
+    held = pa.array([[{"o": 5, "p": [1, 2]}, {"o": 0, "p": [3]}], None, [], [{"o": 1, "p": [-4, 5]}]], pa.list_(pa.struct([("o", pa.int64()), ("p", pa.list_(pa.int16()))])))
+    want = [[3, 0, 0, 0, 0, 1, 2, 0], [0, 0], [], [0, -4, 5]]
+    assert audio.filled(np.array([8, 2, 0, 3]), held).to_pylist() == want
+    assert audio.filled(np.array([2, 0, 3]), held.slice(1)).to_pylist() == want[1:]
+    rows = [(f"f{i}", bytearray(wav(range(i)))) for i in range(40)] + [("bad", bytearray(b"x")), ("none", None)]
+    df = spark.createDataFrame(rows, FILES).coalesce(1)
+    batches = wav_blocks(df, 7, 2).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()
+    assert len(batches) == 1 and batches[0].n > 40
+    back = {r.path: r for r in wav_blocks(df.where("path in ('bad', 'none')"), 7, 2).collect()}
+    assert back["bad"].pcm is None and back["none"].error == "no content"
+    made = spark.createDataFrame([(1, [1, -2]), (2, []), (3, None)], "id long, pcm array<short>").select("id", wav_bytes(F.col("pcm"), F.lit(8000)).alias("c"))
+    assert {r.id: r.c and bytes(r.c) for r in made.collect()} == {1: wav([1, -2]), 2: wav([]), 3: None}
