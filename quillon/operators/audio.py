@@ -56,12 +56,12 @@ def onsets(blocks: DataFrame, needles: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1)
-                get = lambda c, r=r: r[c][0].as_py()
-                value, lag = best_lag(r["pcm"].flatten().to_numpy(), r["n"].flatten().to_numpy(), get("core"), get("h_len"), get("h_sum"))
-                values = pa.array([str(value)]), pa.array([get("at") - lag], pa.int64())
-                yield pa.RecordBatch.from_arrays([r["needle"], r["path"], r["sample_rate"], *values], ["needle", "path", "sample_rate", "value", "sample"])
+            get = {c: b[c].to_pylist() for c in ("at", "core", "h_len", "h_sum")}
+            pcm, n = ((b[c].offsets.to_numpy(), b[c].values.to_numpy()) for c in ("pcm", "n"))
+            cut = lambda x, i: x[1][x[0][i] : x[0][i + 1]]
+            found = [best_lag(cut(pcm, i), cut(n, i), get["core"][i], get["h_len"][i], get["h_sum"][i]) for i in range(b.num_rows)]
+            values = pa.array([str(v) for v, _ in found], pa.string()), pa.array([at - lag for at, (_, lag) in zip(get["at"], found, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["needle"], b["path"], b["sample_rate"], *values], ["needle", "path", "sample_rate", "value", "sample"])
 
     found = met.where("core > 0").mapInArrow(run, f"needle {kind}, path string, sample_rate int, value string, sample long")
     best = found.groupBy("needle", "path").agg(F.max_by(F.struct("sample", "sample_rate"), F.struct(F.col("value").cast("decimal(38,0)"), -F.col("sample"))).alias("b"))

@@ -173,3 +173,10 @@ def test_segments_and_blocks_are_made_many_at_a_time(spark):
     assert back["bad"].pcm is None and back["none"].error == "no content"
     made = spark.createDataFrame([(1, [1, -2]), (2, []), (3, None)], "id long, pcm array<short>").select("id", wav_bytes(F.col("pcm"), F.lit(8000)).alias("c"))
     assert {r.id: r.c and bytes(r.c) for r in made.collect()} == {1: wav([1, -2]), 2: wav([]), 3: None}
+
+
+def test_onsets_of_many_blocks_at_once(spark):
+    rows = [(f"s{i}", bytearray(wav([0] * i + [1, 5, -3] + [0] * (60 - i)))) for i in range(50)]
+    blocks = wav_blocks(spark.createDataFrame(rows, FILES).coalesce(1), 20, 2)
+    needles = spark.createDataFrame([(i, f"s{i}", [1, 5, -3]) for i in range(50)], "needle int, path string, pcm array<short>")
+    assert sorted((r.needle, r.sample) for r in audio.onsets(blocks, needles).collect()) == [(i, i) for i in range(50)]
