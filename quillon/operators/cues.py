@@ -6,8 +6,12 @@ Cues follow one another within a video, so a video's words are one task's; the h
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from itertools import groupby, pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +22,24 @@ FPS = 30
 #: Words and width of a cue, its size; times in seconds.
 MOST_WORDS, WIDTH, SIZE = 6, 720, 60
 SOFT_WIDTH = round(WIDTH * 0.85)
+BEFORE_MARK = re.compile(r"\s+([,.;:!?])")
 LEAST, HOLD, GAP, LEAD, CHAIN, FILL = 0.8, 0.5, 0.5, 2 / FPS, 2 / FPS, 0.6
 
 
+class _Advances(dict):
+    def __missing__(self, c: str) -> int:
+        return ADVANCE
+
+
+_ADVANCES = _Advances(ADVANCES)
+
+
 def joined(words: list[str]) -> str:
-    return re.sub(r"\s+([,.;:!?])", r"\1", " ".join(words))
+    return BEFORE_MARK.sub(r"\1", " ".join(words))
 
 
 def width(text: str) -> float:
-    return sum(ADVANCES.get(c, ADVANCE) for c in text) / 1000 * SIZE
+    return sum(map(_ADVANCES.__getitem__, text)) / 1000 * SIZE
 
 
 def fits(words: list[str]) -> bool:
@@ -39,7 +52,8 @@ def group(words: list[str]) -> list[list[int]]:
     out: list[list[int]] = [[]]
     for i, w in enumerate(words):
         own = [words[j] for j in out[-1]]
-        if own and (not fits([*own, w]) or (width(joined([*own, w])) > SOFT_WIDTH and i + 1 < len(words))):
+        wide = width(joined([*own, w])) if len(own) < MOST_WORDS else float("inf")
+        if own and (wide > WIDTH or (wide > SOFT_WIDTH and i + 1 < len(words))):
             out.append([])
         out[-1].append(i)
         if re.search(r"[.!?:;]$", w):
@@ -92,20 +106,41 @@ def lay_out(cues: list[dict]) -> list[tuple[float, float]]:
     return out
 
 
-def video_cues(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cues of one video's words (content, scene, segment, i, text, start, end, clip_end), in the order of their speech."""
+def video_cues(words: list[tuple]) -> list[tuple]:
+    """(cue, scene, start, end, text) of one video's words (scene, segment, i, text, start, end, clip_end), which come in this order, in the order of their speech."""
     raw = []
-    for (scene, _), rows in pdf.sort_values(["scene", "segment", "i"]).groupby(["scene", "segment"], sort=True):
-        words, clip_end = rows["text"].tolist(), rows["clip_end"].iloc[0]
-        if rows["i"].iloc[0] < 0:  # a text without times of its words
-            raw.append({"scene": scene, "words": [], "text": words[0], "from": rows["start"].iloc[0], "to": rows["end"].iloc[0], "clip_end": clip_end})
+    for (scene, _), rows in groupby(words, key=lambda w: w[:2]):
+        own = list(rows)
+        texts, clip_end = [w[3] for w in own], own[0][6]
+        if own[0][2] < 0:  # a text without times of its words
+            raw.append({"scene": scene, "words": [], "text": texts[0], "from": own[0][4], "to": own[0][5], "clip_end": clip_end})
             continue
-        for g in group(words):
-            own = [words[j] for j in g]
-            raw.append({"scene": scene, "words": own, "text": joined(own), "from": rows["start"].iloc[g[0]], "to": rows["end"].iloc[g[-1]], "clip_end": clip_end})
+        for g in group(texts):
+            said = [texts[j] for j in g]
+            raw.append({"scene": scene, "words": said, "text": joined(said), "from": own[g[0]][4], "to": own[g[-1]][5], "clip_end": clip_end})
     cues = borrow(sorted(raw, key=lambda c: c["from"]))
-    rows = [(pdf["content"].iloc[0], i, c["scene"], a, b, c["text"]) for i, (c, (a, b)) in enumerate(zip(cues, lay_out(cues), strict=True))]
-    return pd.DataFrame(rows, columns=["content", "cue", "scene", "start", "end", "text"])
+    return [(i, c["scene"], a, b, c["text"]) for i, (c, (a, b)) in enumerate(zip(cues, lay_out(cues), strict=True))]
+
+
+def each_group(words: DataFrame, key: str, columns: list[str], one: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """(key, schema): the rows that ``one`` makes of each group's rows of these columns, sorted by them; many groups go to a task's function at once."""
+
+    def run(batches):
+        for b in batches:
+            groups = b.column(1)
+            inner = groups.flatten()
+            rows = list(zip(*(inner.field(k).to_pylist() for k in range(len(columns))), strict=True))
+            ends = np.cumsum([0, *pc.list_value_length(groups).to_pylist()]).tolist()
+            made = [one(rows[i:j]) for i, j in pairwise(ends)]
+            keys = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), [len(m) for m in made])))
+            flat = [x for m in made for x in m]
+            columns_ = [pa.array([x[k] for x in flat], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([keys, *columns_], [key, *names])
+
+    fields = [x.strip().split() for x in schema.split(",")]
+    names, kinds = [f[0] for f in fields], [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[f[1]] for f in fields]
+    grouped = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    return grouped.mapInArrow(run, f"{key} {words.schema[key].dataType.simpleString()}, {schema}")
 
 
 def build(words: DataFrame, durations: DataFrame, segments: DataFrame | None = None) -> DataFrame:
@@ -123,28 +158,27 @@ def build(words: DataFrame, durations: DataFrame, segments: DataFrame | None = N
     inside = lambda x, low: F.least(F.greatest(x, low), F.col("offset") + F.col("duration"))
     w = words.join(placed, ["content", "scene"]).withColumn("start", inside(F.col("offset") + F.col("start"), F.col("offset")))
     w = w.withColumn("end", inside(F.col("offset") + F.col("end"), F.col("start"))).withColumn("clip_end", F.col("offset") + F.col("_f") / FPS)
-    kind = words.schema["content"].dataType.simpleString()
-    return w.select("content", "scene", "segment", "i", "text", "start", "end", "clip_end").groupBy("content").applyInPandas(video_cues, f"content {kind}, cue long, scene long, start double, end double, text string")
+    return each_group(w, "content", ["scene", "segment", "i", "text", "start", "end", "clip_end"], video_cues, "cue long, scene long, start double, end double, text string")
 
 
 def phrases(words: DataFrame, least: int = 3, most: int = 7) -> DataFrame:
     """(scene, phrase, start, end, text): words (scene, i, text, start, end) into phrases that end with a sentence, at a comma from ``least``
     words on, or at ``most``; one that begins before the last kept one ends, or whose text came before, is left out."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(own: list[tuple]) -> list[tuple]:
         found, held, seen, kept = [], [], set(), []
-        for r in pdf.sort_values("i").itertuples():
+        for r in own:
             held.append(r)
-            if re.search("[.!?:;]$", r.text) or len(held) >= most or (r.text.endswith(",") and len(held) >= least):
+            if re.search("[.!?:;]$", r[1]) or len(held) >= most or (r[1].endswith(",") and len(held) >= least):
                 found.append(held)
                 held = []
         for g in found + [held] * bool(held):
-            start, text = g[0].start, joined([w.text for w in g])
-            end = max(g[-1].end, start + 0.5)
-            if (kept and round(start, 3) < kept[-1][3]) or text.lower().strip() in seen:
+            start, text = g[0][2], joined([w[1] for w in g])
+            end = max(g[-1][3], start + 0.5)
+            if (kept and round(start, 3) < kept[-1][2]) or text.lower().strip() in seen:
                 continue
             seen.add(text.lower().strip())
-            kept.append((g[0].scene, len(kept), round(start, 3), round(end, 3), text))
-        return pd.DataFrame(kept, columns=["scene", "phrase", "start", "end", "text"])
+            kept.append((len(kept), round(start, 3), round(end, 3), text))
+        return kept
 
-    return words.groupBy("scene").applyInPandas(one, f"scene {words.schema['scene'].dataType.simpleString()}, phrase long, start double, end double, text string")
+    return each_group(words, "scene", ["i", "text", "start", "end"], one, "phrase long, start double, end double, text string")

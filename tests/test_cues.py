@@ -151,3 +151,12 @@ def test_subtitle_files_are_read_back(spark):
     styles = subtitles.subtitle_styles(lines, ["k"], "line").collect()
     assert {(r.k, r.style["Fontname"], r.style["Fontsize"], r.style["MarginV"]) for r in styles} == {("v", "Helvetica Neue", "60", "570"), ("w", "Helvetica Neue", "60", "570")}
     assert {(r.k, r.start, r.end) for r in subtitles.parse_subtitles(lines, ["k"], "line").collect()} == {("v", 0.0, 1.5), ("v", 2.0, 3.0), ("w", 61.01, 3600.0)}
+
+
+def test_groups_of_words_go_to_a_task_together(spark):
+    rows = [(k, i, f"w{i}", float(i), i + 0.5) for k in range(300) for i in reversed(range(k % 4))]
+    words = spark.createDataFrame(rows, "scene int, i long, text string, start double, end double").coalesce(1)
+    seen = cues.each_group(words, "scene", ["i", "text"], lambda own: [(len(own), 0.0, ",".join(t for _, t in own))] * (len(own) > 1), "n long, at double, text string")
+    assert sorted((r.scene, r.n, r.text) for r in seen.collect()) == [(k, k % 4, ",".join(f"w{i}" for i in range(k % 4))) for k in range(300) if k % 4 > 1]
+    for made in (cues.phrases(words), seen):
+        assert "PerGroup" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroups" not in plan and "MapInArrow" in plan
