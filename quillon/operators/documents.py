@@ -27,8 +27,8 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(name) of the roots and of all that edges (source, target) lead to from them, in as many rounds as the longest way has steps."""
     seen = front = kept(roots.select(F.col(roots.columns[0]).alias("name")).distinct(), "roots")
     while True:
-        step = front.join(edges, F.col("name") == F.col("source")).select(F.col("target").alias("name")).distinct()
-        front = kept(step.join(seen, "name", "left_anti"), "front")
+        step = front.join(edges.hint("merge"), F.col("name") == F.col("source")).select(F.col("target").alias("name")).distinct()
+        front = kept(step.join(seen.hint("merge"), "name", "left_anti"), "front")
         if not front.limit(1).count():
             return seen
         seen = kept(seen.union(front), "seen")
@@ -41,8 +41,8 @@ def between_cycles(edges: DataFrame) -> DataFrame:
     n = left.count()
     while True:
         into, out = left.select(F.col("target").alias("n")).distinct(), left.select(F.col("source").alias("n")).distinct()
-        both = into.join(out, "n")
-        some = left.join(both.withColumnRenamed("n", "source"), "source", "left_semi").join(both.withColumnRenamed("n", "target"), "target", "left_semi")
+        both = into.join(out.hint("merge"), "n")
+        some = left.join(both.withColumnRenamed("n", "source").hint("merge"), "source", "left_semi").join(both.withColumnRenamed("n", "target").hint("merge"), "target", "left_semi")
         left, was = kept(some.select("source", "target"), "edges"), n
         n = left.count()
         if n == was:
@@ -53,10 +53,11 @@ def graph_findings(docs: DataFrame, name: str, content: str, index_name: str) ->
     """(name, check, level, detail): links to files that there aren't (dead), files that no way from the index leads to (orphan), and those on or between cycles (circular)."""
     edges = kept(links(docs, name, content), "links")
     files = kept(docs.select(F.col(name).alias("name")).distinct(), "files")
-    real = edges.join(files.withColumnRenamed("name", "target"), "target", "left_semi")
+    named = files.withColumnRenamed("name", "target").hint("merge")  # in no round is a table sent through the driver
+    real = kept(edges.join(named, "target", "left_semi"), "real")
     row = lambda df, check, level, detail: df.select("name", F.lit(check).alias("check"), F.lit(level).alias("level"), detail.alias("detail"))
-    dead = edges.join(files.withColumnRenamed("name", "target"), "target", "left_anti").withColumnRenamed("source", "name")
-    orphans = files.join(reachable(real, files.where(F.col("name") == index_name)), "name", "left_anti").where(F.col("name") != index_name)
+    dead = edges.join(named, "target", "left_anti").withColumnRenamed("source", "name")
+    orphans = files.join(reachable(real, files.where(F.col("name") == index_name)).hint("merge"), "name", "left_anti").where(F.col("name") != index_name)
     circular = between_cycles(real)
     none = F.lit("")
     return row(dead, "dead-link", "FAIL", F.col("target")).union(row(orphans, "orphan", "WARN", none)).union(row(circular, "circular", "WARN", none))

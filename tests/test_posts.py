@@ -203,3 +203,16 @@ def test_scratch_folders_can_be_cleared(spark, tmp_path):
         assert scratch.clear(spark) == 1 and not Path(at.removeprefix("file:")).exists() and scratch.clear(spark) == 0
     finally:
         scratch._MADE.extend(made)
+
+
+def test_a_document_graph_is_not_sent_through_the_driver(spark, monkeypatch):
+    from quillon.operators import documents
+
+    plans, made = [], documents.kept
+    monkeypatch.setattr(documents, "kept", lambda df, *x: plans.append(df._jdf.queryExecution().executedPlan().toString()) or made(df, *x))
+    docs = spark.createDataFrame([(f"d{i}.md", f"[x](d{i + 1}.md) [y](d{i // 2}.md)") for i in range(6)] + [("lone.md", "")], "name string, content string")
+    out = documents.graph_findings(docs, "name", "content", "d0.md")
+    got = sorted((r.name, r.check, r.detail) for r in out.collect())
+    assert got == [*((f"d{i}.md", "circular", "") for i in range(5)), ("d5.md", "circular", ""), ("d5.md", "dead-link", "d6.md"), ("lone.md", "orphan", "")]
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
