@@ -91,9 +91,20 @@ class Words(NamedTuple):
 def _sums_by_row(i: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of i, and the sum of g's rows for each."""
     order = np.argsort(i, kind="stable")
-    rows = i[order]
+    rows = i.take(order)
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    return rows[first], np.add.reduceat(g[order], first, axis=0)
+    # numpy goes over the groups once for each column: two of them as one complex number halve that, and add up just the same
+    return rows.take(first), np.add.reduceat(g.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+
+
+def _with_bias(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Vectors with their bias as one more column: their product with a vector that ends in 1 has it added."""
+    return np.concatenate([vectors, bias[:, None]], axis=1)
+
+
+def _side_by_side(position: np.ndarray) -> np.ndarray:
+    """[CONTEXT * WIDTH, WIDTH]: the product with context vectors laid side by side is their sum, each scaled by its position."""
+    return (position[:, :, None] * np.eye(WIDTH, dtype=np.float32)).reshape(-1, WIDTH)
 
 
 class Model:
@@ -135,9 +146,6 @@ class Model:
             out[i + 1 :, i][same] = c[: len(c) - i - 1][same]
         return out
 
-    def hidden(self, ctx: np.ndarray, context: np.ndarray, position: np.ndarray) -> np.ndarray:
-        return sum(context[ctx[:, i]] * position[i] for i in range(CONTEXT))
-
     def train(self, c: np.ndarray, ctx: np.ndarray, seed: int, noise: int = 64, batch: int = 512, rate: float = 0.1, passes: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Changes of the parameters after passes of noise-contrastive estimation over the tokens, and which context and word rows changed.
 
@@ -145,59 +153,74 @@ class Model:
         the class prior. Steps are scaled by the squares of past gradients (of rows that a step touches alone).
         """
         rng = np.random.default_rng(seed)
-        context, word, word_bias, cls, cls_bias, position = parts = [x.copy() for x in self.parts]
-        speed = [np.full(x.shape, 1e-6, np.float32) for x in parts]
+        context, word, word_bias, cls, cls_bias, position = (x.copy() for x in self.parts)
+        words, kinds = _with_bias(word, word_bias), _with_bias(cls, cls_bias)
+        past_context, past_words, past_kinds, past_position = (np.full(x.shape, 1e-6, np.float32) for x in (context, words, kinds, position))
+        rates = np.full(WIDTH + 1, rate, np.float32)
+        rates[WIDTH] *= 0.3
         log_prior = np.log(noise * self.prior).astype(np.float32)
         with np.errstate(divide="ignore"):
             log_share = np.maximum(np.log(noise * self.share), -1e4).astype(np.float32)
-
-        def step(k: int, rows, g: np.ndarray, scale: float = 1.0) -> None:
-            past = speed[k][rows] + g * g
-            speed[k][rows] = past
-            parts[k][rows] += rate * scale * g / np.sqrt(past)
-
-        def chance_of(x: np.ndarray) -> np.ndarray:
-            """Logistic function, in place."""
-            np.clip(x, -30, 30, out=x)
-            np.negative(x, out=x)
-            np.exp(x, out=x)
-            x += 1
-            return np.reciprocal(x, out=x)
-
-        def contrast(h, targets, of, q, b, log_noise, sampled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Gradients of h, of the vectors q[of] and of their biases; targets and sampled count within of."""
-            own, qt, qz = b[of] - log_noise, q[of][targets], q[of][sampled]
-            up = chance_of(np.einsum("ij,ij->i", h, qt) + own[targets])
-            down = h @ qz.T
-            down += own[sampled]
-            chance_of(down)
-            m = np.float32(1 / len(h))
-            up = (1 - up) * m
-            down *= -m
-            dh = down @ qz
-            dh += up[:, None] * qt
-            gq, gb = np.zeros((len(log_noise), WIDTH), np.float32), np.bincount(targets, up, len(log_noise)).astype(np.float32)
-            rows, g = _sums_by_row(targets, up[:, None] * h)
-            gq[rows] = g
-            np.add.at(gq, sampled, down.T @ h)
-            np.add.at(gb, sampled, down.sum(0))
-            return dh, gq, gb
+        # as Generator.choice draws, without its checks of the shares at each step
+        prior_ends, share_ends = np.cumsum(self.prior), np.cumsum(self.share, axis=1)
+        prior_ends, share_ends = prior_ends / prior_ends[-1], share_ends / share_ends[:, -1:]
+        ahead = np.ones((batch, WIDTH + 1), np.float32)  # a step's sums of context vectors, and 1 for the bias
+
+        def step(x: np.ndarray, past: np.ndarray, g: np.ndarray, rate) -> None:
+            """Moves x up the gradient, in place."""
+            past += g * g
+            g *= rate
+            g /= np.sqrt(past)
+            x += g
+
+        def drawn(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct places of the noise, and how often each was drawn."""
+            n = np.bincount(ends.searchsorted(rng.random(noise), "right"))
+            at = np.flatnonzero(n)
+            return at, n[at]
 
         def descend(i: np.ndarray, k: int) -> None:
             """One step on tokens of class k: their words against noise of the class, and the class against noise of all."""
-            x = before[i]
-            seen = context[x]  # [tokens, CONTEXT, WIDTH]
-            h = np.einsum("ijk,jk->ik", seen, position)
-            of, whole = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS), slice(0, self.classes)
-            dh, gw, gb = contrast(h, inner[i], of, word, word_bias, log_share[k], rng.choice(CLASS_WORDS, noise, p=self.share[k]))
-            more, gc, gd = contrast(h, np.full(len(i), k), whole, cls, cls_bias, log_prior, rng.choice(self.classes, noise, p=self.prior))
-            dh += more
-            for at, rows, g, scale in ((1, of, gw, 1.0), (2, of, gb, 0.3), (3, whole, gc, 1.0), (4, whole, gd, 0.3)):
-                step(at, rows, g, scale)
-            moved = np.einsum("ik,ijk->jk", dh, seen)
-            rows, g = _sums_by_row(x.ravel(), (dh[:, None, :] * position).reshape(-1, WIDTH))
-            step(5, slice(None), moved)
-            step(0, rows, g)
+            i = i.take(inner.take(i).argsort(kind="stable"))
+            x, targets = before.take(i, axis=0), inner.take(i)
+            m = np.float32(1 / len(i))
+            seen = context.take(x, axis=0)  # [tokens, CONTEXT, WIDTH]
+            to_sum = _side_by_side(position)
+            h = ahead[: len(i)]
+            np.matmul(seen.reshape(len(i), -1), to_sum, out=h[:, :WIDTH])
+            own, own_past = words[k * CLASS_WORDS : (k + 1) * CLASS_WORDS], past_words[k * CLASS_WORDS : (k + 1) * CLASS_WORDS]
+            # noise of the class, noise of all, and the class itself: one product; what is drawn twice counts twice
+            (some, n_some), (others, n_others) = drawn(share_ends[k]), drawn(prior_ends)
+            q = np.concatenate([own.take(some, axis=0), kinds.take(others, axis=0), kinds[k : k + 1]])
+            q[:, WIDTH] -= np.concatenate([log_share[k].take(some), log_prior.take(others), log_prior[k : k + 1]])
+            np.negative(q, out=q)
+            down = h @ q.T
+            np.clip(down, -30, 30, out=down)
+            np.exp(down, out=down)
+            down += 1
+            np.divide(np.concatenate([n_some, n_others, [1]]).astype(np.float32) * m, down, out=down)
+            down[:, -1] -= m
+            qt = own.take(targets, axis=0)
+            up = np.einsum("ij,ij->i", h, qt)
+            up -= log_share[k].take(targets)
+            up = m / (1 + np.exp(np.clip(up, -30, 30, out=up)))
+            # gradients
+            dh = down @ q[:, :WIDTH]
+            dh += up[:, None] * qt[:, :WIDTH]
+            g = down.T @ h
+            g_words, g_kinds = np.zeros_like(own), np.zeros_like(kinds)
+            first = np.flatnonzero(np.concatenate(([True], targets[1:] != targets[:-1])))
+            g_words[targets.take(first)] = np.add.reduceat(up[:, None] * h, first, axis=0)
+            g_words[some] -= g[: len(some)]
+            g_kinds[others] -= g[len(some) : -1]
+            g_kinds[k] -= g[-1]
+            step(own, own_past, g_words, rates)
+            step(kinds, past_kinds, g_kinds, rates)
+            rows, g = _sums_by_row(x.ravel(), (dh @ to_sum.T).reshape(-1, WIDTH))
+            step(position, past_position, np.einsum("ik,ijk->jk", dh, seen), rate)
+            moved, past = context.take(rows, axis=0), past_context.take(rows, axis=0)
+            step(moved, past, g, rate)
+            context[rows], past_context[rows] = moved, past
 
         # places as small numbers sort by radix
         before = ctx.astype(np.int16 if len(self.mass) < 2**15 else np.int32)
@@ -211,31 +234,36 @@ class Model:
             for s in rng.permutation(len(steps)):
                 k, i = steps[s]
                 descend(i, k)
-        return [x - y for x, y in zip(parts, self.parts, strict=True)], (speed[0] > 1e-6).any(1), (speed[1] > 1e-6).any(1)
+        parts = [context, words[:, :WIDTH], words[:, WIDTH], kinds[:, :WIDTH], kinds[:, WIDTH], position]
+        return [x - y for x, y in zip(parts, self.parts, strict=True)], (past_context > 1e-6).any(1), (past_words[:, :WIDTH] > 1e-6).any(1)
 
     def log_probs(self, c: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's place, normalised over all classes and over its class by batched products."""
         context, word, word_bias, cls, cls_bias, position = self.parts
+        words, kinds, to_sum = _with_bias(word, word_bias), _with_bias(cls, cls_bias), _side_by_side(position)
         out = np.zeros(len(c))
-
-        def normal(h, q, b, targets) -> np.ndarray:
-            s = h @ q.T
-            s += b
-            if s.max(initial=0) > 80:  # beyond what single precision exponentiates
-                s -= s.max(1, keepdims=True)
-            own = s[np.arange(len(h)), targets]
-            return own - np.log(np.exp(s, out=s).sum(1))
-
-        order = np.argsort(c // CLASS_WORDS, kind="stable")
-        own = c[order] // CLASS_WORDS
+        ahead = np.ones((512, WIDTH + 1), np.float32)
+        ctx, own = ctx.astype(np.int32), (c // CLASS_WORDS).astype(np.int16 if self.classes < 2**15 else np.int32)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
         edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(c) else np.zeros(1, np.int64)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             k = int(own[lo])
-            of = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            for at in range(lo, hi, 1024):  # products that stay in a core's cache
-                i = order[at : min(at + 1024, hi)]
-                h = self.hidden(ctx[i], context, position)
-                out[i] = normal(h, word[of], word_bias[of], c[i] % CLASS_WORDS) + normal(h, cls, cls_bias, np.full(len(i), k))
+            q = np.concatenate([words[k * CLASS_WORDS : (k + 1) * CLASS_WORDS], kinds]).T
+            for at in range(lo, hi, len(ahead)):  # products that stay in a core's cache
+                i = order[at : min(at + len(ahead), hi)]
+                h = ahead[: len(i)]
+                np.matmul(context.take(ctx.take(i, axis=0), axis=0).reshape(len(i), -1), to_sum, out=h[:, :WIDTH])
+                s = h @ q
+                halves = s[:, :CLASS_WORDS], s[:, CLASS_WORDS:]
+                if s.max() > 80:  # beyond what single precision exponentiates
+                    for x in halves:
+                        x -= x.max(1, keepdims=True)
+                total = s[np.arange(len(i)), c.take(i) % CLASS_WORDS] + s[:, CLASS_WORDS + k]
+                np.exp(s, out=s)
+                for x in halves:
+                    total -= np.log(x @ np.ones(x.shape[1], np.float32))
+                out[i] = total
         return out
 
 

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate as decontamination
+from quillon.llm import lm
 from quillon.llm.classifier import quality_classifier
 from quillon.llm.counts import token_counts
 from quillon.llm.decontaminate import decontaminate
@@ -330,6 +331,76 @@ def test_lm_is_normalised():
     assert m.log_probs(c, ctx).mean() > before + 0.5
 
 
+def skewed_model(size):
+    """A model of words whose counts fall as their rank rises, and tokens drawn by those counts: (model, places, contexts)."""
+    rng = np.random.default_rng(5)
+    words = [(64 * i + i % 64, 10 + 200_000 // i) for i in range(1, size)] + [(int(END), 3000)]
+    shape_n, shape_v = np.bincount([h & 63 for h, _ in words], [n + 7 for _, n in words], 64), np.bincount([h & 63 for h, _ in words], minlength=64) + 5.0
+    m = named_model(sorted(words), shape_n, shape_v)
+    c = rng.choice(len(m.mass), 20_000, p=m.mass / m.mass.sum())
+    return m, c, m.contexts(c, np.sort(rng.integers(0, 50, len(c))))
+
+
+def plain_training(m, c, ctx, seed, noise, batch, rate):
+    """What ``Model.train`` changes, by one token, one noise word and one double after another."""
+    rng = np.random.default_rng(seed)
+    parts = context, word, word_bias, cls, cls_bias, position = [x.astype(float) for x in m.parts]
+    past = [np.full(x.shape, 1e-6) for x in parts]
+    some = rng.permutation(len(c))
+    by_class = [some[c[some] // 128 == k] for k in range(m.classes)]
+    steps = [(k, of[lo : lo + batch]) for k, of in enumerate(by_class) for lo in range(0, len(of), batch)]
+    for s in rng.permutation(len(steps)):
+        k, tokens = steps[s]
+        noises = [(rng.choice(128, noise, p=m.share[k]) + 128 * k, m.share.ravel(), word, word_bias, 1), (rng.choice(m.classes, noise, p=m.prior), m.prior, cls, cls_bias, 3)]
+        grads = [np.zeros(x.shape) for x in parts]
+        for t in tokens:
+            h = sum(context[ctx[t, j]] * position[j] for j in range(4))
+            dh = np.zeros(16)
+            for (drawn, share, q, b, at), own in zip(noises, (c[t], k), strict=True):
+                for place, label in [(own, 1), *((z, 0) for z in drawn)]:
+                    e = (label - 1 / (1 + np.exp(-(h @ q[place] + b[place] - np.log(noise * share[place]))))) / len(tokens)
+                    dh += e * q[place]
+                    grads[at][place] += e * h
+                    grads[at + 1][place] += e
+            for j in range(4):
+                grads[0][ctx[t, j]] += dh * position[j]
+                grads[5][j] += dh * context[ctx[t, j]]
+        for x, p, g, scale in zip(parts, past, grads, (1, 1, 0.3, 1, 0.3, 1), strict=True):
+            p += g * g
+            x += rate * scale * g / np.sqrt(p)
+    return [x - y for x, y in zip(parts, m.parts, strict=True)]
+
+
+def test_lm_trains_as_plain_loops_do():
+    m, c, ctx = skewed_model(300)
+    c, ctx = c[:200], ctx[:200]
+    got, context_rows, word_rows = m.train(c, ctx, 7, noise=20, batch=32)
+    want = plain_training(m, c, ctx, 7, 20, 32, 0.1)
+    for x, y in zip(got, want, strict=True):
+        assert x.shape == y.shape and np.abs(y).max() > 1e-3 and np.allclose(x, y, atol=2e-4)
+    assert set(np.flatnonzero(context_rows)) == set(ctx.ravel())
+    assert set(c) <= set(np.flatnonzero(word_rows))
+
+
+def test_lm_computes_noise_drawn_twice_once(monkeypatch):
+    """With three classes a token needs exponentials for these, for the class's distinct noise words and for its own word and class, not for each draw."""
+    m, c, ctx = skewed_model(300)
+    n = 0
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x, **kwargs):
+            nonlocal n
+            n += np.size(x)
+            return np.exp(x, **kwargs)
+
+    monkeypatch.setattr(lm, "np", Counting())
+    m.train(c, ctx, 7)
+    assert 0 < n <= len(c) * (64 + 3 + 2)
+
+
 def test_lm_of_unknown_words_shares_out_its_shape():
     """All words of a text's end, counted or not, add up to one: named words, and each shape's others with one unseen word."""
     words = [(64 * i + i % 64, 50) for i in range(1, 200)] + [(int(END), 10)]
