@@ -25,9 +25,10 @@ def history(snapshots: DataFrame, key: str, day: str, position: str, n: int = 30
 
 
 def prior(snapshots: DataFrame, key: str, day: str, position: str, today) -> DataFrame:
-    """As-of lookup: each key's last position strictly before ``today``; one aggregate, no sort."""
+    """As-of lookup: each key's last known position strictly before ``today``, and the day of its last snapshot; one aggregate, no sort."""
     before = snapshots.where(F.col(day) < today)
-    return before.groupBy(key).agg(F.max_by(position, day).alias("prior_position"), F.max(day).alias("prior_day"))
+    known = F.when(F.col(position).isNotNull(), F.col(day))
+    return before.groupBy(key).agg(F.max_by(position, known).alias("prior_position"), F.max(day).alias("prior_day"))
 
 
 #: Microseconds from 1601, from which a browser's history counts, to 1970.

@@ -9,7 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.plans.registry import QUERIES
+from quillon.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +59,34 @@ def test_daily_averages_are_added_up_in_the_order_of_events(spark, tmp_path, nam
     assert got[2][col] in (None, "")
 
 
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Tables whose events have days without any value and times that are null, and a connection to the same rows in DuckDB."""
+    import duckdb
+
+    day = lambda i: datetime(2024, 1, i) if i else None
+    seen = [(1, 3, 1.5), (1, 5, None), (1, 22, 7.0), (2, 4, None), (2, 6, None), (3, 0, 9.0), (3, 2, 4.0), (3, 8, 2.0), (3, 25, None), (4, 0, 3.0)]
+    rows = [(i, day(d), u, "view", v) for i, (u, d, v) in enumerate(seen)]
+    root = tables(tmp_path, events=spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{root}/events.parquet/*.parquet')")
+    return root, con
+
+
+def same_rows(spark, odd, name) -> bool:
+    root, con = odd
+    found = con.execute(ORACLE_SQL[name])
+    cols = [d[0] for d in found.description]
+    want = sorted(found.fetchall(), key=str)
+    assert sorted((tuple(r) for r in QUERIES[name](spark, root).select(*cols).collect()), key=str) == want
+    return bool(want)
+
+
+def test_asof_prior_goes_back_to_a_known_position(spark, odd):
+    assert same_rows(spark, odd, "asof_prior")
+
+
 def test_cache_lookup_keeps_the_age_of_large_keys(spark, tmp_path):
     days = [(4_310_136, datetime(1997, 12, 2)), (9, datetime(1997, 12, 3)), (12, datetime(1997, 12, 3)), (8_000_001, datetime(1997, 12, 2))]
     orders = spark.createDataFrame([(k, 1 if k < 8_000_000 else 2, t) for k, t in days], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp")
