@@ -18,10 +18,12 @@ def is_drop(current: Column, previous: Column, threshold: int, alert_on_lost: bo
 
 
 def history(snapshots: DataFrame, key: str, day: str, position: str, n: int = 30) -> DataFrame:
-    """(key, history): the last n snapshots in ascending order of day."""
+    """(key, history): the last n snapshots in ascending order of day, one without a day at the end."""
     w = Window.partitionBy(key).orderBy(F.desc(day))
     last = snapshots.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), F.col(position).alias("position")))).alias("history"))
+    dated = F.struct(F.col(day).isNull().alias("undated"), F.col(day).alias("day"), F.col(position).alias("position"))
+    in_order = F.transform(F.array_sort(F.collect_list(dated)), lambda x: F.struct(x.day.alias("day"), x.position.alias("position")))
+    return last.groupBy(key).agg(in_order.alias("history"))
 
 
 def prior(snapshots: DataFrame, key: str, day: str, position: str, today) -> DataFrame:

@@ -102,7 +102,7 @@ def _(s, d):
 @query("rank_history30", f"SELECT user_id, count(*) AS n, string_agg(position, ',' ORDER BY day) AS history FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn FROM {DAILY}) WHERE rn <= 30 GROUP BY user_id")
 def _(s, d):
     h = rankings.history(_daily(s, d), "user_id", "day", "position", 30)
-    return h.select("user_id", F.size("history").cast("long").alias("n"), F.array_join(F.transform("history", lambda x: x.position.cast("string")), ",").alias("history"))
+    return h.select("user_id", F.size("history").cast("long").alias("n"), F.nullif(F.array_join(F.transform("history", lambda x: x.position.cast("string")), ","), F.lit("")).alias("history"))
 
 
 @query("asof_prior", f"SELECT user_id, arg_max(position, day) AS prior_position, CAST(max(day) AS VARCHAR) AS prior_day FROM {DAILY} WHERE day < DATE '2024-01-20' GROUP BY user_id")

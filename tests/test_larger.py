@@ -87,6 +87,14 @@ def test_asof_prior_goes_back_to_a_known_position(spark, odd):
     assert same_rows(spark, odd, "asof_prior")
 
 
+def test_history_without_positions_is_null_and_undated_ones_come_last(spark, odd):
+    assert same_rows(spark, odd, "rank_history30")
+
+
+def test_latest_positions_of_odd_days(spark, odd):
+    assert same_rows(spark, odd, "rank_latest_prev")
+
+
 def test_cache_lookup_keeps_the_age_of_large_keys(spark, tmp_path):
     days = [(4_310_136, datetime(1997, 12, 2)), (9, datetime(1997, 12, 3)), (12, datetime(1997, 12, 3)), (8_000_001, datetime(1997, 12, 2))]
     orders = spark.createDataFrame([(k, 1 if k < 8_000_000 else 2, t) for k, t in days], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp")
