@@ -39,7 +39,7 @@ def topk(index: DataFrame, query: DataFrame | list[float], k: int = 10, threshol
 
 
 #: Bytes of the query vectors that are sent to every task at once; rows and queries that are multiplied at once.
-BLOCK_BYTES, ROWS, QUERIES = 32 << 20, 1024, 4096
+BLOCK_BYTES, ROWS, QUERIES = 32 << 20, 1024, 1024
 
 
 def as_matrix(col: pa.Array, width: int) -> np.ndarray:
@@ -60,50 +60,72 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+#: How much a similarity can gain by being rounded, with room to spare.
+ROUNDED = 1e-6
+
+
 class Best:
     """The k most similar rows of each query, of all that were offered: similarities rounded to six places, equal ones by id."""
 
     def __init__(self, queries: np.ndarray, k: int):
         self.q, self.k = queries, k
-        self.sims: list[np.ndarray] = [np.zeros(0)] * len(queries)
-        self.ids: list[pa.Array | None] = [None] * len(queries)
-        self.least = np.full(len(queries), -np.inf)  # what a row has to reach
-
-    def offer(self, m: np.ndarray, ids: pa.Array, skip: np.ndarray | None = None, threshold: float | None = None) -> None:
-        """m: rows of unit length or zero; skip: of each row the query whose own it is, or -1; threshold: what an unrounded similarity has to exceed."""
-        alive = (m != 0).any(1)
-        for lo in range(0, len(self.q), QUERIES):
-            sims = m @ self.q[lo : lo + QUERIES].T
-            sims[~alive] = -np.inf
+        self.lost = ~(np.abs(queries).sum(1) > 0)  # zero, or not a number: similar to nothing
+        self.sims = np.full((len(queries), k), -np.inf)  # falling
+        self.at = np.zeros((len(queries), k), np.int64)  # where their ids stand among the known ones
+        self.known: pa.Array | None = None
+
+    def offer(self, m: np.ndarray, ids: pa.Array, skip: np.ndarray | None = None, threshold: float | None = None, only: np.ndarray | None = None) -> None:
+        """m: rows of unit length or zero; skip: of each row the query whose own it is, or -1; threshold: what an unrounded similarity has to exceed;
+        only: the queries that meet these rows, all unless given."""
+        alive = np.abs(m).sum(1) > 0
+        if not alive.any():
+            return
+        m, ids, skip = (m, ids, skip) if alive.all() else (m[alive], ids.filter(pa.array(alive)), None if skip is None else skip[alive])
+        start = 0 if self.known is None else len(self.known)
+        self.known = ids if self.known is None else pa.concat_arrays([self.known, ids])
+        for lo in range(0, len(self.q) if only is None else len(only), QUERIES):
+            asks = np.arange(lo, min(lo + QUERIES, len(self.q))) if only is None else only[lo : lo + QUERIES]
+            sims = self.q[asks] @ m.T
+            sims[self.lost[asks]] = -np.inf
             if threshold is not None:
                 sims[sims <= threshold] = -np.inf
             if skip is not None:
-                own = np.flatnonzero((skip >= lo) & (skip < lo + sims.shape[1]))
-                sims[own, skip[own] - lo] = -np.inf
-            np.round(sims, 6, out=sims)
-            if not len(sims):
+                place = np.full(len(self.q) + 1, -1)  # the last: a row that is no query's own
+                place[asks] = np.arange(len(asks))
+                own = np.flatnonzero(place[skip] >= 0)
+                sims[place[skip[own]], own] = -np.inf
+            least = self.sims[asks, -1]  # what a row has to reach
+            hot = np.flatnonzero(sims.max(1) >= np.maximum(least - ROUNDED, -2))
+            if not len(hot):
                 continue
-            high = sims.max(0)
-            for i in np.flatnonzero((high >= self.least[lo : lo + QUERIES]) & (high > -np.inf)).tolist():
-                self._merge(lo + i, sims[:, i], ids)
-
-    def _merge(self, i: int, s: np.ndarray, ids: pa.Array) -> None:
-        at = np.flatnonzero((s >= self.least[i]) & (s > -np.inf))
-        if len(at) > self.k:  # of the chunk's own, those that can be among its first
-            at = at[s[at] >= np.partition(s[at], len(at) - self.k)[len(at) - self.k]]
-        both = np.concatenate([self.sims[i], s[at]])
-        names = ids.take(pa.array(at))
-        names = names if self.ids[i] is None else pa.concat_arrays([self.ids[i], names])
-        order = pc.sort_indices(pa.table({"s": both, "id": names}), [("s", "descending"), ("id", "ascending")])[: self.k]
-        self.sims[i], self.ids[i] = both[order.to_numpy()], names.take(order)
-        if len(self.sims[i]) == self.k:
-            self.least[i] = self.sims[i][-1]
+            asks, sims, least = asks[hot], sims[hot], least[hot]
+            new = np.flatnonzero(least == -np.inf)
+            if len(new) and len(m) > self.k:  # of the first rows a query meets, those that can be among the best
+                least[new] = np.round(np.partition(sims[new], len(m) - self.k, axis=1)[:, len(m) - self.k], 6)
+            who, row = np.nonzero(sims >= np.maximum(least - ROUNDED, -2)[:, None])
+            s = np.round(sims[who, row], 6)
+            use = s >= least[who]
+            self._merge(asks, who[use], s[use], start + row[use])
+        if len(self.known) > max(1 << 17, 2 * self.at.size):  # ids of rows that are no longer among the best
+            used, at = np.unique(self.at, return_inverse=True)
+            self.known, self.at = self.known.take(pa.array(used)), at.reshape(self.at.shape)
+
+    def _merge(self, asks: np.ndarray, who: np.ndarray, s: np.ndarray, at: np.ndarray) -> None:
+        """who: places in asks, of the new similarities and ids."""
+        met, who = np.unique(who, return_inverse=True)
+        asks = asks[met]
+        old, j = np.nonzero(self.sims[asks] > -np.inf)
+        who, s, at = np.concatenate([old, who]), np.concatenate([self.sims[asks[old], j], s]), np.concatenate([self.at[asks[old], j], at])
+        by = pc.sort_indices(pa.table({"q": who, "s": s, "id": self.known.take(pa.array(at))}), [("q", "ascending"), ("s", "descending"), ("id", "ascending")]).to_numpy()
+        who, s, at = who[by], s[by], at[by]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        first = place < self.k
+        self.sims[asks[who[first]], place[first]], self.at[asks[who[first]], place[first]] = s[first], at[first]
 
     def found(self) -> tuple[np.ndarray, pa.Array | None, np.ndarray]:
         """(query, id, similarity) of all that were kept."""
-        have = [i for i, x in enumerate(self.ids) if x is not None]
-        at = np.repeat(have, [len(self.sims[i]) for i in have]).astype(np.int64)
-        return at, pa.concat_arrays([self.ids[i] for i in have]) if have else None, np.concatenate([self.sims[i] for i in have]) if have else np.zeros(0)
+        at, j = np.nonzero(self.sims > -np.inf)
+        return at, self.known.take(pa.array(self.at[at, j])) if len(at) else None, self.sims[at, j]
 
 
 def batch_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:

@@ -66,6 +66,63 @@ def test_all_lists_give_the_exact_answer(spark, clustered, monkeypatch):
     assert close(again.search(asked(clustered), 3, 99).collect(), brute(clustered, 3))
 
 
+@pytest.mark.parametrize("probes", [6, 20])
+def test_a_query_is_written_once_and_meets_a_unit_once(spark, clustered, monkeypatch, probes):
+    from quillon.operators import scratch
+
+    at = VectorIndex.build(clustered, lists=20)
+    n, before = asked(clustered).count(), len(scratch._MADE)
+    found = at.search(asked(clustered), 10, probes)
+    assert sum(spark.read.parquet(p).count() for p in scratch._MADE[before:]) == n  # before: once for each list
+    assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] == 10
+    unit_of, parts_of = at._units()
+    assert len(unit_of) == at.lists and parts_of == [1]  # 1,802 rows are one task's
+    monkeypatch.setattr("quillon.operators.vector_index.PART_ROWS", 100)
+    unit_of, parts_of = at._units()
+    sizes = {r["list"]: r["n"] for r in spark.read.parquet(f"{at.path}/sizes").collect()}
+    for u in range(len(parts_of)):
+        mine = [sizes.get(i, 0) for i in range(at.lists) if unit_of[i] == u]
+        assert mine and (sum(mine) <= 100 or len([m for m in mine if m]) == 1)
+
+
+def test_probed_lists_are_exact_in_units_and_blocks(spark, clustered, monkeypatch):
+    at = VectorIndex.build(clustered, lists=20)
+    plain = at.search(asked(clustered), 10, 6, threshold=0.1).collect()
+    monkeypatch.setattr("quillon.operators.vector_index.PART_ROWS", 150)
+    monkeypatch.setattr("quillon.operators.vector_index.QUERY_BLOCK", 8)
+    monkeypatch.setattr("quillon.operators.vector_index.ROWS", 7)
+    assert close(at.search(asked(clustered), 10, 6, threshold=0.1).collect(), [tuple(r) for r in plain])
+    list_of = {r.vec_id: r.list for r in at.rows.collect()}
+    near = {}
+    for r in asked(clustered).collect():
+        q = np.array(r.q) / (np.linalg.norm(r.q) or 1)
+        near[r.query_id] = set(np.argsort(-(at.centers @ q), kind="stable")[:6].tolist())
+    want = [(q, i, s) for q, i, s, _ in brute(clustered, 2000, 0.1) if list_of[i] in near[q]]
+    want = [(q, i, s, sum(w[0] == q for w in want[:n]) + 1) for n, (q, i, s) in enumerate(want)]
+    assert close(plain, [w for w in want if w[3] <= 10])
+
+
+def test_best_rows_of_ties_strings_and_zeros(monkeypatch):
+    monkeypatch.setattr("quillon.operators.vector.QUERIES", 4)
+    rng = np.random.default_rng(5)
+    m = vector.unit_rows(rng.integers(-1, 2, (400, 5)).astype(float))  # many equal ones, some zeros
+    q = vector.unit_rows(np.concatenate([rng.integers(-1, 2, (9, 5)).astype(float), np.zeros((1, 5)), np.full((1, 5), np.nan)]))
+    m[17] = np.nan
+    names = pa.array([f"r{i * 37 % 400}" for i in range(400)])
+    own = np.where(np.arange(400) % 31 == 3, np.arange(400) % 9, -1)
+    only = np.array([0, 2, 3, 7, 8, 9, 10])
+    best = vector.Best(q, 6)
+    for lo in range(0, 400, 23):
+        best.offer(m[lo : lo + 23], names.slice(lo, 23), own[lo : lo + 23], 0.2, only)
+    at, ids, sims = best.found()
+    sim = np.round(m @ q.T, 6)
+    want = []
+    for i in only.tolist():
+        some = sorted((-sim[r, i], names[r].as_py()) for r in range(400) if own[r] != i and m[r] @ q[i] > 0.2)
+        want += [(i, n, -s) for s, n in some[:6]]
+    assert list(zip(at.tolist(), ids.to_pylist(), sims.tolist(), strict=True)) == want and want
+
+
 def test_few_probes_find_most_and_read_few_lists(spark, clustered):
     at = VectorIndex.build(clustered, lists=30)
     exact = at.search(asked(clustered), 10, at.lists)
